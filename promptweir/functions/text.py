@@ -10,7 +10,7 @@ SPACE_CHARS = "".join(
     map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
               0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
 )
-SPACE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+SPACE = r"[\s\x1c-\x1f]"  # under (?U), which makes \s cover the rest of SPACE_CHARS
 WORD = r"[\p{L}\p{N}_]"
 NOT_WORD = r"[^\p{L}\p{N}_]"
 
@@ -21,13 +21,27 @@ def strip(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """White-space tokens in order, none of them empty."""
-    return F.filter(F.split(text, SPACE + "+"), lambda t: t != "")
+    return F.filter(F.split(text, "(?U)" + SPACE + "+"), lambda t: t != "")
 
 
 def clean_token(token: Column) -> Column:
     return F.regexp_replace(token, NOT_WORD, "")
 
 
+def spaced(text: Column) -> Column:
+    """Stripped text with every run of white space as one blank."""
+    return F.regexp_replace(strip(text), "(?U)" + SPACE + "+", " ")
+
+
+def clean_tokens(spaced_text: Column) -> Column:
+    """``clean_token`` of all tokens of a spaced text, by one pass over the whole text.
+
+    A token of punctuation alone stays as an empty entry, so positions line up with
+    the tokens themselves.
+    """
+    return F.split(F.regexp_replace(spaced_text, r"[^\p{L}\p{N}_ ]", ""), " ")
+
+
 def word_set(text: Column) -> Column:
     return F.split(text, NOT_WORD + "+")
 
@@ -43,21 +57,30 @@ def between(text: Column, opening: str, closing: str) -> Column:
     return F.when(found, F.substring(text, start, end - start + 1))
 
 
-def has_sequence(text: Column, parts: list[str]) -> Column:
+def vocabulary(spaced_text: Column) -> Column:
+    """The distinct tokens of a text, blank-separated: a shorter text with the same words."""
+    return F.array_join(F.array_distinct(F.split(spaced_text, " ")), " ")
+
+
+def has_sequence(text: Column, vocabulary: Column, parts: list[str]) -> Column:
     """True when the parts follow one another in ``text`` without overlap.
 
     Same result as searching ``part1.*part2...`` in text without line breaks, but
-    one left-to-right pass: no regex backtracking on long texts.
+    without regex backtracking. The words of the parts are first looked for in the
+    vocabulary, which rules out nearly every text.
     """
-    head, *rest = parts
-    found = F.position(F.lit(head), text)
-    width = len(head)
-    hit = found > 0
-    for part in rest:
-        after = found + width
-        if part == r"\w+":
-            return hit & F.substring(text, after, F.char_length(text)).rlike(WORD)
-        found = F.when(found > 0, F.position(F.lit(part), text, after)).otherwise(0)
-        hit = found > 0
-        width = len(part)
-    return hit
+    plain = [p for p in parts if p != r"\w+"]
+    words = list(dict.fromkeys(w for p in plain for w in p.split()))
+    ordered = F.contains(vocabulary, F.lit(words[0]))
+    for word in words[1:]:
+        ordered = ordered & F.contains(vocabulary, F.lit(word))
+    rest = text
+    for part in plain:
+        ordered = ordered & F.contains(rest, F.lit(part))
+        rest = _behind(rest, part)
+    return ordered & rest.rlike(WORD) if len(plain) < len(parts) else ordered
+
+
+def _behind(text: Column, part: str) -> Column:
+    """What follows the first ``part``."""
+    return F.substring(text, F.position(F.lit(part), text) + len(part), F.char_length(text))

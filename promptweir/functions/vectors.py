@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,7 +30,13 @@ def cosine(left: Column, right: Column) -> Column:
     return F.when(scale > 0, dot(left, right) / scale)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` with ``value`` bound. What a lambda captures is otherwise evaluated anew
+    for every element it visits."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def unit(vector: Column) -> Column:
     """The vector scaled to length one; NULL for a zero vector."""
-    length = norm(vector)
-    return F.when(length > 0, F.transform(vector, lambda x: x.cast("double") / length))
+    return let(norm(vector), lambda length: F.when(
+        length > 0, F.transform(vector, lambda x: x.cast("double") / length)))

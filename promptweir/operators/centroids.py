@@ -39,17 +39,19 @@ def with_similarities(
 ) -> DataFrame:
     """Adds ``similarities``: per declared category the best cosine over the variants."""
     held = vectors.withColumn("_centroids", _declared(centroids, categories, label))
-    for v in variants:
-        held = held.withColumn(f"_unit_{v}", vec.unit(F.col(v)))
 
-    def best(c: Column) -> Column:
-        cosines = [vec.dot(F.col(f"_unit_{v}"), c["unit"]) for v in variants]
-        return F.struct(
-            c["cat_ord"].alias("cat_ord"), c["category"].alias("category"),
-            (F.greatest(*cosines) if len(cosines) > 1 else cosines[0]).alias("similarity"))
+    def similarities(norms: Column) -> Column:
+        def best(c: Column) -> Column:
+            cosines = [
+                F.when(norms[v] > 0, vec.dot(F.col(v), c["unit"]) / norms[v]) for v in variants]
+            return F.struct(
+                c["cat_ord"].alias("cat_ord"), c["category"].alias("category"),
+                (F.greatest(*cosines) if len(cosines) > 1 else cosines[0]).alias("similarity"))
 
-    return held.withColumn("similarities", F.transform("_centroids", best)).drop(
-        "_centroids", *[f"_unit_{v}" for v in variants])
+        return F.transform("_centroids", best)
+
+    norms = F.struct(*[vec.norm(F.col(v)).alias(v) for v in variants])
+    return held.withColumn("similarities", vec.let(norms, similarities)).drop("_centroids")
 
 
 def similarity_rows(vectors: DataFrame, centroids: DataFrame, categories: list, variants: list[str], key: str, label: str = "label") -> DataFrame:

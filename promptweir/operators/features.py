@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ def _string_map(table: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
 
 
-def expand_tokens(tokens: Column, abbreviations: dict[str, str]) -> Column:
+def expand_tokens(spaced: Column, abbreviations: dict[str, str]) -> Column:
     """Replace known abbreviations; what follows the cleaned length of the token stays.
 
     Most tokens are no abbreviation. The hashed membership test spares them the
@@ -26,27 +28,23 @@ def expand_tokens(tokens: Column, abbreviations: dict[str, str]) -> Column:
     table = _string_map(abbreviations)
     keys = list(abbreviations)
 
-    def expand(pair: Column) -> Column:
-        tail = F.substring(pair["t"], F.char_length(pair["c"]) + 1, F.char_length(pair["t"]))
-        return F.when(pair["c"].isin(keys), F.concat(F.element_at(table, pair["c"]), tail)).otherwise(pair["t"])
-
-    paired = F.transform(tokens, lambda t: F.struct(t.alias("t"), tx.clean_token(t).alias("c")))
-    return F.transform(paired, expand)
-
+    def expand(token: Column, clean: Column) -> Column:
+        tail = F.substring(token, F.char_length(clean) + 1, F.char_length(token))
+        return F.when(clean.isin(keys), F.concat(F.element_at(table, clean), tail)).otherwise(token)
 
-def normalize(text: Column, lexicon: Lexicon) -> Column:
-    lowered = tx.tokens(F.lower(tx.strip(text)))
-    return F.array_join(expand_tokens(lowered, lexicon.abbreviations), " ")
+    return F.zip_with(F.split(spaced, " "), tx.clean_tokens(spaced), expand)
 
 
-def key_terms(words: Column, normalized: Column, lexicon: Lexicon) -> Column:
-    """Single-word hits in token order, then multi-word hits in alphabetical order.
-
-    ``words`` are the tokens of ``normalized``.
-    """
-    cleaned = F.transform(words, tx.clean_token)
-    single = F.filter(cleaned, lambda w: w.isin(list(lexicon.single_terms)))
-    multi = F.filter(_strings(lexicon.multi_terms), lambda term: F.contains(normalized, term))
+def key_terms(normalized: Column, lexicon: Lexicon) -> Column:
+    """Single-word hits in token order, then multi-word hits in alphabetical order."""
+    single = F.filter(tx.clean_tokens(normalized), lambda w: w.isin(list(lexicon.single_terms)))
+    # Every multi-word term holds a blank and its second word; one regex pass settles
+    # whether any term can occur at all.
+    seconds = sorted({re.escape(t.split(" ")[1]) for t in lexicon.multi_terms})
+    multi = F.when(
+        normalized.rlike(f" (?:{'|'.join(seconds)})"),
+        F.filter(_strings(lexicon.multi_terms), lambda term: F.contains(normalized, term)),
+    ).otherwise(F.array().cast("array<string>"))
     return F.array_distinct(F.concat(single, multi))
 
 
@@ -86,7 +84,9 @@ def complexity(words: Column, normalized: Column, terms: Column, lexicon: Lexico
 
 
 def with_normalized(prompts: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
-    return prompts.withColumn("normalized_query", normalize(F.col(text), lexicon))
+    spaced = prompts.withColumn("_spaced", tx.spaced(F.lower(F.col(text))))
+    expanded = F.array_join(expand_tokens(F.col("_spaced"), lexicon.abbreviations), " ")
+    return spaced.withColumn("normalized_query", expanded).drop("_spaced")
 
 
 def with_words(prompts: DataFrame) -> DataFrame:
@@ -103,7 +103,7 @@ def preprocess(prompts: DataFrame, lexicon: Lexicon | None = None, text: str = "
     lexicon = lexicon or Lexicon()
     normalized = F.col("normalized_query")
     steps = with_words(with_normalized(prompts, lexicon, text))
-    steps = steps.withColumn("key_terms", key_terms(F.col("words"), normalized, lexicon))
+    steps = steps.withColumn("key_terms", key_terms(normalized, lexicon))
     steps = steps.withColumn("action_verbs", verb_hits(F.col("words"), lexicon))
     steps = steps.withColumn("_complexity", complexity(F.col("words"), normalized, F.col("key_terms"), lexicon))
     features = F.struct(

@@ -16,8 +16,10 @@ _PLAIN_PART = re.compile(r"[\w ]+")
 
 
 def _whole_words(text: Column, phrase: str) -> Column:
+    """A run of whole words; each must be among the words present before the text is searched."""
     bounded = rf"(^|{tx.NOT_WORD}){re.escape(phrase)}($|{tx.NOT_WORD})"
-    return F.contains(text, F.lit(phrase)) & text.rlike(bounded)
+    present = [F.array_contains("_present", w) for w in phrase.split()]
+    return reduce(lambda a, b: a & b, present) & text.rlike(bounded)
 
 
 def _phrase(text: Column, pattern: str) -> Column:
@@ -25,31 +27,32 @@ def _phrase(text: Column, pattern: str) -> Column:
     plain = all(_PLAIN_PART.fullmatch(p) for p in parts[:-1]) and (
         _PLAIN_PART.fullmatch(parts[-1]) or (parts[-1] == r"\w+" and len(parts) > 1))
     if plain:
-        return tx.has_sequence(text, parts)
+        return tx.has_sequence(text, F.col("_vocabulary"), parts)
     return text.rlike("(?U)" + pattern)
 
 
 def _rule_words(rules: dict) -> list[str]:
-    return sorted({k for tiers in rules.values() for tier in ("primary", "secondary")
-                   for k in tiers[tier] if _PLAIN_WORD.fullmatch(k)})
+    return sorted({w for tiers in rules.values() for tier in ("primary", "secondary")
+                   for k in tiers[tier] for w in k.split() if _PLAIN_WORD.fullmatch(w)})
 
 
 def score_columns(prompts: DataFrame, rules: dict | None = None, text: str = "normalized_query") -> DataFrame:
     """Adds ``scores``: per category its order, raw score and share of the maximum.
 
-    Single words are looked up in the (few) lexicon words the text holds; only
-    multi-word keywords and phrases search the text itself.
+    Keywords are looked up in the (few) lexicon words a text holds; the text itself is
+    searched only for multi-word keywords and phrases whose words all occur.
     """
     rules = rules or RULES
     body = F.col(text)
-    present = F.array_distinct(F.filter(tx.word_set(body), lambda w: w.isin(_rule_words(rules))))
 
     def hit(tier: str, pattern: str) -> Column:
         if tier == "phrases":
             return _phrase(body, pattern)
         if _PLAIN_WORD.fullmatch(pattern):
             return F.array_contains("_present", pattern)
-        return _whole_words(body, pattern)
+        if all(_PLAIN_WORD.fullmatch(w) for w in pattern.split()):
+            return _whole_words(body, pattern)
+        return body.rlike(rf"(?U)\b{re.escape(pattern)}\b")
 
     def score(order: int, category: str, tiers: dict) -> Column:
         weighted = [
@@ -63,7 +66,12 @@ def score_columns(prompts: DataFrame, rules: dict | None = None, text: str = "no
             raw.alias("raw_score"), (raw / F.lit(float(top))).alias("normalized_score"))
 
     scores = F.array(*[score(i, c, tiers) for i, (c, tiers) in enumerate(rules.items())])
-    return prompts.withColumn("_present", present).withColumn("scores", scores).drop("_present")
+    present = F.filter(tx.word_set(F.col("_vocabulary")), lambda w: w.isin(_rule_words(rules)))
+    return (
+        prompts.withColumn("_vocabulary", tx.vocabulary(body))
+        .withColumn("_present", F.array_distinct(present))
+        .withColumn("scores", scores).drop("_present", "_vocabulary")
+    )
 
 
 def _best(scores: Column, value: str) -> Column:

@@ -76,8 +76,8 @@ def classifier_verdicts(responses: DataFrame, raw: str = "raw", query: str = "qu
         .withColumn("_conf", F.when(F.col("_fkind").isNull(), F.lit(0.7))
                     .when(F.col("_fkind") == "BOOLEAN", sj.get(v, "confidence", "boolean").cast("double"))
                     .otherwise(tx.strip(sj.get(v, "confidence", "string")).try_cast("double")))
-        .withColumn("_rname", F.upper(F.regexp_extract("_text", rf'(?i)"category":{tx.SPACE}*"([^"]+)"', 1)))
-        .withColumn("_rtext", F.regexp_extract("_text", rf'"confidence":{tx.SPACE}*([0-9.]+)', 1))
+        .withColumn("_rname", F.upper(F.regexp_extract("_text", rf'(?iU)"category":{tx.SPACE}*"([^"]+)"', 1)))
+        .withColumn("_rtext", F.regexp_extract("_text", rf'(?U)"confidence":{tx.SPACE}*([0-9.]+)', 1))
     )
     # A wrong type is not a parse failure: it skips the rescue and ends without a verdict.
     bad_type = (
@@ -140,7 +140,7 @@ def light_verdicts(responses: DataFrame, raw: str = "raw") -> DataFrame:
         responses.withColumn("_json", F.coalesce(tx.between(stripped, "{", "}"), stripped))
         .withColumn("_v", sj.parse(F.col("_json")))
         .withColumn("_kind", sj.kind(F.col("_v")))
-        .withColumn("_digits", F.regexp_extract(raw, rf'"score":{tx.SPACE}*(\p{{Nd}}+)', 1))
+        .withColumn("_digits", F.regexp_extract(raw, rf'(?U)"score":{tx.SPACE}*(\p{{Nd}}+)', 1))
     )
     v = F.col("_v")
     usable = (F.col("_kind") == "OBJECT") & sj.has_keys(v, ("score", "justification"))

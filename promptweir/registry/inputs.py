@@ -11,6 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from promptweir.session import spread
 from promptweir.sources.lexicons import CATEGORIES
 
 OPENINGS: tuple[str, ...] = (
@@ -43,6 +44,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose texts are about to be worked on."""
+    return spread(table(spark, sf_dir, name))
+
+
 def q(text: str) -> str:
     """SQL string literal."""
     return "'" + text.replace("'", "''") + "'"
@@ -63,7 +69,7 @@ def sql_pick(values, index: str) -> str:
 # --- prompts -----------------------------------------------------------------------
 
 def document_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir, "documents")
     return docs.select(
         F.col("doc_id").alias("prompt_id"),
         F.concat(pick(OPENINGS, F.col("doc_id")), F.lit(" "), "text").alias("text"))
@@ -75,7 +81,7 @@ DOCUMENT_PROMPTS = f"""prompts AS (
 
 def chat_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turns; short enough to reach every complexity level."""
-    turns = table(spark, sf_dir, "conversations").where("role = 'user'")
+    turns = texts(spark, sf_dir, "conversations").where("role = 'user'")
     return turns.select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("prompt_id"),
         F.concat(pick(OPENINGS, F.col("conv_id") + F.col("turn")), F.lit(" "), "text").alias("text"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promptweir.operators import numbering, pairs
-from promptweir.registry.inputs import pick, sql_pick, table
+from promptweir.registry.inputs import pick, sql_pick, table, texts
 from promptweir.session import shared_dir
 from promptweir.sources import chats
 
@@ -26,7 +26,7 @@ def documents_as_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.struct(role.alias("role"), F.concat(F.lit(" "), line, F.lit(" ")).alias("content"),
                         timed.alias("timestamp"), known.alias("metadata"))
 
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("doc_seq"),
         F.nullif("source", F.lit("src3")).alias("userId"),
         F.col("lang").alias("title"), F.concat(F.lit("model-"), "lang").alias("modelId"),

@@ -13,8 +13,9 @@ from promptweir.sources.lexicons import (
     ABBREVIATIONS, ACTION_VERBS, PRESERVED_TERMS, QUESTION_WORDS, TECH_GROUPS, Lexicon, full_terms,
 )
 
+SQL_SPACE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _SPACE_LITERAL = " || ".join(f"chr({ord(c)})" for c in tx.SPACE_CHARS)
-_WORD_LIST = f"list_filter(string_split_regex(lower(trim(text, {_SPACE_LITERAL})), '{tx.SPACE}+'), lambda x: x <> '')"
+_WORD_LIST = f"list_filter(string_split_regex(lower(trim(text, {_SPACE_LITERAL})), '{SQL_SPACE}+'), lambda x: x <> '')"
 _CLEAN = f"regexp_replace(%s, '{tx.NOT_WORD}', '', 'g')"
 
 NORMALIZED = f"""
