@@ -1 +1,9 @@
 """Prompt-log analytics as Spark DataFrame jobs."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the executors by value, so that it need not be
+# installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

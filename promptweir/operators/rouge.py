@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 STEM_FROM_LENGTH = 4  # shorter tokens are compared as they are
 
@@ -26,7 +27,7 @@ def _lcs(a, b) -> int:
     return len(a) - row.bit_count()
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def lcs_length(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([_lcs(a, b) for a, b in zip(left, right)], dtype="int32")
 

@@ -11,9 +11,13 @@ SALTS = 16
 
 
 def stem_dictionary(texts: DataFrame, tokens: str, min_length: int) -> DataFrame:
-    """``(word, stem)`` of the distinct words that stemming changes."""
+    """``(word, stem)`` of the distinct words.
+
+    No filter may look at the stem: pushed down, it would repeat every step's expression
+    inside the next one's.
+    """
     words = texts.select(F.explode(tokens).alias("word")).where(F.char_length("word") >= min_length).distinct()
-    return porter.with_stem(words, "word").where("stem <> word").select("word", "stem")
+    return porter.with_stem(words, "word").select("word", "stem")
 
 
 def with_stems(texts: DataFrame, keys: list[str], tokens: str, out: str = "stems", min_length: int = 1, salts: int = SALTS) -> DataFrame:

@@ -6,10 +6,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TOKEN_BLOCK = 256
 
-_MAXIMA = "struct<left: array<double>, right: array<double>>"
+_BEST = T.ArrayType(T.DoubleType())
+_MAXIMA = T.StructType([T.StructField("left", _BEST), T.StructField("right", _BEST)])
 
 
 def _unit_rows(vectors) -> np.ndarray:

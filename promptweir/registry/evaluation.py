@@ -1,2 +1,370 @@
-QUERIES = {}
-ORACLES = {}
+"""Scoring recorded answers against reference answers."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from promptweir.operators import bleu, edit, meteor, requests, rouge, sampling, stems, token_match, verdicts
+from promptweir.plans import evaluation as plan
+from promptweir.functions import porter
+from promptweir.registry.inputs import (
+    JUDGE_FORMS, escaped, fill, pick, q, sql_escaped, sql_fill, sql_pick, table, texts,
+)
+from promptweir.registry.prompts import _WORD_LIST
+from promptweir.registry.stem_sql import stems_sql
+from promptweir.registry.verdict_sql import strict_judge_sql
+from promptweir.sources.lexicons import DEFAULT_MODEL, REFERENCE_MODELS
+
+TEXT_METRICS = ("bleu", "rouge", "edit_sim", "meteor")
+_SAMPLE, _SEED = 5, 23
+
+
+def _candidates(spark, sf_dir):
+    """Assistant turns as candidate answers, each to its own question."""
+    turns = texts(spark, sf_dir, "conversations").where("role = 'assistant'")
+    key = F.col("conv_id") * 1000 + F.col("turn")
+    return turns.select(key.alias("candidate_id"), key.alias("question_id"), F.col("text").alias("candidate"))
+
+
+def _references(spark, sf_dir):
+    """Three references per question: a benchmark text, the plain lower-case form of the
+    answer, and the question itself."""
+    turns = texts(spark, sf_dir, "conversations")
+    key = F.col("conv_id") * 1000 + F.col("turn")
+    answers = turns.where("role = 'assistant'")
+    items = table(spark, sf_dir, "benchmark")
+    size = items.agg(F.count(F.lit(1))).scalar()
+    drawn = answers.select(key.alias("question_id")).withColumn("item_id", F.pmod("question_id", size)).join(
+        items, "item_id").select("question_id", F.lit("bench").alias("model_id"), F.col("text").alias("ref_text"))
+    plain = answers.select(key.alias("question_id"), F.lit("plain").alias("model_id"),
+                           F.lower(F.regexp_replace("text", "[,.]", "")).alias("ref_text"))
+    asked = turns.where("role = 'user'").select(
+        (key + 1).alias("question_id"), F.lit("question").alias("model_id"), F.col("text").alias("ref_text"))
+    return drawn.unionByName(plain).unionByName(asked)
+
+
+_INPUT = """
+candidates AS (
+  SELECT conv_id * 1000 + turn AS candidate_id, text AS candidate FROM conversations WHERE role = 'assistant'),
+refs AS (
+  SELECT candidate_id AS question_id, 'bench' AS model_id, b.text AS ref_text
+  FROM candidates JOIN benchmark b ON b.item_id = candidate_id % (SELECT count(*) FROM benchmark)
+  UNION ALL SELECT candidate_id, 'plain', lower(regexp_replace(candidate, '[,.]', '', 'g')) FROM candidates
+  UNION ALL SELECT conv_id * 1000 + turn + 1, 'question', text FROM conversations WHERE role = 'user'),
+pairs AS (
+  SELECT candidate_id, model_id, candidate, ref_text FROM candidates JOIN refs ON question_id = candidate_id)"""
+
+
+def edit_similarity(spark, sf_dir):
+    pairs = plan.pair_table(_candidates(spark, sf_dir), _references(spark, sf_dir))
+    return pairs.select(*plan.KEYS, F.round(edit.edit_similarity(F.col("candidate"), F.col("ref_text")), 6).alias("edit_sim"))
+
+
+# DuckDB's levenshtein counts bytes. The texts hold 21 letters beyond ASCII; giving each an
+# unused ASCII code makes bytes and characters the same.
+_LETTERS = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü"
+_CODES = " || ".join(f"chr({c})" for c in [*range(1, 9), *range(14, 27)])
+_BYTES = lambda column: f"translate({column}, '{_LETTERS}', {_CODES})"
+EDIT_SQL = f"""edits AS (
+  SELECT candidate_id, model_id, CASE WHEN greatest(length(candidate), length(ref_text)) = 0 THEN 0.0::DOUBLE ELSE
+    1 - levenshtein({_BYTES('candidate')}, {_BYTES('ref_text')}) / greatest(length(candidate), length(ref_text)) END AS edit_sim
+  FROM pairs)"""
+
+
+def _token_pairs(spark, sf_dir, tokens):
+    left = _candidates(spark, sf_dir).withColumn("c_tokens", tokens(F.col("candidate"))).drop("candidate")
+    right = _references(spark, sf_dir).withColumn("r_tokens", tokens(F.col("ref_text"))).drop("ref_text")
+    return left.join(right, "question_id")
+
+
+def bleu_pairs(spark, sf_dir):
+    pairs = _token_pairs(spark, sf_dir, bleu.tokens_13a)
+    return bleu.sentence_bleu(pairs, plan.KEYS, "c_tokens", "r_tokens").withColumn("bleu", F.round("bleu", 6))
+
+
+def bleu_corpus(spark, sf_dir):
+    pairs = _token_pairs(spark, sf_dir, bleu.tokens_13a)
+    counts = bleu.ngram_counts(pairs, plan.KEYS, "c_tokens", "r_tokens")
+    return bleu.corpus_bleu(counts, ["model_id"]).withColumn("bleu", F.round("bleu", 6))
+
+
+def _tokens_13a_sql(text: str) -> str:
+    line = f"replace(replace(replace(rtrim({text}), '<skipped>', ''), '-' || chr(10), ''), chr(10), ' ')"
+    for entity, char in bleu.ENTITIES:
+        line = f"replace({line}, {q(entity)}, {q(char)})"
+    line = f"(' ' || {line} || ' ')"
+    for pattern, replacement in bleu.TOKEN_RULES:
+        line = f"regexp_replace({line}, {q(pattern)}, {q(replacement.replace('$', chr(92)))}, 'g')"
+    return f"list_filter(string_split_regex({line}, '\\s+'), lambda x: x <> '')"
+
+
+BLEU_SQL = f"""
+toks AS (
+  SELECT candidate_id, model_id, {_tokens_13a_sql('candidate')} AS c, {_tokens_13a_sql('ref_text')} AS r FROM pairs),
+grams AS (
+  SELECT candidate_id, model_id, n, true AS own, array_to_string(c[i:i + n - 1], ' ') AS gram FROM (
+    SELECT *, unnest(range(1, len(c) - n + 2)) AS i FROM (SELECT *, unnest([1, 2, 3, 4]) AS n FROM toks))
+  UNION ALL
+  SELECT candidate_id, model_id, n, false, array_to_string(r[i:i + n - 1], ' ') FROM (
+    SELECT *, unnest(range(1, len(r) - n + 2)) AS i FROM (SELECT *, unnest([1, 2, 3, 4]) AS n FROM toks))),
+gram_counts AS (
+  SELECT candidate_id, model_id, n, gram, count(*) FILTER (own) AS c, count(*) FILTER (NOT own) AS r FROM grams GROUP BY ALL),
+matches AS (
+  SELECT candidate_id, model_id, n, sum(least(c, r)) AS m, sum(c) AS t, sum(r) AS rt FROM gram_counts GROUP BY ALL),
+orders AS (
+  SELECT *, count(*) FILTER (m = 0) OVER (PARTITION BY candidate_id, model_id ORDER BY n) AS zeros FROM matches WHERE t > 0),
+logs AS (
+  SELECT candidate_id, model_id, sum(m) AS hits, avg(ln(CASE WHEN m = 0 THEN 1 / pow(2, zeros) / t ELSE m / t END)) AS l
+  FROM orders GROUP BY ALL),
+bleus AS (
+  SELECT p.candidate_id, p.model_id, CASE WHEN coalesce(hits, 0) = 0 THEN 0.0::DOUBLE
+    ELSE CASE WHEN len(c) < len(r) THEN exp(1 - len(r) / len(c)) ELSE 1 END * exp(l) END AS bleu
+  FROM toks p LEFT JOIN logs USING (candidate_id, model_id))"""
+
+
+def stem_words(spark, sf_dir):
+    """Stems of every distinct word of the documents."""
+    words = texts(spark, sf_dir, "documents").select(F.explode(rouge.tokens(F.col("text"))).alias("word")).distinct()
+    return porter.with_stem(words, "word")
+
+
+def _prepared(spark, sf_dir, tokens, min_length):
+    """Pairs with the tokens and stems of both sides."""
+    sides = []
+    for frame, keys, text, p in (
+            (_candidates(spark, sf_dir), ["candidate_id", "question_id"], "candidate", "c"),
+            (_references(spark, sf_dir), ["question_id", "model_id"], "ref_text", "r")):
+        cut = frame.select(*keys, tokens(F.col(text)).alias(f"{p}_tokens"))
+        sides.append(cut.join(stems.with_stems(cut, keys, f"{p}_tokens", f"{p}_stems", min_length), keys))
+    return sides[0].join(sides[1], "question_id")
+
+
+def rouge_l(spark, sf_dir):
+    pairs = _prepared(spark, sf_dir, rouge.tokens, rouge.STEM_FROM_LENGTH)
+    return rouge.rouge_l(pairs, "c_stems", "r_stems").select(*plan.KEYS, F.round("rouge", 6).alias("rouge"))
+
+
+def meteor_pairs(spark, sf_dir):
+    pairs = _prepared(spark, sf_dir, meteor.tokens, 1)
+    return meteor.meteor(pairs, plan.KEYS, "c_tokens", "c_stems", "r_tokens", "r_stems").withColumn(
+        "meteor", F.round("meteor", 6))
+
+
+def _stemmed_sql(name: str, tokens, min_length: int) -> str:
+    """Long token table of both sides with stems."""
+    return f"""
+{name}_lists AS (
+  SELECT candidate_id, model_id, {tokens('candidate')} AS c, {tokens('ref_text')} AS r FROM pairs),
+{name}_toks AS (
+  SELECT candidate_id, model_id, 'c' AS side, unnest(c) AS word, generate_subscripts(c, 1) AS pos FROM {name}_lists
+  UNION ALL
+  SELECT candidate_id, model_id, 'r', unnest(r), generate_subscripts(r, 1) FROM {name}_lists),
+{name}_words AS (SELECT DISTINCT word FROM {name}_toks WHERE length(word) >= {min_length}),
+{stems_sql(f'{name}_words', f'{name}_stem')},
+{name}_stemmed AS (
+  SELECT t.*, coalesce(s.stem, t.word) AS stem FROM {name}_toks t LEFT JOIN {name}_stem s USING (word))"""
+
+
+_ROUGE_TOKENS = lambda text: f"list_filter(string_split_regex(lower({text}), '[^a-z0-9]+'), lambda x: x <> '')"
+_METEOR_TOKENS = lambda text: _WORD_LIST.replace("trim(text,", f"trim({text},")
+
+# One row of the alignment table per step: entry j grows when token i occurs at or before j
+# with a match left of its last such place.
+ROUGE_SQL = f"""{_stemmed_sql('g', _ROUGE_TOKENS, rouge.STEM_FROM_LENGTH)},
+g_arrays AS (
+  SELECT candidate_id, model_id, list(stem ORDER BY pos) FILTER (side = 'c') AS a, list(stem ORDER BY pos) FILTER (side = 'r') AS b
+  FROM g_stemmed GROUP BY ALL),
+lcs AS (
+  SELECT candidate_id, model_id, a, b, 0 AS i, list_transform(b, lambda x: 0) AS t FROM g_arrays
+  WHERE a IS NOT NULL AND b IS NOT NULL
+  UNION ALL
+  SELECT candidate_id, model_id, a, b, i + 1, CASE WHEN len(spots) = 0 THEN t ELSE list_transform(range(1, len(t) + 1),
+    lambda j: greatest(t[j], CASE WHEN spots[1] <= j
+      THEN 1 + coalesce(t[list_max(list_filter(spots, lambda k: k <= j)) - 1], 0) ELSE 0 END)) END
+  FROM (SELECT *, list_filter(range(1, len(b) + 1), lambda k: b[k] = a[i + 1]) AS spots FROM lcs WHERE i < len(a))),
+rouges AS (
+  SELECT p.candidate_id, p.model_id, coalesce(CASE WHEN t[-1] > 0 THEN 2.0 * t[-1] / (len(l.a) + len(l.b)) END, 0.0)::DOUBLE AS rouge
+  FROM pairs p LEFT JOIN (SELECT * FROM lcs WHERE i = len(a)) l USING (candidate_id, model_id))"""
+
+METEOR_SQL = f"""{_stemmed_sql('m', _METEOR_TOKENS, 1)},
+exact_rank AS (
+  SELECT *, row_number() OVER (PARTITION BY candidate_id, model_id, side, word ORDER BY pos DESC) AS k FROM m_stemmed),
+exact_match AS (
+  SELECT c.candidate_id, c.model_id, c.pos AS cp, r.pos AS rp FROM exact_rank c JOIN exact_rank r
+    ON c.candidate_id = r.candidate_id AND c.model_id = r.model_id AND c.word = r.word AND c.k = r.k
+  WHERE c.side = 'c' AND r.side = 'r'),
+left_over AS (
+  SELECT s.* FROM m_stemmed s ANTI JOIN (
+    SELECT candidate_id, model_id, 'c' AS side, cp AS pos FROM exact_match
+    UNION ALL SELECT candidate_id, model_id, 'r', rp FROM exact_match) e USING (candidate_id, model_id, side, pos)),
+stem_rank AS (
+  SELECT *, row_number() OVER (PARTITION BY candidate_id, model_id, side, stem ORDER BY pos DESC) AS k FROM left_over),
+all_match AS (
+  FROM exact_match UNION ALL
+  SELECT c.candidate_id, c.model_id, c.pos, r.pos FROM stem_rank c JOIN stem_rank r
+    ON c.candidate_id = r.candidate_id AND c.model_id = r.model_id AND c.stem = r.stem AND c.k = r.k
+  WHERE c.side = 'c' AND r.side = 'r'),
+steps AS (
+  SELECT *, cp - lag(cp) OVER w = 1 AND rp - lag(rp) OVER w = 1 AS follows FROM all_match
+  WINDOW w AS (PARTITION BY candidate_id, model_id ORDER BY cp)),
+chunked AS (
+  SELECT candidate_id, model_id, count(*) AS m, count(*) FILTER (follows IS DISTINCT FROM true) AS ch FROM steps GROUP BY ALL),
+meteors AS (
+  SELECT l.candidate_id, l.model_id, CASE WHEN m IS NULL THEN 0.0::DOUBLE ELSE
+    (1 - 0.5 * pow(ch / m, 3)) * (m / len(c)) * (m / len(r)) / (0.9 * (m / len(c)) + 0.1 * (m / len(r))) END AS meteor
+  FROM m_lists l LEFT JOIN chunked USING (candidate_id, model_id))"""
+
+
+def token_match_f1(spark, sf_dir):
+    """Runs of eight recorded vectors stand for the tokens of a text; each text is
+    compared with the next one."""
+    vectors = table(spark, sf_dir, "embeddings").select(
+        F.floor(F.col("vec_id") / 8).alias("text_id"), (F.col("vec_id") % 8).alias("pos"), "embedding")
+    pairs = vectors.select("text_id").distinct().withColumn("other_id", F.col("text_id") + 1)
+    scored = token_match.token_match_f1(pairs, ["text_id"], "text_id", "other_id", vectors, block=3)
+    return scored.select("text_id", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+def _text_scores(spark, sf_dir):
+    return plan.score_table(_candidates(spark, sf_dir), _references(spark, sf_dir), metrics=TEXT_METRICS)
+
+
+def _rounded(df, names):
+    return df.select(*[F.round(c, 6).alias(c) if c in names else F.col(c) for c in df.columns])
+
+
+def score_table(spark, sf_dir):
+    return _rounded(_text_scores(spark, sf_dir), TEXT_METRICS)
+
+
+def score_averages(spark, sf_dir):
+    done = plan.averages(_candidates(spark, sf_dir), _text_scores(spark, sf_dir), TEXT_METRICS)
+    return _rounded(done, TEXT_METRICS)
+
+
+def model_leaderboard(spark, sf_dir):
+    return _rounded(plan.leaderboard(_text_scores(spark, sf_dir), TEXT_METRICS), TEXT_METRICS)
+
+
+def sample_eval(spark, sf_dir):
+    done = plan.sampled_scores(
+        _candidates(spark, sf_dir), _references(spark, sf_dir), _SAMPLE, _SEED, metrics=TEXT_METRICS)
+    return _rounded(done, TEXT_METRICS)
+
+
+def _qa(spark, sf_dir):
+    """Question and answer rows: each answer with the turn before it."""
+    turns = texts(spark, sf_dir, "conversations")
+    key = F.col("conv_id") * 1000 + F.col("turn")
+    asked = turns.where("role = 'user'").select((key + 1).alias("pair_id"), F.col("text").alias("user_query"))
+    return asked.join(_candidates(spark, sf_dir).select(
+        F.col("candidate_id").alias("pair_id"), F.col("candidate").alias("LLM_answer")), "pair_id")
+
+
+def _judge_raw():
+    key = F.col("pair_id")
+    return fill(JUDGE_FORMS, F.floor(key / 3), {
+        "S": pick(("1", "2", "3", "4", "5"), key), "B": pick(("true", "false"), F.floor(key / 2)),
+        "T": escaped(F.col("LLM_answer")), "R": F.col("LLM_answer")})
+
+
+def sample_judge(spark, sf_dir):
+    """A sample of pairs, their judge requests, the recorded replies, and the verdicts."""
+    pairs = _qa(spark, sf_dir)
+    sample = sampling.sample_rows(pairs, _SAMPLE, _SEED, ["pair_id"])
+    asked = requests.evaluation_requests(sample, "pair_id").where("kind = 'full_judge'")
+    replies = pairs.select(
+        F.concat(F.lit("full_judge:"), F.col("pair_id").cast("string"), F.lit(f":{DEFAULT_MODEL}")).alias("request_id"),
+        _judge_raw().alias("raw"))
+    done = verdicts.judge_verdicts(asked.select("request_id", F.col("model").alias("model_id")).join(replies, "request_id", "left"))
+    return done.drop("raw")
+
+
+def evaluation_requests(spark, sf_dir):
+    return requests.evaluation_requests(_qa(spark, sf_dir), "pair_id")
+
+
+QUERIES = {
+    "edit_similarity": edit_similarity,
+    "bleu_pairs": bleu_pairs,
+    "bleu_corpus": bleu_corpus,
+    "stem_words": stem_words,
+    "rouge_l": rouge_l,
+    "meteor": meteor_pairs,
+    "token_match_f1": token_match_f1,
+    "score_table": score_table,
+    "score_averages": score_averages,
+    "model_leaderboard": model_leaderboard,
+    "sample_eval": sample_eval,
+    "sample_judge": sample_judge,
+    "evaluation_requests": evaluation_requests,
+}
+
+_SCORES = f"""WITH RECURSIVE {_INPUT}, {EDIT_SQL}, {BLEU_SQL}, {ROUGE_SQL}, {METEOR_SQL},
+scores AS (
+  SELECT candidate_id, model_id, bleu, rouge, edit_sim, meteor FROM edits JOIN bleus USING (candidate_id, model_id)
+    JOIN rouges USING (candidate_id, model_id) JOIN meteors USING (candidate_id, model_id))"""
+_SAMPLED = _INPUT.replace(
+    "candidates AS (\n  SELECT conv_id * 1000 + turn AS candidate_id, text AS candidate FROM conversations WHERE role = 'assistant')",
+    f"""candidates AS (
+  SELECT conv_id * 1000 + turn AS candidate_id, text AS candidate FROM conversations WHERE role = 'assistant'
+  ORDER BY md5('{_SEED}|' || (conv_id * 1000 + turn)), 1 LIMIT {_SAMPLE})""")
+_ROUNDED = ", ".join(f"round({m}, 6) AS {m}" for m in TEXT_METRICS)
+_MEANS = ", ".join(f"round(coalesce(avg({m}), 0), 6) AS {m}" for m in TEXT_METRICS)
+_QA_SQL = f"""qa AS (
+  SELECT a.conv_id * 1000 + a.turn AS pair_id, u.text AS user_query, a.text AS answer
+  FROM conversations a JOIN conversations u ON u.conv_id = a.conv_id AND u.turn = a.turn - 1
+  WHERE a.role = 'assistant' AND u.role = 'user')"""
+_REQUEST = lambda kind, model, system, user, temperature, tokens: (
+    f"SELECT '{kind}:' || pair_id || ':' || {q(model)} AS request_id, '{kind}' AS kind, {q(model)} AS model, "
+    f"{system} AS system_text, {user} AS user_text, {temperature}::DOUBLE AS temperature, {tokens} AS max_tokens FROM qa")
+
+ORACLES = {
+    "edit_similarity": f"""WITH {_INPUT}, {EDIT_SQL}
+SELECT candidate_id, model_id, round(edit_sim, 6) AS edit_sim FROM edits""",
+    "bleu_pairs": f"WITH {_INPUT}, {BLEU_SQL} SELECT candidate_id, model_id, round(bleu, 6) AS bleu FROM bleus",
+    "bleu_corpus": f"""WITH {_INPUT}, {BLEU_SQL},
+sums AS (SELECT model_id, n, sum(m) AS m, sum(t) AS t, sum(rt) AS rt FROM matches GROUP BY ALL),
+ranked AS (SELECT *, count(*) FILTER (m = 0) OVER (PARTITION BY model_id ORDER BY n) AS zeros FROM sums),
+parts AS (
+  SELECT model_id, exp(avg(ln(CASE WHEN m = 0 THEN 1 / pow(2, zeros) / t ELSE m / t END))) AS p,
+    max(CASE WHEN n = 1 THEN t END) AS c, max(CASE WHEN n = 1 THEN rt END) AS r FROM ranked GROUP BY model_id)
+SELECT model_id, round(p * CASE WHEN c < r THEN exp(1 - r / c) ELSE 1 END, 6) AS bleu FROM parts""",
+    "stem_words": f"""WITH words AS (SELECT DISTINCT unnest({_ROUGE_TOKENS('text')}) AS word FROM documents), {stems_sql('words')}
+SELECT word, stem FROM stem_of""",
+    "rouge_l": f"""WITH RECURSIVE {_INPUT}, {ROUGE_SQL}
+SELECT candidate_id, model_id, round(rouge, 6) AS rouge FROM rouges""",
+    "meteor": f"""WITH {_INPUT}, {METEOR_SQL}
+SELECT candidate_id, model_id, round(meteor, 6) AS meteor FROM meteors""",
+    "token_match_f1": """WITH v AS (
+  SELECT vec_id // 8 AS text_id, vec_id % 8 AS pos, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+sims AS (
+  SELECT a.text_id, a.pos AS i, b.pos AS j, list_cosine_similarity(a.e, b.e) AS s
+  FROM v a JOIN v b ON b.text_id = a.text_id + 1),
+p AS (SELECT text_id, avg(s) AS precision FROM (SELECT text_id, i, max(s) AS s FROM sims GROUP BY ALL) GROUP BY text_id),
+r AS (SELECT text_id, avg(s) AS recall FROM (SELECT text_id, j, max(s) AS s FROM sims GROUP BY ALL) GROUP BY text_id)
+SELECT text_id, round(precision, 6) AS precision, round(recall, 6) AS recall,
+  round(2 * precision * recall / (precision + recall), 6) AS f1 FROM p JOIN r USING (text_id)""",
+    "score_table": f"{_SCORES} SELECT candidate_id, model_id, {_ROUNDED} FROM scores",
+    "score_averages": f"""{_SCORES}
+SELECT candidate_id, {_MEANS} FROM candidates LEFT JOIN scores USING (candidate_id) GROUP BY candidate_id""",
+    "model_leaderboard": f"{_SCORES} SELECT model_id, count(*) AS pairs, {_MEANS} FROM scores GROUP BY model_id",
+    "sample_eval": f"""{_SCORES.replace(_INPUT, _SAMPLED)} SELECT candidate_id, model_id, {_ROUNDED} FROM scores""",
+    "sample_judge": f"""WITH {_QA_SQL},
+replies AS (
+  SELECT 'full_judge:' || pair_id || ':{DEFAULT_MODEL}' AS request_id, {q(DEFAULT_MODEL)} AS model_id, {sql_fill(JUDGE_FORMS, 'pair_id // 3', {
+      'S': sql_pick(("1", "2", "3", "4", "5"), 'pair_id'), 'B': sql_pick(("true", "false"), 'pair_id // 2'),
+      'T': sql_escaped('answer'), 'R': 'answer'})} AS raw
+  FROM qa ORDER BY md5('{_SEED}|' || pair_id), pair_id LIMIT {_SAMPLE}), {strict_judge_sql('replies')}
+SELECT * FROM judge_result""",
+    "evaluation_requests": f"WITH {_QA_SQL} " + " UNION ALL ".join([
+        _REQUEST("light_judge", DEFAULT_MODEL, "NULL::VARCHAR",
+                 f"{q(requests.LIGHT_JUDGE_HEAD)} || user_query || {q(requests.LIGHT_JUDGE_MIDDLE)} || answer || {q(requests.LIGHT_JUDGE_TAIL)}",
+                 0.3, "NULL::INT"),
+        _REQUEST("full_judge", DEFAULT_MODEL, q(requests.FULL_JUDGE_SYSTEM),
+                 "'### User Question:' || chr(10) || user_query || chr(10) || chr(10) || '### LLM Answer:' || chr(10) || answer || chr(10)",
+                 0.0, 250),
+        *[_REQUEST("reference", m, q(requests.REFERENCE_SYSTEM),
+                   f"{q(requests.REFERENCE_HEAD)} || user_query || {q(requests.REFERENCE_TAIL)}", 0.0, 200)
+          for m in REFERENCE_MODELS]]),
+}

@@ -9,20 +9,17 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
+from promptweir import registry  # noqa: E402
 from promptweir.session import local_session  # noqa: E402
 from tests.oracle import compare, connect  # noqa: E402
 
 
 def main() -> None:
-    import importlib
     sf_dir, wanted = sys.argv[1], sys.argv[2:]
-    modules = [importlib.import_module(f"promptweir.registry.{m}") for m in (
-        "pairing lexicon prompts classification verdicts evaluation streams".split())
-        if not wanted or m in wanted or not any(Path(f"promptweir/registry/{w}.py").exists() for w in wanted)]
     spark = local_session()
     spark.sparkContext.setLogLevel("ERROR")
     db = connect(sf_dir)
-    for module in modules:
+    for module in registry.MODULES:
         for name, query in module.QUERIES.items():
             if wanted and module.__name__.split(".")[-1] not in wanted and name not in wanted:
                 continue
