@@ -6,31 +6,59 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from promptweir.functions import porter
+from promptweir.session import shared_dir
 
 SALTS = 16
 
 
-def stem_dictionary(texts: DataFrame, tokens: str, min_length: int) -> DataFrame:
-    """``(word, stem)`` of the distinct words.
+def stem_dictionary(words: DataFrame) -> DataFrame:
+    """``(word, stem)`` of the distinct values of a one-column frame ``word``.
 
-    No filter may look at the stem: pushed down, it would repeat every step's expression
-    inside the next one's.
+    Written once to the shared folder: several joins read it, its size is then
+    known to the planner, and a lost executor costs nothing. No filter may look at the
+    stem before that: pushed down, it would repeat every step's expression inside the next.
     """
-    words = texts.select(F.explode(tokens).alias("word")).where(F.char_length("word") >= min_length).distinct()
-    return porter.with_stem(words, "word").select("word", "stem")
+    path = shared_dir(words.sparkSession, "stems")
+    porter.with_stem(words.distinct(), "word").select("word", "stem").write.parquet(path)
+    return words.sparkSession.read.schema("word string, stem string").parquet(path)
 
 
-def with_stems(texts: DataFrame, keys: list[str], tokens: str, out: str = "stems", min_length: int = 1, salts: int = SALTS) -> DataFrame:
-    """``keys`` and ``out``: the stems of ``tokens`` in order.
+def token_words(texts: DataFrame, lists: dict[str, int]) -> DataFrame:
+    """The words that ``with_stems`` will look up, for ``stem_dictionary``."""
+    long = [_longer(c, least) for c, least in lists.items()]
+    return texts.select(F.explode(F.array_distinct(F.concat(*long))).alias("word"))
 
+
+def with_stems(texts: DataFrame, keys: list[str], lists: dict[str, int], dictionary: DataFrame, salts: int = SALTS) -> DataFrame:
+    """``keys`` with every token list and its stems (``<list>_stems``), in order.
+
+    ``lists`` maps a list column to the least length from which its tokens are stemmed.
     A frequent word may make up much of all tokens. Its occurrences are spread over
-    ``salts`` copies of its (small) dictionary entry, so no task receives them all.
+    ``salts`` copies of its dictionary entry, so no task receives them all.
     """
-    dictionary = stem_dictionary(texts, tokens, min_length).withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    placed = texts.select(*keys, F.posexplode_outer(tokens).alias("pos", "word")).withColumn(
+    salted = dictionary.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    entries = F.concat(*[_entries(c, least) for c, least in lists.items()])
+    placed = texts.select(*keys, F.explode_outer(entries).alias("e")).select(*keys, "e.*").withColumn(
         "salt", F.pmod("pos", F.lit(salts)))
-    joined = placed.join(dictionary, ["word", "salt"], "left")
-    stem = F.when(F.col("word").isNotNull(), F.struct("pos", F.coalesce("stem", "word").alias("s")))
-    return joined.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(stem)), lambda x: x["s"]).alias(out))
+    joined = placed.join(salted, [F.when(F.col("looked_up"), placed["token"]) == salted["word"],
+                                  placed["salt"] == salted["salt"]], "left")
+    gathered = joined.groupBy(*keys).agg(*[
+        F.array_sort(F.collect_list(F.when(F.col("list") == c, F.struct(
+            "pos", "token", F.coalesce("stem", "token").alias("stem"))))).alias(c) for c in lists])
+    return gathered.select(*keys, *[
+        _field(c, field).alias(name)
+        for c in lists for field, name in (("token", c), ("stem", f"{c}_stems"))])
+
+
+def _field(structs: str, field: str):
+    return F.transform(structs, lambda x: x[field])
+
+
+def _longer(tokens: str, least: int):
+    return F.filter(tokens, lambda w: F.char_length(w) >= least)
+
+
+def _entries(tokens: str, least: int):
+    return F.transform(tokens, lambda w, i: F.struct(
+        F.lit(tokens).alias("list"), i.alias("pos"), w.alias("token"),
+        (F.char_length(w) >= least).alias("looked_up")))

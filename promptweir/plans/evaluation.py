@@ -12,14 +12,26 @@ METRICS = ("bleu", "sbert", "rouge", "bertscore", "edit_sim", "meteor")
 KEYS = ["candidate_id", "model_id"]
 
 
-def _prepared(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """Token and stem arrays, computed once per text however many pairs it enters."""
-    tokens = texts.select(
-        *keys, bleu.tokens_13a(F.col(text)).alias("bleu_tokens"),
-        rouge.tokens(F.col(text)).alias("rouge_tokens"), meteor.tokens(F.col(text)).alias("words"))
-    rouge_stems = stems.with_stems(tokens, keys, "rouge_tokens", "rouge_stems", rouge.STEM_FROM_LENGTH)
-    word_stems = stems.with_stems(tokens, keys, "words", "word_stems")
-    return tokens.select(*keys, "bleu_tokens", "words").join(rouge_stems, keys).join(word_stems, keys)
+LEFT, RIGHT = ["candidate_id", "question_id"], ["question_id", "model_id"]
+
+
+def stemmed_pairs(candidates: DataFrame, references: DataFrame, tokenisers: dict) -> DataFrame:
+    """Pairs with the token lists of both texts and their stems (c_<list>, r_<list>, ...).
+
+    ``tokenisers`` maps a list name to (tokeniser, least stemmed length). Each text is cut
+    and stemmed once, however many pairs it enters.
+    """
+    lists = {name: least for name, (_, least) in tokenisers.items()}
+    cut = lambda texts, keys, text: texts.select(
+        *keys, *[tokenise(F.col(text)).alias(name) for name, (tokenise, _) in tokenisers.items()])
+    own, other = cut(candidates, LEFT, "candidate"), cut(references, RIGHT, "ref_text")
+    dictionary = stems.stem_dictionary(stems.token_words(own, lists).union(stems.token_words(other, lists)))
+
+    def side(texts: DataFrame, keys: list[str], prefix: str) -> DataFrame:
+        done = stems.with_stems(texts, keys, lists, dictionary)
+        return done.select(*keys, *[F.col(c).alias(f"{prefix}_{c}") for c in done.columns if c not in keys])
+
+    return side(own, LEFT, "c").join(side(other, RIGHT, "r"), "question_id")
 
 
 def pair_table(candidates: DataFrame, references: DataFrame) -> DataFrame:
@@ -30,6 +42,13 @@ def pair_table(candidates: DataFrame, references: DataFrame) -> DataFrame:
     return candidates.join(references, "question_id")
 
 
+def bleu_token_pairs(candidates: DataFrame, references: DataFrame) -> DataFrame:
+    """Pairs with the BLEU tokens of both texts, cut before the join."""
+    own = candidates.select(*LEFT, bleu.tokens_13a(F.col("candidate")).alias("c_tokens"))
+    other = references.select(*RIGHT, bleu.tokens_13a(F.col("ref_text")).alias("r_tokens"))
+    return own.join(other, "question_id")
+
+
 def score_table(
     candidates: DataFrame, references: DataFrame,
     sentence_vectors: DataFrame | None = None, token_vectors: DataFrame | None = None,
@@ -46,22 +65,21 @@ def score_table(
         [edit.edit_similarity(F.col("candidate"), F.col("ref_text")).alias("edit_sim")]
         if "edit_sim" in metrics else []))
 
-    if {"bleu", "rouge", "meteor"} & set(metrics):
-        left = _prepared(candidates, ["candidate_id"], "candidate")
-        right = _prepared(references, ["question_id", "model_id"], "ref_text")
-        names = ("bleu_tokens", "rouge_stems", "words", "word_stems")
-        left = left.select("candidate_id", *[F.col(c).alias(f"c_{c}") for c in names])
-        right = right.select("question_id", "model_id", *[F.col(c).alias(f"r_{c}") for c in names])
-        ids = pairs.select("candidate_id", "question_id", "model_id")
-        token_pairs = ids.join(left, "candidate_id").join(right, ["question_id", "model_id"])
-        if "bleu" in metrics:
-            scores = scores.join(bleu.sentence_bleu(token_pairs, KEYS, "c_bleu_tokens", "r_bleu_tokens"), KEYS)
+    if "bleu" in metrics:
+        scores = scores.join(bleu.sentence_bleu(bleu_token_pairs(candidates, references), KEYS, "c_tokens", "r_tokens"), KEYS)
+    tokenisers = {}
+    if "rouge" in metrics:
+        tokenisers["terms"] = (rouge.tokens, rouge.STEM_FROM_LENGTH)
+    if "meteor" in metrics:
+        tokenisers["words"] = (meteor.tokens, 1)
+    if tokenisers:
+        token_pairs = stemmed_pairs(candidates, references, tokenisers)
         if "rouge" in metrics:
-            scored = rouge.rouge_l(token_pairs, "c_rouge_stems", "r_rouge_stems")
+            scored = rouge.rouge_l(token_pairs, "c_terms_stems", "r_terms_stems")
             scores = scores.join(scored.select(*KEYS, "rouge"), KEYS)
         if "meteor" in metrics:
             scores = scores.join(meteor.meteor(
-                token_pairs, KEYS, "c_words", "c_word_stems", "r_words", "r_word_stems"), KEYS)
+                token_pairs, KEYS, "c_words", "c_words_stems", "r_words", "r_words_stems"), KEYS)
 
     if "sbert" in metrics:
         scores = scores.join(_sentence_cosine(pairs, sentence_vectors), KEYS, "left") \

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from promptweir.operators import bleu, edit, meteor, requests, rouge, sampling, stems, token_match, verdicts
+from promptweir.operators import bleu, edit, meteor, requests, rouge, sampling, token_match, verdicts
 from promptweir.plans import evaluation as plan
 from promptweir.functions import porter
 from promptweir.registry.inputs import (
@@ -71,19 +71,17 @@ EDIT_SQL = f"""edits AS (
   FROM pairs)"""
 
 
-def _token_pairs(spark, sf_dir, tokens):
-    left = _candidates(spark, sf_dir).withColumn("c_tokens", tokens(F.col("candidate"))).drop("candidate")
-    right = _references(spark, sf_dir).withColumn("r_tokens", tokens(F.col("ref_text"))).drop("ref_text")
-    return left.join(right, "question_id")
+def _token_pairs(spark, sf_dir):
+    return plan.bleu_token_pairs(_candidates(spark, sf_dir), _references(spark, sf_dir))
 
 
 def bleu_pairs(spark, sf_dir):
-    pairs = _token_pairs(spark, sf_dir, bleu.tokens_13a)
+    pairs = _token_pairs(spark, sf_dir)
     return bleu.sentence_bleu(pairs, plan.KEYS, "c_tokens", "r_tokens").withColumn("bleu", F.round("bleu", 6))
 
 
 def bleu_corpus(spark, sf_dir):
-    pairs = _token_pairs(spark, sf_dir, bleu.tokens_13a)
+    pairs = _token_pairs(spark, sf_dir)
     counts = bleu.ngram_counts(pairs, plan.KEYS, "c_tokens", "r_tokens")
     return bleu.corpus_bleu(counts, ["model_id"]).withColumn("bleu", F.round("bleu", 6))
 
@@ -128,25 +126,20 @@ def stem_words(spark, sf_dir):
     return porter.with_stem(words, "word")
 
 
-def _prepared(spark, sf_dir, tokens, min_length):
-    """Pairs with the tokens and stems of both sides."""
-    sides = []
-    for frame, keys, text, p in (
-            (_candidates(spark, sf_dir), ["candidate_id", "question_id"], "candidate", "c"),
-            (_references(spark, sf_dir), ["question_id", "model_id"], "ref_text", "r")):
-        cut = frame.select(*keys, tokens(F.col(text)).alias(f"{p}_tokens"))
-        sides.append(cut.join(stems.with_stems(cut, keys, f"{p}_tokens", f"{p}_stems", min_length), keys))
-    return sides[0].join(sides[1], "question_id")
+def _stemmed(spark, sf_dir, tokeniser, least):
+    return plan.stemmed_pairs(
+        _candidates(spark, sf_dir), _references(spark, sf_dir), {"tokens": (tokeniser, least)})
 
 
 def rouge_l(spark, sf_dir):
-    pairs = _prepared(spark, sf_dir, rouge.tokens, rouge.STEM_FROM_LENGTH)
-    return rouge.rouge_l(pairs, "c_stems", "r_stems").select(*plan.KEYS, F.round("rouge", 6).alias("rouge"))
+    pairs = _stemmed(spark, sf_dir, rouge.tokens, rouge.STEM_FROM_LENGTH)
+    return rouge.rouge_l(pairs, "c_tokens_stems", "r_tokens_stems").select(
+        *plan.KEYS, F.round("rouge", 6).alias("rouge"))
 
 
 def meteor_pairs(spark, sf_dir):
-    pairs = _prepared(spark, sf_dir, meteor.tokens, 1)
-    return meteor.meteor(pairs, plan.KEYS, "c_tokens", "c_stems", "r_tokens", "r_stems").withColumn(
+    pairs = _stemmed(spark, sf_dir, meteor.tokens, 1)
+    return meteor.meteor(pairs, plan.KEYS, "c_tokens", "c_tokens_stems", "r_tokens", "r_tokens_stems").withColumn(
         "meteor", F.round("meteor", 6))
 
 
