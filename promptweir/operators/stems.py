@@ -9,6 +9,7 @@ from promptweir.functions import porter
 from promptweir.session import shared_dir
 
 SALTS = 16
+SMALL_DICTIONARY = 200_000  # words; below this Spark broadcasts the table by its size
 
 
 def stem_dictionary(words: DataFrame) -> DataFrame:
@@ -29,13 +30,16 @@ def token_words(texts: DataFrame, lists: dict[str, int]) -> DataFrame:
     return texts.select(F.explode(F.array_distinct(F.concat(*long))).alias("word"))
 
 
-def with_stems(texts: DataFrame, keys: list[str], lists: dict[str, int], dictionary: DataFrame, salts: int = SALTS) -> DataFrame:
+def with_stems(texts: DataFrame, keys: list[str], lists: dict[str, int], dictionary: DataFrame, salts: int | None = None) -> DataFrame:
     """``keys`` with every token list and its stems (``<list>_stems``), in order.
 
     ``lists`` maps a list column to the least length from which its tokens are stemmed.
-    A frequent word may make up much of all tokens. Its occurrences are spread over
-    ``salts`` copies of its dictionary entry, so no task receives them all.
+    A frequent word may make up much of all tokens. When the dictionary is too large to
+    be broadcast, its occurrences are spread over ``salts`` copies of its entry, so no task
+    receives them all.
     """
+    if salts is None:
+        salts = 1 if dictionary.count() <= SMALL_DICTIONARY else SALTS
     salted = dictionary.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     entries = F.concat(*[_entries(c, least) for c, least in lists.items()])
     placed = texts.select(*keys, F.explode_outer(entries).alias("e")).select(*keys, "e.*").withColumn(

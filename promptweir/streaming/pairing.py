@@ -24,7 +24,7 @@ NUMBERED_NAMES = [c.split()[0] for c in NUMBERED_SCHEMA.split(", ")]
 
 
 def _time(ms: int) -> pd.Timestamp:
-    return pd.Timestamp(ms, unit="ms")
+    return pd.Timestamp(ms, unit="ms", tz="UTC")
 
 
 class PairTurns(StatefulProcessor):
