@@ -60,27 +60,3 @@ def between(text: Column, opening: str, closing: str) -> Column:
 def vocabulary(spaced_text: Column) -> Column:
     """The distinct tokens of a text, blank-separated: a shorter text with the same words."""
     return F.array_join(F.array_distinct(F.split(spaced_text, " ")), " ")
-
-
-def has_sequence(text: Column, vocabulary: Column, parts: list[str]) -> Column:
-    """True when the parts follow one another in ``text`` without overlap.
-
-    Same result as searching ``part1.*part2...`` in text without line breaks, but
-    without regex backtracking. The words of the parts are first looked for in the
-    vocabulary, which rules out nearly every text.
-    """
-    plain = [p for p in parts if p != r"\w+"]
-    words = list(dict.fromkeys(w for p in plain for w in p.split()))
-    ordered = F.contains(vocabulary, F.lit(words[0]))
-    for word in words[1:]:
-        ordered = ordered & F.contains(vocabulary, F.lit(word))
-    rest = text
-    for part in plain:
-        ordered = ordered & F.contains(rest, F.lit(part))
-        rest = _behind(rest, part)
-    return ordered & rest.rlike(WORD) if len(plain) < len(parts) else ordered
-
-
-def _behind(text: Column, part: str) -> Column:
-    """What follows the first ``part``."""
-    return F.substring(text, F.position(F.lit(part), text) + len(part), F.char_length(text))

@@ -55,7 +55,7 @@ def with_similarities(
 
 
 def similarity_rows(vectors: DataFrame, centroids: DataFrame, categories: list, variants: list[str], key: str, label: str = "label") -> DataFrame:
-    return with_similarities(vectors, centroids, categories, variants, label).select(key, F.inline("similarities"))
+    return with_similarities(vectors, centroids, categories, variants, label).select(key, F.inline_outer("similarities"))
 
 
 def classify(

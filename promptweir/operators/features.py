@@ -12,11 +12,8 @@ from promptweir.sources.lexicons import NO_TECH_GROUP, Lexicon
 
 
 def _strings(values) -> Column:
-    return F.array(*[F.lit(v) for v in values])
-
-
-def _string_map(table: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    """Constant string array; folded when the plan is optimised."""
+    return F.split(F.lit("\n".join(values)), "\n")
 
 
 def expand_tokens(spaced: Column, abbreviations: dict[str, str]) -> Column:
@@ -25,7 +22,7 @@ def expand_tokens(spaced: Column, abbreviations: dict[str, str]) -> Column:
     Most tokens are no abbreviation. The hashed membership test spares them the
     linear search of the literal map.
     """
-    table = _string_map(abbreviations)
+    table = F.map_from_arrays(_strings(abbreviations), _strings(abbreviations.values()))
     keys = list(abbreviations)
 
     def expand(token: Column, clean: Column) -> Column:
@@ -36,8 +33,8 @@ def expand_tokens(spaced: Column, abbreviations: dict[str, str]) -> Column:
 
 
 def key_terms(normalized: Column, lexicon: Lexicon) -> Column:
-    """Single-word hits in token order, then multi-word hits in alphabetical order."""
-    single = F.filter(tx.clean_tokens(normalized), lambda w: w.isin(list(lexicon.single_terms)))
+    """Single-word hits in order of first use, then multi-word hits in alphabetical order."""
+    single = F.array_intersect(tx.clean_tokens(normalized), _strings(lexicon.single_terms))
     # Every multi-word term holds a blank and its second word; one regex pass settles
     # whether any term can occur at all.
     seconds = sorted({re.escape(t.split(" ")[1]) for t in lexicon.multi_terms})
@@ -45,7 +42,7 @@ def key_terms(normalized: Column, lexicon: Lexicon) -> Column:
         normalized.rlike(f" (?:{'|'.join(seconds)})"),
         F.filter(_strings(lexicon.multi_terms), lambda term: F.contains(normalized, term)),
     ).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(single, multi))
+    return F.concat(single, multi)
 
 
 def verb_hits(words: Column, lexicon: Lexicon) -> Column:

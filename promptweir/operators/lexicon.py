@@ -88,7 +88,7 @@ def terms_by_join(normalized: DataFrame, lexicon: DataFrame, key: str = "prompt_
     each tail joins on the term's first word and the rest is checked in place.
     """
     words = normalized.select(key, F.split(text, " ").alias("w")).select(
-        key, "w", F.posexplode("w").alias("i", "t"))
+        key, "w", F.posexplode_outer("w").alias("i", "t"))
     single = (
         words.select(key, "i", tx.clean_token(F.col("t")).alias("term"))
         .join(lexicon.where("n_words = 1").select("term"), "term")

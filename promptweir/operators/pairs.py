@@ -38,7 +38,9 @@ def content_text(content: Column) -> Column:
 def flatten_turns(docs: DataFrame) -> DataFrame:
     """One row per message with its position; documents without messages vanish."""
     header = [c for c in docs.columns if c != "messages"]
-    turns = docs.select(*header, F.posexplode("messages").alias("pos", "message"))
+    # The outer form keeps Spark from inferring a filter on the array. Pushed down, such
+    # a filter computes the array a second time when it is not a stored column.
+    turns = docs.select(*header, F.posexplode_outer("messages").alias("pos", "message")).where("pos is not null")
     dates = _struct_dates(docs)
     return turns.select(
         *header, "pos",
@@ -82,7 +84,8 @@ def pair_documents(docs: DataFrame) -> DataFrame:
     matched = (
         docs.withColumn("_ends", _answer_positions(F.col("messages")))
         .withColumn("_cuts", cuts)
-        .select(*header, F.posexplode(F.flatten(F.transform("_cuts", asked))).alias("nth", "_p"))
+        .select(*header, F.posexplode_outer(F.flatten(F.transform("_cuts", asked))).alias("nth", "_p"))
+        .where("nth is not null")
     )
     return matched.select(
         *header, "nth",
@@ -104,10 +107,7 @@ def _answered_counts(docs: DataFrame) -> DataFrame:
     last = F.coalesce(
         F.array_max(F.transform(roles, lambda r, i: F.when(has_role(r, "assistant"), i + 1))), F.lit(0))
     answered = F.size(F.filter(F.slice(roles, F.lit(1), last), lambda r: has_role(r, "user")))
-    return (
-        docs.where(F.col("messages").isNotNull()).select("userId", "doc_seq", answered.alias("_n"))
-        .where("_n > 0")
-    )
+    return docs.select("userId", "doc_seq", F.coalesce(answered, F.lit(0)).alias("_n"))
 
 
 def extract_pairs(docs: DataFrame, seq_block: int = numbering.DOC_BLOCK) -> DataFrame:

@@ -116,7 +116,7 @@ def _request(kind: str, key: Column, model: Column, system: Column, user: Column
 
 
 def _rows(df: DataFrame, requests: list[Column]) -> DataFrame:
-    return df.select(F.inline(F.array(*requests)))
+    return df.select(F.inline_outer(F.array(*requests)))
 
 
 def classification_requests(prompts: DataFrame, key: str = "prompt_id", text: str = "text", model: str = DEFAULT_MODEL) -> DataFrame:

@@ -15,20 +15,47 @@ _PLAIN_WORD = re.compile(r"\w+")
 _PLAIN_PART = re.compile(r"[\w ]+")
 
 
-def _whole_words(text: Column, phrase: str) -> Column:
-    """A run of whole words; each must be among the words present before the text is searched."""
-    bounded = rf"(^|{tx.NOT_WORD}){re.escape(phrase)}($|{tx.NOT_WORD})"
-    present = [F.array_contains("_present", w) for w in phrase.split()]
-    return reduce(lambda a, b: a & b, present) & text.rlike(bounded)
+# The hit tests are written as SQL text: a lexicon has a hundred and more of them.
 
 
-def _phrase(text: Column, pattern: str) -> Column:
+def _text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _all(tests: list[str]) -> str:
+    return "(" + " AND ".join(tests) + ")"
+
+
+def _keyword_test(text: str, keyword: str) -> str:
+    """Whole-word test: the words must be present before the text itself is searched."""
+    words = keyword.split()
+    if not all(_PLAIN_WORD.fullmatch(w) for w in words):
+        return f"rlike({text}, {_text(rf'(?U)\b{re.escape(keyword)}\b')})"
+    tests = [f"array_contains(_present, {_text(w)})" for w in words]
+    if len(words) > 1:
+        tests.append(f"rlike({text}, {_text(f'(^|{tx.NOT_WORD}){keyword}($|{tx.NOT_WORD})')})")
+    return _all(tests)
+
+
+def _phrase_test(text: str, pattern: str) -> str:
+    """Search for a phrase pattern in text without line breaks.
+
+    Parts joined by ``.*`` need no regex: each must follow the first occurrence of the one
+    before it. Their words are first looked for in the vocabulary, which rules out
+    nearly every text, and no text is scanned more than once per part.
+    """
     parts = pattern.split(".*")
-    plain = all(_PLAIN_PART.fullmatch(p) for p in parts[:-1]) and (
-        _PLAIN_PART.fullmatch(parts[-1]) or (parts[-1] == r"\w+" and len(parts) > 1))
-    if plain:
-        return tx.has_sequence(text, F.col("_vocabulary"), parts)
-    return text.rlike("(?U)" + pattern)
+    plain = parts[:-1] if parts[-1] == r"\w+" and len(parts) > 1 else parts
+    if not all(_PLAIN_PART.fullmatch(p) for p in plain):
+        return f"rlike({text}, {_text('(?U)' + pattern)})"
+    tests = [f"contains(_vocabulary, {_text(w)})" for w in dict.fromkeys(w for p in plain for w in p.split())]
+    rest = text
+    for part in plain:
+        tests.append(f"contains({rest}, {_text(part)})")
+        rest = f"substring({rest}, locate({_text(part)}, {rest}) + {len(part)})"
+    if len(plain) < len(parts):
+        tests.append(f"rlike({rest}, {_text(tx.WORD)})")
+    return _all(tests)
 
 
 def _rule_words(rules: dict) -> list[str]:
@@ -45,35 +72,28 @@ def score_columns(prompts: DataFrame, rules: dict | None = None, text: str = "no
     rules = rules or RULES
     body = F.col(text)
 
-    def hit(tier: str, pattern: str) -> Column:
-        if tier == "phrases":
-            return _phrase(body, pattern)
-        if _PLAIN_WORD.fullmatch(pattern):
-            return F.array_contains("_present", pattern)
-        if all(_PLAIN_WORD.fullmatch(w) for w in pattern.split()):
-            return _whole_words(body, pattern)
-        return body.rlike(rf"(?U)\b{re.escape(pattern)}\b")
-
     def score(order: int, category: str, tiers: dict) -> Column:
-        weighted = [
-            F.when(hit(tier, p), F.lit(TIER_WEIGHTS[tier])).otherwise(0)
-            for tier, patterns in tiers.items() for p in patterns
-        ]
+        raw = " + ".join(
+            f"IF({(_phrase_test if tier == 'phrases' else _keyword_test)(text, p)}, {TIER_WEIGHTS[tier]}, 0)"
+            for tier, patterns in tiers.items() for p in patterns)
         top = sum(TIER_WEIGHTS[tier] * len(patterns) for tier, patterns in tiers.items())
-        raw = reduce(lambda a, b: a + b, weighted)
-        return F.struct(
-            F.lit(order).alias("cat_ord"), F.lit(category).alias("category"),
-            raw.alias("raw_score"), (raw / F.lit(float(top))).alias("normalized_score"))
+        return F.expr(f"named_struct('cat_ord', {order}, 'category', {_text(category)}, 'raw_score', {raw}, 'top', {top})")
 
     scores = F.array(*[score(i, c, tiers) for i, (c, tiers) in enumerate(rules.items())])
     present = F.filter(tx.word_set(F.col("_vocabulary")), lambda w: w.isin(_rule_words(rules)))
     return (
         prompts.withColumn("_vocabulary", tx.vocabulary(body))
         .withColumn("_present", F.array_distinct(present))
-        .withColumn("scores", scores).drop("_present", "_vocabulary")
+        .withColumn("scores", _with_share(scores)).drop("_present", "_vocabulary")
     )
 
 
+def _with_share(scores: Column) -> Column:
+    return F.transform(scores, lambda s: F.struct(
+        s["cat_ord"].alias("cat_ord"), s["category"].alias("category"), s["raw_score"].alias("raw_score"),
+        (s["raw_score"] / s["top"]).alias("normalized_score")))
+
+
 def _best(scores: Column, value: str) -> Column:
     """Highest ``value``; among equals the category declared first."""
     return F.array_max(F.transform(scores, lambda s: F.struct(
@@ -98,20 +118,19 @@ def classify(prompts: DataFrame, rules: dict | None = None, text: str = "normali
 
 def rule_scores(prompts: DataFrame, key: str = "prompt_id", rules: dict | None = None, text: str = "normalized_query") -> DataFrame:
     """One row per prompt and category."""
-    return score_columns(prompts, rules, text).select(key, F.inline("scores"))
+    return score_columns(prompts, rules, text).select(key, F.inline_outer("scores"))
 
 
 def classify_legacy(prompts: DataFrame, keywords: dict | None = None, text: str = "normalized_query") -> DataFrame:
     """Older rules: share of a category's keywords found anywhere in the text."""
     keywords = keywords or LEGACY_KEYWORDS
-    body = F.col(text)
 
     def score(order: int, category: str, words: tuple[str, ...]) -> Column:
-        raw = reduce(lambda a, b: a + b, [F.contains(body, F.lit(w)).cast("int") for w in words])
-        return F.struct(F.lit(order).alias("cat_ord"), F.lit(category).alias("category"),
-                        raw.alias("raw_score"), (raw / F.lit(float(len(words)))).alias("normalized_score"))
+        raw = " + ".join(f"int(contains({text}, {_text(w)}))" for w in words)
+        return F.expr(
+            f"named_struct('cat_ord', {order}, 'category', {_text(category)}, 'raw_score', {raw}, 'top', {len(words)})")
 
-    scores = F.array(*[score(i, c, w) for i, (c, w) in enumerate(keywords.items())])
+    scores = _with_share(F.array(*[score(i, c, w) for i, (c, w) in enumerate(keywords.items())]))
     scored = prompts.withColumn("_scores", scores).withColumn("_best", _best(F.col("_scores"), "normalized_score"))
     hit = F.col("_best.v") > 0
     return (

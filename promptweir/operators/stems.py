@@ -27,7 +27,9 @@ def stem_dictionary(words: DataFrame) -> DataFrame:
 def token_words(texts: DataFrame, lists: dict[str, int]) -> DataFrame:
     """The words that ``with_stems`` will look up, for ``stem_dictionary``."""
     long = [_longer(c, least) for c, least in lists.items()]
-    return texts.select(F.explode(F.array_distinct(F.concat(*long))).alias("word"))
+    # explode_outer: see pairs.flatten_turns.
+    words = texts.select(F.explode_outer(F.array_distinct(F.concat(*long))).alias("word"))
+    return words.where(F.col("word").isNotNull())
 
 
 def with_stems(texts: DataFrame, keys: list[str], lists: dict[str, int], dictionary: DataFrame, salts: int | None = None) -> DataFrame:

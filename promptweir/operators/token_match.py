@@ -60,7 +60,7 @@ def token_match_f1(pairs: DataFrame, keys: list[str], left: str, right: str, tok
         F.struct(F.lit("l").alias("side"), F.col("lb").alias("b"), F.col("m.left").alias("best")),
         F.struct(F.lit("r").alias("side"), F.col("rb").alias("b"), F.col("m.right").alias("best")))
     best = (
-        maxima.select(*keys, F.inline(sides)).select(*keys, "side", "b", F.posexplode("best").alias("i", "x"))
+        maxima.select(*keys, F.inline_outer(sides)).select(*keys, "side", "b", F.posexplode_outer("best").alias("i", "x"))
         .groupBy(*keys, "side", "b", "i").agg(F.max("x").alias("x"))
     )
     mean = lambda s: F.avg(F.when(F.col("side") == s, F.col("x")))

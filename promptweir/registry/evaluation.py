@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from promptweir.operators import bleu, edit, meteor, requests, rouge, sampling, token_match, verdicts
+from promptweir.operators import bleu, edit, meteor, requests, rouge, sampling, stems, token_match, verdicts
 from promptweir.plans import evaluation as plan
 from promptweir.functions import porter
 from promptweir.registry.inputs import (
@@ -57,7 +57,7 @@ pairs AS (
 
 def edit_similarity(spark, sf_dir):
     pairs = plan.pair_table(_candidates(spark, sf_dir), _references(spark, sf_dir))
-    return pairs.select(*plan.KEYS, F.round(edit.edit_similarity(F.col("candidate"), F.col("ref_text")), 6).alias("edit_sim"))
+    return pairs.select(*plan.KEYS, F.round(edit.edit_similarity(F.col("candidate"), F.col("ref_text")), 9).alias("edit_sim"))
 
 
 # DuckDB's levenshtein counts bytes. The texts hold 21 letters beyond ASCII; giving each an
@@ -77,13 +77,13 @@ def _token_pairs(spark, sf_dir):
 
 def bleu_pairs(spark, sf_dir):
     pairs = _token_pairs(spark, sf_dir)
-    return bleu.sentence_bleu(pairs, plan.KEYS, "c_tokens", "r_tokens").withColumn("bleu", F.round("bleu", 6))
+    return bleu.sentence_bleu(pairs, plan.KEYS, "c_tokens", "r_tokens").withColumn("bleu", F.round("bleu", 9))
 
 
 def bleu_corpus(spark, sf_dir):
     pairs = _token_pairs(spark, sf_dir)
     counts = bleu.ngram_counts(pairs, plan.KEYS, "c_tokens", "r_tokens")
-    return bleu.corpus_bleu(counts, ["model_id"]).withColumn("bleu", F.round("bleu", 6))
+    return bleu.corpus_bleu(counts, ["model_id"]).withColumn("bleu", F.round("bleu", 9))
 
 
 def _tokens_13a_sql(text: str) -> str:
@@ -122,8 +122,8 @@ bleus AS (
 
 def stem_words(spark, sf_dir):
     """Stems of every distinct word of the documents."""
-    words = texts(spark, sf_dir, "documents").select(F.explode(rouge.tokens(F.col("text"))).alias("word")).distinct()
-    return porter.with_stem(words, "word")
+    docs = texts(spark, sf_dir, "documents").select(rouge.tokens(F.col("text")).alias("tokens"))
+    return porter.with_stem(stems.token_words(docs, {"tokens": 1}).distinct(), "word")
 
 
 def _stemmed(spark, sf_dir, tokeniser, least):
@@ -134,13 +134,13 @@ def _stemmed(spark, sf_dir, tokeniser, least):
 def rouge_l(spark, sf_dir):
     pairs = _stemmed(spark, sf_dir, rouge.tokens, rouge.STEM_FROM_LENGTH)
     return rouge.rouge_l(pairs, "c_tokens_stems", "r_tokens_stems").select(
-        *plan.KEYS, F.round("rouge", 6).alias("rouge"))
+        *plan.KEYS, F.round("rouge", 9).alias("rouge"))
 
 
 def meteor_pairs(spark, sf_dir):
     pairs = _stemmed(spark, sf_dir, meteor.tokens, 1)
     return meteor.meteor(pairs, plan.KEYS, "c_tokens", "c_tokens_stems", "r_tokens", "r_tokens_stems").withColumn(
-        "meteor", F.round("meteor", 6))
+        "meteor", F.round("meteor", 9))
 
 
 def _stemmed_sql(name: str, tokens, min_length: int) -> str:
@@ -215,7 +215,7 @@ def token_match_f1(spark, sf_dir):
         F.floor(F.col("vec_id") / 8).alias("text_id"), (F.col("vec_id") % 8).alias("pos"), "embedding")
     pairs = vectors.select("text_id").distinct().withColumn("other_id", F.col("text_id") + 1)
     scored = token_match.token_match_f1(pairs, ["text_id"], "text_id", "other_id", vectors, block=3)
-    return scored.select("text_id", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+    return scored.select("text_id", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
 
 
 def _text_scores(spark, sf_dir):
@@ -223,7 +223,7 @@ def _text_scores(spark, sf_dir):
 
 
 def _rounded(df, names):
-    return df.select(*[F.round(c, 6).alias(c) if c in names else F.col(c) for c in df.columns])
+    return df.select(*[F.round(c, 9).alias(c) if c in names else F.col(c) for c in df.columns])
 
 
 def score_table(spark, sf_dir):
@@ -302,8 +302,8 @@ _SAMPLED = _INPUT.replace(
     f"""candidates AS (
   SELECT conv_id * 1000 + turn AS candidate_id, text AS candidate FROM conversations WHERE role = 'assistant'
   ORDER BY md5('{_SEED}|' || (conv_id * 1000 + turn)), 1 LIMIT {_SAMPLE})""")
-_ROUNDED = ", ".join(f"round({m}, 6) AS {m}" for m in TEXT_METRICS)
-_MEANS = ", ".join(f"round(coalesce(avg({m}), 0), 6) AS {m}" for m in TEXT_METRICS)
+_ROUNDED = ", ".join(f"round({m}, 9) AS {m}" for m in TEXT_METRICS)
+_MEANS = ", ".join(f"round(coalesce(avg({m}), 0), 9) AS {m}" for m in TEXT_METRICS)
 _QA_SQL = f"""qa AS (
   SELECT a.conv_id * 1000 + a.turn AS pair_id, u.text AS user_query, a.text AS answer
   FROM conversations a JOIN conversations u ON u.conv_id = a.conv_id AND u.turn = a.turn - 1
@@ -314,21 +314,21 @@ _REQUEST = lambda kind, model, system, user, temperature, tokens: (
 
 ORACLES = {
     "edit_similarity": f"""WITH {_INPUT}, {EDIT_SQL}
-SELECT candidate_id, model_id, round(edit_sim, 6) AS edit_sim FROM edits""",
-    "bleu_pairs": f"WITH {_INPUT}, {BLEU_SQL} SELECT candidate_id, model_id, round(bleu, 6) AS bleu FROM bleus",
+SELECT candidate_id, model_id, round(edit_sim, 9) AS edit_sim FROM edits""",
+    "bleu_pairs": f"WITH {_INPUT}, {BLEU_SQL} SELECT candidate_id, model_id, round(bleu, 9) AS bleu FROM bleus",
     "bleu_corpus": f"""WITH {_INPUT}, {BLEU_SQL},
 sums AS (SELECT model_id, n, sum(m) AS m, sum(t) AS t, sum(rt) AS rt FROM matches GROUP BY ALL),
 ranked AS (SELECT *, count(*) FILTER (m = 0) OVER (PARTITION BY model_id ORDER BY n) AS zeros FROM sums),
 parts AS (
   SELECT model_id, exp(avg(ln(CASE WHEN m = 0 THEN 1 / pow(2, zeros) / t ELSE m / t END))) AS p,
     max(CASE WHEN n = 1 THEN t END) AS c, max(CASE WHEN n = 1 THEN rt END) AS r FROM ranked GROUP BY model_id)
-SELECT model_id, round(p * CASE WHEN c < r THEN exp(1 - r / c) ELSE 1 END, 6) AS bleu FROM parts""",
+SELECT model_id, round(p * CASE WHEN c < r THEN exp(1 - r / c) ELSE 1 END, 9) AS bleu FROM parts""",
     "stem_words": f"""WITH words AS (SELECT DISTINCT unnest({_ROUGE_TOKENS('text')}) AS word FROM documents), {stems_sql('words')}
 SELECT word, stem FROM stem_of""",
     "rouge_l": f"""WITH RECURSIVE {_INPUT}, {ROUGE_SQL}
-SELECT candidate_id, model_id, round(rouge, 6) AS rouge FROM rouges""",
+SELECT candidate_id, model_id, round(rouge, 9) AS rouge FROM rouges""",
     "meteor": f"""WITH {_INPUT}, {METEOR_SQL}
-SELECT candidate_id, model_id, round(meteor, 6) AS meteor FROM meteors""",
+SELECT candidate_id, model_id, round(meteor, 9) AS meteor FROM meteors""",
     "token_match_f1": """WITH v AS (
   SELECT vec_id // 8 AS text_id, vec_id % 8 AS pos, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 sims AS (
@@ -336,8 +336,8 @@ sims AS (
   FROM v a JOIN v b ON b.text_id = a.text_id + 1),
 p AS (SELECT text_id, avg(s) AS precision FROM (SELECT text_id, i, max(s) AS s FROM sims GROUP BY ALL) GROUP BY text_id),
 r AS (SELECT text_id, avg(s) AS recall FROM (SELECT text_id, j, max(s) AS s FROM sims GROUP BY ALL) GROUP BY text_id)
-SELECT text_id, round(precision, 6) AS precision, round(recall, 6) AS recall,
-  round(2 * precision * recall / (precision + recall), 6) AS f1 FROM p JOIN r USING (text_id)""",
+SELECT text_id, round(precision, 9) AS precision, round(recall, 9) AS recall,
+  round(2 * precision * recall / (precision + recall), 9) AS f1 FROM p JOIN r USING (text_id)""",
     "score_table": f"{_SCORES} SELECT candidate_id, model_id, {_ROUNDED} FROM scores",
     "score_averages": f"""{_SCORES}
 SELECT candidate_id, {_MEANS} FROM candidates LEFT JOIN scores USING (candidate_id) GROUP BY candidate_id""",
