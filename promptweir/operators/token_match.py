@@ -50,20 +50,21 @@ def token_match_f1(pairs: DataFrame, keys: list[str], left: str, right: str, tok
     value leaves a block.
     """
     blocks = token_blocks(token_vectors, text, pos, vector, block)
-    l = blocks.select(F.col("text_id").alias(left), F.col("block").alias("lb"), F.col("vectors").alias("lv"))
-    r = blocks.select(F.col("text_id").alias(right), F.col("block").alias("rb"), F.col("vectors").alias("rv"))
+    own = blocks.select(F.col("text_id").alias(left), F.col("block").alias("_lb"), F.col("vectors").alias("_lv"))
+    other = blocks.select(F.col("text_id").alias(right), F.col("block").alias("_rb"), F.col("vectors").alias("_rv"))
     maxima = (
-        pairs.select(*keys, left, right).join(l, left).join(r, right)
-        .select(*keys, "lb", "rb", _block_maxima("lv", "rv").alias("m"))
+        pairs.select(*dict.fromkeys([*keys, left, right])).join(own, left).join(other, right)
+        .select(*keys, "_lb", "_rb", _block_maxima("_lv", "_rv").alias("_m"))
     )
     sides = F.array(
-        F.struct(F.lit("l").alias("side"), F.col("lb").alias("b"), F.col("m.left").alias("best")),
-        F.struct(F.lit("r").alias("side"), F.col("rb").alias("b"), F.col("m.right").alias("best")))
+        F.struct(F.lit("l").alias("_side"), F.col("_lb").alias("_block"), F.col("_m.left").alias("_best")),
+        F.struct(F.lit("r").alias("_side"), F.col("_rb").alias("_block"), F.col("_m.right").alias("_best")))
     best = (
-        maxima.select(*keys, F.inline_outer(sides)).select(*keys, "side", "b", F.posexplode_outer("best").alias("i", "x"))
-        .groupBy(*keys, "side", "b", "i").agg(F.max("x").alias("x"))
+        maxima.select(*keys, F.inline_outer(sides))
+        .select(*keys, "_side", "_block", F.posexplode_outer("_best").alias("_i", "_x"))
+        .groupBy(*keys, "_side", "_block", "_i").agg(F.max("_x").alias("_x"))
     )
-    mean = lambda s: F.avg(F.when(F.col("side") == s, F.col("x")))
+    mean = lambda side: F.avg(F.when(F.col("_side") == side, F.col("_x")))
     scores = best.groupBy(*keys).agg(mean("l").alias("precision"), mean("r").alias("recall"))
     p, q = F.col("precision"), F.col("recall")
     return scores.withColumn("f1", F.when(p + q != 0, 2 * p * q / (p + q)).otherwise(0.0))

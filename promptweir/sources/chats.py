@@ -69,10 +69,16 @@ def write_pairs_csv(pairs: DataFrame, path: str) -> None:
 
 
 def read_pairs_csv(spark: SparkSession, path: str) -> DataFrame:
-    return (
+    """Pair rows written by ``write_pairs_csv``.
+
+    An empty CSV field reads as NULL; the two texts are never NULL in a pair row, so
+    there it means the empty text.
+    """
+    rows = (
         spark.read.schema(PAIR).option("header", True).option("multiLine", True)
         .option("quote", '"').option("escape", '"').csv(path)
     )
+    return rows.fillna("", ["user_query", "LLM_answer"])
 
 
 def write_pairs(pairs: DataFrame, path: str) -> None:
