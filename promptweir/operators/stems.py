@@ -19,9 +19,12 @@ def stem_dictionary(words: DataFrame) -> DataFrame:
     known to the planner, and a lost executor costs nothing. No filter may look at the
     stem before that: pushed down, it would repeat every step's expression inside the next.
     """
-    path = shared_dir(words.sparkSession, "stems")
-    porter.with_stem(words.distinct(), "word").select("word", "stem").write.parquet(path)
-    return words.sparkSession.read.schema("word string, stem string").parquet(path)
+    spark = words.sparkSession
+    path = shared_dir(spark, "stems")
+    # Few bytes, much work per byte: the planner would gather the words into a task or two.
+    dealt = words.distinct().repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    porter.with_stem(dealt, "word").select("word", "stem").write.parquet(path)
+    return spark.read.schema("word string, stem string").parquet(path)
 
 
 def token_words(texts: DataFrame, lists: dict[str, int]) -> DataFrame:
