@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from promptweir.functions import porter
-from promptweir.session import shared_dir
+from promptweir.session import written
 
 SALTS = 16
 SMALL_DICTIONARY = 200_000  # words; below this Spark broadcasts the table by its size
@@ -19,12 +19,9 @@ def stem_dictionary(words: DataFrame) -> DataFrame:
     known to the planner, and a lost executor costs nothing. No filter may look at the
     stem before that: pushed down, it would repeat every step's expression inside the next.
     """
-    spark = words.sparkSession
-    path = shared_dir(spark, "stems")
     # Few bytes, much work per byte: the planner would gather the words into a task or two.
-    dealt = words.distinct().repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
-    porter.with_stem(dealt, "word").select("word", "stem").write.parquet(path)
-    return spark.read.schema("word string, stem string").parquet(path)
+    dealt = words.distinct().repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return written(porter.with_stem(dealt, "word").select("word", "stem"), "stems")
 
 
 def token_words(texts: DataFrame, lists: dict[str, int]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from promptweir.functions import vectors as vec
 from promptweir.operators import bleu, edit, meteor, rouge, sampling, stems, token_match
+from promptweir.session import written
 
 METRICS = ("bleu", "sbert", "rouge", "bertscore", "edit_sim", "meteor")
 KEYS = ["candidate_id", "model_id"]
@@ -116,6 +117,11 @@ def leaderboard(scores: DataFrame, metrics: tuple[str, ...]) -> DataFrame:
         F.count(F.lit(1)).alias("pairs"), *[F.avg(m).alias(m) for m in metrics])
 
 
-def sampled_scores(candidates: DataFrame, references: DataFrame, n: int, seed: int, **vectors) -> DataFrame:
-    """Scores of a repeatable sample of ``n`` candidates against all their references."""
-    return score_table(sampling.sample_rows(candidates, n, seed, ["candidate_id"]), references, **vectors)
+def sampled_scores(candidates: DataFrame, references: DataFrame, n: int, seed: int, **options) -> DataFrame:
+    """Scores of a repeatable sample of ``n`` candidates against all their references.
+
+    The sample is written first; only references of its questions are then worked on.
+    """
+    sample = written(sampling.sample_rows(candidates, n, seed, ["candidate_id"]), "sample")
+    wanted = references.join(sample.select("question_id").distinct(), "question_id", "left_semi")
+    return score_table(sample, wanted, **options)

@@ -3,7 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from promptweir.operators import centroids, verdicts
+from promptweir.operators import centroids, requests, verdicts
+from promptweir.plans import router
+from promptweir.sources import chats
 
 CLASSIFIER = [
     ('{"category": "code_technical", "confidence": 0.9}', "q", "ok", "CODE_TECHNICAL", 0.9),
@@ -75,3 +77,28 @@ def test_centroids_with_a_hot_label(spark):
     queries = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1500.0, 1.0])], "i int, v array<double>")
     rows = centroids.classify(queries, means, ["cold", "hot", "unseen"], ["v"]).orderBy("i").collect()
     assert rows[0].embedding_category is None and rows[1].embedding_confidence == pytest.approx(1.0)
+
+
+def test_requests_out_responses_in(spark, tmp_path):
+    pairs = spark.createDataFrame([(1, "why?", "because")], "pair_id int, user_query string, LLM_answer string")
+    asked = requests.evaluation_requests(pairs, "pair_id")
+    chats.write_requests(asked, str(tmp_path / "requests"))
+    back = spark.read.parquet(str(tmp_path / "requests"))
+    assert {r.kind: r["count"] for r in back.groupBy("kind").count().collect()} == {
+        "light_judge": 1, "full_judge": 1, "reference": 3}
+    raw = '{"score": 5, "justification": "fine"}'
+    back.where("kind = 'light_judge'").select("request_id", F.col("model").alias("model_id"), F.lit(raw).alias("raw")) \
+        .write.parquet(str(tmp_path / "responses"))
+    joined = chats.join_responses(back, chats.read_responses(spark, str(tmp_path / "responses")))
+    assert joined.count() == 5 and joined.where("raw IS NOT NULL").count() == 1
+
+
+def test_route_isolates_failures(spark):
+    prompts = spark.createDataFrame(
+        [(1, "debug my python code"), (2, None), (3, "hi")], "prompt_id int, text string")
+    responses = spark.createDataFrame(
+        [(1, "done", '{"score": 4, "justification": "ok"}'), (2, "x", None)], "prompt_id int, response string, judge_raw string")
+    rows = {r.prompt_id: r for r in router.answer(router.route(router.classify(prompts)), responses).collect()}
+    assert rows[1].success and rows[1].score == 4 and rows[1].judge_status == "ok"
+    assert not rows[2].success and rows[2].error == "prompt text is missing"
+    assert not rows[3].success and rows[3].error == "no recorded response" and rows[3].score is None
