@@ -107,7 +107,7 @@ def _answered_counts(docs: DataFrame) -> DataFrame:
     last = F.coalesce(
         F.array_max(F.transform(roles, lambda r, i: F.when(has_role(r, "assistant"), i + 1))), F.lit(0))
     answered = F.size(F.filter(F.slice(roles, F.lit(1), last), lambda r: has_role(r, "user")))
-    return docs.select("userId", "doc_seq", F.coalesce(answered, F.lit(0)).alias("_n"))
+    return docs.select("userId", "doc_seq", F.greatest(answered, F.lit(0)).alias("_n"))
 
 
 def extract_pairs(docs: DataFrame, seq_block: int = numbering.DOC_BLOCK) -> DataFrame:
