@@ -142,3 +142,21 @@ def test_sample_is_repeatable(spark):
     pick = lambda f, seed: sorted(r.id for r in sampling.sample_rows(f, 5, seed, ["id"]).collect())
     assert pick(frame, 23) == pick(frame.repartition(17), 23) != pick(frame, 24)
     assert len(pick(frame.limit(3), 23)) == 3
+
+
+def test_vector_metrics_in_the_score_table(spark):
+    candidates = spark.createDataFrame(
+        [(1, 1, "a", 10)], "candidate_id int, question_id int, candidate string, candidate_text_id int")
+    references = spark.createDataFrame(
+        [(1, "m", "b", 20), (1, "n", "c", 30)], "question_id int, model_id string, ref_text string, ref_text_id int")
+    sentences = spark.createDataFrame(
+        [(10, [1.0, 0.0]), (20, [0.0, 2.0]), (30, [3.0, 3.0])], "text_id int, embedding array<double>")
+    tokens = spark.createDataFrame(
+        [(10, 0, [1.0, 0.0]), (10, 1, [0.0, 1.0]), (20, 0, [0.0, 5.0])], "text_id int, pos int, embedding array<double>")
+    table = plan.score_table(candidates, references, sentences, tokens, metrics=("sbert", "bertscore", "edit_sim"))
+    got = {r.model_id: r for r in table.collect()}
+    assert got["m"].sbert == pytest.approx(0.0) and got["n"].sbert == pytest.approx(math.sqrt(0.5))
+    assert got["m"].bertscore == pytest.approx(2 * 0.5 * 1 / 1.5) and got["n"].bertscore is None
+    assert got["m"].edit_sim == 0.0
+    bare = plan.score_table(candidates, references, metrics=("sbert", "bertscore")).collect()
+    assert len(bare) == 2 and all(r.sbert is None and r.bertscore is None for r in bare)
