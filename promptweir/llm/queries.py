@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptweir.llm import mixing, packing
+from promptweir.llm import mixing, ngram_join, packing
 from promptweir.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,10 @@ def ranks_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(mixing.with_size(table(spark, sf_dir, "documents")))
     return mixed.select("doc_id", "size", "source_size", "target", mixing.taken(mixed).alias("taken"))
@@ -32,7 +36,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op5_mixing": op5_mixing, "op7_packing": op7_packing}
+    return {"op4_ngram_join": op4_ngram_join, "op5_mixing": op5_mixing, "op7_packing": op7_packing}
 
 
 def oracle_sql() -> dict[str, str]:
