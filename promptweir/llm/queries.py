@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptweir.llm import mixing, ngram_join, packing
+from promptweir.llm import langid, mixing, ngram_join, packing, quality
 from promptweir.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,12 @@ def ranks_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return done.select("doc_id", F.col("quality_held_out").alias("held_out"), F.col("quality_score").alias("score"),
+                       F.col("quality_ok").alias("predicted"))
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
@@ -35,8 +41,14 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
 
 
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = langid.identify(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", F.col("lang_held_out").alias("held_out"), "language.lang_pred", "language.score")
+
+
 def queries() -> dict[str, Query]:
-    return {"op4_ngram_join": op4_ngram_join, "op5_mixing": op5_mixing, "op7_packing": op7_packing}
+    return {f.__name__: f for f in (
+        op2_quality, op4_ngram_join, op5_mixing, op7_packing, op10_langid)}
 
 
 def oracle_sql() -> dict[str, str]:
