@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptweir.llm import langid, mixing, ngram_join, packing, quality
+from promptweir.llm import embed_dedup, langid, mixing, ngram_join, packing, quality, topk
 from promptweir.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", mixing.taken(mixed).alias("taken"))
 
 
+def op6_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.link(table(spark, sf_dir, "embeddings"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = packing.pieces(table(spark, sf_dir, "documents"), ranks_path())
     digest = cut.withColumn("ids_crc32", packing.ids_crc32("ids")).drop("ids")
@@ -41,6 +45,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
 
 
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = langid.identify(table(spark, sf_dir, "documents"))
     return done.select("doc_id", F.col("lang_held_out").alias("held_out"), "language.lang_pred", "language.score")
@@ -48,7 +56,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        op2_quality, op4_ngram_join, op5_mixing, op7_packing, op10_langid)}
+        op2_quality, op4_ngram_join, op5_mixing, op6_embed_dedup, op7_packing, op8_topk, op10_langid)}
 
 
 def oracle_sql() -> dict[str, str]:
