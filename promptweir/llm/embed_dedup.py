@@ -26,6 +26,7 @@ COSINE = 0.93
 NAMED, SHARED = 12, 3
 #: Pivots are vectors taken by hash: one per so many classes, within bounds.
 CLASSES_PER_PIVOT, LEAST_PIVOTS, MOST_PIVOTS = 100, 32, 2_048
+APART = 0.8
 BLOCK = 1_500
 
 
@@ -43,6 +44,15 @@ def nearest_pivots(vectors: np.ndarray, pivots: np.ndarray, named: int = NAMED)
     return np.take_along_axis(some, np.argsort(-np.take_along_axis(close, some, 1), axis=1, kind="stable"), 1)
 
 
+def apart(points: np.ndarray, closest: float = APART) -> np.ndarray:
+    """Points in order, without those close to an earlier one: a large group of near copies would
+    else take many pivots and its members would name different ones."""
+    kept = np.zeros(len(points), bool)
+    for i, row in enumerate(points @ points.T):
+        kept[i] = not (row[kept] > closest).any()
+    return points[kept]
+
+
 def _naming(pivots: dict[int, np.ndarray], named: int):
     def name(batches):
         for batch in batches:
@@ -132,7 +142,7 @@ def link(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", lab
     sample = classes.orderBy(F.xxhash64("node"), "node").limit(wanted).select("vector").toPandas()["vector"]
     pivots: dict[int, np.ndarray] = {}
     for size in {len(v) for v in sample}:
-        pivots[size] = _unit(np.stack([v for v in sample if len(v) == size]))
+        pivots[size] = apart(_unit(np.stack([v for v in sample if len(v) == size])))
     described = written(classes.mapInPandas(
         _naming(pivots, named), classes.select("label", "vector", "node", "copies", F.lit(None).cast("array<int>").alias("pivots")).schema),
         "described").withColumn("dims", F.size("vector"))

@@ -10,7 +10,8 @@ Texts with equal sets are one node. Lists of the index are never expanded into a
 every node of a list is compared with a pivot of the list, in rounds with other pivots, and
 linked nodes become components. Only nodes of one list that are still in different components
 are then paired. Every pair that the filters leave is thus verified or already connected, so the
-components are those of the full join.
+components are those of the full join. Before texts travel to be verified, a pair must pass a
+bound from small parity maps of the two sets, which never drops a pair that links.
 
 Sets are keyed by 64-bit hashes; two different sets collide with probability 2**-64 a pair.
 """
@@ -32,7 +33,9 @@ from promptweir.session import written
 FREQUENT = 65_536
 #: A task reports tokens that stand so often in so many of its tokens.
 REPORT_COUNT, REPORT_TOKENS = 4, 1_000_000
-PIVOT_ROUNDS = 2
+PIVOT_ROUNDS = 1
+#: Bits of a set's parity map.
+MAP_BITS = 1_024
 #: Members compared with one copy of a pivot.
 STAR = 256
 
@@ -64,6 +67,13 @@ def _key(tokens: np.ndarray) -> int:
     return int(np.uint64(total % (1 << 64)).astype(np.int64))
 
 
+def _parity(tokens: np.ndarray) -> np.ndarray:
+    """Bit b says whether an odd number of tokens fall on b. Where two maps differ in d bits the
+    sets differ in at least d tokens."""
+    odd = np.bincount((tokens >> np.uint64(17)) % np.uint64(MAP_BITS), minlength=MAP_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _scan(width: int):
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[np.ndarray] = []
@@ -73,20 +83,21 @@ def _scan(width: int):
             held.clear()
             often = counts >= REPORT_COUNT
             return pd.DataFrame({"doc_id": pd.array([None] * int(often.sum()), "Int64"), "n_shingles": counts[often],
-                                 "key": tokens[often].view(np.int64), "frequent": True})
+                                 "key": tokens[often].view(np.int64), "frequent": True, "parity": None})
 
         for batch in batches:
-            sizes, keys, size = [], [], sum(map(len, held))
+            sizes, keys, maps, size = [], [], [], sum(map(len, held))
             for one in sets(batch["text"], width):
                 sizes.append(len(one))
                 keys.append(_key(one))
+                maps.append(_parity(one))
                 held.append(one)
                 size += len(one)
                 if size >= REPORT_TOKENS:
                     yield frequent()
                     size = 0
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_shingles": np.array(sizes, np.int64),
-                                "key": np.array(keys, np.int64), "frequent": False})
+                                "key": np.array(keys, np.int64), "frequent": False, "parity": maps})
         if held:
             yield frequent()
     return scan
@@ -132,6 +143,15 @@ def _verify(width: int, percent: int, orders: Orders):
     return verify
 
 
+def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose sizes and parity maps allow the similarity."""
+    side = lambda c: nodes.select(F.col("key").alias(c), F.col("n").alias(f"{c}_n"), F.col("parity").alias(f"{c}_map"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    differ = F.aggregate(F.zip_with("a_map", "b_map", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    total = F.col("a_n") + F.col("b_n")
+    return both.where((100 + percent) * (total - differ) >= 2 * percent * total).select("a", "b")
+
+
 def _checked(pairs: DataFrame, texts: DataFrame, verify) -> DataFrame:
     """Links among candidate pairs (a, b). A pivot `a` with many partners is copied to several
     places, so no task gets them all; a partner's text travels once per pair."""
@@ -155,13 +175,14 @@ def join(docs: DataFrame, width: int = 4, percent: int = 85, orders: int = 3, ke
     """
     narrow = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     scanned = written(narrow.mapInPandas(
-        _scan(width), "doc_id long, n_shingles long, key long, frequent boolean"), "sets")
+        _scan(width), "doc_id long, n_shingles long, key long, frequent boolean, parity array<long>"), "sets")
     often = scanned.where("frequent").groupBy("key").agg(F.sum("n_shingles").alias("n")).orderBy(
         F.col("n").desc(), "key").limit(FREQUENT).toPandas()
     known = Orders(often["key"].to_numpy(np.int64).view(np.uint64),
                    np.minimum(np.log2(often["n"].to_numpy(np.float64).clip(1)).astype(np.int64) + 1, 63), orders)
     rows = scanned.where("NOT frequent")
-    nodes = rows.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    nodes = rows.where("n_shingles > 0").groupBy("key").agg(
+        F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.min("parity").alias("parity"))
 
     index = narrow.mapInPandas(_postings(width, percent, known), "key long, n long, tokens array<long>")
     by_token = Window.partitionBy("token")
@@ -169,7 +190,7 @@ def join(docs: DataFrame, width: int = 4, percent: int = 85, orders: int = 3, ke
         "least": F.min("key").over(by_token), "most": F.max("key").over(by_token)})
         .where("least < most").select("token", "key", "n").distinct(), "index")
     texts = written(
-        narrow.join(nodes.join(shared.select("key").distinct(), "key", "left_semi"), "doc_id")
+        narrow.join(nodes.select("doc_id", "key").join(shared.select("key").distinct(), "key", "left_semi"), "doc_id")
         .groupBy("key").agg(F.min("text").alias("text")), "texts")
 
     verify = _verify(width, percent, known)
@@ -194,18 +215,18 @@ def join(docs: DataFrame, width: int = 4, percent: int = 85, orders: int = 3, ke
             other = open_lists.select("token", F.col("key").alias("b"), F.col("n").alias("b_n"), F.col("part").alias("b_part"))
             pairs = open_lists.join(other, "token").where(f"key < b AND part <> b_part AND {fits('n', 'b_n')}").select(
                 F.col("key").alias("a"), "b")
-        pairs = pairs.distinct()
+        pairs = pairs.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"), "a", "b").groupBy(
+            "low", "high").agg(F.min("a").alias("a"), F.min_by("b", "a").alias("b"))
         if tried is not None:
-            same = lambda x, y: (F.col("a") == F.col(x)) & (F.col("b") == F.col(y))
-            old = tried.select(F.col("a").alias("x"), F.col("b").alias("y"))
-            pairs = pairs.join(old, same("x", "y"), "left_anti").join(old, same("y", "x"), "left_anti")
+            pairs = pairs.join(tried, ["low", "high"], "left_anti")
         pairs = written(pairs, "pairs")
+        tried = pairs.select("low", "high") if tried is None else tried.union(pairs.select("low", "high"))
+        pairs = written(_possible(pairs.select("a", "b"), nodes, percent), "possible")
         links = written(_checked(pairs, texts, verify), "verified")
         found = links if found is None else found.union(links)
-        tried = pairs if tried is None else tried.union(pairs)
         labels = components(found, "a", "b")
 
-    root = nodes.join(labels, F.col("key") == F.col("node"), "left").select(
+    root = nodes.select("key", "doc_id").join(labels, F.col("key") == F.col("node"), "left").select(
         "key", "doc_id", F.coalesce("component", "key").alias("root"))
     smallest = root.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of = root.join(smallest, "root").select(F.col("key").alias("node_key"), "component_id")

@@ -10,7 +10,6 @@ run by its rank among the documents of its length. Rows only travel once, withou
 
 from __future__ import annotations
 
-import re
 import zlib
 from bisect import insort
 from collections.abc import Iterator
@@ -36,11 +35,14 @@ class Encoder:
     """Ids of the byte-level BPE vocabulary, with a memory for chunks between single spaces.
 
     The vocabulary splits a text before a space that stands between two other characters, whatever
-    follows or precedes, so such chunks are encoded on their own. Texts with other runs of white
-    space are encoded whole. The end marker inside a text becomes its own id, as the tokenizer
-    file declares it.
+    follows or precedes, so such chunks are encoded on their own, all new ones of a text in one
+    call. Texts with other white space beside a space are encoded whole. The end marker inside a
+    text becomes its own id, as the tokenizer file declares it.
     """
 
+    #: A carriage return between chunks is a token of its own.
+    SEPARATOR = "\r"
+
     def __init__(self, ranks_path: str, marker: str = "<|endoftext|>", marker_id: int = 50256):
         import base64
 
@@ -52,29 +54,34 @@ class Encoder:
         self.model = tiktoken.Encoding(
             "byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.marker, self.marker_id = marker, np.array([marker_id], "<u4").tobytes()
-        self.odd = re.compile(r"\s\s|^\s|\s$")
-        self.known: dict[str, bytes] = {}
-
-    def _bytes(self, text: str) -> bytes:
-        return np.array(self.model.encode_ordinary(text), "<u4").tobytes()
+        self.separator_id = self.model.encode_ordinary(self.SEPARATOR)[0]
+        self.chunks: dict[str, bytes] = {}
+
+    def _array(self, text: str) -> np.ndarray:
+        return np.array(self.model.encode_ordinary(text), "<u4")
+
+    def _learn(self, new: list[str]) -> bool:
+        """Remembers new chunks; False if one of them cannot be encoded on its own."""
+        if "" in new or any(x[0].isspace() or x[-1].isspace() for x in new):
+            return False
+        ids = self._array(self.SEPARATOR.join([" " + x for x in new]))
+        ends = np.flatnonzero(ids == self.separator_id).tolist()
+        raw, start = ids.tobytes(), 0
+        for x, end in zip(new, [*ends, len(ids)]):
+            self.chunks[x] = raw[4 * start:4 * end]
+            start = end + 1
+        return True
 
     def _plain(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if self.odd.search(text):
-            return self._bytes(text)
-        chunks = text.split(" ")
-        known = self.known
-        first = self._bytes(chunks[0])
-        try:
-            return first + b"".join([known[x] for x in chunks[1:]])
-        except KeyError:
-            if len(known) > REMEMBERED:
-                known.clear()
-            for x in chunks[1:]:
-                if x not in known:
-                    known[x] = self._bytes(" " + x)
-            return first + b"".join([known[x] for x in chunks[1:]])
+        first, *rest = text.split(" ")
+        if not rest or not first or first[-1].isspace() or self.SEPARATOR in text:
+            return self._array(text).tobytes()
+        if len(self.chunks) >= REMEMBERED:
+            self.chunks.clear()
+        new = list(set(rest).difference(self.chunks))
+        if new and not self._learn(new):
+            return self._array(text).tobytes()
+        return self._array(first).tobytes() + b"".join(map(self.chunks.__getitem__, rest))
 
     def ids(self, text: str | None) -> np.ndarray:
         pieces = (text or "").split(self.marker)

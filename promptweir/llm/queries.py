@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptweir.llm import embed_dedup, langid, mixing, ngram_join, packing, quality, topk
+from promptweir.llm import chat, embed_dedup, langid, mixing, ngram_join, packing, quality, topk, urls, warc
 from promptweir.llm.common import table
+from promptweir.session import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,12 +20,51 @@ def ranks_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hard = "\\### Assistant: </turn> ok"
+    own = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hard).alias("text"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(own)
+    return chat.read_back(chat.format_turns(turns))
+
+
+OP1_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+steps AS (
+  SELECT *, row_number() OVER w AS at, lag(role) OVER w AS past FROM turns
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+sized AS (
+  SELECT *, 4 + length(role) + 2 + 8
+    + length(text) + (length(text) - length(replace(text, '\', '')))
+    + (length(text) - length(replace(text, '</turn>', ''))) // 7
+    + coalesce(list_sum(list_transform(regexp_extract_all(text, '#{3,}'), x -> length(x) - 2)), 0) AS chars
+  FROM steps)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY at)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY at) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return done.select("doc_id", F.col("quality_held_out").alias("held_out"), F.col("quality_score").alias("score"),
                        F.col("quality_ok").alias("predicted"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path, payloads=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
@@ -49,6 +89,10 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = langid.identify(table(spark, sf_dir, "documents"))
     return done.select("doc_id", F.col("lang_held_out").alias("held_out"), "language.lang_pred", "language.score")
@@ -56,7 +100,8 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        op2_quality, op4_ngram_join, op5_mixing, op6_embed_dedup, op7_packing, op8_topk, op10_langid)}
+        op1_chat, op2_quality, op3_warc, op4_ngram_join, op5_mixing, op6_embed_dedup, op7_packing, op8_topk, op9_urls,
+        op10_langid)}
 
 
 def oracle_sql() -> dict[str, str]:
