@@ -194,11 +194,12 @@ def train(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text
           rows: int = TRAINING_DOCS) -> Model | None:
     """Learns from at most `rows` documents with a language for which `learn` holds. Only sampled
     words reach the driver, at most TRAINING_WORDS of SEGMENT bytes a document."""
-    known = docs.where(learn & F.col(lang).isNotNull())
-    picked = known.select(F.col(key).alias("picked")).orderBy(F.xxhash64("picked"), "picked").limit(rows).distinct()
-    got = known.join(F.broadcast(picked), F.col(key) == F.col("picked")).select(  # at most `rows` rows
-        F.xxhash64("picked").alias("h"), F.col(lang).cast("string").alias("name"),
-        sampled_words(F.col(text).cast("string")).alias("words")).orderBy("h", "name").limit(rows).toPandas()
+    known = docs.where(learn & F.col(lang).isNotNull()).select(
+        F.col(key).alias("doc_key"), F.col(text).cast("string").alias("doc_text"), F.col(lang).cast("string").alias("name"))
+    picked = known.select(F.col("doc_key").alias("picked")).orderBy(F.xxhash64("picked"), "picked").limit(rows).distinct()
+    got = known.join(F.broadcast(picked), F.col("doc_key") == F.col("picked")).select(  # at most `rows` rows
+        F.xxhash64("picked").alias("h"), "name", sampled_words("doc_text").alias("words")).orderBy(
+        "h", "name").limit(rows).toPandas()
     words = [bytes(w) for row in got["words"] for w in row]
     return fit(words, [n for n, row in zip(got["name"], got["words"]) for _ in row])
 

@@ -194,8 +194,9 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id"
     picked = labels.where(learn & F.col(label).isin(0, 1)).select(
         F.col(key).alias("picked"), F.col(label).cast("double").alias("label")).orderBy(
         F.xxhash64("picked"), "picked", "label").limit(rows)
-    found = docs.join(F.broadcast(picked), F.col(key) == F.col("picked")).select(  # at most `rows` rows
-        F.xxhash64("picked").alias("h"), "label", text_features(text).alias("x"))
+    narrow = docs.select(F.col(key).alias("doc_key"), F.col(text).cast("string").alias("doc_text"))
+    found = narrow.join(F.broadcast(picked), F.col("doc_key") == F.col("picked")).select(  # at most `rows` rows
+        F.xxhash64("picked").alias("h"), "label", text_features("doc_text").alias("x"))
     got = found.orderBy("h", "label").limit(rows).toPandas()
     x = np.array(got["x"].tolist()).reshape(-1, len(NAMES))
     return fit(x, got["label"].to_numpy(float))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptweir.llm import chat, embed_dedup, langid, mixing, ngram_join, packing, quality, topk, urls, warc
+from promptweir.llm import chat, embed_dedup, langid, mixing, ngram_join, packing, quality, sql, topk, urls, warc
 from promptweir.llm.common import table
 from promptweir.session import shared_dir
 
@@ -26,30 +26,7 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hard).alias("text"))
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(own)
-    return chat.read_back(chat.format_turns(turns))
-
-
-OP1_SQL = r"""
-WITH turns AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
-  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
-steps AS (
-  SELECT *, row_number() OVER w AS at, lag(role) OVER w AS past FROM turns
-  WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
-sized AS (
-  SELECT *, 4 + length(role) + 2 + 8
-    + length(text) + (length(text) - length(replace(text, '\', '')))
-    + (length(text) - length(replace(text, '</turn>', ''))) // 7
-    + coalesce(list_sum(list_transform(regexp_extract_all(text, '#{3,}'), x -> length(x) - 2)), 0) AS chars
-  FROM steps)
-SELECT conv_id, count(*) AS n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY at)) AS turns_sha256,
-  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY at) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(chars) AS BIGINT) AS formatted_chars
-FROM sized GROUP BY conv_id
-"""
+    return chat.read_back(chat.format_turns(turns)).drop("valid", "violations")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +43,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.join(table(spark, sf_dir, "documents"))
+    return ngram_join.join(table(spark, sf_dir, "documents")).drop("kept")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,4 +82,5 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_chat": sql.OP1, "op3_warc": sql.OP3, "op4_ngram_join": sql.OP4, "op6_embed_dedup": sql.OP6,
+            "op8_topk": sql.OP8}
