@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,7 +27,9 @@ from promptweir.session import written
 CAPACITY = 2048
 END = 0
 #: Chunks of text whose ids a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
+#: Texts turned into strings at a time, and ids sent to Spark at a time.
+SLICE, FLUSH_IDS = 128, 300_000
 
 
 # --- tokens -------------------------------------------------------------------------------------
@@ -113,35 +116,47 @@ def pieces(docs: DataFrame, ranks_path: str, capacity: int = CAPACITY, key: str
     A document is its ids and one end id; a NULL or empty text is the end id alone. Documents
     longer than the capacity are cut. `place` numbers the pieces of one length within a `task`.
     """
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, task, seen = _encoder(ranks_path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        end = np.array([END], "<i4")
         for batch in batches:
-            rows, size = [], 0
-            for doc, body in zip(batch.iloc[:, 0], batch.iloc[:, 1]):
-                ids = np.append(encoder.ids(body), np.uint32(END)).astype("<i4")
-                for piece, (start, length) in enumerate(cuts(len(ids), capacity)):
-                    rows.append((doc, piece, start, length, task, seen[length], ids[start:start + length]))
-                    seen[length] += 1
-                size += len(ids)
-                if size > 500_000:
-                    yield _frame(rows)
-                    rows, size = [], 0
+            rows, parts, size = [], [], 0
+            for at in range(0, batch.num_rows, SLICE):
+                some = batch.slice(at, SLICE)
+                for doc, body in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
+                    ids = encoder.ids(body).view("<i4")
+                    for piece, (start, length) in enumerate(cuts(len(ids) + 1, capacity)):
+                        rows.append((doc, piece, start, length, task, int(seen[length])))
+                        seen[length] += 1
+                    parts += [ids, end]
+                    size += len(ids) + 1
+                    if size > FLUSH_IDS:
+                        yield _batch(rows, parts)
+                        rows, parts, size = [], [], 0
             if rows:
-                yield _frame(rows)
+                yield _batch(rows, parts)
 
     narrow = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return written(narrow.mapInPandas(cut, PIECES), "pieces")
+    return written(narrow.mapInArrow(cut, PIECES), "pieces")
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "task", "place", "ids"])
-    return frame.astype({"doc_id": "Int64"})
+def _batch(rows: list[tuple], parts: list[np.ndarray]) -> pa.RecordBatch:
+    """Pieces of whole documents in order: their ids lie one after the other."""
+    doc, piece, start, length, task, place = zip(*rows)
+    offsets = np.concatenate(([0], np.cumsum(length))).astype(np.int32)
+    ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts)))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int32()),
+         pa.array(task, pa.int32()), pa.array(place, pa.int64()), ids],
+        ["doc_id", "piece", "start", "length", "task", "place", "ids"])
 
 
-@F.pandas_udf(LongType())
-def ids_crc32(ids: pd.Series) -> pd.Series:
+@F.arrow_udf(LongType())
+def ids_crc32(ids: pa.Array) -> pa.Array:
     """crc32 of the ids as unsigned little-endian 32-bit numbers."""
-    return pd.Series([zlib.crc32(np.asarray(x, "<u4").tobytes()) for x in ids], dtype="int64")
+    raw = memoryview(ids.flatten().to_numpy().astype("<i4", copy=False)).cast("B")
+    ends = (4 * np.cumsum(ids.value_lengths().to_numpy())).tolist()
+    return pa.array([zlib.crc32(raw[a:b]) for a, b in zip([0, *ends], ends)], pa.int64())
 
 
 # --- the plan on the histogram ------------------------------------------------------------------
