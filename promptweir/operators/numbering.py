@@ -1,7 +1,9 @@
-"""Running counts that stay parallel when one key holds most of the rows.
+"""Running numbers that stay parallel when one key holds most of the rows.
 
-A plain window over a key sorts all of the key's rows in one task. Here rows are
-numbered inside small blocks, and only block totals meet per key.
+A plain window over a key sorts all of the key's rows in one task. Here rows are dealt into
+ranges of (key, order) of even size, whatever the values of the order columns are: a range's
+place and a row's place in it follow from one sort, and only a total per key and range is summed
+up per key.
 """
 
 from __future__ import annotations
@@ -9,58 +11,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-POSITION_BLOCK = 4096
-DOC_BLOCK = 16384
+from promptweir.session import written
 
 
-def exclusive_sums(
-    totals: DataFrame, key: str, seq: str, inner: list[str], value: str, out: str,
-    seq_block: int = DOC_BLOCK,
-) -> DataFrame:
-    """For every row of ``totals`` the sum of ``value`` over earlier rows of its key.
+def running_number(rows: DataFrame, key: str, order: list[str], out: str) -> DataFrame:
+    """Number the rows of each key by ``order`` from one.
 
-    ``seq`` is a BIGINT order column and ``inner`` orders rows with equal ``seq``. No
-    window sees more than one block of documents, or one row per block.
+    NULL is a key like any other, and NULL order values come last. Rows that are equal in key and
+    order are numbered in any order, each with a number of its own.
     """
-    blocks = totals.withColumn("_seq_block", F.floor(F.col(seq) / seq_block))
-    inside = Window.partitionBy(key, "_seq_block").orderBy(seq, *inner).rowsBetween(
-        Window.unboundedPreceding, -1)
-    across = Window.partitionBy(key).orderBy("_seq_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        blocks.groupBy(key, "_seq_block").agg(F.sum(value).alias("_block_total"))
-        .withColumn("_block_start", F.coalesce(F.sum("_block_total").over(across), F.lit(0)))
-        .select(F.col(key).alias("_k"), F.col("_seq_block").alias("_b"), "_block_start")
-    )
-    return (
-        blocks.join(starts, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_seq_block") == F.col("_b")))
-        .withColumn(out, F.col("_block_start") + F.coalesce(F.sum(value).over(inside), F.lit(0)))
-        .drop("_seq_block", "_k", "_b", "_block_start")
-    )
-
-
-def running_number(
-    rows: DataFrame, key: str, seq: str, pos: str, out: str,
-    counted: DataFrame | None = None,
-    position_block: int = POSITION_BLOCK, seq_block: int = DOC_BLOCK,
-) -> DataFrame:
-    """Number the rows of each key by ``(seq, pos)``, starting at one.
-
-    ``counted`` may be a narrow version of ``rows`` (key, seq, pos only) that is cheaper
-    to compute; block totals are taken from it.
-    """
-    leaf = F.floor(F.col(pos) / position_block)
-    leaves = (
-        (counted if counted is not None else rows)
-        .groupBy(key, seq, leaf.alias("_leaf")).agg(F.count(F.lit(1)).alias("_n"))
-    )
-    starts = exclusive_sums(leaves, key, seq, ["_leaf"], "_n", "_start", seq_block).select(
-        F.col(key).alias("_k2"), F.col(seq).alias("_s2"), F.col("_leaf").alias("_l2"), "_start")
-    within = Window.partitionBy(key, seq, "_leaf").orderBy(pos)
-    numbered = rows.withColumn("_leaf", leaf).withColumn("_i", F.row_number().over(within))
-    return (
-        numbered.join(
-            starts,
-            F.col(key).eqNullSafe(F.col("_k2")) & (F.col(seq) == F.col("_s2")) & (F.col("_leaf") == F.col("_l2")))
-        .withColumn(out, F.col("_start") + F.col("_i"))
-        .drop("_leaf", "_i", "_k2", "_s2", "_l2", "_start")
-    )
+    placed = [F.col(c).asc_nulls_last() for c in (key, *order)]
+    # Plain text and never NULL, so that the join below needs no null-safe form.
+    named = F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit(""))
+    ranged = written(
+        rows.withColumn("_key", named).repartitionByRange(*placed).sortWithinPartitions(*placed)
+        .withColumn("_part", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id()), "ranges")
+    totals = ranged.groupBy("_key", "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
+    earlier = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("_key", "_part", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    return ranged.join(starts, ["_key", "_part"]).withColumn(out, F.col("_place") + F.col("_shift")).drop(
+        "_key", "_part", "_place", "_shift")

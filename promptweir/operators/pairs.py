@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from promptweir.functions import text as tx
 from promptweir.operators import numbering
+from promptweir.session import written
 
 PAIR_COLUMNS = (
     "userId", "query_number", "title", "modelId", "user_query", "user_timestamp",
@@ -101,27 +102,15 @@ def pair_documents(docs: DataFrame) -> DataFrame:
     )
 
 
-def _answered_counts(docs: DataFrame) -> DataFrame:
-    """Answered prompts per document, read from the role field alone."""
-    roles = F.transform("messages", lambda m: m["role"])
-    last = F.coalesce(
-        F.array_max(F.transform(roles, lambda r, i: F.when(has_role(r, "assistant"), i + 1))), F.lit(0))
-    answered = F.size(F.filter(F.slice(roles, F.lit(1), last), lambda r: has_role(r, "user")))
-    return docs.select("userId", "doc_seq", F.greatest(answered, F.lit(0)).alias("_n"))
-
-
-def extract_pairs(docs: DataFrame, seq_block: int = numbering.DOC_BLOCK) -> DataFrame:
+def extract_pairs(docs: DataFrame) -> DataFrame:
     """The 12-column pair table, plus ``doc_seq`` and ``pos``.
 
-    ``query_number`` counts a user's answered prompts across documents. Only a
-    three-column table of per-document counts is ordered per user; each document then
-    receives its start number by an equi-join.
+    ``query_number`` counts a user's answered prompts across documents, by ``doc_seq`` (NULL last),
+    then by document, then by position. Documents are paired inside their row, so only pairs
+    travel to be numbered.
     """
-    starts = numbering.exclusive_sums(
-        _answered_counts(docs), "userId", "doc_seq", [], "_n", "_start", seq_block
-    ).select("doc_seq", "_start")
-    pairs = pair_documents(docs.join(starts, "doc_seq"))
-    return pairs.withColumn("query_number", F.col("_start") + F.col("nth") + 1).select(
+    pairs = pair_documents(docs.withColumn("_doc", F.monotonically_increasing_id()))
+    return numbering.running_number(pairs, "userId", ["doc_seq", "_doc", "pos"], "query_number").select(
         "doc_seq", "pos", *PAIR_COLUMNS)
 
 
@@ -129,12 +118,14 @@ def pair_turns(
     turns: DataFrame, doc: str, pos: str, role: str, answer: Column, block: int = TURN_BLOCK
 ) -> DataFrame:
     """Flat form of the same match: user turns with ``answer`` taken from the nearest
-    later assistant turn of the document, NULL when there is none.
+    later assistant turn of the document, NULL when there is none. An assistant turn without
+    text answers with the empty text. ``pos`` is the place of a turn in its document.
 
     The look-ahead runs inside blocks of ``block`` positions; a turn whose answer lies
     beyond its block takes the first answer of the next block that has one. A document
     of any length is therefore spread over many tasks.
     """
+    answer = F.coalesce(answer, F.lit("")) if turns.select(answer).dtypes[0][1] == "string" else answer
     is_answer = has_role(F.col(role), "assistant")
     cut = turns.withColumn("_block", F.floor(F.col(pos) / block))
     # Descending order turns the look-ahead into a running frame, which Spark
@@ -168,14 +159,39 @@ def split_rejects(pairs: DataFrame, question: str = "user_query", answer: str =
         F.when(empty(question) | empty(answer), "question and answer must be non-empty"))
 
 
+def exact_medians(rows: DataFrame, group: list[str], value: str, out: str) -> DataFrame:
+    """The lower median of a column per group, NULL values left out.
+
+    Values are counted first. Each group's distinct values are cut into ranges, and the
+    running counts of ranges lead to the one value, so no task orders a whole group.
+    """
+    keys = [F.coalesce(F.concat(F.lit("="), F.col(g).cast("string")), F.lit("")).alias(f"_{g}") for g in group]
+    names = [f"_{g}" for g in group]
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
+    placed = [*[F.col(n) for n in names], F.col(value)]
+    ranged = written(counts.select("*", *keys).repartitionByRange(*placed).withColumn("_part", F.spark_partition_id()), "values")
+    totals = ranged.groupBy(*names, "_part").agg(F.sum("_n").alias("_all"))
+    earlier = Window.partitionBy(*names).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    middle = totals.select(
+        *names, "_part", "_all", F.coalesce(F.sum("_all").over(earlier), F.lit(0)).alias("_before"),
+        F.ceil(F.sum("_all").over(Window.partitionBy(*names)) / 2).alias("_want")).where(
+        "_before < _want AND _want <= _before + _all").drop("_all")
+    inside = Window.partitionBy(*names, "_part").orderBy(value)
+    found = ranged.join(middle, [*names, "_part"]).withColumn("_until", F.col("_before") + F.sum("_n").over(inside))
+    return found.where("_until >= _want AND _until - _n < _want").select(*group, F.col(value).alias(out))
+
+
 def usage_report(rows: DataFrame, group: list[str]) -> DataFrame:
     """Token, latency and cost totals per group; partial sums shrink the shuffle."""
-    return rows.groupBy(*group).agg(
+    medians = exact_medians(rows, group, "LatencyMS", "median_latency_ms").select(
+        *[F.col(g).alias(f"_{g}") for g in group], "median_latency_ms")
+    sums = rows.groupBy(*group).agg(
         F.count(F.lit(1)).alias("answers"),
         F.sum("PromptTokens").alias("prompt_tokens"),
         F.sum("CompletionTokens").alias("completion_tokens"),
         F.avg("LatencyMS").alias("mean_latency_ms"),
         F.max("LatencyMS").alias("max_latency_ms"),
-        F.percentile_approx("LatencyMS", 0.5, 10000).alias("median_latency_ms"),
         F.sum("Cost").alias("cost"),
     )
+    same = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in group]
+    return sums.join(medians, same, "left").drop(*[f"_{g}" for g in group])

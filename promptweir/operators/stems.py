@@ -9,7 +9,6 @@ from promptweir.functions import porter
 from promptweir.session import written
 
 SALTS = 16
-SMALL_DICTIONARY = 200_000  # words; below this Spark broadcasts the table by its size
 
 
 def stem_dictionary(words: DataFrame) -> DataFrame:
@@ -32,39 +31,26 @@ def token_words(texts: DataFrame, lists: dict[str, int]) -> DataFrame:
     return words.where(F.col("word").isNotNull())
 
 
-def with_stems(texts: DataFrame, keys: list[str], lists: dict[str, int], dictionary: DataFrame, salts: int | None = None) -> DataFrame:
+def with_stems(texts: DataFrame, keys: list[str], lists: dict[str, int], dictionary: DataFrame, salts: int = SALTS) -> DataFrame:
     """``keys`` with every token list and its stems (``<list>_stems``), in order.
 
     ``lists`` maps a list column to the least length from which its tokens are stemmed.
-    A frequent word may make up much of all tokens. When the dictionary is too large to
-    be broadcast, its occurrences are spread over ``salts`` copies of its entry, so no task
-    receives them all.
+    ``keys`` identify a text. Only the distinct words of a text that are long enough travel,
+    once each; they come back as one map per text. A frequent word occurs in many texts: they are
+    spread over ``salts`` copies of its dictionary entry, so no task receives them all.
     """
-    if salts is None:
-        salts = 1 if dictionary.count() <= SMALL_DICTIONARY else SALTS
     salted = dictionary.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    entries = F.concat(*[_entries(c, least) for c, least in lists.items()])
-    placed = texts.select(*keys, F.explode_outer(entries).alias("e")).select(*keys, "e.*").withColumn(
-        "salt", F.pmod("pos", F.lit(salts)))
-    joined = placed.join(salted, [F.when(F.col("looked_up"), placed["token"]) == salted["word"],
-                                  placed["salt"] == salted["salt"]], "left")
-    gathered = joined.groupBy(*keys).agg(*[
-        F.array_sort(F.collect_list(F.when(F.col("list") == c, F.struct(
-            "pos", "token", F.coalesce("stem", "token").alias("stem"))))).alias(c) for c in lists])
-    return gathered.select(*keys, *[
-        _field(c, field).alias(name)
-        for c in lists for field, name in (("token", c), ("stem", f"{c}_stems"))])
-
-
-def _field(structs: str, field: str):
-    return F.transform(structs, lambda x: x[field])
+    long = [_longer(c, least) for c, least in lists.items()]
+    words = texts.select(*keys, F.explode_outer(F.array_distinct(F.concat(*long))).alias("word")).where("word IS NOT NULL")
+    found = words.withColumn("salt", F.pmod(F.xxhash64(*keys), F.lit(salts))).join(salted, ["word", "salt"])
+    maps = found.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(
+        F.map_from_entries(F.collect_list(F.struct("word", "stem"))).alias("_stems"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    stemmed = lambda c, least: F.transform(c, lambda w: F.when(
+        F.char_length(w) >= least, F.coalesce(F.element_at("_stems", w), w)).otherwise(w)).alias(f"{c}_stems")
+    joined = texts.select(*keys, *lists).join(maps, same, "left")
+    return joined.select(*keys, *[column for c, least in lists.items() for column in (F.col(c), stemmed(c, least))])
 
 
 def _longer(tokens: str, least: int):
     return F.filter(tokens, lambda w: F.char_length(w) >= least)
-
-
-def _entries(tokens: str, least: int):
-    return F.transform(tokens, lambda w, i: F.struct(
-        F.lit(tokens).alias("list"), i.alias("pos"), w.alias("token"),
-        (F.char_length(w) >= least).alias("looked_up")))

@@ -97,5 +97,5 @@ SELECT origin, count(*) AS terms, count(*) FILTER (n_words > 1) AS multi_word FR
     "lexicon_top": f"WITH {_BASE} SELECT * FROM lexicon ORDER BY term LIMIT 20",
     "expand_by_join": f"WITH {DOCUMENT_PROMPTS}, {NORMALIZED} SELECT prompt_id, normalized_query FROM normalized",
     "terms_by_join": f"""WITH {DOCUMENT_PROMPTS}, {NORMALIZED}, {TERMS_SQL}
-SELECT prompt_id, key_terms FROM terms WHERE n_terms > 0""",
+SELECT prompt_id, key_terms FROM terms""",
 }

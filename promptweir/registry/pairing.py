@@ -79,7 +79,7 @@ def pair_extract(spark, sf_dir):
 
 
 def _numbered(docs):
-    return pairs.extract_pairs(docs, seq_block=256).withColumn("pos", F.col("pos").cast("bigint"))
+    return pairs.extract_pairs(docs).withColumn("pos", F.col("pos").cast("bigint"))
 
 
 def pair_numbering(spark, sf_dir):
@@ -125,8 +125,7 @@ def thread_pairs(spark, sf_dir):
 def thread_numbering(spark, sf_dir):
     matched = pairs.pair_turns(_threads(spark, sf_dir), "thread", "pos", "role", F.lit(True), block=4).where("answer")
     return numbering.running_number(
-        matched.select("user_id", "thread", "pos"), "user_id", "thread", "pos", "query_number",
-        position_block=4, seq_block=8)
+        matched.select("user_id", "thread", "pos"), "user_id", ["thread", "pos"], "query_number")
 
 
 _THREADS = """

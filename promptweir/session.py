@@ -18,30 +18,38 @@ def local_session(cpus: int = 8, partitions: int = 8) -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
+        .config("spark.promptweir.spread", str(cpus))  # small test tables are one partition
         .getOrCreate()
     )
 
 
-def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh sub-folder of the cluster's shared checkpoint folder.
-
-    Only a local master may fall back to a folder of this machine.
-    """
+def _application_dir(spark: SparkSession) -> str:
+    """This application's folder in the cluster's shared checkpoint folder, deleted when it ends."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        base = tempfile.mkdtemp(prefix="promptweir-")
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+        base = tempfile.gettempdir()  # one machine: its own folder is the shared one
+    folder = f"{base.rstrip('/')}/promptweir-{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return folder
 
 
-def spread(frame: DataFrame) -> DataFrame:
-    """Deal a small scan out to all cores before costly expressions.
+def shared_dir(spark: SparkSession, purpose: str) -> str:
+    """A fresh name in the application's shared folder.
 
-    A scan that already has a partition for every core, as any large one, is left alone.
+    Only a local master may do without ``spark.checkpoint.dir``.
     """
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
+    return f"{_application_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
+def spread(frame: DataFrame, partitions: int | None) -> DataFrame:
+    """Deals a frame out to ``partitions`` before costly expressions, if the caller wants it."""
+    return frame.repartition(partitions) if partitions else frame
 
 
 def written(frame: DataFrame, purpose: str) -> DataFrame:

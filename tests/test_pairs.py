@@ -3,6 +3,7 @@
 import json
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from promptweir.operators import numbering, pairs
 from promptweir.sources import chats
@@ -51,7 +52,7 @@ def test_json_array_to_pairs(spark, tmp_path):
     (tmp_path / "chats.json").write_text(json.dumps(DOCS))
     docs = chats.read_chats(spark, str(tmp_path / "chats.json"))
     assert got(pairs.extract_pairs(docs)) == brute(DOCS)
-    assert got(pairs.extract_pairs(docs.repartition(5), seq_block=2)) == brute(DOCS)
+    assert got(pairs.extract_pairs(docs.repartition(5))) == brute(DOCS)
 
 
 def test_json_lines_and_csv_round_trip(spark, tmp_path):
@@ -84,7 +85,7 @@ def test_one_user_holds_most_rows(spark):
     rows = spark.range(6000).select(
         F.when(F.col("id") % 10 < 9, "hot").otherwise(F.lit(None)).alias("user"),
         F.floor(F.col("id") / 37).alias("doc"), F.col("id").alias("pos"))
-    numbered = numbering.running_number(rows, "user", "doc", "pos", "n", position_block=16, seq_block=8)
+    numbered = numbering.running_number(rows, "user", ["doc", "pos"], "n")
     by_user = {}
     for r in sorted(numbered.collect(), key=lambda r: (r.doc, r.pos)):
         by_user.setdefault(r.user, []).append(r.n)
@@ -92,6 +93,37 @@ def test_one_user_holds_most_rows(spark):
     assert all(ns == list(range(1, len(ns) + 1)) for ns in by_user.values())
 
 
+def test_sparse_keys_of_one_user(spark):
+    rows = spark.range(5000).select(F.lit("hot").alias("user"), (F.col("id") * 987_654_321).alias("ms"))
+    got = numbering.running_number(rows.repartition(7), "user", ["ms"], "n").collect()
+    assert all(r.n == r.ms // 987_654_321 + 1 for r in got) and len(got) == 5000
+
+
+def test_equal_and_missing_document_keys(spark):
+    chat = lambda text: [("user", text, None, None), ("assistant", "a " + text, None, None)]
+    docs = spark.createDataFrame(
+        [("u", "t", "m", chat("late"), None), ("u", "t", "m", chat("x"), 5), ("u", "t", "m", chat("y"), 5), ("u", "t", "m", chat("first"), 0)],
+        T.StructType([*chats.CHAT.fields, T.StructField("doc_seq", T.LongType())]))
+    rows = {r.user_query: r.query_number for r in pairs.extract_pairs(docs).collect()}
+    assert rows["first"] == 1 and rows["late"] == 4 and {rows["x"], rows["y"]} == {2, 3}
+
+
+def test_answer_without_text_is_the_answer(spark):
+    turns = spark.createDataFrame(
+        [(1, 0, "user", "q"), (1, 1, "assistant", None), (1, 2, "assistant", "later")], "doc int, pos int, role string, text string")
+    assert [r.answer for r in pairs.pair_turns(turns, "doc", "pos", "role", F.col("text")).collect()] == [""]
+
+
+def test_medians_are_exact(spark):
+    rows = spark.range(200_001).select(
+        F.when(F.col("id") % 3 == 0, "a").alias("g"), (F.col("id") * 7919 % 200_003).cast("double").alias("v"))
+    got = {r.g: r.m for r in pairs.exact_medians(rows, ["g"], "v", "m").collect()}
+    values = {"a": [], None: []}
+    for i in range(200_001):
+        values["a" if i % 3 == 0 else None].append(float(i * 7919 % 200_003))
+    assert got == {g: sorted(v)[(len(v) - 1) // 2] for g, v in values.items()}
+
+
 def test_rejects_and_usage(spark):
     frame = spark.createDataFrame([("q", "a"), ("", "a"), ("q", None)], "user_query string, LLM_answer string")
     assert [r.reject_reason is None for r in pairs.split_rejects(frame).collect()] == [True, False, False]

@@ -90,7 +90,16 @@ def test_join_forms_equal_literal_forms(spark):
         assert row.normalized_query == literal[row.prompt_id].normalized_query
     hits = {r.prompt_id: r.key_terms for r in lexicon.terms_by_join(joined, terms).collect()}
     for key, row in literal.items():
-        assert hits.get(key, []) == row.key_terms
+        assert hits[key] == row.key_terms
+
+
+def test_terms_of_long_texts(spark):
+    words = " ".join(["machine", "learning", "xmachine", "py", "graph"] * 4000)
+    frame = spark.createDataFrame([(i, words) for i in range(8)] + [(9, "no hit here"), (10, None)], "prompt_id int, normalized_query string")
+    terms = lexicon.build_lexicon(lexicons.abbreviation_frame(spark), lexicons.term_frame(spark))
+    rows = {r.prompt_id: r.key_terms for r in lexicon.terms_by_join(frame, terms).collect()}
+    assert len(rows) == 10 and rows[9] == rows[10] == []
+    assert all("machine learning" in rows[i] for i in range(8))
 
 
 def test_partitioning_does_not_matter(spark):
