@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from promptweir.sources.lexicons import (
@@ -110,5 +110,8 @@ def with_model_table(df: DataFrame, models: DataFrame, default: str = DEFAULT_MO
 
 
 def category_report(routed: DataFrame, group: list[str]) -> DataFrame:
-    return routed.groupBy(*group).agg(
+    """Prompts, mean confidence and share of all prompts per group."""
+    groups = routed.groupBy(*group).agg(
         F.count(F.lit(1)).alias("prompts"), F.avg("confidence").alias("mean_confidence"))
+    total = F.sum("prompts").over(Window.partitionBy())  # one row per group, not per prompt
+    return groups.withColumn("share", F.col("prompts") / total)

@@ -61,10 +61,16 @@ def score_table(
     to the ``candidate_text_id`` and ``ref_text_id`` columns of the inputs. Without them
     the metric is NULL.
     """
+    unknown = sorted(set(metrics) - set(METRICS))
+    if unknown:
+        raise ValueError(f"unknown metrics {unknown}; there are {list(METRICS)}")
     pairs = pair_table(candidates, references)
-    scores = pairs.select(*KEYS, *(
-        [edit.edit_similarity(F.col("candidate"), F.col("ref_text")).alias("edit_sim")]
-        if "edit_sim" in metrics else []))
+    # A repeated pair would multiply in every join below, so it ends the job.
+    once = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("repeated (candidate_id, model_id)"))).otherwise(True)
+    scores = pairs.groupBy(*KEYS).agg(
+        once.cast("boolean").alias("_once"),
+        *([F.first(edit.edit_similarity(F.col("candidate"), F.col("ref_text"))).alias("edit_sim")]
+          if "edit_sim" in metrics else [])).where("_once")
 
     if "bleu" in metrics:
         scores = scores.join(bleu.sentence_bleu(bleu_token_pairs(candidates, references), KEYS, "c_tokens", "r_tokens"), KEYS)

@@ -264,7 +264,7 @@ def system_prompts(spark, sf_dir):
 
 def category_report(spark, sf_dir):
     report = ensemble.category_report(_routed(spark, sf_dir), ["category", "method", "model"])
-    return report.withColumn("mean_confidence", F.round("mean_confidence", 6))
+    return report.withColumn("mean_confidence", F.round("mean_confidence", 6)).withColumn("share", F.round("share", 9))
 
 
 # --- end to end ------------------------------------------------------------------------
@@ -356,7 +356,8 @@ SELECT prompt_id, category, CASE WHEN confidence >= 0.6 THEN coalesce(m.model, {
   ELSE {q(DEFAULT_MODEL)} END AS model FROM routed r LEFT JOIN models m USING (category)""",
     "system_prompts": f"{_ENSEMBLE} SELECT prompt_id, system_text FROM systems",
     "category_report": f"""{_ENSEMBLE}
-SELECT category, method, model, count(*) AS prompts, round(avg(confidence), 6) AS mean_confidence
+SELECT category, method, model, count(*) AS prompts, round(avg(confidence), 6) AS mean_confidence,
+  round(count(*) / CAST(sum(count(*)) OVER () AS DOUBLE), 9) AS share
 FROM routed GROUP BY ALL""",
     "route_end_to_end": f"""{_ENSEMBLE}, {_RESPONSES}, {light_sql('responses')}
 SELECT r.prompt_id, complexity_level, response_format, model, s.response, parse_status AS judge_status, score, is_correct,

@@ -15,15 +15,30 @@ from promptweir.registry.stem_sql import stems_sql
 from promptweir.registry.verdict_sql import strict_judge_sql
 from promptweir.sources.lexicons import DEFAULT_MODEL, REFERENCE_MODELS
 
-TEXT_METRICS = ("bleu", "rouge", "edit_sim", "meteor")
+METRICS = plan.METRICS
 _SAMPLE, _SEED = 5, 23
 
 
+def _text_ids(spark, sf_dir):
+    """Recorded vectors stand for texts: a run of eight for the tokens of a text, and the vector
+    with the number of the text for the whole of it."""
+    return table(spark, sf_dir, "embeddings").agg(F.floor(F.count(F.lit(1)) / 8)).scalar()
+
+
+def _vectors(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return {
+        "sentence_vectors": vectors.select(F.col("vec_id").alias("text_id"), "embedding"),
+        "token_vectors": vectors.select(
+            F.floor(F.col("vec_id") / 8).alias("text_id"), (F.col("vec_id") % 8).alias("pos"), "embedding")}
+
+
 def _candidates(spark, sf_dir):
     """Assistant turns as candidate answers, each to its own question."""
     turns = texts(spark, sf_dir, "conversations").where("role = 'assistant'")
     key = F.col("conv_id") * 1000 + F.col("turn")
-    return turns.select(key.alias("candidate_id"), key.alias("question_id"), F.col("text").alias("candidate"))
+    return turns.select(key.alias("candidate_id"), key.alias("question_id"), F.col("text").alias("candidate"),
+                        F.pmod(key, _text_ids(spark, sf_dir)).alias("candidate_text_id"))
 
 
 def _references(spark, sf_dir):
@@ -40,7 +55,8 @@ def _references(spark, sf_dir):
                            F.lower(F.regexp_replace("text", "[,.]", "")).alias("ref_text"))
     asked = turns.where("role = 'user'").select(
         (key + 1).alias("question_id"), F.lit("question").alias("model_id"), F.col("text").alias("ref_text"))
-    return drawn.unionByName(plain).unionByName(asked)
+    place = F.col("question_id") * 3 + F.when(F.col("model_id") == "bench", 1).when(F.col("model_id") == "plain", 2).otherwise(3)
+    return drawn.unionByName(plain).unionByName(asked).withColumn("ref_text_id", F.pmod(place, _text_ids(spark, sf_dir)))
 
 
 _INPUT = """
@@ -54,6 +70,25 @@ refs AS (
 pairs AS (
   SELECT candidate_id, model_id, candidate, ref_text FROM candidates JOIN refs ON question_id = candidate_id)"""
 
+VECTOR_SQL = """
+v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, (SELECT count(*) // 8 FROM embeddings) AS n FROM embeddings),
+ids AS (
+  SELECT candidate_id, model_id, candidate_id % n AS ct,
+    (candidate_id * 3 + CASE model_id WHEN 'bench' THEN 1 WHEN 'plain' THEN 2 ELSE 3 END) % n AS rt
+  FROM pairs, (SELECT max(n) AS n FROM v)),
+sberts AS (
+  SELECT candidate_id, model_id, list_cosine_similarity(a.e, b.e) AS sbert
+  FROM ids JOIN v a ON a.vec_id = ct JOIN v b ON b.vec_id = rt),
+sims AS (
+  SELECT candidate_id, model_id, a.vec_id AS i, b.vec_id AS j, list_cosine_similarity(a.e, b.e) AS s
+  FROM ids JOIN v a ON a.vec_id // 8 = ct JOIN v b ON b.vec_id // 8 = rt),
+berts AS (
+  SELECT candidate_id, model_id, 2 * p * r / (p + r) AS bertscore FROM
+    (SELECT candidate_id, model_id, avg(s) AS p FROM (
+      SELECT candidate_id, model_id, i, max(s) AS s FROM sims GROUP BY ALL) GROUP BY ALL)
+    JOIN (SELECT candidate_id, model_id, avg(s) AS r FROM (
+      SELECT candidate_id, model_id, j, max(s) AS s FROM sims GROUP BY ALL) GROUP BY ALL) USING (candidate_id, model_id))"""
+
 
 def edit_similarity(spark, sf_dir):
     pairs = plan.pair_table(_candidates(spark, sf_dir), _references(spark, sf_dir))
@@ -218,8 +253,8 @@ def token_match_f1(spark, sf_dir):
     return scored.select("text_id", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
 
 
-def _text_scores(spark, sf_dir):
-    return plan.score_table(_candidates(spark, sf_dir), _references(spark, sf_dir), metrics=TEXT_METRICS)
+def _scores(spark, sf_dir):
+    return plan.score_table(_candidates(spark, sf_dir), _references(spark, sf_dir), **_vectors(spark, sf_dir))
 
 
 def _rounded(df, names):
@@ -227,22 +262,22 @@ def _rounded(df, names):
 
 
 def score_table(spark, sf_dir):
-    return _rounded(_text_scores(spark, sf_dir), TEXT_METRICS)
+    return _rounded(_scores(spark, sf_dir), METRICS)
 
 
 def score_averages(spark, sf_dir):
-    done = plan.averages(_candidates(spark, sf_dir), _text_scores(spark, sf_dir), TEXT_METRICS)
-    return _rounded(done, TEXT_METRICS)
+    done = plan.averages(_candidates(spark, sf_dir), _scores(spark, sf_dir), METRICS)
+    return _rounded(done, METRICS)
 
 
 def model_leaderboard(spark, sf_dir):
-    return _rounded(plan.leaderboard(_text_scores(spark, sf_dir), TEXT_METRICS), TEXT_METRICS)
+    return _rounded(plan.leaderboard(_scores(spark, sf_dir), METRICS), METRICS)
 
 
 def sample_eval(spark, sf_dir):
     done = plan.sampled_scores(
-        _candidates(spark, sf_dir), _references(spark, sf_dir), _SAMPLE, _SEED, metrics=TEXT_METRICS)
-    return _rounded(done, TEXT_METRICS)
+        _candidates(spark, sf_dir), _references(spark, sf_dir), _SAMPLE, _SEED, **_vectors(spark, sf_dir))
+    return _rounded(done, METRICS)
 
 
 def _qa(spark, sf_dir):
@@ -293,17 +328,18 @@ QUERIES = {
     "evaluation_requests": evaluation_requests,
 }
 
-_SCORES = f"""WITH RECURSIVE {_INPUT}, {EDIT_SQL}, {BLEU_SQL}, {ROUGE_SQL}, {METEOR_SQL},
+_SCORES = f"""WITH RECURSIVE {_INPUT}, {EDIT_SQL}, {BLEU_SQL}, {ROUGE_SQL}, {METEOR_SQL}, {VECTOR_SQL},
 scores AS (
-  SELECT candidate_id, model_id, bleu, rouge, edit_sim, meteor FROM edits JOIN bleus USING (candidate_id, model_id)
-    JOIN rouges USING (candidate_id, model_id) JOIN meteors USING (candidate_id, model_id))"""
+  SELECT candidate_id, model_id, bleu, sbert, rouge, bertscore, edit_sim, meteor FROM edits JOIN bleus USING (candidate_id, model_id)
+    JOIN rouges USING (candidate_id, model_id) JOIN meteors USING (candidate_id, model_id)
+    LEFT JOIN sberts USING (candidate_id, model_id) LEFT JOIN berts USING (candidate_id, model_id))"""
 _SAMPLED = _INPUT.replace(
     "candidates AS (\n  SELECT conv_id * 1000 + turn AS candidate_id, text AS candidate FROM conversations WHERE role = 'assistant')",
     f"""candidates AS (
   SELECT conv_id * 1000 + turn AS candidate_id, text AS candidate FROM conversations WHERE role = 'assistant'
   ORDER BY md5('{_SEED}|' || (conv_id * 1000 + turn)), 1 LIMIT {_SAMPLE})""")
-_ROUNDED = ", ".join(f"round({m}, 9) AS {m}" for m in TEXT_METRICS)
-_MEANS = ", ".join(f"round(coalesce(avg({m}), 0), 9) AS {m}" for m in TEXT_METRICS)
+_ROUNDED = ", ".join(f"round({m}, 9) AS {m}" for m in METRICS)
+_MEANS = ", ".join(f"round(coalesce(avg({m}), 0), 9) AS {m}" for m in METRICS)
 _QA_SQL = f"""qa AS (
   SELECT a.conv_id * 1000 + a.turn AS pair_id, u.text AS user_query, a.text AS answer
   FROM conversations a JOIN conversations u ON u.conv_id = a.conv_id AND u.turn = a.turn - 1
