@@ -50,6 +50,11 @@ def _rescued_category(name: Column) -> Column:
     return chain.otherwise(UNKNOWN_VERDICT_CATEGORY)
 
 
+def _number(text: Column) -> Column:
+    """The number a text spells; a cast alone would also take a type suffix such as ``0.9d``."""
+    return F.when(~text.rlike("[dDfF]$") | text.rlike("(?i)^[+-]?inf$"), text.try_cast("double"))
+
+
 def classifier_verdicts(responses: DataFrame, raw: str = "raw", query: str = "query") -> DataFrame:
     """Adds verdict_category, verdict_confidence and parse_status.
 
@@ -75,7 +80,7 @@ def classifier_verdicts(responses: DataFrame, raw: str = "raw", query: str = "qu
         .withColumn("_cat", F.upper(F.coalesce(sj.get(v, "category", "string"), F.lit(""))))
         .withColumn("_conf", F.when(F.col("_fkind").isNull(), F.lit(0.7))
                     .when(F.col("_fkind") == "BOOLEAN", sj.get(v, "confidence", "boolean").cast("double"))
-                    .otherwise(tx.strip(sj.get(v, "confidence", "string")).try_cast("double")))
+                    .otherwise(_number(tx.strip(sj.get(v, "confidence", "string")))))
         .withColumn("_rname", F.upper(F.regexp_extract("_text", rf'(?iU)"category":{tx.SPACE}*"([^"]+)"', 1)))
         .withColumn("_rtext", F.regexp_extract("_text", rf'(?U)"confidence":{tx.SPACE}*([0-9.]+)', 1))
     )

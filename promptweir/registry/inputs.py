@@ -150,6 +150,7 @@ VERDICT_FORMS: tuple[str, ...] = (
     '{"Category": "x", "category": "legal BUSINESS", "confidence": F,} R',
     '{"category": "C", "reasoning": "T"} trailing',
     '{"category": "C" "confidence": 1.2.3} R',
+    '{"category": "C", "confidence": "0.9d"}',
     '[1, 2] R',
     '[1, 2]',
     '{"category": "C", "confidence": "high", "reasoning": "T"}',

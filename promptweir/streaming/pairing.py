@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
+from promptweir.operators.pairs import content_text
+
 WAITING_STATE = "pos bigint, content string, user_id string, ts_ms bigint"
 PAIR_SCHEMA = (
     "conv_id string, pos bigint, user_id string, user_query string, user_ts timestamp, "
@@ -43,6 +45,7 @@ class PairTurns(StatefulProcessor):
         self.handle = handle
         self.turns = handle.getMapState("turns", "ts_ms bigint", "rows string")
         self.waiting = handle.getListState("waiting", WAITING_STATE)
+        self.oldest = handle.getValueState("oldest", "ms bigint")  # time of the first waiting turn
 
     def handleInputRows(self, key, rows, timerValues):
         for batch in rows:
@@ -59,19 +62,23 @@ class PairTurns(StatefulProcessor):
         now = expiredTimerInfo.getExpiryTimeInMs()
         pairs = []
         if self.turns.containsKey((now,)):
-            for pos, role, content, user in sorted(json.loads(self.turns.getValue((now,))[0])):
+            at_once = json.loads(self.turns.getValue((now,))[0])
+            for pos, role, content, user in sorted(at_once, key=lambda t: (*t[:3], t[3] or "")):
                 if role == "user":
                     self.waiting.appendValue((pos, content, user, now))
+                    if not self.oldest.exists():
+                        self.oldest.update((now,))
                     self.handle.registerTimer(now + self.timeout_ms)
                 else:
                     pairs += [(key[0], p, u, c, _time(t), content, pos, _time(now))
                               for p, c, u, t in self.waiting.get()]
                     self.waiting.clear()
+                    self.oldest.clear()
             self.turns.removeKey((now,))
-        old = list(self.waiting.get())
-        fresh = [tuple(w) for w in old if w[3] + self.timeout_ms > now]
-        if len(fresh) < len(old):
+        if self.oldest.exists() and self.oldest.get()[0] + self.timeout_ms <= now:
+            fresh = [tuple(w) for w in self.waiting.get() if w[3] + self.timeout_ms > now]
             self.waiting.put(fresh) if fresh else self.waiting.clear()
+            self.oldest.update((fresh[0][3],)) if fresh else self.oldest.clear()
         return iter([pd.DataFrame(pairs, columns=PAIR_NAMES)] if pairs else [])
 
     def close(self) -> None:
@@ -81,8 +88,9 @@ class PairTurns(StatefulProcessor):
 class NumberPairs(StatefulProcessor):
     """Running count of a user's answered prompts.
 
-    A chunk of arriving rows is numbered in order of its answers, chunk after chunk, so
-    a busy user needs no more memory than any other.
+    The pairs of a trigger are numbered in order of their answers, however Arrow cuts them; earlier
+    triggers hold earlier answers, as pairs wait for the watermark. A task holds what one trigger
+    brings of one user, which the limits of the source bound.
     """
 
     def init(self, handle) -> None:
@@ -90,24 +98,27 @@ class NumberPairs(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         seen = self.count.get()[0] if self.count.exists() else 0
-        for chunk in rows:
-            chunk = chunk.sort_values(["answer_ts", "conv_id", "pos"])
-            chunk["query_number"] = range(seen + 1, seen + 1 + len(chunk))
-            seen += len(chunk)
-            self.count.update((seen,))
-            yield chunk[NUMBERED_NAMES]
+        arrived = pd.concat(list(rows)).sort_values(["answer_ts", "conv_id", "pos"], kind="stable")
+        arrived["query_number"] = range(seen + 1, seen + 1 + len(arrived))
+        self.count.update((seen + len(arrived),))
+        yield arrived[NUMBERED_NAMES]
 
     def close(self) -> None:
         pass
 
 
 def pair_stream(turns: DataFrame, lateness: str, timeout_ms: int) -> DataFrame:
-    """Pairs of a turn stream (conv_id, pos, role, content, user_id, ts)."""
+    """Pairs of a turn stream (conv_id, pos, role, content, user_id, ts).
+
+    Content is stripped and never NULL, as in the batch form; a turn without a position comes
+    before the others of its instant; a turn without a time cannot be placed and is left out.
+    """
     kept = (
         turns.withWatermark("ts", lateness)
         .withColumn("role", F.lower("role")).where(F.col("role").isin("user", "assistant"))
-        .select(F.col("conv_id").cast("string").alias("conv_id"), "pos", "role", "content",
-                "user_id", "ts", F.unix_millis("ts").alias("ts_ms"))
+        .where("ts IS NOT NULL")
+        .select(F.col("conv_id").cast("string").alias("conv_id"), F.coalesce("pos", F.lit(-1)).cast("bigint").alias("pos"), "role",
+                content_text(F.col("content")).alias("content"), "user_id", "ts", F.unix_millis("ts").alias("ts_ms"))
     )
     return kept.groupBy("conv_id").transformWithStateInPandas(
         statefulProcessor=PairTurns(timeout_ms), outputStructType=PAIR_SCHEMA, outputMode="Append",
