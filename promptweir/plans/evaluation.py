@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from promptweir.functions import vectors as vec
-from promptweir.operators import bleu, edit, meteor, rouge, sampling, stems, token_match
+from promptweir.operators import bleu, edit, meteor, pairs as pairing, requests, rouge, sampling, stems, token_match, verdicts
 from promptweir.session import written
+from promptweir.sources.chats import join_responses
+from promptweir.sources.lexicons import REFERENCE_MODELS
 
 METRICS = ("bleu", "sbert", "rouge", "bertscore", "edit_sim", "meteor")
 KEYS = ["candidate_id", "model_id"]
@@ -131,3 +133,34 @@ def sampled_scores(candidates: DataFrame, references: DataFrame, n: int, seed: i
     sample = written(sampling.sample_rows(candidates, n, seed, ["candidate_id"]), "sample")
     wanted = references.join(sample.select("question_id").distinct(), "question_id", "left_semi")
     return score_table(sample, wanted, **options)
+
+
+def evaluate_responses(
+    pairs: DataFrame, responses: DataFrame, key: str, question: str = "user_query", answer: str = "LLM_answer",
+    reference_models: tuple[str, ...] = REFERENCE_MODELS, **options,
+) -> DataFrame:
+    """From question and answer rows and recorded raw responses to scores.
+
+    Rows with an empty text are set aside with their reason. Every other row asks each
+    reference model once; the raw response found under the request's id is cleaned and becomes
+    a reference of the row. Returns ``key``, model_id, the metrics and reject_reason; a rejected
+    row has neither model nor metrics, a request without response has no row.
+    responses: request_id, raw.
+    """
+    judged = pairing.split_rejects(pairs, question, answer)
+    accepted = judged.where("reject_reason IS NULL")
+    asked = requests.evaluation_requests(accepted, key, question, answer, reference_models=reference_models).where(
+        "kind = 'reference'").select(
+        "request_id", F.col("model").alias("model_id"), F.split("request_id", ":").getItem(1).alias("_key"))
+    replies = join_responses(asked, responses.select("request_id", "raw")).where("raw IS NOT NULL")
+    number = accepted.schema[key].dataType
+    references = replies.select(
+        F.col("_key").cast(number).alias("question_id"), "model_id", verdicts.clean_answer(F.col("raw")).alias("ref_text"))
+    candidates = accepted.select(
+        F.col(key).alias("candidate_id"), F.col(key).alias("question_id"), F.col(answer).alias("candidate"))
+    scores = score_table(candidates, references, **options)
+    names = [c for c in scores.columns if c not in KEYS]
+    done = scores.select(F.col("candidate_id").alias(key), "model_id", *names, F.lit(None).cast("string").alias("reject_reason"))
+    rejected = judged.where("reject_reason IS NOT NULL").select(
+        key, F.lit(None).cast("string").alias("model_id"), *[F.lit(None).cast("double").alias(m) for m in names], "reject_reason")
+    return done.unionByName(rejected)

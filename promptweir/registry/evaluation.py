@@ -8,11 +8,11 @@ from promptweir.operators import bleu, edit, meteor, requests, rouge, sampling,
 from promptweir.plans import evaluation as plan
 from promptweir.functions import porter
 from promptweir.registry.inputs import (
-    JUDGE_FORMS, escaped, fill, pick, q, sql_escaped, sql_fill, sql_pick, table, texts,
+    ANSWER_FORMS, JUDGE_FORMS, escaped, fill, pick, q, sql_escaped, sql_fill, sql_pick, table, texts,
 )
 from promptweir.registry.prompts import _WORD_LIST
 from promptweir.registry.stem_sql import stems_sql
-from promptweir.registry.verdict_sql import strict_judge_sql
+from promptweir.registry.verdict_sql import clean_answer_sql, strict_judge_sql
 from promptweir.sources.lexicons import DEFAULT_MODEL, REFERENCE_MODELS
 
 METRICS = plan.METRICS
@@ -312,7 +312,25 @@ def evaluation_requests(spark, sf_dir):
     return requests.evaluation_requests(_qa(spark, sf_dir), "pair_id")
 
 
+_TEXT_METRICS = ("bleu", "rouge", "edit_sim", "meteor")
+
+
+def evaluate_responses(spark, sf_dir):
+    """Some answers are empty, some requests have no recorded response, and every recorded
+    response has one of the raw forms."""
+    key = F.col("pair_id")
+    pairs = _qa(spark, sf_dir).withColumn("LLM_answer", F.when(key % 10 == 3, "").otherwise(F.col("LLM_answer")))
+    said = [F.col("LLM_answer"), F.col("user_query"), F.lower("LLM_answer")]
+    each = F.array(*[F.struct(F.lit(m).alias("model"), said[i % 3].alias("said")) for i, m in enumerate(REFERENCE_MODELS)])
+    responses = pairs.where(key % 7 != 5).select("pair_id", F.inline_outer(each)).select(
+        F.concat(F.lit("reference:"), key.cast("string"), F.lit(":"), F.col("model")).alias("request_id"),
+        fill(ANSWER_FORMS, key, {"R": F.col("said")}).alias("raw"))
+    done = plan.evaluate_responses(pairs, responses, "pair_id", metrics=_TEXT_METRICS)
+    return _rounded(done, _TEXT_METRICS)
+
+
 QUERIES = {
+    "evaluate_responses": evaluate_responses,
     "edit_similarity": edit_similarity,
     "bleu_pairs": bleu_pairs,
     "bleu_corpus": bleu_corpus,
@@ -348,7 +366,23 @@ _REQUEST = lambda kind, model, system, user, temperature, tokens: (
     f"SELECT '{kind}:' || pair_id || ':' || {q(model)} AS request_id, '{kind}' AS kind, {q(model)} AS model, "
     f"{system} AS system_text, {user} AS user_text, {temperature}::DOUBLE AS temperature, {tokens} AS max_tokens FROM qa")
 
+_MODELS_SQL = ", ".join(f"({i % 3}, {q(m)})" for i, m in enumerate(REFERENCE_MODELS))
 ORACLES = {
+    "evaluate_responses": f"""WITH RECURSIVE {_QA_SQL},
+asked AS (SELECT pair_id, user_query, CASE WHEN pair_id % 10 = 3 THEN '' ELSE answer END AS answer FROM qa),
+said AS (
+  SELECT pair_id, answer, model, CASE i WHEN 0 THEN answer WHEN 1 THEN user_query ELSE lower(answer) END AS said
+  FROM asked, (VALUES {_MODELS_SQL}) m(i, model) WHERE pair_id % 7 <> 5 AND answer <> '' AND user_query <> ''),
+recorded AS (SELECT *, {sql_fill(ANSWER_FORMS, 'pair_id', {'R': 'said'})} AS raw FROM said),
+pairs AS (
+  SELECT pair_id AS candidate_id, model AS model_id, answer AS candidate, {clean_answer_sql('raw')} AS ref_text FROM recorded),
+{EDIT_SQL}, {BLEU_SQL}, {ROUGE_SQL}, {METEOR_SQL}
+SELECT candidate_id AS pair_id, model_id, round(bleu, 9) AS bleu, round(rouge, 9) AS rouge, round(edit_sim, 9) AS edit_sim,
+  round(meteor, 9) AS meteor, NULL::VARCHAR AS reject_reason
+FROM edits JOIN bleus USING (candidate_id, model_id) JOIN rouges USING (candidate_id, model_id)
+  JOIN meteors USING (candidate_id, model_id)
+UNION ALL SELECT pair_id, NULL, NULL, NULL, NULL, NULL, 'question and answer must be non-empty' FROM asked
+WHERE answer = '' OR user_query = ''""",
     "edit_similarity": f"""WITH {_INPUT}, {EDIT_SQL}
 SELECT candidate_id, model_id, round(edit_sim, 9) AS edit_sim FROM edits""",
     "bleu_pairs": f"WITH {_INPUT}, {BLEU_SQL} SELECT candidate_id, model_id, round(bleu, 9) AS bleu FROM bleus",
