@@ -29,3 +29,9 @@ def finite_vector(vector: Column) -> Column:
 
 def parts(rows: int, per_part: int) -> int:
     return max(1, math.ceil(rows / per_part))
+
+
+def dealt(frame: DataFrame, *columns: str) -> DataFrame:
+    """Dealt by columns to as many tasks as the session shuffles to. For few bytes with much work
+    per byte, which the planner would gather into a task or two."""
+    return frame.repartition(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)

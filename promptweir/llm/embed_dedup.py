@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptweir.llm.common import finite_vector
+from promptweir.llm.common import dealt, finite_vector
 from promptweir.llm.components import components
 from promptweir.session import written
 
@@ -153,7 +153,8 @@ def link(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", lab
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = dealt.select("label", "dims", "pivot", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"),
                        "block", "node", "copies", "vector", "pivots")
-    found = written(met.groupBy("label", "dims", "pivot", "one", "two").applyInPandas(
+    block = ["label", "dims", "pivot", "one", "two"]
+    found = written(dealt(met, *block).groupBy(*block).applyInPandas(
         _compare(cosine, shared), "node long, links long, root long"), "links")
     counts = found.groupBy(F.col("node").alias("c_node")).agg(F.sum("links").alias("links"))
     labels = components(found, "node", "root").select(F.col("node").alias("l_node"), "component")

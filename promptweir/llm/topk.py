@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from promptweir.llm.common import finite_vector, parts
+from promptweir.llm.common import dealt, finite_vector, parts
 from promptweir.session import written
 
 CELLS = 64
@@ -93,7 +93,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
         "dims", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("q"), hashed(2, candidate_blocks).alias("c"),
         "vec_id", F.lit(None).cast("array<bigint>").alias("exact"), "cells",
         F.lit(None).cast("array<bigint>").alias("low"), F.lit(None).cast("array<bigint>").alias("width"))
-    met = asks.union(answers).groupBy("dims", "q", "c").applyInPandas(
+    met = dealt(asks.union(answers), "dims", "q", "c").groupBy("dims", "q", "c").applyInPandas(
         _first_row_has_grid(_scan(k)), "query_id long, vec_id long, upper double")
     by_bound = Window.partitionBy("query_id").orderBy(F.col("upper").desc(), "vec_id")
     candidates = written(met.withColumn("place", F.row_number().over(by_bound)), "candidates")
