@@ -149,9 +149,9 @@ def link(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", lab
     lists = described.select("label", "dims", F.explode("pivots").alias("pivot"), "node", "copies", "vector", "pivots")
     sizes = lists.groupBy("label", "dims", "pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = lists.join(sizes, ["label", "dims", "pivot"]).withColumn("block", own).withColumn(
+    replicas = lists.join(sizes, ["label", "dims", "pivot"]).withColumn("block", own).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = dealt.select("label", "dims", "pivot", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"),
+    met = replicas.select("label", "dims", "pivot", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"),
                        "block", "node", "copies", "vector", "pivots")
     block = ["label", "dims", "pivot", "one", "two"]
     found = written(dealt(met, *block).groupBy(*block).applyInPandas(
