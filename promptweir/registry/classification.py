@@ -15,6 +15,8 @@ from promptweir.registry.inputs import (
 from promptweir.functions import text as tx
 from promptweir.registry.prompts import FEATURES, NORMALIZED
 from promptweir.registry.verdict_sql import classifier_sql, light_sql
+from promptweir.session import written
+from promptweir.sources import lexicons
 from promptweir.sources.lexicons import (
     BASE_INSTRUCTION, CATEGORIES, CATEGORY_INSTRUCTIONS, COMPLEXITY_INSTRUCTIONS, DEFAULT_FORMAT,
     DEFAULT_MODEL, LEGACY_KEYWORDS, RESPONSE_FORMATS, RULES, SPECIALISED_MODELS,
@@ -84,6 +86,16 @@ def legacy_rule_classify(spark, sf_dir):
         "prompt_id", "legacy_category", F.round("legacy_confidence", 6).alias("legacy_confidence"))
 
 
+def rules_by_table(spark, sf_dir):
+    """Rules and keywords written as tables and read back, as a caller's own would be."""
+    saved = [written(lexicons.rule_frame(spark), "rules"), written(lexicons.keyword_frame(spark), "keywords")]
+    done = rules.classify(_normalized(spark, sf_dir), lexicons.rules_from(saved[0]))
+    done = rules.classify_legacy(done, lexicons.keywords_from(saved[1]))
+    return done.select(
+        "prompt_id", "rule_category", F.round("rule_confidence", 6).alias("rule_confidence"),
+        "legacy_category", F.round("legacy_confidence", 6).alias("legacy_confidence"))
+
+
 # --- vectors -------------------------------------------------------------------------
 
 CENTROID_SQL = f"""{LABELLED_VECTORS},
@@ -303,6 +315,7 @@ QUERIES = {
     "rule_scores": rule_scores,
     "rule_classify": rule_classify,
     "legacy_rule_classify": legacy_rule_classify,
+    "rules_by_table": rules_by_table,
     "centroids": centroids,
     "centroid_similarity": centroid_similarity,
     "centroid_classify": centroid_classify,
@@ -331,6 +344,9 @@ SELECT prompt_id, category, CAST(raw_score AS BIGINT) AS raw_score, round(raw_sc
 FROM rule_scores""",
     "rule_classify": f"""{_DOC_RULES}
 SELECT prompt_id, rule_category, round(rule_confidence, 6) AS rule_confidence FROM rule_result""",
+    "rules_by_table": f"""{_DOC_RULES}, {LEGACY_SQL}
+SELECT prompt_id, rule_category, round(rule_confidence, 6) AS rule_confidence,
+  legacy_category, round(legacy_confidence, 6) AS legacy_confidence FROM rule_result JOIN legacy_result USING (prompt_id)""",
     "legacy_rule_classify": f"""WITH {DOCUMENT_PROMPTS}, {NORMALIZED}, {LEGACY_SQL}
 SELECT prompt_id, legacy_category, round(legacy_confidence, 6) AS legacy_confidence FROM legacy_result""",
     "centroids": f"WITH {CENTROID_SQL} SELECT category, CAST(i - 1 AS BIGINT) AS i, round(m, 6) AS m FROM means",
