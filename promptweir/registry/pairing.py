@@ -103,6 +103,17 @@ def chat_json_scan(spark, sf_dir):
     return _numbered(chats.read_chats(spark, path, layout="lines", order_column="doc_seq"))
 
 
+def chat_array_scan(spark, sf_dir):
+    """Chats written as files of one JSON array each, of at most 100 documents."""
+    path = shared_dir(spark, "chats")
+    docs = documents_as_chats(spark, sf_dir)
+    arrays = docs.groupBy(F.floor(F.col("doc_seq") / 100).alias("file")).agg(
+        F.collect_list(F.to_json(F.struct(*docs.columns))).alias("docs"))
+    arrays.select(F.concat(F.lit("["), F.array_join("docs", ","), F.lit("]")).alias("value")).write.option(
+        "maxRecordsPerFile", 1).text(path)
+    return _numbered(chats.read_chats(spark, path, layout="array", order_column="doc_seq"))
+
+
 def pair_csv_roundtrip(spark, sf_dir):
     path = shared_dir(spark, "pairs")
     chats.write_pairs_csv(_numbered(documents_as_chats(spark, sf_dir)), path)
@@ -145,6 +156,7 @@ QUERIES = {
     "pair_rejects": pair_rejects,
     "usage_by_model": usage_by_model,
     "chat_json_scan": chat_json_scan,
+    "chat_array_scan": chat_array_scan,
     "pair_csv_roundtrip": pair_csv_roundtrip,
     "thread_pairs": thread_pairs,
     "thread_numbering": thread_numbering,
@@ -167,6 +179,7 @@ SELECT "modelId", "userId", count(*) AS answers, CAST(sum("PromptTokens") AS BIG
   max("LatencyMS") AS max_latency_ms, quantile_disc("LatencyMS", 0.5) AS median_latency_ms, sum("Cost") AS cost
 FROM pairs GROUP BY ALL""",
     "chat_json_scan": f"WITH {_TURNS} SELECT {_NUMBERED_COLUMNS} FROM numbered",
+    "chat_array_scan": f"WITH {_TURNS} SELECT {_NUMBERED_COLUMNS} FROM numbered",
     "pair_csv_roundtrip": f"""WITH {_TURNS}
 SELECT {_NUMBERED_COLUMNS.replace('doc_seq, CAST(pos AS BIGINT) AS pos, ', '')} FROM numbered""",
     "thread_pairs": f"""WITH {_THREADS}
