@@ -25,7 +25,9 @@ TRAINING_DOCS, TRAINING_WORDS = 4_000, 32
 HIDDEN, SEGMENT = 12, 24
 UNKNOWN = "und"
 #: Segments whose pooled probabilities a worker remembers.
-REMEMBERED = 150_000
+REMEMBERED = 300_000
+#: Characters of text whose new segments are evaluated together.
+PORTION = 3_000_000
 
 
 def segments(text: str) -> list[bytes]:
@@ -204,39 +206,58 @@ def train(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text
     return fit(words, [n for n, row in zip(got["name"], got["words"]) for _ in row])
 
 
+class Memory:
+    """Summed position probabilities of segments that a worker has met; new ones are evaluated
+    together for many documents, so the network runs on large batches."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.known: dict[bytes, int] = {}
+        self.table = np.zeros((0, len(model.languages)), np.float32)
+
+    def learn(self, documents: list[list[bytes]]) -> None:
+        if len(self.known) > REMEMBERED:
+            self.known, self.table = {}, self.table[:0]
+        new = list(set().union(*documents).difference(self.known))
+        if new:
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+            self.table = np.concatenate([self.table, self.model.pooled(new)])
+
+    def pooled(self, words: list[bytes]) -> np.ndarray:
+        rows = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        return self.table[rows].sum(0, dtype=np.float64)
+
+
+def _portions(texts: pd.Series) -> Iterator[list]:
+    some, size = [], 0
+    for x in texts:
+        some.append(x)
+        size += len(x or "")
+        if size > PORTION:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
 def predictions(model: Model | None, text: Column | str) -> Column:
     """Struct (lang_pred, score): the most likely language and its mean probability over all bytes.
 
     `und` with score 0 for NULL texts, texts without a letter, and when there is no model.
     """
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        known: dict[bytes, int] = {}
-        table = np.zeros((0, len(model.languages) if model else 0), np.float32)
+        memory = Memory(model) if model else None
         for batch in batches:
             names, scores = [], []
-            for x in batch:
-                words = segments(x) if model and x and any(map(str.isalpha, x)) else []
-                if not words:
-                    names.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                new = list(dict.fromkeys(w for w in words if w not in known))
-                if new:
-                    if len(known) + len(new) > REMEMBERED and known:
-                        known, table = {}, table[:0]
-                        new = list(dict.fromkeys(words))
-                    base = len(known)
-                    known.update(zip(new, range(base, base + len(new))))
-                    pooled = model.pooled(new)
-                    if base + len(new) > len(table):
-                        table = np.concatenate([table[:base], pooled, np.zeros((len(known) + 1000, pooled.shape[1]), np.float32)])
-                    else:
-                        table[base:base + len(new)] = pooled
-                rows = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-                total = table[rows].sum(0, dtype=np.float64)
-                best = int(total.argmax())
-                names.append(model.languages[best])
-                scores.append(min(1.0, float(total[best] / total.sum())))
+            for texts in _portions(batch):
+                words = [segments(x) if model and x and any(map(str.isalpha, x)) else [] for x in texts]
+                if memory:
+                    memory.learn(words)
+                for own in words:
+                    total = memory.pooled(own) if own else None
+                    best = int(total.argmax()) if own else 0
+                    names.append(model.languages[best] if own else UNKNOWN)
+                    scores.append(min(1.0, float(total[best] / total.sum())) if own else 0.0)
             yield pd.DataFrame({"lang_pred": names, "score": scores})
     predict.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     return F.pandas_udf(predict, "lang_pred string, score double")(text)
