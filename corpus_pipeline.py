@@ -10,37 +10,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promptweir.llm import langid, mixing, ngram_join, packing, quality
-from promptweir.llm.common import table
+from promptweir.llm.common import remainder, table
 from promptweir.llm.queries import ranks_path
 from promptweir.session import written
 
 #: A document stays if its likeliest language has at least this mean probability.
-LANGUAGE_SCORE = 0.5
+LANGUAGE_SCORE = 0.4
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score reaches the threshold of the quality classifier."""
-    model = quality.train(docs, table(spark, sf_dir, "labels"), F.lit(True))
+    """Documents whose score reaches the threshold of the quality classifier, which leaves the same
+    documents out of training as its query does."""
+    model = quality.train(docs, table(spark, sf_dir, "labels"), remainder(F.col("doc_id"), 4) != 2)
     return docs.where(quality.scores(model, F.col("text").cast("string")) >= quality.THRESHOLD)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with letters whose language is told clearly. Where no document has a language to
     learn from, all stay."""
-    model = langid.train(docs, F.lit(True))
+    model = langid.train(docs, remainder(F.col("doc_id"), 5) != 0)
     if model is None:
         return docs
     return docs.where(langid.predictions(model, F.col("text").cast("string"))["score"] >= LANGUAGE_SCORE)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the smallest id; of repeated rows one.
-    A document without an id has no rank in its group and stays."""
-    groups = written(ngram_join.join(docs), "groups")
-    left = docs.join(groups.where("NOT kept").select("doc_id").distinct(), "doc_id", "left_anti")
-    repeated = groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    once = left.join(repeated, "doc_id", "left_anti").select(*docs.columns)
-    again = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    """One document of each group of near copies (five words, similarity 0.8), that with the
+    smallest id; of repeated rows one.
+    A document without an id has no rank in its group and stays; so do the texts of an id of which
+    one is the smallest of its group."""
+    marks = written(ngram_join.join(docs).where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__k_id")).agg(
+        F.max("kept").alias("__k_keep"), F.count(F.lit(1)).alias("__k_n")).where("NOT __k_keep OR __k_n > 1"), "marks")
+    both = docs.join(marks, F.col("doc_id") == F.col("__k_id"), "left")
+    once = both.where("__k_n IS NULL").select(*docs.columns)
+    again = both.where("__k_keep").select(*docs.columns).dropDuplicates(["doc_id", "text"])
     return once.unionByName(again)
 
 

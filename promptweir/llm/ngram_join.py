@@ -9,7 +9,7 @@ share a token under each of the other orders.
 Texts with equal sets are one node. Lists of the index are never expanded into all pairs: first
 every node of a list is compared with a pivot of the list, in rounds with other pivots, and
 linked nodes become components. Only nodes of one list that are still in different components
-are then paired. Every pair that the filters leave is thus verified or already connected, so the
+are then paired, and only where the token stands early enough in both for sets of their sizes. Every pair that the filters leave is thus verified or already connected, so the
 components are those of the full join. Before texts travel to be verified, a pair must pass a
 bound from small parity maps of the two sets, which never drops a pair that links.
 
@@ -34,10 +34,12 @@ FREQUENT = 65_536
 #: A task reports tokens that stand so often in so many of its tokens.
 REPORT_COUNT, REPORT_TOKENS = 4, 1_000_000
 PIVOT_ROUNDS = 1
-#: Bits of a set's parity map.
-MAP_BITS = 1_024
+#: Least bits of a set's parity map; larger sets have up to as many bits as tokens.
+MAP_BITS = 512
 #: Members compared with one copy of a pivot.
 STAR = 256
+#: Hash buckets of the ids whose texts are wanted.
+BUCKETS = 1 << 18
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -52,14 +54,16 @@ class Orders:
         self.tokens, self.classes, self.orders = tokens[by], classes[by].astype(np.uint64), orders
 
     def prefix(self, tokens: np.ndarray, order: int, percent: int) -> np.ndarray:
+        """The first tokens of a set, in order."""
         size = prefix_length(len(tokens), percent)
-        if size >= len(tokens):
+        if not size:
             return tokens
         rank = mix(tokens ^ np.uint64(0x5851F42D4C957F2D * (order + 1) % (1 << 64))) >> np.uint64(6)
         if len(self.tokens):
             at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
             rank |= np.where(self.tokens[at] == tokens, self.classes[at], np.uint64(0)) << np.uint64(58)
-        return tokens[np.argpartition(rank, size - 1)[:size]]
+        first = np.argpartition(rank, size - 1)[:size]
+        return tokens[first[np.argsort(rank[first])]]
 
 
 def _key(tokens: np.ndarray) -> int:
@@ -69,9 +73,10 @@ def _key(tokens: np.ndarray) -> int:
 
 def _parity(tokens: np.ndarray) -> np.ndarray:
     """Bit b says whether an odd number of tokens fall on b. Where two maps differ in d bits the
-    sets differ in at least d tokens."""
-    odd = np.bincount((tokens >> np.uint64(17)) % np.uint64(MAP_BITS), minlength=MAP_BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+    sets differ in at least d tokens. A map folds onto one of half its bits by exclusive or."""
+    bits = max(MAP_BITS, 1 << (max(len(tokens), 1).bit_length() - 1))
+    odd = np.bincount((tokens >> np.uint64(17)) % np.uint64(bits), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
 def _scan(width: int):
@@ -127,6 +132,8 @@ def _verify(width: int, percent: int, orders: Orders):
         for batch in batches:
             rows = []
             for a, b, side, one in zip(batch["a"], batch["b"], batch["side"], sets(batch["text"], width)):
+                if _key(one) != b:
+                    continue
                 if side == 0:
                     pivot, own = a, one
                     fronts = [orders.prefix(own, r, percent) for r in range(1, orders.orders)]
@@ -147,11 +154,29 @@ def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs whose sizes and parity maps allow the similarity."""
     side = lambda c: nodes.select(F.col("key").alias(c), F.col("n").alias(f"{c}_n"), F.col("parity").alias(f"{c}_map"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
+    fits = F.expr(f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)")  # so maps differ by one fold at most
+    half = lambda x: F.zip_with(F.slice(x, 1, F.size(x) / 2), F.slice(x, F.size(x) / 2 + 1, F.size(x) / 2),
+                                lambda u, v: u.bitwiseXOR(v))
+    folded = lambda x, other: F.when(F.size(x) > F.size(other), half(F.col(x))).otherwise(F.col(x))
+    both = both.where(fits).select("a", "b", "a_n", "b_n", folded("a_map", "b_map").alias("a_map"),
+                                   folded("b_map", "a_map").alias("b_map"))
     differ = F.aggregate(F.zip_with("a_map", "b_map", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     total = F.col("a_n") + F.col("b_n")
     return both.where((100 + percent) * (total - differ) >= 2 * percent * total).select("a", "b")
 
 
+def _texts(pairs: DataFrame, nodes: DataFrame, narrow: DataFrame) -> DataFrame:
+    """key and text of all nodes in pairs. Most other texts are left out before the shuffle by the
+    hash buckets of the wanted ids, a set of at most BUCKETS numbers."""
+    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+    wanted = nodes.select("key", "doc_id").join(wanted, "key", "left_semi")
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS))
+    some = narrow.withColumn("bucket", bucket).join(
+        F.broadcast(wanted.select(bucket.alias("bucket")).distinct()), "bucket", "left_semi").drop("bucket")
+    # Ids may repeat with other texts: all come along, and `verify` passes over those of another key.
+    return some.join(wanted, "doc_id").groupBy("key", F.xxhash64("text")).agg(F.min("text").alias("text")).select("key", "text")
+
+
 def _checked(pairs: DataFrame, texts: DataFrame, verify) -> DataFrame:
     """Links among candidate pairs (a, b). A pivot `a` with many partners is copied to several
     places, so no task gets them all; a partner's text travels once per pair."""
@@ -165,13 +190,14 @@ def _checked(pairs: DataFrame, texts: DataFrame, verify) -> DataFrame:
     return rows.mapInPandas(verify, "a long, b long")
 
 
-def join(docs: DataFrame, width: int = 4, percent: int = 85, orders: int = 3, key: str = "doc_id",
+def join(docs: DataFrame, width: int = 5, percent: int = 80, orders: int = 3, key: str = "doc_id",
          text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept.
 
     Works on whole texts. Documents without words (or NULL text) have no shingles and link with
-    nothing; equal texts and repeated rows are one node with all their rows; a NULL doc_id takes
-    the smallest doc_id of its component, or NULL alone. An empty table gives an empty result.
+    nothing; equal texts and repeated rows are one node with all their rows. A row with NULL
+    doc_id belongs to the node of equal texts that have one and takes its component; else it links
+    with nothing. An empty table gives an empty result.
     """
     narrow = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     scanned = written(narrow.mapInPandas(
@@ -184,45 +210,49 @@ def join(docs: DataFrame, width: int = 4, percent: int = 85, orders: int = 3, ke
     nodes = rows.where("n_shingles > 0").groupBy("key").agg(
         F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.min("parity").alias("parity"))
 
+    # A token at place i of a set of n is in the prefix for partners of at most `cap` tokens: with m
+    # of them, ceil(t * (n + m) / (1 + t)) must be common, so that many from place i on must exist.
+    cap = F.floor((F.col("n") - F.col("place")) * (100 + percent) / percent) - F.col("n")
     index = narrow.mapInPandas(_postings(width, percent, known), "key long, n long, tokens array<long>")
     by_token = Window.partitionBy("token")
-    shared = written(index.select("key", "n", F.explode("tokens").alias("token")).withColumns({
-        "least": F.min("key").over(by_token), "most": F.max("key").over(by_token)})
-        .where("least < most").select("token", "key", "n").distinct(), "index")
-    texts = written(
-        narrow.join(nodes.select("doc_id", "key").join(shared.select("key").distinct(), "key", "left_semi"), "doc_id")
-        .groupBy("key").agg(F.min("text").alias("text")), "texts")
-
+    shared = written(index.select("key", "n", F.posexplode("tokens").alias("place", "token")).select(
+        "token", "key", "n", cap.alias("cap"), F.min("key").over(by_token).alias("least"), F.max("key").over(by_token).alias("most"),
+        F.min("n").over(by_token).alias("least_n")).where("least < most AND cap >= least_n")
+        .select("token", "key", "n", "cap").distinct(), "index")
     verify = _verify(width, percent, known)
-    fits = lambda a, b: f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
+    fits = lambda y: (f"part <> {y}part AND 100 * least(n, {y}n) >= {percent} * greatest(n, {y}n) "
+                         f"AND n <= {y}cap AND {y}n <= cap")
     found: DataFrame | None = None
     tried: DataFrame | None = None
     labels = None
+    # The pivot of a list is its member with most index entries: a text close to many others keeps
+    # the shared tokens in front, so it links with more of them than a random member would.
+    shared = shared.join(shared.groupBy("key").agg(F.count(F.lit(1)).alias("entries")), "key")
     for seed in range(PIVOT_ROUNDS + 1):
         lists = shared if labels is None else shared.join(
             labels.withColumnRenamed("node", "key"), "key", "left")
         lists = lists.withColumn("part", F.col("key") if labels is None else F.coalesce("component", "key"))
-        lists = lists.select("token", "key", "n", "part")
+        lists = lists.select("token", "key", "n", "cap", "part", "entries")
+        spans = [F.min("part").alias("low"), F.max("part").alias("high"), F.min("n").alias("least_n")]
         if seed < PIVOT_ROUNDS:
             pivot = lists.groupBy("token").agg(
-                F.min(F.struct(F.xxhash64("key", F.lit(seed)), "key", "n", "part")).alias("p"),
-                F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
-            pairs = lists.join(pivot, "token").where(f"part <> p.part AND {fits('n', 'p.n')}").select(
-                F.col("p.key").alias("a"), F.col("key").alias("b"))
+                F.max(F.struct("entries", F.xxhash64("key", F.lit(seed)), "key", "n", "cap", "part")).alias("p"), *spans).where("low < high")
+            pairs = lists.join(pivot, "token").where(fits("p.")).select(
+                F.least("key", "p.key").alias("low"), F.greatest("key", "p.key").alias("high"), F.col("p.key").alias("a"))
         else:
-            still = lists.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
-            open_lists = written(lists.join(still.select("token"), "token", "left_semi"), "open")
-            other = open_lists.select("token", F.col("key").alias("b"), F.col("n").alias("b_n"), F.col("part").alias("b_part"))
-            pairs = open_lists.join(other, "token").where(f"key < b AND part <> b_part AND {fits('n', 'b_n')}").select(
-                F.col("key").alias("a"), "b")
-        pairs = pairs.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"), "a", "b").groupBy(
-            "low", "high").agg(F.min("a").alias("a"), F.min_by("b", "a").alias("b"))
+            still = lists.groupBy("token").agg(*spans).where("low < high").select("token", "least_n")
+            open_lists = written(lists.join(still, "token").where("cap >= least_n").drop("least_n"), "open")
+            other = open_lists.select("token", *[F.col(c).alias(f"b_{c}") for c in ("key", "n", "cap", "part")])
+            pairs = open_lists.join(other, "token").where("key < b_key AND " + fits("b_")).select(
+                F.col("key").alias("low"), F.col("b_key").alias("high"), F.col("key").alias("a"))
+        pairs = pairs.groupBy("low", "high").agg(F.min("a").alias("a")).select(
+            "low", "high", "a", F.expr("if(a = low, high, low)").alias("b"))
         if tried is not None:
             pairs = pairs.join(tried, ["low", "high"], "left_anti")
         pairs = written(pairs, "pairs")
         tried = pairs.select("low", "high") if tried is None else tried.union(pairs.select("low", "high"))
         pairs = written(_possible(pairs.select("a", "b"), nodes, percent), "possible")
-        links = written(_checked(pairs, texts, verify), "verified")
+        links = written(_checked(pairs, written(_texts(pairs, nodes, narrow), "texts"), verify), "verified")
         found = links if found is None else found.union(links)
         labels = components(found, "a", "b")
 

@@ -43,7 +43,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.join(table(spark, sf_dir, "documents")).drop("kept")
+    return ngram_join.join(table(spark, sf_dir, "documents"), width=4, percent=85).drop("kept")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
