@@ -32,7 +32,7 @@ from promptweir.session import written
 #: Frequent tokens known to every task: at most so many numbers. More only shortens index lists.
 FREQUENT = 65_536
 #: A task reports tokens that stand so often in so many of its tokens.
-REPORT_COUNT, REPORT_TOKENS = 4, 1_000_000
+REPORT_COUNT, REPORT_TOKENS = 2, 2_000_000
 PIVOT_ROUNDS = 1
 #: Least bits of a set's parity map; larger sets have up to as many bits as tokens.
 MAP_BITS = 512
