@@ -25,9 +25,9 @@ TRAINING_DOCS, TRAINING_WORDS = 4_000, 32
 HIDDEN, SEGMENT = 12, 24
 UNKNOWN = "und"
 #: Segments whose pooled probabilities a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 #: Characters of text whose new segments are evaluated together.
-PORTION = 3_000_000
+PORTION = 1_500_000
 
 
 def segments(text: str) -> list[bytes]:

@@ -117,7 +117,7 @@ def _postings(width: int, percent: int, orders: Orders):
                 key = _key(one)
                 if not len(one) or key in seen:  # equal sets give equal postings
                     continue
-                if len(seen) > 500_000:
+                if len(seen) > 100_000:
                     seen.clear()
                 seen.add(key)
                 rows.append((key, len(one), orders.prefix(one, 0, percent).view(np.int64)))
