@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from promptweir.session import written
 
 
-def running_number(rows: DataFrame, key: str, order: list[str], out: str) -> DataFrame:
-    """Number the rows of each key by ``order`` from one.
+def running_number(
+    rows: DataFrame, key: str, order: list[str], out: str, before: DataFrame | None = None,
+) -> DataFrame:
+    """Number the rows of each key by ``order`` from one, or on from what ``before`` (key, n) counts.
 
     NULL is a key like any other, and NULL order values come last. Rows that are equal in key and
     order are numbered in any order, each with a number of its own.
@@ -29,5 +31,9 @@ def running_number(rows: DataFrame, key: str, order: list[str], out: str) -> Dat
     totals = ranged.groupBy("_key", "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
     earlier = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select("_key", "_part", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    if before is not None:
+        counted = before.select(named.alias("_key"), F.col("n").alias("_counted"))
+        starts = starts.join(counted, "_key", "left").select(
+            "_key", "_part", (F.col("_shift") + F.coalesce("_counted", F.lit(0))).alias("_shift"))
     return ranged.join(starts, ["_key", "_part"]).withColumn(out, F.col("_place") + F.col("_shift")).drop(
         "_key", "_part", "_place", "_shift")

@@ -8,6 +8,7 @@ from promptweir.registry.classification import RULE_SQL
 from promptweir.registry.inputs import CHAT_PROMPTS, OPENINGS, pick, q, sql_pick
 from promptweir.registry.prompts import FEATURES, NORMALIZED
 from promptweir.registry.classification import _sql_case
+from promptweir.session import shared_dir
 from promptweir.sources.lexicons import DEFAULT_MODEL, SPECIALISED_MODELS
 from promptweir.streaming import pairing, prompts, runs
 
@@ -37,9 +38,11 @@ def _timed_turns(spark, sf_dir):
 
 
 def stream_pairs(spark, sf_dir):
-    """Pairs whose turns the watermark has passed, numbered per user."""
+    """Pairs whose turns the watermark has passed, numbered per user once the stream has them all."""
     paired = pairing.pair_stream(_timed_turns(spark, sf_dir), LATENESS, timeout_ms=3_600_000)
-    return _plain_times(runs.run_available(pairing.numbered_stream(paired), "stream-pairs", keyed_state=True))
+    numbered = pairing.NumberedPairs(shared_dir(spark, "stream-numbers"))
+    numbered(runs.run_available(paired, "stream-pairs", keyed_state=True), 0)
+    return _plain_times(numbered.rows(spark))
 
 
 def stream_category_windows(spark, sf_dir):

@@ -1,15 +1,17 @@
-"""Pairing turns as they arrive, with state per conversation and per user."""
+"""Pairing turns as they arrive, with state per conversation and a count per user."""
 
 from __future__ import annotations
 
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
+from promptweir.operators import numbering
 from promptweir.operators.pairs import content_text
+from promptweir.session import written
 
 WAITING_STATE = "pos bigint, content string, user_id string, ts_ms bigint"
 PAIR_SCHEMA = (
@@ -85,26 +87,38 @@ class PairTurns(StatefulProcessor):
         pass
 
 
-class NumberPairs(StatefulProcessor):
-    """Running count of a user's answered prompts.
+class NumberedPairs:
+    """Numbers a user's answered prompts, call by call, into a folder; fit for ``foreachBatch``.
 
-    The pairs of a trigger are numbered in order of their answers, however Arrow cuts them; earlier
-    triggers hold earlier answers, as pairs wait for the watermark. A task holds what one trigger
-    brings of one user, which the limits of the source bound.
+    The pairs of a call are numbered in order of their answers and follow those of earlier calls,
+    which hold earlier answers, as pairs wait for the watermark. Only keys are sorted, in ranges of
+    even size whatever user they belong to; texts find their number by row. A call that is repeated
+    under its number replaces what it wrote.
     """
 
-    def init(self, handle) -> None:
-        self.count = handle.getValueState("count", "n bigint")
+    def __init__(self, base: str):
+        self.base = base
 
-    def handleInputRows(self, key, rows, timerValues):
-        seen = self.count.get()[0] if self.count.exists() else 0
-        arrived = pd.concat(list(rows)).sort_values(["answer_ts", "conv_id", "pos"], kind="stable")
-        arrived["query_number"] = range(seen + 1, seen + 1 + len(arrived))
-        self.count.update((seen + len(arrived),))
-        yield arrived[NUMBERED_NAMES]
+    def _counts(self, spark: SparkSession, call: int) -> DataFrame | None:
+        return spark.read.schema("user_id string, n bigint").parquet(f"{self.base}/counts/{call}") if call >= 0 else None
 
-    def close(self) -> None:
-        pass
+    def __call__(self, pairs: DataFrame, call: int) -> None:
+        spark = pairs.sparkSession
+        arrived = written(pairs.withColumn("_row", F.monotonically_increasing_id()), "pairs")
+        order = ["answer_ts", "conv_id", "pos", "_row"]
+        before = self._counts(spark, call - 1)
+        numbers = numbering.running_number(arrived.select("user_id", *order), "user_id", order, "query_number", before)
+        done = arrived.join(numbers.select("_row", "query_number"), "_row").select(*NUMBERED_NAMES)
+        done.write.mode("overwrite").parquet(f"{self.base}/rows/call={call}")
+        counts = spark.read.schema(NUMBERED_SCHEMA).parquet(f"{self.base}/rows/call={call}").select(
+            "user_id", F.col("query_number").alias("n"))
+        counts = counts.unionByName(before) if before is not None else counts
+        counts.groupBy("user_id").agg(F.max("n").alias("n")).write.mode("overwrite").parquet(f"{self.base}/counts/{call}")
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/counts/{call - 2}")  # a repeated call needs the last one
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+
+    def rows(self, spark: SparkSession) -> DataFrame:
+        return spark.read.schema(NUMBERED_SCHEMA).parquet(f"{self.base}/rows").select(*NUMBERED_NAMES)
 
 
 def pair_stream(turns: DataFrame, lateness: str, timeout_ms: int) -> DataFrame:
@@ -123,10 +137,3 @@ def pair_stream(turns: DataFrame, lateness: str, timeout_ms: int) -> DataFrame:
     return kept.groupBy("conv_id").transformWithStateInPandas(
         statefulProcessor=PairTurns(timeout_ms), outputStructType=PAIR_SCHEMA, outputMode="Append",
         timeMode="EventTime", eventTimeColumnName="answer_ts")
-
-
-def numbered_stream(pairs: DataFrame) -> DataFrame:
-    """Adds ``query_number`` per user to a pair stream."""
-    return pairs.groupBy("user_id").transformWithStateInPandas(
-        statefulProcessor=NumberPairs(), outputStructType=NUMBERED_SCHEMA, outputMode="Append",
-        timeMode="None")

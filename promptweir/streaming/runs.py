@@ -9,13 +9,14 @@ from promptweir.session import shared_dir
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def source(spark: SparkSession, folder: str, glob: str, files_per_trigger: int | None = None) -> DataFrame:
-    """A Parquet file stream with the schema of the files already there."""
-    schema = spark.read.option("pathGlobFilter", glob).parquet(folder).schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
+def source(spark: SparkSession, folder: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
+    """A Parquet file stream over the table ``name`` of a folder, a file or a folder of files, with
+    the schema it has now."""
+    schema = spark.read.parquet(f"{folder}/{name}").schema
+    reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(folder)
+    return reader.parquet(f"{folder}/{name[:-1]}[{name[-1]}]")  # a stream takes one file only by a pattern
 
 
 def run_available(stream: DataFrame, purpose: str, keyed_state: bool = False) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from promptweir.operators import numbering, pairs
 from promptweir.sources import chats
+from promptweir.streaming import pairing, runs
 
 
 def brute(docs):
@@ -127,3 +128,36 @@ def test_medians_are_exact(spark):
 def test_rejects_and_usage(spark):
     frame = spark.createDataFrame([("q", "a"), ("", "a"), ("q", None)], "user_query string, LLM_answer string")
     assert [r.reject_reason is None for r in pairs.split_rejects(frame).collect()] == [True, False, False]
+
+
+def test_stream_pairs_of_one_user_are_spread_and_counted_on(spark, tmp_path):
+    """Most pairs belong to no user; they are numbered in several tasks, on from earlier calls."""
+    def arriving(first, last):
+        return spark.range(first, last, 1, 8).select(
+            F.col("id").cast("string").alias("conv_id"), F.lit(0).cast("bigint").alias("pos"),
+            F.when(F.col("id") % 10 == 0, "u").alias("user_id"), F.lit("q").alias("user_query"),
+            F.timestamp_seconds("id").alias("user_ts"), F.lit("a").alias("llm_answer"),
+            F.lit(1).cast("bigint").alias("answer_pos"), F.timestamp_seconds(F.col("id") + 1).alias("answer_ts"))
+
+    numbered = pairing.NumberedPairs(str(tmp_path / "numbers"))
+    name = "spark.sql.adaptive.coalescePartitions.enabled"  # these rows are few; Spark would put them together
+    spark.conf.set(name, "false")
+    numbered(arriving(0, 3000), 0)
+    spark.conf.unset(name)
+    first = numbered.rows(spark).where("user_id IS NULL")
+    assert first.select(F.input_file_name()).distinct().count() > 4
+    numbered(arriving(3000, 3500), 1)
+    numbered(arriving(3000, 5000), 1)
+    numbered(arriving(5000, 5000), 2)
+    numbered(arriving(5000, 5010), 3)
+    by_user = {}
+    for r in sorted(numbered.rows(spark).collect(), key=lambda r: int(r.conv_id)):
+        by_user.setdefault(r.user_id, []).append(r.query_number)
+    assert by_user == {"u": list(range(1, 502)), None: list(range(1, 4510))}
+
+
+def test_stream_reads_a_table_of_many_files(spark, tmp_path):
+    spark.range(100).repartition(5).write.parquet(f"{tmp_path}/t.parquet")
+    spark.range(7).write.parquet(f"{tmp_path}/u.parquet")
+    stream = runs.source(spark, str(tmp_path), "t.parquet")
+    assert sorted(r.id for r in runs.run_available(stream, "many-files").collect()) == list(range(100))
