@@ -145,19 +145,25 @@ def evaluate_responses(
     reference model once; the raw response found under the request's id is cleaned and becomes
     a reference of the row. Returns ``key``, model_id, the metrics and reject_reason; a rejected
     row has neither model nor metrics, a request without response has no row.
-    responses: request_id, raw.
+    responses: request_id, raw. Recorded vectors (see ``score_table``) are found by the
+    ``candidate_text_id`` of a pair, for its answer, and the ``ref_text_id`` of a response, for its
+    cleaned text.
     """
+    own_id = [c for c in pairs.columns if c == "candidate_text_id"]
+    ref_id = [c for c in responses.columns if c == "ref_text_id"]
+    if any(options.get(v) is not None for v in ("sentence_vectors", "token_vectors")) and not (own_id and ref_id):
+        raise ValueError("vectors need candidate_text_id in the pairs and ref_text_id in the responses")
     judged = pairing.split_rejects(pairs, question, answer)
     accepted = judged.where("reject_reason IS NULL")
     asked = requests.evaluation_requests(accepted, key, question, answer, reference_models=reference_models).where(
         "kind = 'reference'").select(
         "request_id", F.col("model").alias("model_id"), F.split("request_id", ":").getItem(1).alias("_key"))
-    replies = join_responses(asked, responses.select("request_id", "raw")).where("raw IS NOT NULL")
+    replies = join_responses(asked, responses.select("request_id", "raw", *ref_id)).where("raw IS NOT NULL")
     number = accepted.schema[key].dataType
     references = replies.select(
-        F.col("_key").cast(number).alias("question_id"), "model_id", verdicts.clean_answer(F.col("raw")).alias("ref_text"))
+        F.col("_key").cast(number).alias("question_id"), "model_id", verdicts.clean_answer(F.col("raw")).alias("ref_text"), *ref_id)
     candidates = accepted.select(
-        F.col(key).alias("candidate_id"), F.col(key).alias("question_id"), F.col(answer).alias("candidate"))
+        F.col(key).alias("candidate_id"), F.col(key).alias("question_id"), F.col(answer).alias("candidate"), *own_id)
     scores = score_table(candidates, references, **options)
     names = [c for c in scores.columns if c not in KEYS]
     done = scores.select(F.col("candidate_id").alias(key), "model_id", *names, F.lit(None).cast("string").alias("reject_reason"))

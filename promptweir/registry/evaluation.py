@@ -329,7 +329,21 @@ def evaluate_responses(spark, sf_dir):
     return _rounded(done, _TEXT_METRICS)
 
 
+def evaluate_responses_all(spark, sf_dir):
+    """Every pair with a recorded response of every reference model, by all metrics."""
+    key, ids = F.col("pair_id"), _text_ids(spark, sf_dir)
+    pairs = _qa(spark, sf_dir).withColumn("candidate_text_id", F.pmod(key, ids))
+    said = [F.col("LLM_answer"), F.col("user_query"), F.lower("LLM_answer")]
+    each = F.array(*[F.struct(F.lit(m).alias("model"), said[i % 3].alias("said"), F.lit(i + 1).alias("place"))
+                     for i, m in enumerate(REFERENCE_MODELS)])
+    responses = pairs.select("pair_id", F.inline_outer(each)).select(
+        F.concat(F.lit("reference:"), key.cast("string"), F.lit(":"), F.col("model")).alias("request_id"),
+        fill(ANSWER_FORMS, key, {"R": F.col("said")}).alias("raw"), F.pmod(key * 3 + F.col("place"), ids).alias("ref_text_id"))
+    return _rounded(plan.evaluate_responses(pairs, responses, "pair_id", **_vectors(spark, sf_dir)), METRICS)
+
+
 QUERIES = {
+    "evaluate_responses_all": evaluate_responses_all,
     "evaluate_responses": evaluate_responses,
     "edit_similarity": edit_similarity,
     "bleu_pairs": bleu_pairs,
@@ -366,8 +380,23 @@ _REQUEST = lambda kind, model, system, user, temperature, tokens: (
     f"SELECT '{kind}:' || pair_id || ':' || {q(model)} AS request_id, '{kind}' AS kind, {q(model)} AS model, "
     f"{system} AS system_text, {user} AS user_text, {temperature}::DOUBLE AS temperature, {tokens} AS max_tokens FROM qa")
 
+_PLACES = " ".join(f"WHEN {q(m)} THEN {i + 1}" for i, m in enumerate(REFERENCE_MODELS))
 _MODELS_SQL = ", ".join(f"({i % 3}, {q(m)})" for i, m in enumerate(REFERENCE_MODELS))
 ORACLES = {
+    "evaluate_responses_all": f"""WITH RECURSIVE {_QA_SQL},
+said AS (
+  SELECT pair_id, answer, model, CASE i WHEN 0 THEN answer WHEN 1 THEN user_query ELSE lower(answer) END AS said
+  FROM qa, (VALUES {_MODELS_SQL}) m(i, model) WHERE answer <> '' AND user_query <> ''),
+recorded AS (SELECT *, {sql_fill(ANSWER_FORMS, 'pair_id', {'R': 'said'})} AS raw FROM said),
+pairs AS (
+  SELECT pair_id AS candidate_id, model AS model_id, answer AS candidate, {clean_answer_sql('raw')} AS ref_text FROM recorded),
+{EDIT_SQL}, {BLEU_SQL}, {ROUGE_SQL}, {METEOR_SQL},
+{VECTOR_SQL.replace("CASE model_id WHEN 'bench' THEN 1 WHEN 'plain' THEN 2 ELSE 3 END", f"CASE model_id {_PLACES} END")}
+SELECT candidate_id AS pair_id, model_id, {_ROUNDED}, NULL::VARCHAR AS reject_reason
+FROM edits JOIN bleus USING (candidate_id, model_id) JOIN rouges USING (candidate_id, model_id)
+  JOIN meteors USING (candidate_id, model_id) LEFT JOIN sberts USING (candidate_id, model_id) LEFT JOIN berts USING (candidate_id, model_id)
+UNION ALL SELECT pair_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'question and answer must be non-empty' FROM qa
+WHERE answer = '' OR user_query = ''""",
     "evaluate_responses": f"""WITH RECURSIVE {_QA_SQL},
 asked AS (SELECT pair_id, user_query, CASE WHEN pair_id % 10 = 3 THEN '' ELSE answer END AS answer FROM qa),
 said AS (

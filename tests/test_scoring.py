@@ -160,3 +160,28 @@ def test_vector_metrics_in_the_score_table(spark):
     assert got["m"].edit_sim == 0.0
     bare = plan.score_table(candidates, references, metrics=("sbert", "bertscore")).collect()
     assert len(bare) == 2 and all(r.sbert is None and r.bertscore is None for r in bare)
+
+
+def test_responses_are_scored_by_all_metrics(spark):
+    """A blank answer keeps its row and reason, a missing response has none; vectors reach the others."""
+    pairs = spark.createDataFrame(
+        [(1, "q", "the cat sat", 10), (2, "q", "", 20), (3, "q", "x", 30)],
+        "pair_id int, user_query string, LLM_answer string, candidate_text_id int")
+    responses = spark.createDataFrame(
+        [("reference:1:m", "<think>t</think> the cat sat", 20), ("reference:1:n", "a dog", 30), ("reference:2:m", "y", 10)],
+        "request_id string, raw string, ref_text_id int")
+    sentences = spark.createDataFrame(
+        [(10, [1.0, 0.0]), (20, [0.0, 2.0]), (30, [3.0, 3.0])], "text_id int, embedding array<double>")
+    tokens = spark.createDataFrame(
+        [(10, 0, [1.0, 0.0]), (10, 1, [0.0, 1.0]), (20, 0, [0.0, 5.0])], "text_id int, pos int, embedding array<double>")
+    done = plan.evaluate_responses(pairs, responses, "pair_id", reference_models=("m", "n"),
+                                   sentence_vectors=sentences, token_vectors=tokens)
+    assert done.columns == ["pair_id", "model_id", *plan.METRICS, "reject_reason"]
+    got = {(r.pair_id, r.model_id): r for r in done.collect()}
+    assert set(got) == {(1, "m"), (1, "n"), (2, None)}
+    assert got[1, "m"].edit_sim == 1 and got[1, "m"].sbert == pytest.approx(0.0)
+    assert got[1, "m"].bertscore == pytest.approx(2 * 0.5 * 1 / 1.5)
+    assert got[1, "n"].sbert == pytest.approx(math.sqrt(0.5)) and got[1, "n"].bertscore is None
+    assert got[2, None].reject_reason and got[2, None].sbert is None
+    with pytest.raises(ValueError):
+        plan.evaluate_responses(pairs, responses.drop("ref_text_id"), "pair_id", sentence_vectors=sentences)
