@@ -1,4 +1,4 @@
-"""METEOR with the exact and stem stages, as grouping and windows inside each pair."""
+"""METEOR with the exact, stem and synonym stages, as grouping and windows inside each pair."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from promptweir.functions import text as tx
 
 # --- fixed values: metric parameters ---------------------------------------------------
 ALPHA, BETA, GAMMA = 0.9, 3.0, 0.5
+SALTS = 8  # parts of a synonym entry, so that one frequent stem does not meet it in one task
 
 
 def tokens(text: Column) -> Column:
@@ -22,15 +23,41 @@ def _side(name: str, words: str, stems: str) -> Column:
         F.lit(name).alias("side"), i.alias("pos"), t["w"].alias("word"), t["s"].alias("stem")))
 
 
+def _synonym_matches(matches: DataFrame, lens: list[str], synonyms: DataFrame) -> DataFrame:
+    """``lens``, c, r and matched of the synonym stage, from the rows that earlier stages left open."""
+    sets = synonyms.groupBy(F.col("word").alias("stem")).agg(F.collect_set("set_id").alias("sets")).withColumn(
+        "_salt", F.explode_outer(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    left = matches.where(~F.col("matched")).select(*lens, "stem", "c", "r").withColumn(
+        "_salt", F.pmod(F.hash(*lens, "c", "r"), F.lit(SALTS)))
+    word = lambda pos: F.struct(F.col(pos).alias("pos"), F.col("sets"))
+    # Descending; collecting leaves out NULL, which F.when gives to words of the other side.
+    side = lambda pos: F.reverse(F.array_sort(F.collect_list(F.when(F.col(pos).isNotNull(), word(pos))))).alias(f"_{pos}")
+    texts = left.join(sets, ["stem", "_salt"]).groupBy(*lens).agg(side("c"), side("r"))
+
+    def step(state: Column, own: Column) -> Column:
+        partner = F.get(F.filter(state["free"], lambda t: F.arrays_overlap(t["sets"], own["sets"])), F.lit(0))["pos"]
+        return F.when(partner.isNull(), state).otherwise(F.struct(
+            F.filter(state["free"], lambda t: t["pos"] != partner).alias("free"),
+            F.concat(state["found"], F.array(F.struct(own["pos"].alias("c"), partner.alias("r")))).alias("found")))
+
+    start = F.struct(F.col("_r").alias("free"), F.array().cast("array<struct<c:int,r:int>>").alias("found"))
+    found = texts.select(*lens, F.explode_outer(F.aggregate("_c", start, step, lambda s: s["found"])).alias("_f"))
+    return found.where("_f IS NOT NULL").select(*lens, "_f.c", "_f.r", F.lit(True).alias("matched"))
+
+
 def meteor(
     pairs: DataFrame, keys: list[str], candidate: str, candidate_stems: str,
-    reference: str, reference_stems: str,
+    reference: str, reference_stems: str, synonyms: DataFrame | None = None,
 ) -> DataFrame:
     """``keys`` and ``meteor``.
 
     A stage pairs equal forms from the end of both texts: the k-th last occurrence on one
     side with the k-th last on the other. The stem stage sees what the exact stage
     left. Everything groups by pair, so the pairs are shuffled once.
+
+    synonyms: word, set_id; without it there is no synonym stage. As in the reference, it looks
+    up the stems that the stem stage left: from the end, each takes the last free stem of the
+    other text that shares a set with it.
     """
     base = pairs.repartition(*keys).select(
         *keys, F.size(candidate).alias("c_len"), F.size(reference).alias("r_len"),
@@ -55,6 +82,8 @@ def meteor(
         .groupBy(*lens, "stem", "k", "settled").agg(F.max("c").alias("c"), F.max("r").alias("r"))
         .withColumn("matched", F.col("c").isNotNull() & F.col("r").isNotNull())
     )
+    if synonyms is not None:
+        matches = matches.unionByName(_synonym_matches(matches, lens, synonyms), allowMissingColumns=True)
     in_order = Window.partitionBy(*keys, "matched").orderBy("c")
     follows = (F.col("c") == F.lag("c").over(in_order) + 1) & (F.col("r") == F.lag("r").over(in_order) + 1)
     counted = (

@@ -55,13 +55,13 @@ def bleu_token_pairs(candidates: DataFrame, references: DataFrame) -> DataFrame:
 def score_table(
     candidates: DataFrame, references: DataFrame,
     sentence_vectors: DataFrame | None = None, token_vectors: DataFrame | None = None,
-    metrics: tuple[str, ...] = METRICS,
+    metrics: tuple[str, ...] = METRICS, synonyms: DataFrame | None = None,
 ) -> DataFrame:
     """One row per (candidate_id, model_id) with the chosen metrics.
 
     sentence_vectors: text_id, embedding; token_vectors: text_id, pos, embedding; both refer
     to the ``candidate_text_id`` and ``ref_text_id`` columns of the inputs. Without them
-    the metric is NULL.
+    the metric is NULL. synonyms: see ``meteor``.
     """
     unknown = sorted(set(metrics) - set(METRICS))
     if unknown:
@@ -88,7 +88,7 @@ def score_table(
             scores = scores.join(scored.select(*KEYS, "rouge"), KEYS)
         if "meteor" in metrics:
             scores = scores.join(meteor.meteor(
-                token_pairs, KEYS, "c_words", "c_words_stems", "r_words", "r_words_stems"), KEYS)
+                token_pairs, KEYS, "c_words", "c_words_stems", "r_words", "r_words_stems", synonyms), KEYS)
 
     if "sbert" in metrics:
         scores = scores.join(_sentence_cosine(pairs, sentence_vectors), KEYS, "left") \

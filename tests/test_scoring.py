@@ -185,3 +185,42 @@ def test_responses_are_scored_by_all_metrics(spark):
     assert got[2, None].reject_reason and got[2, None].sbert is None
     with pytest.raises(ValueError):
         plan.evaluate_responses(pairs, responses.drop("ref_text_id"), "pair_id", sentence_vectors=sentences)
+
+
+def brute_meteor(own, other, sets):
+    """Exact words, then words sharing a set, each from the end; all words here are their own stems."""
+    own, other, found = list(enumerate(own)), list(enumerate(other)), []
+    sizes = len(own), len(other)
+    for same in (lambda a, b: a == b, lambda a, b: sets.get(a, set()) & sets.get(b, set())):
+        for c in own[::-1]:
+            r = next((r for r in other[::-1] if same(c[1], r[1])), None)
+            if r:
+                found.append((c[0], r[0]))
+                own.remove(c)
+                other.remove(r)
+    if not found:
+        return 0.0
+    found.sort()
+    chunks = 1 + sum((b[0] - a[0], b[1] - a[1]) != (1, 1) for a, b in zip(found, found[1:]))
+    p, r = len(found) / sizes[0], len(found) / sizes[1]
+    return (1 - 0.5 * (chunks / len(found)) ** 3) * p * r / (0.9 * p + 0.1 * r)
+
+
+def test_meteor_with_a_synonym_table(spark):
+    rng = random.Random(4)
+    sets = {"big": {1}, "grand": {1, 2}, "top": {2}, "cat": {3}, "tom": {3}, "dot": {4}}
+    words = [*sets, "red", "sun"]
+    texts = [(["a", "big", "cat"], ["a", "grand", "tom"]), (["red"], ["sun"])] + [
+        tuple([rng.choice(words) for _ in range(rng.randint(1, 9))] for _ in "ab") for _ in range(40)]
+    candidates = spark.createDataFrame(
+        [(i, i, " ".join(a)) for i, (a, _) in enumerate(texts)], "candidate_id int, question_id int, candidate string")
+    references = spark.createDataFrame(
+        [(i, "m", " ".join(b)) for i, (_, b) in enumerate(texts)], "question_id int, model_id string, ref_text string")
+    table = spark.createDataFrame([(w, s) for w, ids in sets.items() for s in ids], "word string, set_id int")
+    scored = lambda **more: {r.candidate_id: r.meteor for r in plan.score_table(
+        candidates, references, metrics=("meteor",), **more).collect()}
+    with_table, without = scored(synonyms=table), scored()
+    assert len(with_table) == len(texts) and with_table[0] == pytest.approx(1 - 0.5 / 27)  # one chunk of three
+    for i, (a, b) in enumerate(texts):
+        assert with_table[i] == pytest.approx(brute_meteor(a, b, sets)), texts[i]
+        assert without[i] == pytest.approx(brute_meteor(a, b, {})), texts[i]
