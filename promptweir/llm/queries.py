@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptweir.llm import chat, embed_dedup, langid, mixing, ngram_join, packing, quality, sql, topk, urls, warc
+from promptweir.llm import (
+    chat, embed_dedup, langid, lexical, lines, mixing, ngram_join, packing, quality, runs, sql, topk, urls, warc)
 from promptweir.llm.common import table
 from promptweir.session import shared_dir
 
@@ -75,12 +77,46 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.col("lang_held_out").alias("held_out"), "language.lang_pred", "language.score")
 
 
+def planted(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words of a document, periodic from a place on in a tenth of the documents."""
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+
+
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(table(spark, sf_dir, "documents"), edit=planted)
+    line = lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","),
+                              r["period"].cast("string"), F.lit("\n"))
+    # Exact: of two exponents the one with the larger cross product is larger.
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), lambda a, r: F.when(
+        r["length"].cast("decimal(20,0)") * a["period"] > a["length"].cast("decimal(20,0)") * r["period"], r).otherwise(a))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op12_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.without_common_lines(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_chat, op2_quality, op3_warc, op4_ngram_join, op5_mixing, op6_embed_dedup, op7_packing, op8_topk, op9_urls,
-        op10_langid)}
+        op10_langid, op11_runs, op12_lines, op13_search)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {"op1_chat": sql.OP1, "op3_warc": sql.OP3, "op4_ngram_join": sql.OP4, "op6_embed_dedup": sql.OP6,
-            "op8_topk": sql.OP8}
+            "op8_topk": sql.OP8, "op11_runs": sql.OP11, "op12_lines": sql.OP12, "op13_search": sql.OP13}

@@ -91,3 +91,74 @@ scored AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5
 """
+
+OP12 = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(0, len(string_split(coalesce(text, ''), chr(10))))) AS i
+  FROM documents),
+k AS (
+  SELECT *, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+c AS (
+  SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+m AS (SELECT k.*, c.key IS NOT NULL AND c.keeper <> k.doc_id AS gone FROM k LEFT JOIN c ON k.key = c.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
+OP13 = r"""
+WITH t AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+n AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY doc_id),
+f AS (SELECT count(*) AS N, sum(n)::BIGINT AS L FROM n),
+i AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+w AS (
+  SELECT term, floor(1000 * ln((2 * f.N + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+  FROM (SELECT term, count(*) AS df FROM tf WHERE term IN (SELECT term FROM i) GROUP BY term), f),
+s AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n.n * f.N) // f.L)))))::BIGINT AS score
+  FROM i JOIN w USING (term) JOIN tf USING (term) JOIN n USING (doc_id), f GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 50
+"""
+
+OP11 = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, 
+    xor(4294967295, list_reduce(
+      flatten(list_transform(range(1, 1 + length(CAST(doc_id AS VARCHAR))), lambda j: [ord(CAST(doc_id AS VARCHAR)[j]), -1, -1, -1, -1, -1, -1, -1, -1])),
+      lambda x, y: CASE WHEN y >= 0 THEN xor(x, y) WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END, 4294967295)) AS h
+  FROM documents),
+e AS (SELECT *, len(w) AS n, h // 10 AS g FROM d),
+f AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n ELSE n END AS a, 1 + (n - CASE WHEN n > 0 THEN g % n END) // (3 + g % 8) AS p FROM e),
+o AS (
+  SELECT doc_id, n, i, w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END] AS w
+  FROM (SELECT *, unnest(range(0, n)) AS i FROM f)),
+same AS (
+  SELECT x.doc_id, x.i, y.i - x.i AS p FROM o x JOIN o y ON x.doc_id = y.doc_id AND x.w = y.w AND y.i > x.i AND 3 * (y.i - x.i) <= x.n),
+islands AS (
+  SELECT doc_id, p, min(i) AS s, count(*) + p AS len
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS k FROM same) GROUP BY doc_id, p, k
+  HAVING count(*) + p >= greatest(24, 3 * p)),
+runs AS (
+  SELECT * FROM islands r WHERE NOT EXISTS (
+    SELECT 1 FROM islands q WHERE q.doc_id = r.doc_id AND q.p < r.p AND r.p % q.p = 0 AND q.s <= r.s AND q.s + q.len >= r.s + r.len)),
+best AS (
+  SELECT r.*, row_number() OVER (PARTITION BY r.doc_id ORDER BY len::DOUBLE / r.p DESC, s, r.p) AS place FROM runs r),
+told AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || len || ',' || p || chr(10), '' ORDER BY s, p) AS runs FROM runs GROUP BY doc_id),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(s + p, s + len)) AS i FROM runs),
+kept AS (
+  SELECT o.doc_id, string_agg(o.w, ' ' ORDER BY o.i) AS text FROM o LEFT JOIN gone ON gone.doc_id = o.doc_id AND gone.i = o.i
+  WHERE gone.i IS NULL GROUP BY o.doc_id)
+SELECT f.doc_id, coalesce(n_runs, 0) AS n_runs, b.s AS start, b.len AS length, b.p AS period,
+  CAST(1000 * b.len // b.p AS BIGINT) AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256,
+  sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM f LEFT JOIN best b ON b.doc_id = f.doc_id AND b.place = 1 LEFT JOIN told ON told.doc_id = f.doc_id LEFT JOIN kept ON kept.doc_id = f.doc_id
+"""
