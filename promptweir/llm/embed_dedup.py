@@ -129,22 +129,23 @@ def link(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", lab
     Only vectors with equal labels that are not NULL are compared. A vector that is NULL, empty or
     zero or has a component that is no finite number links with nothing, as does a row without
     label or key. Repeated rows are vectors of their own that link with each other; rows with equal
-    keys share a component. Vectors of different lengths are never linked.
+    keys and different vectors have links and components of their own. Vectors of different lengths are never linked.
     """
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("vector"), F.col(label).alias("label"))
     zero = F.forall("vector", lambda x: x == 0)
     fit = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite_vector(F.col("vector")) & ~zero
     rows = rows.withColumn("vector", F.when(fit, F.col("vector")))
     classes = written(rows.where("vector IS NOT NULL").groupBy("label", "vector").agg(
-        F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies")), "classes")
+        F.xxhash64("label", "vector").alias("node"), F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies")), "classes")
     n = classes.count()
     wanted = min(MOST_PIVOTS, max(LEAST_PIVOTS, n // CLASSES_PER_PIVOT))
-    sample = classes.orderBy(F.xxhash64("node"), "node").limit(wanted).select("vector").toPandas()["vector"]
+    sample = classes.orderBy("node").limit(wanted).select("vector").toPandas()["vector"]  # at most MOST_PIVOTS rows
     pivots: dict[int, np.ndarray] = {}
     for size in {len(v) for v in sample}:
         pivots[size] = apart(_unit(np.stack([v for v in sample if len(v) == size])))
-    described = written(classes.mapInPandas(
-        _naming(pivots, named), classes.select("label", "vector", "node", "copies", F.lit(None).cast("array<int>").alias("pivots")).schema),
+    named_classes = classes.drop("least")
+    described = written(named_classes.mapInPandas(
+        _naming(pivots, named), named_classes.select("label", "vector", "node", "copies", F.lit(None).cast("array<int>").alias("pivots")).schema),
         "described").withColumn("dims", F.size("vector"))
     lists = described.select("label", "dims", F.explode("pivots").alias("pivot"), "node", "copies", "vector", "pivots")
     sizes = lists.groupBy("label", "dims", "pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
@@ -158,10 +159,12 @@ def link(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", lab
         _compare(cosine, shared), "node long, links long, root long"), "links")
     counts = found.groupBy(F.col("node").alias("c_node")).agg(F.sum("links").alias("links"))
     labels = components(found, "node", "root").select(F.col("node").alias("l_node"), "component")
-    known = classes.join(counts, F.col("node") == F.col("c_node"), "left").join(
-        labels, F.col("node") == F.col("l_node"), "left").select(
+    rooted = classes.join(counts, F.col("node") == F.col("c_node"), "left").join(
+        labels, F.col("node") == F.col("l_node"), "left").withColumn("root", F.coalesce("component", "node"))
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("smallest"))
+    known = rooted.join(smallest, "root").select(
         F.col("label").alias("k_label"), F.col("vector").alias("k_vector"),
-        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
+        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("smallest").alias("component"))
     out = rows.join(known, (F.col("label") == F.col("k_label")) & (F.col("vector") == F.col("k_vector")), "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"),
