@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import json
-
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -13,7 +11,6 @@ from promptweir.operators import numbering
 from promptweir.operators.pairs import content_text
 from promptweir.session import written
 
-WAITING_STATE = "pos bigint, content string, user_id string, ts_ms bigint"
 PAIR_SCHEMA = (
     "conv_id string, pos bigint, user_id string, user_query string, user_ts timestamp, "
     "llm_answer string, answer_pos bigint, answer_ts timestamp"
@@ -22,71 +19,219 @@ NUMBERED_SCHEMA = (
     "user_id string, query_number bigint, conv_id string, pos bigint, user_query string, "
     "user_ts timestamp, llm_answer string, answer_ts timestamp"
 )
+FATE_SCHEMA = f"status string, settled timestamp, {PAIR_SCHEMA}"
+NUMBERED_FATES = f"query_number bigint, {FATE_SCHEMA}"
 
 PAIR_NAMES = [c.split()[0] for c in PAIR_SCHEMA.split(", ")]
 NUMBERED_NAMES = [c.split()[0] for c in NUMBERED_SCHEMA.split(", ")]
+FATE_NAMES = [c.split()[0] for c in FATE_SCHEMA.split(", ")]
+
+#: What becomes of a turn that has a time and a role: a question with its answer, an answer that some
+#: question took, an answer to nothing, a question that waited too long, a turn behind the watermark.
+PAIRED, ANSWER, UNASKED, TIMED_OUT, LATE = "paired", "answer", "unasked", "timed_out", "late"
+#: What keeps a turn out of the matching.
+NO_TIME, NO_ROLE = "no time", "other role"
 
 
 def _time(ms: int) -> pd.Timestamp:
     return pd.Timestamp(ms, unit="ms", tz="UTC")
 
 
-class PairTurns(StatefulProcessor):
-    """Holds turns until the watermark passes them, then matches them in time order.
+class InTimeOrder(StatefulProcessor):
+    """Holds the rows of a key until the watermark passes them and hands them out in order.
 
-    Waiting for the watermark makes the result independent of arrival order. Timers
-    fire in time order and each touches only the turns of its own instant, so a long
-    conversation is never loaded as a whole. A user turn without an answer is dropped
-    ``timeout_ms`` after its own time.
+    Waiting makes the result independent of the order of arrival. Rows lie in buckets of time, each a
+    state value of its own with a list per column, so that no more than a bucket is in memory,
+    and one timer per key stands for the earliest thing to do. Rows behind what has been handed out
+    go to `late`.
     """
 
-    def __init__(self, timeout_ms: int):
-        self.timeout_ms = timeout_ms
+    #: Name and type of the columns kept; the first is the time in ms, and rows are ordered by all in turn.
+    columns: tuple[tuple[str, str], ...]
+
+    def __init__(self, bucket_ms: int = 600_000):
+        self.bucket_ms = bucket_ms
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.turns = handle.getMapState("turns", "ts_ms bigint", "rows string")
-        self.waiting = handle.getListState("waiting", WAITING_STATE)
-        self.oldest = handle.getValueState("oldest", "ms bigint")  # time of the first waiting turn
+        self.held = handle.getMapState("held", "bucket bigint", ", ".join(f"{c} array<{t}>" for c, t in self.columns))
+        self.clock = handle.getValueState("clock", "wakes bigint, done bigint")
+
+    def late(self, key, rows: list[tuple], now: int) -> list[tuple]:
+        raise NotImplementedError
+
+    def settle(self, key, rows: list[tuple]) -> list[tuple]:
+        """Output for rows in order."""
+        raise NotImplementedError
+
+    def after(self, key, now: int) -> tuple[list[tuple], int | None]:
+        """Output once all rows up to `now` are settled, and when to come back if no row does."""
+        return [], None
+
+    def frame(self, rows: list[tuple]) -> pd.DataFrame:
+        raise NotImplementedError
 
     def handleInputRows(self, key, rows, timerValues):
+        now = timerValues.getCurrentWatermarkInMs()
+        wakes, done = self.clock.get() if self.clock.exists() else (None, None)
+        first = wakes
         for batch in rows:
-            for ts, same in batch.groupby("ts_ms"):
-                instant = (int(ts),)
-                known = json.loads(self.turns.getValue(instant)[0]) if self.turns.containsKey(instant) else []
-                known += [[int(p), r, c, u] for p, r, c, u in zip(
-                    same["pos"], same["role"], same["content"], same["user_id"])]
-                self.turns.updateValue(instant, (json.dumps(known),))
-                self.handle.registerTimer(instant[0])
-        return iter([])
+            # Through objects, as missing numbers would turn a column of whole ones into fractions.
+            arrived = list(zip(*[[None if pd.isna(x) else int(x) if t == "bigint" else x for x in batch[c]]
+                                 for c, t in self.columns]))
+            behind = [r for r in arrived if done is not None and r[0] <= done]
+            if behind:
+                yield self.frame(self.late(key, behind, max(now, done) + 1))  # output must lie ahead of the watermark
+            buckets: dict[int, list[tuple]] = {}
+            for r in arrived:
+                if done is None or r[0] > done:
+                    buckets.setdefault(r[0] // self.bucket_ms, []).append(r)
+            for bucket, own in buckets.items():
+                self._hold(bucket, self._held(bucket) + own)
+                least = min(r[0] for r in own)
+                first = least if first is None else min(first, least)
+        self._wake(wakes, first, done)
+
+    def _held(self, bucket: int) -> list[tuple]:
+        return list(zip(*self.held.getValue((bucket,)))) if self.held.containsKey((bucket,)) else []
+
+    def _hold(self, bucket: int, rows: list[tuple]) -> None:
+        self.held.updateValue((bucket,), tuple(map(list, zip(*rows))))
+
+    def _wake(self, before: int | None, at: int | None, done: int | None) -> None:
+        if before != at:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            if at is not None:
+                self.handle.registerTimer(at)
+        self.clock.update((at, done))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        pairs = []
-        if self.turns.containsKey((now,)):
-            at_once = json.loads(self.turns.getValue((now,))[0])
-            for pos, role, content, user in sorted(at_once, key=lambda t: (*t[:3], t[3] or "")):
-                if role == "user":
-                    self.waiting.appendValue((pos, content, user, now))
-                    if not self.oldest.exists():
-                        self.oldest.update((now,))
-                    self.handle.registerTimer(now + self.timeout_ms)
-                else:
-                    pairs += [(key[0], p, u, c, _time(t), content, pos, _time(now))
-                              for p, c, u, t in self.waiting.get()]
-                    self.waiting.clear()
-                    self.oldest.clear()
-            self.turns.removeKey((now,))
-        if self.oldest.exists() and self.oldest.get()[0] + self.timeout_ms <= now:
-            fresh = [tuple(w) for w in self.waiting.get() if w[3] + self.timeout_ms > now]
-            self.waiting.put(fresh) if fresh else self.waiting.clear()
-            self.oldest.update((fresh[0][3],)) if fresh else self.oldest.clear()
-        return iter([pd.DataFrame(pairs, columns=PAIR_NAMES)] if pairs else [])
+        now = timerValues.getCurrentWatermarkInMs()
+        following = None
+        for bucket in sorted(k[0] for k in self.held.keys()):
+            if bucket * self.bucket_ms > now:
+                following = min(r[0] for r in self._held(bucket))
+                break
+            rows = sorted(self._held(bucket), key=lambda r: tuple((x is not None, x) for x in r))
+            due = [r for r in rows if r[0] <= now]
+            if out := self.settle(key, due):
+                yield self.frame(out)
+            if len(due) < len(rows):
+                self._hold(bucket, rows[len(due):])
+                following = rows[len(due)][0]
+                break
+            self.held.removeKey((bucket,))
+        out, back = self.after(key, now)
+        if out:
+            yield self.frame(out)
+        times = [t for t in (following, back) if t is not None]
+        self._wake(None, min(times, default=None), now)
 
     def close(self) -> None:
         pass
 
 
+class PairTurns(InTimeOrder):
+    """Matches the turns of a conversation in time order: every question with the nearest later
+    answer, if that comes within ``timeout_ms``. Each turn leaves once, with what became of it."""
+
+    columns = (("ts_ms", "bigint"), ("pos", "bigint"), ("role", "string"), ("content", "string"), ("user_id", "string"))
+
+    def __init__(self, timeout_ms: int, bucket_ms: int = 600_000):
+        super().__init__(bucket_ms)
+        self.timeout_ms = timeout_ms
+
+    def init(self, handle) -> None:
+        super().init(handle)
+        self.waiting = handle.getListState("waiting", "ts_ms bigint, pos bigint, content string, user_id string")
+
+    def frame(self, rows):
+        return pd.DataFrame(rows, columns=FATE_NAMES)
+
+    @staticmethod
+    def _asked(key, status, settled, turn, answer=(None, None, None)):
+        ts, pos, content, user = turn
+        text, at, when = answer
+        return (status, _time(settled), key[0], pos, user, content, _time(ts), text, at, when)
+
+    @staticmethod
+    def _said(key, status, settled, turn):
+        ts, pos, _, content, user = turn
+        return (status, _time(settled), key[0], None, user, None, None, content, pos, _time(ts))
+
+    def late(self, key, rows, now):
+        return [self._asked(key, LATE, now, (r[0], r[1], *r[3:])) if r[2] == "user" else self._said(key, LATE, now, r)
+                for r in rows]
+
+    def settle(self, key, rows):
+        waiting, out = [tuple(w) for w in self.waiting.get()] if rows else [], []
+        for row in rows:
+            ts, pos, role, content, user = row
+            if role == "user":
+                waiting.append((ts, pos, content, user))
+                continue
+            pairs = [self._asked(key, PAIRED, ts, w, (content, pos, _time(ts))) for w in waiting if ts - w[0] <= self.timeout_ms]
+            out += [self._asked(key, TIMED_OUT, ts, w) for w in waiting if ts - w[0] > self.timeout_ms]
+            out += [*pairs, self._said(key, ANSWER if pairs else UNASKED, ts, row)]
+            waiting = []
+        if rows:
+            self.waiting.put(waiting) if waiting else self.waiting.clear()
+        return out
+
+    def after(self, key, now):
+        waiting = [tuple(w) for w in self.waiting.get()]
+        gone = [w for w in waiting if w[0] + self.timeout_ms <= now]
+        left = waiting[len(gone):]
+        if gone:
+            self.waiting.put(left) if left else self.waiting.clear()
+        return ([self._asked(key, TIMED_OUT, now + 1, w) for w in gone],
+                left[0][0] + self.timeout_ms if left else None)
+
+
+class NumberPairs(InTimeOrder):
+    """Counts the pairs of a user in order of their answers; other fates pass through."""
+
+    columns = (("answer_ms", "bigint"), ("conv_id", "string"), ("pos", "bigint"), ("user_query", "string"),
+               ("user_ms", "bigint"), ("llm_answer", "string"), ("answer_pos", "bigint"))
+
+    def init(self, handle) -> None:
+        super().init(handle)
+        self.count = handle.getValueState("count", "n bigint")
+
+    def frame(self, rows):
+        return pd.DataFrame(rows, columns=["query_number", *FATE_NAMES])
+
+    def handleInputRows(self, key, rows, timerValues):
+        passing: list[pd.DataFrame] = []
+
+        def pairs():
+            for batch in rows:
+                paired = batch["status"] == PAIRED
+                if not paired.all():
+                    passing.append(batch.loc[~paired, FATE_NAMES].assign(query_number=None))
+                if paired.any():
+                    yield batch[paired]
+
+        for out in super().handleInputRows(key, pairs(), timerValues):
+            while passing:
+                yield passing.pop()
+            yield out
+        yield from passing
+
+    def late(self, key, rows, now):
+        return self.settle(key, rows)  # no pair comes after the watermark that its answer waited for
+
+    def settle(self, key, rows):
+        n, out = self.count.get()[0] if self.count.exists() else 0, []
+        for ms, conv, pos, query, asked_ms, answer, answer_pos in rows:
+            n += 1
+            out.append((n, PAIRED, _time(ms), conv, pos, key[0], query, _time(asked_ms), answer, answer_pos, _time(ms)))
+        if rows:
+            self.count.update((n,))
+        return out
+
+
 class NumberedPairs:
     """Numbers a user's answered prompts, call by call, into a folder; fit for ``foreachBatch``.
 
@@ -121,19 +266,50 @@ class NumberedPairs:
         return spark.read.schema(NUMBERED_SCHEMA).parquet(f"{self.base}/rows").select(*NUMBERED_NAMES)
 
 
-def pair_stream(turns: DataFrame, lateness: str, timeout_ms: int) -> DataFrame:
-    """Pairs of a turn stream (conv_id, pos, role, content, user_id, ts).
+def reject_reason(ts: Column, role: Column) -> Column:
+    """Why a turn cannot be matched; NULL if it can."""
+    return F.when(ts.isNull(), NO_TIME).when(~F.coalesce(F.lower(role).isin("user", "assistant"), F.lit(False)), NO_ROLE)
+
+
+def dead_letters(turns: DataFrame) -> DataFrame:
+    """The turns that no matching takes, whole, with ``reject_reason``. Without state: a second sink
+    of the stream that ``fates`` reads."""
+    reason = reject_reason(F.col("ts"), F.col("role"))
+    return turns.withColumn("reject_reason", reason).where("reject_reason IS NOT NULL")
+
+
+def fates(turns: DataFrame, lateness: str, timeout_ms: int, bucket_ms: int = 600_000) -> DataFrame:
+    """What becomes of the turns of a stream (conv_id, pos, role, content, user_id, ts), as ``FATE_SCHEMA``.
 
-    Content is stripped and never NULL, as in the batch form; a turn without a position comes
-    before the others of its instant; a turn without a time cannot be placed and is left out.
+    Every turn that has a time and the role user or assistant leaves once, with a status; those
+    still in state when the stream ends are waiting. The others are ``dead_letters``. A question fills
+    the user columns, with its answer's beside them if it is paired; any other answer fills the answer
+    columns only. Content is stripped and never NULL, as in the batch form; a turn without a position
+    comes before the others of its instant. ``content`` is held in state until a turn is settled: where
+    texts are long and stored anyway, pass a key of the turn and join the texts to the pairs.
     """
     kept = (
         turns.withWatermark("ts", lateness)
-        .withColumn("role", F.lower("role")).where(F.col("role").isin("user", "assistant"))
-        .where("ts IS NOT NULL")
+        .withColumn("role", F.lower("role")).where(reject_reason(F.col("ts"), F.col("role")).isNull())
+        # Without its event-time column Spark does not drop late rows: they get their status.
         .select(F.col("conv_id").cast("string").alias("conv_id"), F.coalesce("pos", F.lit(-1)).cast("bigint").alias("pos"), "role",
-                content_text(F.col("content")).alias("content"), "user_id", "ts", F.unix_millis("ts").alias("ts_ms"))
+                content_text(F.col("content")).alias("content"), F.col("user_id").cast("string").alias("user_id"),
+                F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"))
     )
     return kept.groupBy("conv_id").transformWithStateInPandas(
-        statefulProcessor=PairTurns(timeout_ms), outputStructType=PAIR_SCHEMA, outputMode="Append",
-        timeMode="EventTime", eventTimeColumnName="answer_ts")
+        statefulProcessor=PairTurns(timeout_ms, bucket_ms), outputStructType=FATE_SCHEMA, outputMode="Append",
+        timeMode="EventTime", eventTimeColumnName="settled")
+
+
+def numbered_fates(turns: DataFrame, lateness: str, timeout_ms: int, bucket_ms: int = 600_000) -> DataFrame:
+    """``fates`` with ``query_number``, the place of a pair among its user's in order of answers, counted on
+    from trigger to trigger by a second stateful operator that follows the first."""
+    settled = fates(turns, lateness, timeout_ms, bucket_ms).withColumns(
+        {"user_ms": F.unix_millis("user_ts"), "answer_ms": F.unix_millis("answer_ts")})
+    return settled.groupBy("user_id").transformWithStateInPandas(
+        statefulProcessor=NumberPairs(bucket_ms), outputStructType=NUMBERED_FATES, outputMode="Append", timeMode="EventTime")
+
+
+def pair_stream(turns: DataFrame, lateness: str, timeout_ms: int) -> DataFrame:
+    """Only the pairs of ``fates``."""
+    return fates(turns, lateness, timeout_ms).where(F.col("status") == PAIRED).select(*PAIR_NAMES)

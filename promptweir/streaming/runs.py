@@ -19,13 +19,15 @@ def source(spark: SparkSession, folder: str, name: str, files_per_trigger: int |
     return reader.parquet(f"{folder}/{name[:-1]}[{name[-1]}]")  # a stream takes one file only by a pattern
 
 
-def run_available(stream: DataFrame, purpose: str, keyed_state: bool = False) -> DataFrame:
+def run_available(stream: DataFrame, purpose: str, keyed_state: bool = False, base: str | None = None,
+                  partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Processes all input that is available and returns what was written.
 
-    Output and progress go to the shared folder, so a restarted run continues there.
+    Output and progress go to a folder, a fresh one in the shared folder unless ``base`` names one that
+    an earlier run has left: a run continues where the last one in its folder ended.
     """
     spark = stream.sparkSession
-    base = shared_dir(spark, purpose)
+    base = base or shared_dir(spark, purpose)
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider, None)
     if keyed_state:
@@ -33,7 +35,7 @@ def run_available(stream: DataFrame, purpose: str, keyed_state: bool = False) ->
     try:
         query = (
             stream.writeStream.format("parquet").outputMode("append")
-            .option("checkpointLocation", f"{base}/progress").option("path", f"{base}/rows")
+            .option("checkpointLocation", f"{base}/progress").option("path", f"{base}/rows").partitionBy(*partition_by)
             .trigger(availableNow=True).start()
         )
         query.awaitTermination()
