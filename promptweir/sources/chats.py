@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from promptweir.sources import ranges
+
 MESSAGE = T.StructType([
     T.StructField("role", T.StringType()),
     T.StructField("content", T.StringType()),
@@ -42,21 +44,32 @@ PAIR = T.StructType([
 ])
 
 
+#: Bits of a document's place in its file; those above number the files.
+RECORD_BITS = 40
+
+
 def read_chats(
     spark: SparkSession, path: str, layout: str = "array", order_column: str | None = None
 ) -> DataFrame:
     """Chat documents with a ``doc_seq`` order column.
 
-    ``layout="array"`` reads files holding one JSON array; such a file cannot be split, so
-    ``layout="lines"`` (one document per line) is the form for large inputs.
+    ``layout="array"`` reads files that hold one JSON array (or one object); a large file is read in ranges
+    by many tasks. ``layout="lines"`` reads one document per line, ``layout="whole"`` array files
+    by Spark's own reader, each in one task, where one malformed document makes the whole file malformed
+    and timestamps kept as text keep the blanks between their tokens.
     ``order_column`` names a BIGINT field that already orders the documents. Without it
     the order of documents within and across files is taken from the input itself.
     """
     schema = CHAT if order_column is None else T.StructType([*CHAT.fields, T.StructField(order_column, T.LongType())])
-    reader = spark.read.schema(schema)
     if layout == "array":
-        reader = reader.option("multiLine", True)
-    docs = reader.json(path)
+        found = ranges.records(spark, path, ranges.ObjectsOfArray()).select(
+            (F.shiftleft("file", RECORD_BITS) + F.col("record")).alias("_place"), F.from_json("body", schema).alias("doc"))
+        docs = found.select("doc.*", "_place")
+        if order_column is None:
+            return docs.withColumnRenamed("_place", "doc_seq")
+        docs = docs.drop("_place")
+    else:
+        docs = spark.read.schema(schema).option("multiLine", layout == "whole").json(path)
     if order_column is not None:
         return docs.withColumnRenamed(order_column, "doc_seq")
     return docs.withColumn("doc_seq", F.monotonically_increasing_id())
@@ -69,16 +82,16 @@ def write_pairs_csv(pairs: DataFrame, path: str) -> None:
 
 
 def read_pairs_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Pair rows written by ``write_pairs_csv``.
+    """Pair rows written by ``write_pairs_csv``; a large file is read in ranges by many tasks, with line
+    breaks inside quotes wherever a range begins.
 
     An empty CSV field reads as NULL; the two texts are never NULL in a pair row, so
     there it means the empty text.
     """
-    rows = (
-        spark.read.schema(PAIR).option("header", True).option("multiLine", True)
-        .option("quote", '"').option("escape", '"').csv(path)
-    )
-    return rows.fillna("", ["user_query", "LLM_answer"])
+    found = ranges.records(spark, path, ranges.QuotedLines()).where("record > 0")  # the header
+    row = F.from_csv("body", PAIR.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "),
+                     {"quote": '"', "escape": '"', "mode": "PERMISSIVE"})
+    return found.select(row.alias("row")).select("row.*").fillna("", ["user_query", "LLM_answer"])
 
 
 def write_pairs(pairs: DataFrame, path: str) -> None:
