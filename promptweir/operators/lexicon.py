@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from promptweir.functions import text as tx
+from promptweir.operators import automata
 
 ORIGINS = ("expansion", "preserved", "short", "plural", "acronym")
 
@@ -84,47 +85,13 @@ def terms_by_join(normalized: DataFrame, lexicon: DataFrame, key: str = "prompt_
     """Key terms against a lexicon of any size; same result as the literal form, so a prompt
     without a hit has an empty array. Prompts with equal keys are one prompt.
 
-    Single words join on the cleaned token. A multi-word term may begin inside a token
-    and end inside another, so it is anchored on the tail of the token it begins in: each
-    tail joins on the term's first word, and the few tokens after it, kept beside the
-    token, settle the rest. The work grows with the words of a text, not with their square.
+    Texts stay where they are and meet the lexicon block by block, see ``automata``; only hits travel.
     """
-    words = normalized.select(key, F.split(text, " ").alias("w")).select(
-        key, "w", F.posexplode_outer("w").alias("i", "t"))
-    single = (
-        words.select(key, "i", tx.clean_token(F.col("t")).alias("term"))
-        .join(lexicon.where("n_words = 1").select("term"), "term")
-        .groupBy(key, "term").agg(F.min("i").alias("i"))
-        .select(key, F.struct(F.lit(0).alias("part"), "i", "term").alias("hit"))
-    )
-    multi_lexicon = lexicon.where("n_words > 1").select(
-        "term", "n_words", F.substring_index("term", " ", 1).alias("first"))
-    bounds = multi_lexicon.agg(
-        F.struct(F.max(F.char_length("first")).alias("chars"), F.max("n_words").alias("words"))).scalar()
-    tokens = F.transform("w", lambda t, i: F.struct(
-        t.alias("t"), F.slice("w", i + 2, F.col("most.words") - 1).alias("after")))
-    placed = (
-        normalized.select(key, F.split(text, " ").alias("w"), bounds.alias("most"))
-        .where("most.words IS NOT NULL").select(key, "most", F.explode_outer(tokens).alias("at"))
-        .where("size(at.after) > 0 AND char_length(at.t) > 0")  # a term of several words ends after its first token
-    )
-    tails = placed.select(key, "at", F.explode_outer(F.sequence(
-        F.lit(1), F.least("most.chars", F.char_length("at.t")))).alias("n")).select(
-        key, F.right("at.t", F.col("n")).alias("first"), F.col("at.after").alias("after"))
-    # The outer forms keep the lexicon on the side that may be broadcast: the tails outgrow
-    # what the planner expects of them.
-    by_first = multi_lexicon.groupBy("first").agg(F.collect_list(F.struct("term", "n_words")).alias("terms"))
-    multi = (
-        tails.join(by_first, "first", "left").select(key, "first", "after", F.explode_outer("terms").alias("m"))
-        .where(F.startswith(
-            F.concat_ws(" ", "first", F.array_join(F.slice("after", F.lit(1), F.col("m.n_words") - 1), " ")),
-            F.col("m.term")))
-        .select(key, F.col("m.term").alias("term")).distinct()
-        .select(key, F.struct(F.lit(1).alias("part"), F.lit(0).alias("i"), "term").alias("hit"))
-    )
-    every = normalized.select(key, F.lit(None).cast("struct<part:int,i:int,term:string>").alias("hit"))
-    return (
-        every.unionByName(single).unionByName(multi).groupBy(key)
-        .agg(F.array_sort(F.collect_list("hit")).alias("hits"))
-        .select(key, F.transform("hits", lambda h: h["term"]).alias("key_terms"))
-    )
+    path, blocks = automata.write_blocks(lexicon.select("term", "n_words"), "terms", ["term"])
+    found = automata.with_found(
+        normalized.select(F.col(key), F.col(text).alias("_text")), "_text", "_hits", automata.HIT, path, blocks, automata.term_finder)
+    first = found.select(key, F.explode_outer("_hits").alias("h")).groupBy(
+        key, F.col("h.part").alias("part"), F.col("h.term").alias("term")).agg(F.min("h.i").alias("i"))
+    hit = F.when(F.col("term").isNotNull(), F.struct("part", "i", "term"))
+    return first.groupBy(key).agg(F.array_sort(F.collect_list(hit)).alias("hits")).select(
+        key, F.transform("hits", lambda h: h["term"]).alias("key_terms"))

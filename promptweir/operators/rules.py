@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptweir.functions import text as tx
+from promptweir.operators import automata
 from promptweir.sources.lexicons import FALLBACK_CATEGORY, LEGACY_KEYWORDS, RULES, TIER_WEIGHTS
 
 _PLAIN_WORD = re.compile(r"\w+")
@@ -101,9 +102,58 @@ def _best(scores: Column, value: str) -> Column:
         s["raw_score"].alias("raw_score"))))
 
 
+def _rule_rows(rules: DataFrame) -> DataFrame:
+    """Patterns with kind, weight and the sum of weights of their category."""
+    unknown = F.raise_error(F.concat(F.lit("no weight and no known tier: "), F.col("pattern")))
+    usual = F.element_at(F.create_map(*[F.lit(x) for pair in TIER_WEIGHTS.items() for x in pair]), F.col("tier"))
+    weight = F.coalesce(*([F.col("weight")] if "weight" in rules.columns else []), usual, unknown.cast("int"))
+    regex = F.col("is_regex") if "is_regex" in rules.columns else F.col("tier") == "phrases"
+    rows = rules.withColumn("weight", weight.cast("double")).withColumn(
+        "kind", F.when(regex, automata.PHRASE).otherwise(automata.KEYWORD))
+    return _with_top(rows.select("cat_ord", "category", "kind", "pattern", "weight").distinct())
+
+
+def _with_top(rows: DataFrame) -> DataFrame:
+    top = rows.groupBy("cat_ord", "category").agg(F.sum("weight").alias("top"))
+    return rows.join(top, ["cat_ord", "category"])
+
+
+def _found_scores(prompts: DataFrame, rows: DataFrame, text: str, out: str) -> DataFrame:
+    """Adds ``out``, like ``scores`` but of categories with hits only."""
+    path, blocks = automata.write_blocks(rows, "patterns", ["category", "pattern"])
+    found = automata.with_found(prompts, text, out, automata.SCORE, path, blocks, automata.rule_finder)
+    if blocks > 1:  # a category may have hits in several blocks
+        same = lambda s: F.filter(out, lambda x: (x["cat_ord"] == s["cat_ord"]) & (x["category"] == s["category"]))
+        total = lambda s: F.aggregate(same(s), F.lit(0.0), lambda t, x: t + x["raw_score"])
+        found = found.withColumn(out, F.array_distinct(F.transform(out, lambda s: s.withField("raw_score", total(s)))))
+    return found
+
+
+def classify_by_table(prompts: DataFrame, rules: DataFrame, text: str = "normalized_query") -> DataFrame:
+    """``classify`` with a rule table of any size, like ``lexicons.rule_frame``.
+
+    Weights are those of the table; where it has none, those of the tiers. Rows are kept with all their
+    columns; a NULL text has no hits.
+    """
+    scored = _found_scores(prompts, _rule_rows(rules), text, "scores").withColumn("scores", _with_share(F.col("scores")))
+    done = _classified(scored)
+    return done.withColumn("rule_raw_score", F.coalesce("rule_raw_score", F.lit(0.0)))
+
+
+def classify_legacy_by_table(prompts: DataFrame, keywords: DataFrame, text: str = "normalized_query") -> DataFrame:
+    """``classify_legacy`` with a keyword table of any size, like ``lexicons.keyword_frame``."""
+    rows = _with_top(keywords.select("cat_ord", "category", F.lit(automata.ANYWHERE).alias("kind"), F.col("keyword").alias("pattern"),
+                                     F.lit(1.0).alias("weight")).distinct())
+    return _legacy(_found_scores(prompts, rows, text, "_scores").withColumn("_scores", _with_share(F.col("_scores"))))
+
+
 def classify(prompts: DataFrame, rules: dict | None = None, text: str = "normalized_query") -> DataFrame:
     """Adds ``rule_category``, ``rule_confidence`` and ``rule_raw_score``."""
-    scored = score_columns(prompts, rules, text).withColumn("_best", _best(F.col("scores"), "normalized_score"))
+    return _classified(score_columns(prompts, rules, text))
+
+
+def _classified(scores: DataFrame) -> DataFrame:
+    scored = scores.withColumn("_best", _best(F.col("scores"), "normalized_score"))
     base = F.least(F.col("_best.v") * 1.5, F.lit(1.0))
     boosted = F.when(F.col("_best.raw_score") >= 8, F.least(base + 0.2, F.lit(1.0))).otherwise(base)
     hit = F.col("_best.raw_score") > 0
@@ -131,7 +181,11 @@ def classify_legacy(prompts: DataFrame, keywords: dict | None = None, text: str
             f"named_struct('cat_ord', {order}, 'category', {_text(category)}, 'raw_score', {raw}, 'top', {len(words)})")
 
     scores = _with_share(F.array(*[score(i, c, w) for i, (c, w) in enumerate(keywords.items())]))
-    scored = prompts.withColumn("_scores", scores).withColumn("_best", _best(F.col("_scores"), "normalized_score"))
+    return _legacy(prompts.withColumn("_scores", scores))
+
+
+def _legacy(scores: DataFrame) -> DataFrame:
+    scored = scores.withColumn("_best", _best(F.col("_scores"), "normalized_score"))
     hit = F.col("_best.v") > 0
     return (
         scored

@@ -15,7 +15,6 @@ from promptweir.registry.inputs import (
 from promptweir.functions import text as tx
 from promptweir.registry.prompts import FEATURES, NORMALIZED
 from promptweir.registry.verdict_sql import classifier_sql, light_sql
-from promptweir.session import written
 from promptweir.sources import lexicons
 from promptweir.sources.lexicons import (
     BASE_INSTRUCTION, CATEGORIES, CATEGORY_INSTRUCTIONS, COMPLEXITY_INSTRUCTIONS, DEFAULT_FORMAT,
@@ -32,17 +31,16 @@ def _rule_test(tier: str, pattern: str) -> str:
     return f"regexp_matches(normalized_query, {q(f'(^|{tx.NOT_WORD}){pattern}($|{tx.NOT_WORD})')})"
 
 
-def _raw(tiers) -> str:
-    return " + ".join(
-        f"CASE WHEN {_rule_test(t, p)} THEN {TIER_WEIGHTS[t]} ELSE 0 END" for t, ps in tiers.items() for p in ps)
+def _rule_scores(weight) -> str:
+    raw = lambda tiers: " + ".join(
+        f"CASE WHEN {_rule_test(t, p)} THEN {weight(t, p)} ELSE 0 END" for t, ps in tiers.items() for p in ps)
+    return "rule_scores AS (" + " UNION ALL ".join(
+        f"SELECT prompt_id, {i} AS cat_ord, {q(c)} AS category, {raw(tiers)} AS raw_score, "
+        f"{sum(weight(t, p) for t, ps in tiers.items() for p in ps)}::DOUBLE AS top FROM normalized"
+        for i, (c, tiers) in enumerate(RULES.items())) + ")"
 
 
-_RULE_SCORES = "rule_scores AS (" + " UNION ALL ".join(
-    f"SELECT prompt_id, {i} AS cat_ord, {q(c)} AS category, {_raw(tiers)} AS raw_score, "
-    f"{sum(TIER_WEIGHTS[t] * len(ps) for t, ps in tiers.items())}::DOUBLE AS top FROM normalized"
-    for i, (c, tiers) in enumerate(RULES.items())) + ")"
-
-RULE_SQL = f"""{_RULE_SCORES},
+_RULE_BEST = """
 rule_rank AS (
   SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY raw_score / top DESC, cat_ord) AS r FROM rule_scores),
 rule_result AS (
@@ -52,6 +50,8 @@ rule_result AS (
       WHEN raw_score >= 8 THEN least(least(raw_score / top * 1.5, 1) + 0.2, 1)
       ELSE least(raw_score / top * 1.5, 1) END AS rule_confidence
   FROM rule_rank WHERE r = 1)"""
+RULE_SQL = f"{_rule_scores(lambda tier, pattern: TIER_WEIGHTS[tier])},{_RULE_BEST}"
+_OWN_RULE_SQL = f"{_rule_scores(lambda tier, pattern: TIER_WEIGHTS[tier] + len(pattern) % 3)},{_RULE_BEST}"
 
 LEGACY_SQL = "legacy_scores AS (" + " UNION ALL ".join(
     f"SELECT prompt_id, {i} AS cat_ord, {q(c)} AS category, "
@@ -87,12 +87,12 @@ def legacy_rule_classify(spark, sf_dir):
 
 
 def rules_by_table(spark, sf_dir):
-    """Rules and keywords written as tables and read back, as a caller's own would be."""
-    saved = [written(lexicons.rule_frame(spark), "rules"), written(lexicons.keyword_frame(spark), "keywords")]
-    done = rules.classify(_normalized(spark, sf_dir), lexicons.rules_from(saved[0]))
-    done = rules.classify_legacy(done, lexicons.keywords_from(saved[1]))
+    """Rules and keywords as tables, as a caller's own would be, with weights of their own."""
+    own = lexicons.rule_frame(spark).withColumn("weight", F.col("weight") + F.length("pattern") % 3)
+    done = rules.classify_by_table(_normalized(spark, sf_dir), own)
+    done = rules.classify_legacy_by_table(done, lexicons.keyword_frame(spark))
     return done.select(
-        "prompt_id", "rule_category", F.round("rule_confidence", 6).alias("rule_confidence"),
+        "prompt_id", "rule_raw_score", "rule_category", F.round("rule_confidence", 6).alias("rule_confidence"),
         "legacy_category", F.round("legacy_confidence", 6).alias("legacy_confidence"))
 
 
@@ -344,8 +344,8 @@ SELECT prompt_id, category, CAST(raw_score AS BIGINT) AS raw_score, round(raw_sc
 FROM rule_scores""",
     "rule_classify": f"""{_DOC_RULES}
 SELECT prompt_id, rule_category, round(rule_confidence, 6) AS rule_confidence FROM rule_result""",
-    "rules_by_table": f"""{_DOC_RULES}, {LEGACY_SQL}
-SELECT prompt_id, rule_category, round(rule_confidence, 6) AS rule_confidence,
+    "rules_by_table": f"""WITH {DOCUMENT_PROMPTS}, {NORMALIZED}, {_OWN_RULE_SQL}, {LEGACY_SQL}
+SELECT prompt_id, rule_raw_score::DOUBLE AS rule_raw_score, rule_category, round(rule_confidence, 6) AS rule_confidence,
   legacy_category, round(legacy_confidence, 6) AS legacy_confidence FROM rule_result JOIN legacy_result USING (prompt_id)""",
     "legacy_rule_classify": f"""WITH {DOCUMENT_PROMPTS}, {NORMALIZED}, {LEGACY_SQL}
 SELECT prompt_id, legacy_category, round(legacy_confidence, 6) AS legacy_confidence FROM legacy_result""",

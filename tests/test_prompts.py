@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from promptweir.operators import ensemble, features, lexicon, rules
+from promptweir.operators import automata, ensemble, features, lexicon, rules
 from promptweir.sources import lexicons
 from promptweir.sources.lexicons import Lexicon
 
@@ -118,3 +118,55 @@ def test_ensemble_branches_are_total(spark):
     rows = ensemble.combine(grid.withColumn("secondary", F.lit(1))).collect()
     assert len(rows) == 100 and all(r.category and r.method and 0 <= r.confidence <= 1 for r in rows)
     assert len({r.method for r in rows}) == 8
+
+
+def test_rule_tables_equal_literals_on_the_defaults(spark):
+    texts = [GOLDEN, "fix the error", "teach me how to write code", "debugging a sql query.", "how does it work", "c++ and c#", "", None] * 3
+    frame = spark.createDataFrame(list(enumerate(texts)), "prompt_id int, text string")
+    prompts = features.preprocess(frame).withColumn("weight", F.lit("own")).withColumn("kind", F.lit("own"))
+    columns = ["prompt_id", "rule_category", F.round("rule_confidence", 9), F.col("rule_raw_score").cast("double"), "weight"]
+    table = lexicons.rule_frame(spark)
+    literal = rules.classify(prompts).where("text IS NOT NULL").select(*columns).orderBy("prompt_id").collect()
+    for frame in (table, table.drop("weight"), table.drop("is_regex")):
+        by_table = rules.classify_by_table(prompts, frame)
+        assert by_table.where("text IS NOT NULL").select(*columns).orderBy("prompt_id").collect() == literal
+        assert {(r.rule_category, r.rule_raw_score) for r in by_table.where("text IS NULL").collect()} == {("CONVERSATIONAL_ADVICE", 0.0)}
+    legacy = ["prompt_id", "legacy_category", F.round("legacy_confidence", 9)]
+    assert (rules.classify_legacy_by_table(prompts, lexicons.keyword_frame(spark)).where("text IS NOT NULL").select(*legacy).orderBy("prompt_id").collect()
+            == rules.classify_legacy(prompts).where("text IS NOT NULL").select(*legacy).orderBy("prompt_id").collect())
+
+
+def test_rule_tables_of_many_blocks_and_own_weights(spark, monkeypatch):
+    """50,000 patterns; a text scores what its patterns weigh in the table."""
+    many = spark.range(50_000).select(
+        F.concat(F.lit("c"), F.col("id") % 7).alias("category"), (F.col("id") % 7).cast("int").alias("cat_ord"),
+        F.lit("primary").alias("tier"), (F.col("id") % 5 + 0.5).alias("weight"),
+        F.concat(F.lit("term"), "id").alias("pattern"), F.lit(False).alias("is_regex"))
+    odd = spark.createDataFrame([("c0", 0, "x", 99.0, r"(ab|cd)\d+", True), ("c0", 0, "x", 7.0, "one.*two", True)],
+                                "category string, cat_ord int, tier string, weight double, pattern string, is_regex boolean")
+    texts = ["term7 term70 term777x", "zz cd42", "anyone between two", "two one", "term3, term49999"]
+    prompts = spark.createDataFrame(list(enumerate(texts)), "prompt_id int, normalized_query string")
+    for block in (100_000, 9_000):
+        monkeypatch.setattr(automata.write_blocks, "__defaults__", (block,))
+        rows = {r.prompt_id: (r.rule_category, r.rule_raw_score) for r in rules.classify_by_table(prompts, many.union(odd)).collect()}
+        assert rows == {0: ("c0", 2.5 + 0.5), 1: ("c0", 99.0), 2: ("c0", 7.0), 3: ("CONVERSATIONAL_ADVICE", 0.0), 4: ("c3", 3.5)} | {4: rows[4]}
+        assert rows[4] in {("c3", 3.5), ("c5", 4.5)}
+
+
+def test_a_rule_without_weight_or_tier_says_so(spark):
+    odd = spark.createDataFrame([("c", 0, "unheard", "word")], "category string, cat_ord int, tier string, pattern string")
+    prompts = spark.createDataFrame([(1, "word")], "prompt_id int, normalized_query string")
+    with pytest.raises(Exception, match="no known tier: word"):
+        rules.classify_by_table(prompts, odd).collect()
+
+
+def test_a_hundred_thousand_terms_of_several_words(spark, monkeypatch):
+    """All terms begin with the same word, and texts are full of it."""
+    terms = spark.range(100_000).select(F.concat(F.lit("deep "), F.col("id"), F.lit(" net")).alias("term"), F.lit(3).alias("n_words"))
+    terms = terms.union(spark.createDataFrame([("solo", 1), ("x", 1)], "term string, n_words int"))
+    texts = [" ".join(["deep"] * 3000 + ["deep 7 net", "deep 99999 nets", "solo,", "solo"]), "deep 100000 net", None, "x. solo x"]
+    frame = spark.createDataFrame([*enumerate(texts), (0, "x")], "prompt_id int, normalized_query string")
+    for block in (200_000, 30_000):
+        monkeypatch.setattr(automata.write_blocks, "__defaults__", (block,))
+        got = {r.prompt_id: r.key_terms for r in lexicon.terms_by_join(frame, terms).collect()}
+        assert got == {0: ["x", "solo", "deep 7 net", "deep 99999 net"], 1: [], 2: [], 3: ["x", "solo"]}
