@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from promptweir.functions import text as tx
 
@@ -33,57 +37,60 @@ def tokens_13a(text: Column) -> Column:
     return tx.tokens(line)
 
 
-def _grams(tokens: str, n: int, candidate: bool) -> Column:
-    starts = F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - (n - 1), F.lit(0)))
-    return F.transform(starts, lambda _, i: F.struct(
-        F.lit(n).alias("n"), F.lit(candidate).alias("c"),
-        F.array_join(F.slice(tokens, i + 1, n), " ").alias("gram")))
+def _counts(own, other) -> tuple[int, ...]:
+    """Clipped matches by order, candidate n-grams by order, tokens of the reference."""
+    own, other = list(own), list(other)
+    matched, total = [], []
+    for n in range(1, MAX_ORDER + 1):
+        grams = lambda t: Counter(zip(*[t[i:] for i in range(n)]))
+        matched.append((grams(own) & grams(other)).total())
+        total.append(max(0, len(own) - n + 1))
+    return (*matched, *total, len(other))
+
+
+COUNTS = [f"{x}{n}" for x in "mt" for n in range(1, MAX_ORDER + 1)] + ["ref_len"]
+
+
+@F.pandas_udf(T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))
+def ngram_matches(candidate: pd.Series, reference: pd.Series) -> pd.DataFrame:
+    """The counts of a pair of token arrays; pairs stay rows and n-grams never leave one."""
+    return pd.DataFrame([_counts(a, b) for a, b in zip(candidate, reference)], columns=COUNTS)
 
 
 def ngram_counts(pairs: DataFrame, keys: list[str], candidate: str, reference: str) -> DataFrame:
-    """Per pair: clipped matches ``m1..m4``, candidate totals ``t1..t4``, ``ref_len``.
-
-    ``candidate`` and ``reference`` are token arrays. Only the pairs are shuffled, by
-    their key; both count levels below group inside that partitioning, so the
-    n-grams themselves never travel.
-    """
-    every = [_grams(candidate, n, True) for n in range(1, MAX_ORDER + 1)]
-    every += [_grams(reference, n, False) for n in range(1, MAX_ORDER + 1)]
-    grams = pairs.repartition(*keys).select(*keys, F.explode_outer(F.concat(*every)).alias("g")).select(*keys, "g.*")
-    counts = grams.groupBy(*keys, "n", "gram").agg(
-        F.sum(F.when(F.col("c"), 1).otherwise(0)).alias("c"),
-        F.sum(F.when(F.col("c"), 0).otherwise(1)).alias("r"))
-    matched = lambda n: F.sum(F.when(F.col("n") == n, F.least("c", "r")).otherwise(0)).alias(f"m{n}")
-    total = lambda n: F.sum(F.when(F.col("n") == n, F.col("c")).otherwise(0)).alias(f"t{n}")
-    orders = range(1, MAX_ORDER + 1)
-    return counts.groupBy(*keys).agg(
-        *[matched(n) for n in orders], *[total(n) for n in orders],
-        F.sum(F.when(F.col("n") == 1, F.col("r")).otherwise(0)).alias("ref_len"))
-
-
-def _score(effective_order: bool) -> Column:
+    """Per pair: clipped matches ``m1..m4``, candidate totals ``t1..t4``, ``ref_len``."""
+    return pairs.select(*keys, ngram_matches(candidate, reference).alias("_c")).select(*keys, "_c.*")
+
+
+def _score(effective_order: bool, at=F.col) -> Column:
     """BLEU in [0, 1] from the counts, with exponential smoothing of empty orders."""
-    m = [F.col(f"m{n}") for n in range(1, MAX_ORDER + 1)]
-    t = [F.col(f"t{n}") for n in range(1, MAX_ORDER + 1)]
+    m = [at(f"m{n}") for n in range(1, MAX_ORDER + 1)]
+    t = [at(f"t{n}") for n in range(1, MAX_ORDER + 1)]
+    ref_len = at("ref_len")
     logs, zeros = F.lit(0.0), F.lit(0)
     for matches, total in zip(m, t):
         zeros = zeros + F.when(matches == 0, 1).otherwise(0)
         share = F.when(matches == 0, 1.0 / F.pow(F.lit(2.0), zeros)).otherwise(matches.cast("double")) / total
         logs = logs + F.when(total > 0, F.log(share)).otherwise(0.0)
     orders = sum((F.when(total > 0, 1).otherwise(0) for total in t[1:]), F.when(t[0] > 0, 1).otherwise(0))
-    brevity = F.when(t[0] < F.col("ref_len"), F.exp(1 - F.col("ref_len") / t[0])).otherwise(1.0)
+    brevity = F.when(t[0] < ref_len, F.exp(1 - ref_len / t[0])).otherwise(1.0)
     none = (m[0] + m[1] + m[2] + m[3]) == 0
     if not effective_order:
         none = none | (t[-1] == 0)
     return F.when(none, 0.0).otherwise(brevity * F.exp(logs / orders))
 
 
+def bleu_of(candidate: str, reference: str) -> Column:
+    """Sentence BLEU of two token arrays."""
+    counts = ngram_matches(candidate, reference)
+    return _score(True, lambda name: counts[name])
+
+
 def sentence_bleu(pairs: DataFrame, keys: list[str], candidate: str, reference: str) -> DataFrame:
     return ngram_counts(pairs, keys, candidate, reference).select(*keys, _score(True).alias("bleu"))
 
 
 def corpus_bleu(counts: DataFrame, group: list[str]) -> DataFrame:
     """One score per group from summed counts; an order without n-grams gives 0."""
-    names = [f"{x}{n}" for x in "mt" for n in range(1, MAX_ORDER + 1)] + ["ref_len"]
-    sums = counts.groupBy(*group).agg(*[F.sum(c).alias(c) for c in names])
+    sums = counts.groupBy(*group).agg(*[F.sum(c).alias(c) for c in COUNTS])
     return sums.select(*group, _score(False).alias("bleu"))

@@ -1,15 +1,20 @@
-"""METEOR with the exact, stem and synonym stages, as grouping and windows inside each pair."""
+"""METEOR with the exact, stem and synonym stages; a pair of texts stays one row."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections import defaultdict
+
+import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from promptweir.functions import text as tx
 
 # --- fixed values: metric parameters ---------------------------------------------------
 ALPHA, BETA, GAMMA = 0.9, 3.0, 0.5
-SALTS = 8  # parts of a synonym entry, so that one frequent stem does not meet it in one task
+
+_FOUND = T.StructType([T.StructField("matched", T.IntegerType()), T.StructField("chunks", T.IntegerType())])
 
 
 def tokens(text: Column) -> Column:
@@ -17,81 +22,85 @@ def tokens(text: Column) -> Column:
     return F.transform(tx.tokens(text), F.lower)
 
 
-def _side(name: str, words: str, stems: str) -> Column:
-    zipped = F.arrays_zip(F.col(words).alias("w"), F.col(stems).alias("s"))
-    return F.transform(zipped, lambda t, i: F.struct(
-        F.lit(name).alias("side"), i.alias("pos"), t["w"].alias("word"), t["s"].alias("stem")))
-
-
-def _synonym_matches(matches: DataFrame, lens: list[str], synonyms: DataFrame) -> DataFrame:
-    """``lens``, c, r and matched of the synonym stage, from the rows that earlier stages left open."""
-    sets = synonyms.groupBy(F.col("word").alias("stem")).agg(F.collect_set("set_id").alias("sets")).withColumn(
-        "_salt", F.explode_outer(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    left = matches.where(~F.col("matched")).select(*lens, "stem", "c", "r").withColumn(
-        "_salt", F.pmod(F.hash(*lens, "c", "r"), F.lit(SALTS)))
-    word = lambda pos: F.struct(F.col(pos).alias("pos"), F.col("sets"))
-    # Descending; collecting leaves out NULL, which F.when gives to words of the other side.
-    side = lambda pos: F.reverse(F.array_sort(F.collect_list(F.when(F.col(pos).isNotNull(), word(pos))))).alias(f"_{pos}")
-    texts = left.join(sets, ["stem", "_salt"]).groupBy(*lens).agg(side("c"), side("r"))
-
-    def step(state: Column, own: Column) -> Column:
-        partner = F.get(F.filter(state["free"], lambda t: F.arrays_overlap(t["sets"], own["sets"])), F.lit(0))["pos"]
-        return F.when(partner.isNull(), state).otherwise(F.struct(
-            F.filter(state["free"], lambda t: t["pos"] != partner).alias("free"),
-            F.concat(state["found"], F.array(F.struct(own["pos"].alias("c"), partner.alias("r")))).alias("found")))
-
-    start = F.struct(F.col("_r").alias("free"), F.array().cast("array<struct<c:int,r:int>>").alias("found"))
-    found = texts.select(*lens, F.explode_outer(F.aggregate("_c", start, step, lambda s: s["found"])).alias("_f"))
-    return found.where("_f IS NOT NULL").select(*lens, "_f.c", "_f.r", F.lit(True).alias("matched"))
-
-
-def meteor(
-    pairs: DataFrame, keys: list[str], candidate: str, candidate_stems: str,
-    reference: str, reference_stems: str, synonyms: DataFrame | None = None,
-) -> DataFrame:
-    """``keys`` and ``meteor``.
+def _stage(own: dict[int, str], other: dict[int, str], found: dict[int, int]) -> None:
+    """Pairs equal forms from the end of both texts: the last free place of a form on one side with the
+    last on the other. ``own`` and ``other`` hold the free places, in order."""
+    places = defaultdict(list)
+    for at, form in other.items():
+        places[form].append(at)
+    for at in reversed(own):
+        free = places.get(own[at])
+        if free:
+            found[at] = free.pop()
+    for at in found:
+        own.pop(at, None)
+    for at in found.values():
+        other.pop(at, None)
+
+
+def _synonyms(own: dict[int, str], other: dict[int, str], sets: dict[str, set], found: dict[int, int]) -> None:
+    """From the end, each free form takes the last free form of the other text that shares a set with it."""
+    places = defaultdict(list)
+    for at, form in other.items():
+        for one in sets.get(form, ()):
+            places[one].append(at)
+    taken: set[int] = set()
+    for at in reversed(own):
+        best = -1
+        for one in sets.get(own[at], ()):
+            free = places[one]
+            while free and free[-1] in taken:
+                free.pop()
+            if free:
+                best = max(best, free[-1])
+        if best >= 0:
+            taken.add(best)
+            found[at] = best
+
+
+def alignment(words, stems, other_words, other_stems, sets: dict[str, set] | None = None) -> tuple[int, int]:
+    """Matched tokens of two texts and the chunks they form."""
+    found: dict[int, int] = {}
+    own, other = dict(enumerate(words)), dict(enumerate(other_words))
+    _stage(own, other, found)
+    own, other = {i: stems[i] for i in own}, {i: other_stems[i] for i in other}
+    _stage(own, other, found)
+    if sets:
+        _synonyms(own, other, sets, found)
+    order = sorted(found)
+    return len(order), sum(i == 0 or at != order[i - 1] + 1 or found[at] != found[order[i - 1]] + 1 for i, at in enumerate(order))
+
+
+@F.pandas_udf(_FOUND)
+def _aligned(words: pd.Series, stems: pd.Series, other_words: pd.Series, other_stems: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([alignment(*texts) for texts in zip(words, stems, other_words, other_stems)], columns=["matched", "chunks"])
+
+
+@F.pandas_udf(_FOUND)
+def _aligned_with_sets(words: pd.Series, stems: pd.Series, other_words: pd.Series, other_stems: pd.Series,
+                       sets: pd.Series, other_sets: pd.Series) -> pd.DataFrame:
+    rows = []
+    for *texts, one, two in zip(words, stems, other_words, other_stems, sets, other_sets):
+        known = {e["stem"]: set(e["sets"]) for e in (*([] if one is None else one), *([] if two is None else two))}
+        rows.append(alignment(*texts, known))
+    return pd.DataFrame(rows, columns=["matched", "chunks"])
+
+
+def meteor(candidate: str, candidate_stems: str, reference: str, reference_stems: str,
+           sets: tuple[str, str] | None = None) -> Column:
+    """METEOR of two token arrays and their stems.
 
     A stage pairs equal forms from the end of both texts: the k-th last occurrence on one
-    side with the k-th last on the other. The stem stage sees what the exact stage
-    left. Everything groups by pair, so the pairs are shuffled once.
+    side with the k-th last on the other. The stem stage sees what the exact stage left.
 
-    synonyms: word, set_id; without it there is no synonym stage. As in the reference, it looks
-    up the stems that the stem stage left: from the end, each takes the last free stem of the
-    other text that shares a set with it.
+    sets: columns of the two texts with array<struct<stem, sets>>, the synonym sets of their stems;
+    without them there is no synonym stage. As in the reference, it looks up the stems that the stem
+    stage left: from the end, each takes the last free stem of the other text that shares a set with it.
     """
-    base = pairs.repartition(*keys).select(
-        *keys, F.size(candidate).alias("c_len"), F.size(reference).alias("r_len"),
-        F.explode_outer(F.concat(
-            _side("c", candidate, candidate_stems), _side("r", reference, reference_stems))).alias("t"),
-    ).select(*keys, "c_len", "r_len", "t.*")
-    lens = [*keys, "c_len", "r_len"]
-    of_side = lambda s: F.max(F.when(F.col("side") == s, F.col("pos")))
-
-    from_end = Window.partitionBy(*keys, "side", "word").orderBy(F.col("pos").desc())
-    exact = (
-        base.withColumn("k", F.row_number().over(from_end))
-        .groupBy(*lens, "word", "stem", "k").agg(of_side("c").alias("c"), of_side("r").alias("r"))
-    )
-    # Pairs of the exact stage keep a group of their own; the rest regroups by stem.
-    open_side = F.when(F.col("c").isNull(), "r").when(F.col("r").isNull(), "c").otherwise("both")
-    rest = exact.withColumn("side", open_side).withColumn("pos", F.coalesce("c", "r"))
-    by_stem = Window.partitionBy(*keys, "side", "stem").orderBy(F.col("pos").desc())
-    settled = F.when(F.col("side") == "both", F.col("pos"))
-    matches = (
-        rest.withColumn("k", F.row_number().over(by_stem)).withColumn("settled", settled)
-        .groupBy(*lens, "stem", "k", "settled").agg(F.max("c").alias("c"), F.max("r").alias("r"))
-        .withColumn("matched", F.col("c").isNotNull() & F.col("r").isNotNull())
-    )
-    if synonyms is not None:
-        matches = matches.unionByName(_synonym_matches(matches, lens, synonyms), allowMissingColumns=True)
-    in_order = Window.partitionBy(*keys, "matched").orderBy("c")
-    follows = (F.col("c") == F.lag("c").over(in_order) + 1) & (F.col("r") == F.lag("r").over(in_order) + 1)
-    counted = (
-        matches.withColumn("starts", F.col("matched") & ~F.coalesce(follows, F.lit(False)))
-        .groupBy(*lens).agg(
-            F.sum(F.col("matched").cast("int")).alias("m"), F.sum(F.col("starts").cast("int")).alias("chunks"))
-    )
-    precision, recall = F.col("m") / F.col("c_len"), F.col("m") / F.col("r_len")
+    lists = [candidate, candidate_stems, reference, reference_stems]
+    found = _aligned_with_sets(*lists, *sets) if sets else _aligned(*lists)
+    m, chunks = found["matched"], found["chunks"]
+    precision, recall = m / F.size(candidate), m / F.size(reference)
     mean = precision * recall / (ALPHA * precision + (1 - ALPHA) * recall)
-    penalty = GAMMA * F.pow(F.col("chunks") / F.col("m"), F.lit(BETA))
-    return counted.select(*keys, F.when(F.col("m") > 0, (1 - penalty) * mean).otherwise(0.0).alias("meteor"))
+    penalty = GAMMA * F.pow(chunks / m, F.lit(BETA))
+    return F.when(m > 0, (1 - penalty) * mean).otherwise(0.0)

@@ -129,6 +129,35 @@ def answer_requests(routed: DataFrame, key: str = "prompt_id", text: str = "text
     return _rows(routed, [_request("answer", F.col(key), F.col("model"), system, F.col(text), 0.7, 1000)])
 
 
+def _reference_requests(key: str, question: str, models: tuple[str, ...]) -> list[Column]:
+    text = F.concat(F.lit(REFERENCE_HEAD), F.col(question), F.lit(REFERENCE_TAIL))
+    return [_request("reference", F.col(key), F.lit(m), F.lit(REFERENCE_SYSTEM), text, 0.0, 200) for m in models]
+
+
+def reference_requests(pairs: DataFrame, key: str, question: str, models: tuple[str, ...] = REFERENCE_MODELS) -> DataFrame:
+    """One reference answer per model, beside the key of its row."""
+    asked = pairs.select(F.col(key).alias("_key"), F.inline_outer(F.array(*_reference_requests(key, question, models))))
+    return asked.withColumnRenamed("_key", key)
+
+
+def addressed(requests: DataFrame) -> DataFrame:
+    """Requests with ``content_id``, the same for the same request whenever it is made: a digest of all that an
+    answer depends on. Parts are told apart by their lengths, so keys and texts may hold anything."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in
+             ("kind", "request_id", "model", "system_text", "user_text", "temperature", "max_tokens")]
+    sized = [F.concat(F.char_length(p).cast("string"), F.lit(":"), p) for p in parts]
+    return requests.withColumn("content_id", F.sha2(F.concat(*sized), 256))
+
+
+def open_requests(requests: DataFrame, responses: DataFrame) -> DataFrame:
+    """The requests, each once, that no recorded response answers: what a further run has to ask.
+
+    responses: content_id, raw. A response without text does not count as one.
+    """
+    once = addressed(requests).dropDuplicates(["content_id"])
+    return once.join(responses.where("raw IS NOT NULL").select("content_id"), "content_id", "left_anti")
+
+
 def evaluation_requests(
     pairs: DataFrame, key: str, question: str = "user_query", answer: str = "LLM_answer",
     judge_model: str = DEFAULT_MODEL, reference_models: tuple[str, ...] = REFERENCE_MODELS,
@@ -137,10 +166,8 @@ def evaluation_requests(
     q, a, judge = F.col(question), F.col(answer), F.lit(judge_model)
     light = F.concat(F.lit(LIGHT_JUDGE_HEAD), q, F.lit(LIGHT_JUDGE_MIDDLE), a, F.lit(LIGHT_JUDGE_TAIL))
     full = F.concat(F.lit("### User Question:\n"), q, F.lit("\n\n### LLM Answer:\n"), a, F.lit("\n"))
-    reference = F.concat(F.lit(REFERENCE_HEAD), q, F.lit(REFERENCE_TAIL))
     return _rows(pairs, [
         _request("light_judge", F.col(key), judge, F.lit(None).cast("string"), light, 0.3, None),
         _request("full_judge", F.col(key), judge, F.lit(FULL_JUDGE_SYSTEM), full, 0.0, 250),
-        *[_request("reference", F.col(key), F.lit(m), F.lit(REFERENCE_SYSTEM), reference, 0.0, 200)
-          for m in reference_models],
+        *_reference_requests(key, question, reference_models),
     ])

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,10 +32,8 @@ def lcs_length(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([_lcs(a, b) for a, b in zip(left, right)], dtype="int32")
 
 
-def rouge_l(pairs: DataFrame, candidate: str, reference: str, out: str = "rouge") -> DataFrame:
-    """Adds the F1 of the longest common subsequence of two (stemmed) token arrays."""
-    scored = pairs.withColumn("_lcs", lcs_length(candidate, reference))
-    precision = F.col("_lcs") / F.size(candidate)
-    recall = F.col("_lcs") / F.size(reference)
-    f1 = F.when(F.col("_lcs") > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0)
-    return scored.withColumn(out, f1).drop("_lcs")
+def rouge_of(candidate: str, reference: str) -> Column:
+    """F1 of the longest common subsequence of two (stemmed) token arrays."""
+    common = lcs_length(candidate, reference)
+    precision, recall = common / F.size(candidate), common / F.size(reference)
+    return F.when(common > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from promptweir.functions import porter
 from promptweir.session import written
@@ -23,34 +25,54 @@ def stem_dictionary(words: DataFrame) -> DataFrame:
     return written(porter.with_stem(dealt, "word").select("word", "stem"), "stems")
 
 
-def token_words(texts: DataFrame, lists: dict[str, int]) -> DataFrame:
-    """The words that ``with_stems`` will look up, for ``stem_dictionary``."""
-    long = [_longer(c, least) for c, least in lists.items()]
+def token_words(texts: DataFrame, tokens: str, least: int) -> DataFrame:
+    """The words of a token list that are stemmed."""
     # explode_outer: see pairs.flatten_turns.
-    words = texts.select(F.explode_outer(F.array_distinct(F.concat(*long))).alias("word"))
-    return words.where(F.col("word").isNotNull())
+    return texts.select(F.explode_outer(F.array_distinct(_longer(tokens, least))).alias("word")).where("word IS NOT NULL")
 
 
-def with_stems(texts: DataFrame, keys: list[str], lists: dict[str, int], dictionary: DataFrame, salts: int = SALTS) -> DataFrame:
-    """``keys`` with every token list and its stems (``<list>_stems``), in order.
+def changed_words(texts: DataFrame, key: str, lists: list[tuple[Column, int]], synonyms: DataFrame | None = None,
+                  salts: int = SALTS) -> DataFrame:
+    """``key``, and of the text with that key the words that stem to something else: ``words`` and ``stems``, in
+    one order; with ``synonyms`` (word, set_id) also ``sets``, array<struct<stem, sets>>.
 
-    ``lists`` maps a list column to the least length from which its tokens are stemmed.
-    ``keys`` identify a text. Only the distinct words of a text that are long enough travel,
-    once each; they come back as one map per text. A frequent word occurs in many texts: they are
-    spread over ``salts`` copies of its dictionary entry, so no task receives them all.
+    ``lists`` are token lists of a text, with the least length from which their tokens are stemmed. Only the
+    distinct words of a text that are long enough travel, once each. A frequent word occurs in many texts: they
+    are spread over ``salts`` copies of its dictionary entry, so no task receives them all.
     """
-    salted = dictionary.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    long = [_longer(c, least) for c, least in lists.items()]
-    words = texts.select(*keys, F.explode_outer(F.array_distinct(F.concat(*long))).alias("word")).where("word IS NOT NULL")
-    found = words.withColumn("salt", F.pmod(F.xxhash64(*keys), F.lit(salts))).join(salted, ["word", "salt"])
-    maps = found.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(
-        F.map_from_entries(F.collect_list(F.struct("word", "stem"))).alias("_stems"))
-    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    stemmed = lambda c, least: F.transform(c, lambda w: F.when(
-        F.char_length(w) >= least, F.coalesce(F.element_at("_stems", w), w)).otherwise(w)).alias(f"{c}_stems")
-    joined = texts.select(*keys, *lists).join(maps, same, "left")
-    return joined.select(*keys, *[column for c, least in lists.items() for column in (F.col(c), stemmed(c, least))])
-
-
-def _longer(tokens: str, least: int):
+    words = texts.select(key, F.explode_outer(F.array_distinct(F.concat(*[_longer(c, least) for c, least in lists]))).alias("word"))
+    words = words.where("word IS NOT NULL")
+    other = stem_dictionary(words.select("word")).where("stem <> word")
+    salt = F.pmod(F.xxhash64(key), F.lit(salts)).alias("salt")
+    entries = lambda frame: frame.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    found = words.select(key, "word", salt).join(entries(other), ["word", "salt"], "inner" if synonyms is None else "left")
+    pair = F.when(F.col("stem").isNotNull(), F.struct("word", "stem"))
+    columns = [F.collect_list(pair).alias("_pairs")]
+    if synonyms is not None:
+        sets = synonyms.groupBy(F.col("word").alias("form")).agg(F.collect_set("set_id").alias("sets"))
+        found = found.withColumn("form", F.coalesce("stem", "word")).join(entries(sets), ["form", "salt"], "left").where(
+            "stem IS NOT NULL OR sets IS NOT NULL")
+        columns.append(F.collect_set(F.when(F.col("sets").isNotNull(), F.struct(F.col("form").alias("stem"), "sets"))).alias("sets"))
+    return found.groupBy(key).agg(*columns).select(
+        key, F.col("_pairs.word").alias("words"), F.col("_pairs.stem").alias("stems"), *(["sets"] if synonyms is not None else []))
+
+
+def _looked_up(least: int):
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def look_up(tokens: pd.Series, words: pd.Series, stems: pd.Series) -> pd.Series:
+        def one(texts, known, to):
+            if known is None:
+                return texts
+            stem = dict(zip(known, to))
+            return [stem.get(w, w) if len(w) >= least else w for w in texts]
+        return pd.Series([one(*row) for row in zip(tokens, words, stems)])
+    return look_up
+
+
+def stemmed(tokens: Column | str, words: str, stems: str, least: int) -> Column:
+    """The tokens with their stems in place of the changed words that are long enough."""
+    return _looked_up(least)(tokens, words, stems)
+
+
+def _longer(tokens: Column | str, least: int) -> Column:
     return F.filter(tokens, lambda w: F.char_length(w) >= least)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from promptweir.operators import bleu, edit, meteor, requests, rouge, sampling, stems, token_match, verdicts
+from promptweir.operators import bleu, meteor, requests, rouge, sampling, stems, token_match, verdicts
 from promptweir.plans import evaluation as plan
 from promptweir.functions import porter
 from promptweir.registry.inputs import (
@@ -91,8 +91,7 @@ berts AS (
 
 
 def edit_similarity(spark, sf_dir):
-    pairs = plan.pair_table(_candidates(spark, sf_dir), _references(spark, sf_dir))
-    return pairs.select(*plan.KEYS, F.round(edit.edit_similarity(F.col("candidate"), F.col("ref_text")), 9).alias("edit_sim"))
+    return _one_metric(spark, sf_dir, "edit_sim")
 
 
 # DuckDB's levenshtein counts bytes. The texts hold 21 letters beyond ASCII; giving each an
@@ -158,24 +157,31 @@ bleus AS (
 def stem_words(spark, sf_dir):
     """Stems of every distinct word of the documents."""
     docs = texts(spark, sf_dir, "documents").select(rouge.tokens(F.col("text")).alias("tokens"))
-    return porter.with_stem(stems.token_words(docs, {"tokens": 1}).distinct(), "word")
+    return porter.with_stem(stems.token_words(docs, "tokens", 1).distinct(), "word")
 
 
-def _stemmed(spark, sf_dir, tokeniser, least):
-    return plan.stemmed_pairs(
-        _candidates(spark, sf_dir), _references(spark, sf_dir), {"tokens": (tokeniser, least)})
+def _one_metric(spark, sf_dir, name, **options):
+    done = plan.score_table(_candidates(spark, sf_dir), _references(spark, sf_dir), metrics=(name,), **options)
+    return _rounded(done, (name,))
 
 
 def rouge_l(spark, sf_dir):
-    pairs = _stemmed(spark, sf_dir, rouge.tokens, rouge.STEM_FROM_LENGTH)
-    return rouge.rouge_l(pairs, "c_tokens_stems", "r_tokens_stems").select(
-        *plan.KEYS, F.round("rouge", 9).alias("rouge"))
+    return _one_metric(spark, sf_dir, "rouge")
 
 
 def meteor_pairs(spark, sf_dir):
-    pairs = _stemmed(spark, sf_dir, meteor.tokens, 1)
-    return meteor.meteor(pairs, plan.KEYS, "c_tokens", "c_tokens_stems", "r_tokens", "r_tokens_stems").withColumn(
-        "meteor", F.round("meteor", 9))
+    return _one_metric(spark, sf_dir, "meteor")
+
+
+def _synonyms(spark, sf_dir):
+    """Short words of the texts that begin with the same two letters stand for synonyms."""
+    words = texts(spark, sf_dir, "conversations").select(F.explode_outer(meteor.tokens(F.col("text"))).alias("word"))
+    return words.where("word RLIKE '^[a-z]{3,5}$'").distinct().select("word", F.left("word", F.lit(2)).alias("set_id"))
+
+
+def meteor_synonyms(spark, sf_dir):
+    """METEOR with a synonym table."""
+    return _one_metric(spark, sf_dir, "meteor", synonyms=_synonyms(spark, sf_dir))
 
 
 def _stemmed_sql(name: str, tokens, min_length: int) -> str:
@@ -242,6 +248,23 @@ meteors AS (
     (1 - 0.5 * pow(ch / m, 3)) * (m / len(c)) * (m / len(r)) / (0.9 * (m / len(c)) + 0.1 * (m / len(r))) END AS meteor
   FROM m_lists l LEFT JOIN chunked USING (candidate_id, model_id))"""
 
+# As above, with a third stage: every word of the table has one set, so the k-th last free words of a set pair up.
+SYNONYM_SQL = METEOR_SQL.replace("all_match AS (\n  FROM exact_match UNION ALL\n  SELECT c.candidate_id, c.model_id, c.pos, r.pos", """stem_match AS (
+  SELECT c.candidate_id, c.model_id, c.pos AS cp, r.pos AS rp""").replace("steps AS (", f"""sets AS (
+  SELECT DISTINCT word, word[1:2] AS set_id FROM (SELECT unnest({_METEOR_TOKENS('text')}) AS word FROM conversations)
+  WHERE regexp_full_match(word, '[a-z]{{3,5}}')),
+set_rank AS (
+  SELECT s.*, set_id, row_number() OVER (PARTITION BY candidate_id, model_id, side, set_id ORDER BY pos DESC) AS k
+  FROM left_over s JOIN sets ON sets.word = s.stem ANTI JOIN (
+    SELECT candidate_id, model_id, 'c' AS side, cp AS pos FROM stem_match
+    UNION ALL SELECT candidate_id, model_id, 'r', rp FROM stem_match) e USING (candidate_id, model_id, side, pos)),
+all_match AS (
+  FROM exact_match UNION ALL FROM stem_match UNION ALL
+  SELECT c.candidate_id, c.model_id, c.pos, r.pos FROM set_rank c JOIN set_rank r
+    ON c.candidate_id = r.candidate_id AND c.model_id = r.model_id AND c.set_id = r.set_id AND c.k = r.k
+  WHERE c.side = 'c' AND r.side = 'r'),
+steps AS (""")
+
 
 def token_match_f1(spark, sf_dir):
     """Runs of eight recorded vectors stand for the tokens of a text; each text is
@@ -312,36 +335,44 @@ def evaluation_requests(spark, sf_dir):
     return requests.evaluation_requests(_qa(spark, sf_dir), "pair_id")
 
 
-_TEXT_METRICS = ("bleu", "rouge", "edit_sim", "meteor")
-
-
-def evaluate_responses(spark, sf_dir):
-    """Some answers are empty, some requests have no recorded response, and every recorded
-    response has one of the raw forms."""
-    key = F.col("pair_id")
-    pairs = _qa(spark, sf_dir).withColumn("LLM_answer", F.when(key % 10 == 3, "").otherwise(F.col("LLM_answer")))
-    said = [F.col("LLM_answer"), F.col("user_query"), F.lower("LLM_answer")]
-    each = F.array(*[F.struct(F.lit(m).alias("model"), said[i % 3].alias("said")) for i, m in enumerate(REFERENCE_MODELS)])
-    responses = pairs.where(key % 7 != 5).select("pair_id", F.inline_outer(each)).select(
-        F.concat(F.lit("reference:"), key.cast("string"), F.lit(":"), F.col("model")).alias("request_id"),
-        fill(ANSWER_FORMS, key, {"R": F.col("said")}).alias("raw"))
-    done = plan.evaluate_responses(pairs, responses, "pair_id", metrics=_TEXT_METRICS)
-    return _rounded(done, _TEXT_METRICS)
-
-
-def evaluate_responses_all(spark, sf_dir):
-    """Every pair with a recorded response of every reference model, by all metrics."""
+def _recorded(spark, sf_dir):
+    """Every pair, and a recorded response of every reference model to it, with its number and raw text."""
     key, ids = F.col("pair_id"), _text_ids(spark, sf_dir)
     pairs = _qa(spark, sf_dir).withColumn("candidate_text_id", F.pmod(key, ids))
     said = [F.col("LLM_answer"), F.col("user_query"), F.lower("LLM_answer")]
     each = F.array(*[F.struct(F.lit(m).alias("model"), said[i % 3].alias("said"), F.lit(i + 1).alias("place"))
                      for i, m in enumerate(REFERENCE_MODELS)])
     responses = pairs.select("pair_id", F.inline_outer(each)).select(
-        F.concat(F.lit("reference:"), key.cast("string"), F.lit(":"), F.col("model")).alias("request_id"),
-        fill(ANSWER_FORMS, key, {"R": F.col("said")}).alias("raw"), F.pmod(key * 3 + F.col("place"), ids).alias("ref_text_id"))
+        "pair_id", "model", fill(ANSWER_FORMS, key, {"R": F.col("said")}).alias("raw"), F.pmod(key * 3 + F.col("place"), ids).alias("ref_text_id"))
+    return pairs, responses
+
+
+def _request_ids(responses, key):
+    return responses.withColumn("request_id", F.concat_ws(":", F.lit("reference"), key, "model")).drop("model", "pair_id")
+
+
+def evaluate_responses_all(spark, sf_dir):
+    """Every pair with a recorded response of every reference model, by all metrics."""
+    pairs, responses = _recorded(spark, sf_dir)
+    responses = _request_ids(responses, F.col("pair_id").cast("string"))
     return _rounded(plan.evaluate_responses(pairs, responses, "pair_id", **_vectors(spark, sf_dir)), METRICS)
 
 
+def evaluate_responses(spark, sf_dir):
+    """All of them under keys that are texts, with odd rows beside them: pairs without an answer, pairs whose requests
+    have no response, and requests that were answered twice, of which the latest counts."""
+    pairs, responses = _recorded(spark, sf_dir)
+    named = lambda prefix: F.concat(F.lit(prefix), F.col("pair_id").cast("string"))
+    rows = pairs.withColumn("key", named("chat:")).unionByName(
+        pairs.where("pair_id % 10 = 3").withColumn("LLM_answer", F.lit("")).withColumn("key", named("blank:"))).unionByName(
+        pairs.where("pair_id % 7 = 5").withColumn("key", named("silent:")))
+    replies = _request_ids(responses, named("chat:")).withColumn("responded_at", F.lit(2))
+    earlier = _request_ids(responses.where("pair_id % 4 = 1"), named("chat:")).withColumns(
+        {"raw": F.lit("zzz earlier answer"), "responded_at": F.lit(1)})
+    done = plan.evaluate_responses(rows, replies.unionByName(earlier), "key", **_vectors(spark, sf_dir))
+    return _rounded(done, METRICS)
+
+
 QUERIES = {
     "evaluate_responses_all": evaluate_responses_all,
     "evaluate_responses": evaluate_responses,
@@ -351,6 +382,7 @@ QUERIES = {
     "stem_words": stem_words,
     "rouge_l": rouge_l,
     "meteor": meteor_pairs,
+    "meteor_synonyms": meteor_synonyms,
     "token_match_f1": token_match_f1,
     "score_table": score_table,
     "score_averages": score_averages,
@@ -382,8 +414,7 @@ _REQUEST = lambda kind, model, system, user, temperature, tokens: (
 
 _PLACES = " ".join(f"WHEN {q(m)} THEN {i + 1}" for i, m in enumerate(REFERENCE_MODELS))
 _MODELS_SQL = ", ".join(f"({i % 3}, {q(m)})" for i, m in enumerate(REFERENCE_MODELS))
-ORACLES = {
-    "evaluate_responses_all": f"""WITH RECURSIVE {_QA_SQL},
+_EVALUATED = f"""WITH RECURSIVE {_QA_SQL},
 said AS (
   SELECT pair_id, answer, model, CASE i WHEN 0 THEN answer WHEN 1 THEN user_query ELSE lower(answer) END AS said
   FROM qa, (VALUES {_MODELS_SQL}) m(i, model) WHERE answer <> '' AND user_query <> ''),
@@ -392,26 +423,18 @@ pairs AS (
   SELECT pair_id AS candidate_id, model AS model_id, answer AS candidate, {clean_answer_sql('raw')} AS ref_text FROM recorded),
 {EDIT_SQL}, {BLEU_SQL}, {ROUGE_SQL}, {METEOR_SQL},
 {VECTOR_SQL.replace("CASE model_id WHEN 'bench' THEN 1 WHEN 'plain' THEN 2 ELSE 3 END", f"CASE model_id {_PLACES} END")}
-SELECT candidate_id AS pair_id, model_id, {_ROUNDED}, NULL::VARCHAR AS reject_reason
+"""
+_EVALUATED_COLUMNS = f"""model_id, {_ROUNDED}, NULL::VARCHAR AS reject_reason
 FROM edits JOIN bleus USING (candidate_id, model_id) JOIN rouges USING (candidate_id, model_id)
-  JOIN meteors USING (candidate_id, model_id) LEFT JOIN sberts USING (candidate_id, model_id) LEFT JOIN berts USING (candidate_id, model_id)
+  JOIN meteors USING (candidate_id, model_id) LEFT JOIN sberts USING (candidate_id, model_id) LEFT JOIN berts USING (candidate_id, model_id)"""
+ORACLES = {
+    "evaluate_responses_all": _EVALUATED + """SELECT candidate_id AS pair_id, """ + _EVALUATED_COLUMNS + """
 UNION ALL SELECT pair_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'question and answer must be non-empty' FROM qa
 WHERE answer = '' OR user_query = ''""",
-    "evaluate_responses": f"""WITH RECURSIVE {_QA_SQL},
-asked AS (SELECT pair_id, user_query, CASE WHEN pair_id % 10 = 3 THEN '' ELSE answer END AS answer FROM qa),
-said AS (
-  SELECT pair_id, answer, model, CASE i WHEN 0 THEN answer WHEN 1 THEN user_query ELSE lower(answer) END AS said
-  FROM asked, (VALUES {_MODELS_SQL}) m(i, model) WHERE pair_id % 7 <> 5 AND answer <> '' AND user_query <> ''),
-recorded AS (SELECT *, {sql_fill(ANSWER_FORMS, 'pair_id', {'R': 'said'})} AS raw FROM said),
-pairs AS (
-  SELECT pair_id AS candidate_id, model AS model_id, answer AS candidate, {clean_answer_sql('raw')} AS ref_text FROM recorded),
-{EDIT_SQL}, {BLEU_SQL}, {ROUGE_SQL}, {METEOR_SQL}
-SELECT candidate_id AS pair_id, model_id, round(bleu, 9) AS bleu, round(rouge, 9) AS rouge, round(edit_sim, 9) AS edit_sim,
-  round(meteor, 9) AS meteor, NULL::VARCHAR AS reject_reason
-FROM edits JOIN bleus USING (candidate_id, model_id) JOIN rouges USING (candidate_id, model_id)
-  JOIN meteors USING (candidate_id, model_id)
-UNION ALL SELECT pair_id, NULL, NULL, NULL, NULL, NULL, 'question and answer must be non-empty' FROM asked
-WHERE answer = '' OR user_query = ''""",
+    "evaluate_responses": _EVALUATED + """SELECT 'chat:' || candidate_id AS key, """ + _EVALUATED_COLUMNS + """
+UNION ALL SELECT 'blank:' || pair_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'question and answer must be non-empty' FROM qa WHERE pair_id % 10 = 3
+UNION ALL SELECT unnest(['chat:' || pair_id, CASE WHEN pair_id % 7 = 5 THEN 'silent:' || pair_id END]) AS key, NULL, NULL, NULL, NULL, NULL, NULL, NULL,
+  'question and answer must be non-empty' FROM qa WHERE answer = '' OR user_query = ''""",
     "edit_similarity": f"""WITH {_INPUT}, {EDIT_SQL}
 SELECT candidate_id, model_id, round(edit_sim, 9) AS edit_sim FROM edits""",
     "bleu_pairs": f"WITH {_INPUT}, {BLEU_SQL} SELECT candidate_id, model_id, round(bleu, 9) AS bleu FROM bleus",
@@ -426,6 +449,8 @@ SELECT model_id, round(p * CASE WHEN c < r THEN exp(1 - r / c) ELSE 1 END, 9) AS
 SELECT word, stem FROM stem_of""",
     "rouge_l": f"""WITH RECURSIVE {_INPUT}, {ROUGE_SQL}
 SELECT candidate_id, model_id, round(rouge, 9) AS rouge FROM rouges""",
+    "meteor_synonyms": f"""WITH {_INPUT}, {SYNONYM_SQL}
+SELECT candidate_id, model_id, round(meteor, 9) AS meteor FROM meteors""",
     "meteor": f"""WITH {_INPUT}, {METEOR_SQL}
 SELECT candidate_id, model_id, round(meteor, 9) AS meteor FROM meteors""",
     "token_match_f1": """WITH v AS (

@@ -114,6 +114,15 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def latest_responses(responses: DataFrame, key: str = "request_id", time: str = "responded_at") -> DataFrame:
+    """One response per request: of several the latest, if the table has a column ``time``, and among equally late ones
+    that with the largest text."""
+    value = [c for c in responses.columns if c != key]
+    order = [*([time] if time in value else []), "raw"]
+    last = responses.where("raw IS NOT NULL").groupBy(key).agg(F.max_by(F.struct(*value), F.struct(*order)).alias("_last"))
+    return last.select(key, "_last.*")
+
+
 def join_responses(requests: DataFrame, responses: DataFrame, key: str = "request_id") -> DataFrame:
     """Requests with their recorded output; a request without one keeps NULL."""
     return requests.join(responses, key, "left")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from promptweir.functions import porter
-from promptweir.operators import bleu, edit, rouge, sampling, stems, token_match
+from promptweir.operators import bleu, edit, meteor, requests, rouge, sampling, stems, token_match, verdicts
 from promptweir.plans import evaluation as plan
 
 
@@ -118,10 +118,13 @@ def test_score_table_bounds_and_goldens(spark):
 
 def test_salted_and_plain_stem_joins_agree(spark):
     texts = spark.createDataFrame([(i, ["hot"] * 50 + ["running", "cats", "x"]) for i in range(20)], "k int, t array<string>")
-    dictionary = stems.stem_dictionary(stems.token_words(texts, {"t": 1}))
-    plain = stems.with_stems(texts, ["k"], {"t": 1}, dictionary, salts=1).orderBy("k").collect()
-    salted = stems.with_stems(texts, ["k"], {"t": 1}, dictionary, salts=7).orderBy("k").collect()
-    assert plain == salted and plain[0].t_stems[-3:] == ["run", "cat", "x"] and len(plain) == 20
+    rows = {}
+    for salts in (1, 7):
+        changed = stems.changed_words(texts, "k", [(F.col("t"), 1)], salts=salts)
+        done = texts.join(changed, "k", "left").select("k", stems.stemmed("t", "words", "stems", 1).alias("s"),
+                                                       stems.stemmed("t", "words", "stems", 5).alias("long"))
+        rows[salts] = done.orderBy("k").collect()
+    assert rows[1] == rows[7] and rows[1][0].s[-3:] == ["run", "cat", "x"] and rows[1][0].long[-3:] == ["run", "cats", "x"] and len(rows[1]) == 20
 
 
 def test_token_match_blocks_agree(spark):
@@ -224,3 +227,73 @@ def test_meteor_with_a_synonym_table(spark):
     for i, (a, b) in enumerate(texts):
         assert with_table[i] == pytest.approx(brute_meteor(a, b, sets)), texts[i]
         assert without[i] == pytest.approx(brute_meteor(a, b, {})), texts[i]
+
+
+def test_a_metric_of_the_callers_runs_beside_the_others(spark):
+    candidates = spark.createDataFrame([(1, 1, "cats run"), (2, 2, "x y")], "candidate_id int, question_id int, candidate string")
+    references = spark.createDataFrame([(1, "m", "the cat runs"), (2, "m", "x")], "question_id int, model_id string, ref_text string")
+    share = plan.Metric("stem_share", lambda: F.size(F.array_intersect("c_all_stems", "r_all_stems")) / F.size("r_all_stems"),
+                        {"all": (meteor.tokens, 1)})
+    seen = plan.Metric("known", attach=lambda pairs, options: pairs.join(options["known"], "candidate_id", "left"))
+    known = spark.createDataFrame([(1, True)], "candidate_id int, known boolean")
+    rows = {r.candidate_id: r for r in plan.score_table(candidates, references, metrics=("rouge", share, "meteor", seen), known=known).collect()}
+    assert list(rows[1].asDict()) == ["candidate_id", "model_id", "rouge", "meteor", "stem_share", "known"]
+    assert rows[1].stem_share == pytest.approx(2 / 3) and rows[2].stem_share == 1.0 and rows[1].known and rows[2].known is None
+    for wrong in (("blue",), ("bleu", "bleu"), (plan.Metric("x"),), ("meteor", plan.Metric("y", lambda: F.lit(1), {"words": (rouge.tokens, 1)}))):
+        with pytest.raises(ValueError):
+            plan.score_table(candidates, references, metrics=wrong)
+
+
+def test_keys_of_any_text_and_repeated_responses(spark):
+    keys = ["a:1", "b", "a", ":", "reference:1:m"]
+    pairs = spark.createDataFrame([(k, "q", f"answer {i}") for i, k in enumerate(keys)], "id string, user_query string, LLM_answer string")
+    replies = [(f"reference:{k}:m", f"answer {i}", 2) for i, k in enumerate(keys)]
+    replies += [("reference:a:1:m", "old", 1), ("reference:b:m", None, 9), ("reference:b:m", "answer 1", 2)]
+    responses = spark.createDataFrame(replies, "request_id string, raw string, responded_at int")
+    done = plan.evaluate_responses(pairs, responses, "id", reference_models=("m",), metrics=("edit_sim",)).collect()
+    assert sorted((r.id, r.edit_sim) for r in done) == sorted((k, 1.0) for k in keys)
+
+
+def test_a_second_run_asks_only_what_is_new(spark):
+    rows = [("a:1", "q", "x"), ("a", "1:q", "x"), ("b", "q", "y")]
+    pairs = spark.createDataFrame(rows, "id string, user_query string, LLM_answer string")
+    first = requests.open_requests(requests.evaluation_requests(pairs, "id"), spark.createDataFrame([], "content_id string, raw string"))
+    assert first.count() == first.select("content_id").distinct().count() == 15
+    recorded = first.select("content_id", F.when(~F.col("request_id").startswith("full_judge:b"), "said").alias("raw"))
+    again = lambda **more: requests.open_requests(requests.evaluation_requests(pairs.union(pairs), "id", **more), recorded).collect()
+    assert [r.request_id.split(":")[:2] for r in again()] == [["full_judge", "b"]]
+    assert len(again(judge_model="another/judge")) == 6  # both judges of every pair, and no reference anew
+    changed = pairs.withColumn("LLM_answer", F.concat("LLM_answer", F.lit("!")))
+    assert {r.kind for r in requests.open_requests(requests.evaluation_requests(changed, "id"), recorded).collect()} == {"light_judge", "full_judge"}
+
+
+def test_another_judge_model_is_asked_and_read(spark):
+    """Requests name it, and its recorded replies become verdicts under its name."""
+    pairs = spark.createDataFrame([(1, "q", "x")], "id int, user_query string, LLM_answer string")
+    asked = requests.evaluation_requests(pairs, "id", judge_model="another/judge", reference_models=("r",))
+    assert {(r.kind, r.model) for r in asked.collect()} == {("light_judge", "another/judge"), ("full_judge", "another/judge"), ("reference", "r")}
+    replies = asked.where("kind = 'full_judge'").select("request_id", F.col("model").alias("model_id"), F.lit(
+        '{"score": 4, "accuracy": 4, "completeness": 4, "clarity": 4, "is_correct": true, "justification": "t"}').alias("raw"))
+    done = verdicts.judge_verdicts(replies).first()
+    assert done.model_id == "another/judge" and done.request_id == "full_judge:1:another/judge"
+
+
+def test_distances_of_long_texts(spark):
+    rng = random.Random(8)
+    table = lambda a, b: [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+
+    def by_table(a, b):
+        d = table(a, b)
+        for i in range(len(a) + 1):
+            for j in range(len(b) + 1):
+                d[i][j] = max(i, j) if not i or not j else min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+        return d[-1][-1]
+
+    for _ in range(400):
+        a, b = ("".join(rng.choice("abé漢") for _ in range(rng.randrange(40))) for _ in "ab")
+        assert edit.distance(a, b) == by_table(a, b)
+    long = " ".join(str(rng.randrange(500)) for _ in range(20_000))
+    other = long[100:].replace("77", "éé", 50) + "xyz"
+    row = spark.createDataFrame([(long, other), ("", ""), ("ab", "b"), (None, "b")], "a string, b string").select(
+        edit.edit_similarity(F.col("a"), F.col("b")).alias("s")).collect()
+    assert row[0].s == pytest.approx(1 - 203 / len(long), abs=1e-4) and [r.s for r in row[1:]] == [0.0, 0.5, None]
