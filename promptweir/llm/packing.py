@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
+from promptweir.llm.common import small_batches
 from promptweir.session import written
 
 CAPACITY = 2048
@@ -106,12 +106,14 @@ def cuts(length: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(at, capacity) for at in range(first, length, capacity)]
 
 
-PIECES = ("doc_id long, piece int, start long, length int, task int, place long, ids array<int>")
+PIECES = "doc_id long, piece int, start long, length int, task int, place long"
 
 
 def pieces(docs: DataFrame, ranks_path: str, capacity: int = CAPACITY, key: str = "doc_id",
-           text: str = "text") -> DataFrame:
-    """The pieces of every document with their ids, written to the shared folder.
+           text: str = "text", with_ids: bool = True) -> DataFrame:
+    """The pieces of every document with ids_crc32 and their ids, written to the shared folder.
+
+    Where only the layout is wanted, `with_ids=False` leaves the ids out.
 
     A document is its ids and one end id; a NULL or empty text is the end id alone. Documents
     longer than the capacity are cut. `place` numbers the pieces of one length within a `task`.
@@ -120,8 +122,8 @@ def pieces(docs: DataFrame, ranks_path: str, capacity: int = CAPACITY, key: str
         encoder, task, seen = _encoder(ranks_path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         end = np.array([END], "<i4")
         for batch in batches:
-            rows, parts, size = [], [], 0
             for at in range(0, batch.num_rows, SLICE):
+                rows, parts, size = [], [], 0
                 some = batch.slice(at, SLICE)
                 for doc, body in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
                     ids = encoder.ids(body).view("<i4")
@@ -131,32 +133,30 @@ def pieces(docs: DataFrame, ranks_path: str, capacity: int = CAPACITY, key: str
                     parts += [ids, end]
                     size += len(ids) + 1
                     if size > FLUSH_IDS:
-                        yield _batch(rows, parts)
+                        yield _batch(rows, parts, with_ids)
                         rows, parts, size = [], [], 0
-            if rows:
-                yield _batch(rows, parts)
+                if rows:
+                    yield _batch(rows, parts, with_ids)
 
     narrow = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return written(narrow.mapInArrow(cut, PIECES), "pieces")
+    small_batches(docs.sparkSession)
+    return written(narrow.mapInArrow(cut, f"{PIECES}, ids_crc32 long" + ", ids array<int>" * with_ids), "pieces")
 
 
-def _batch(rows: list[tuple], parts: list[np.ndarray]) -> pa.RecordBatch:
-    """Pieces of whole documents in order: their ids lie one after the other."""
+def _batch(rows: list[tuple], parts: list[np.ndarray], with_ids: bool) -> pa.RecordBatch:
+    """Pieces of whole documents in order: their ids lie one after the other. The checksum is that
+    of the ids as unsigned little-endian 32-bit numbers."""
     doc, piece, start, length, task, place = zip(*rows)
-    offsets = np.concatenate(([0], np.cumsum(length))).astype(np.int32)
-    ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts)))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int32()),
-         pa.array(task, pa.int32()), pa.array(place, pa.int64()), ids],
-        ["doc_id", "piece", "start", "length", "task", "place", "ids"])
-
-
-@F.arrow_udf(LongType())
-def ids_crc32(ids: pa.Array) -> pa.Array:
-    """crc32 of the ids as unsigned little-endian 32-bit numbers."""
-    raw = memoryview(ids.flatten().to_numpy().astype("<i4", copy=False)).cast("B")
-    ends = (4 * np.cumsum(ids.value_lengths().to_numpy())).tolist()
-    return pa.array([zlib.crc32(raw[a:b]) for a, b in zip([0, *ends], ends)], pa.int64())
+    flat = np.concatenate(parts)
+    raw, ends = memoryview(flat).cast("B"), (4 * np.cumsum(length)).tolist()
+    checks = [zlib.crc32(raw[a:b]) for a, b in zip([0, *ends], ends)]
+    arrays = {"doc_id": pa.array(doc, pa.int64()), "piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()),
+              "length": pa.array(length, pa.int32()), "task": pa.array(task, pa.int32()), "place": pa.array(place, pa.int64()),
+              "ids_crc32": pa.array(checks, pa.int64())}
+    if with_ids:
+        offsets = np.concatenate(([0], np.cumsum(length))).astype(np.int32)
+        arrays["ids"] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+    return pa.RecordBatch.from_arrays(list(arrays.values()), list(arrays))
 
 
 # --- the plan on the histogram ------------------------------------------------------------------
@@ -224,11 +224,13 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarray,
 # --- the layout ---------------------------------------------------------------------------------
 
 def pack(pieces_table: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Every piece with its sequence_id and offset; other columns of the table are kept.
+    """Every piece with its sequence_id and offset; other columns of the table are kept, but for
+    those that have one of these two names.
 
     Full pieces are a sequence of their own. Pieces of one length are interchangeable, so a
     piece's rank among them decides: places within its task after the pieces of the tasks before.
     """
+    pieces_table = pieces_table.drop("sequence_id", "offset")
     full = pieces_table.where(F.col("length") >= capacity)
     short = pieces_table.where(F.col("length") < capacity)
     by_task = written(short.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n")), "lengths")

@@ -28,7 +28,7 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hard).alias("text"))
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(own)
-    return chat.read_back(chat.format_turns(turns)).drop("valid", "violations")
+    return chat.read_back(chat.format_turns(turns))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,9 +58,7 @@ def op6_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = packing.pieces(table(spark, sf_dir, "documents"), ranks_path())
-    digest = cut.withColumn("ids_crc32", packing.ids_crc32("ids")).drop("ids")
-    return packing.pack(digest).select(
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), ranks_path(), with_ids=False)).select(
         "doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
 
 

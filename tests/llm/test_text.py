@@ -140,7 +140,9 @@ def test_packing_of_documents(spark):
 def test_packing_of_awkward_texts(spark):
     docs = docs_of(spark, HARD + ["a b"] * 50)
     cut = packing.pieces(docs, queries.ranks_path())
-    rows = packing.pack(cut.withColumn("ids_crc32", packing.ids_crc32("ids"))).collect()
+    rows = packing.pack(cut.withColumn("sequence_id", F.lit("own")).withColumn("clash", F.lit(1))).collect()
+    assert all(zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 and r.clash == 1 for r in rows)
+    assert "ids" not in packing.pieces(docs, queries.ranks_path(), with_ids=False).columns
     expected = reference_pieces([(r.doc_id, r.text) for r in docs.collect()])
     assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == expected
     assert_gapless(rows)
@@ -297,3 +299,23 @@ def test_gradients_by_finite_differences():
 def test_every_position_has_a_label():
     model = langid.fit([b"aaa", b"bbb"] * 20, ["x", "y"] * 20, batches=60, batch=16)
     assert model.labels("aaa bbb") == ["x"] * 3 + ["y"] * 3
+
+
+def test_names_of_the_classifiers_give_way(spark):
+    docs = docs_of(spark, ["the one", "le deux"] * 20).withColumns(
+        {"language": F.lit("own"), "lang_held_out": F.lit("own"), "quality_score": F.lit("own"), "quality_ok": F.lit(7)})
+    told = langid.identify(docs)
+    assert told.schema["language"].dataType.fieldNames() == ["lang_pred", "score"] and told.count() == 40
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    scored = quality.classify(docs, labels)
+    assert dict(scored.dtypes)["quality_score"] == "double" and scored.where("quality_ok IN (0, 1)").count() == 40
+
+
+def test_batches_of_text_are_bounded(spark):
+    from promptweir.llm.common import _BATCH, small_batches
+
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, "1000000b")
+    small_batches(spark)
+    assert spark.conf.get(_BATCH) == "1000000b"  # the session's own bound stays
+    spark.conf.set(_BATCH, before)
