@@ -13,13 +13,20 @@ sized AS (
     + length(text) + (length(text) - length(replace(text, '\', '')))
     + (length(text) - length(replace(text, '</turn>', ''))) // 7
     + coalesce(list_sum(list_transform(regexp_extract_all(text, '#{3,}'), lambda x: length(x) - 2)), 0) AS chars
-  FROM steps)
+  FROM steps),
+-- States: 0 start, 1 ready, 2 asked, 3 answered; eights count the turns that had no move.
+machine AS (
+  SELECT conv_id, walk // 8 AS violations, walk % 8 AS state FROM (
+    SELECT conv_id, list_reduce(list(CASE role WHEN 'system' THEN 1 WHEN 'user' THEN 2 WHEN 'assistant' THEN 3 ELSE 0 END ORDER BY place),
+      lambda s, r: CASE WHEN s % 8 = 0 AND r IN (1, 2) THEN s + r WHEN s % 8 = 1 AND r = 2 THEN s + 1
+        WHEN s % 8 = 2 AND r = 3 THEN s + 1 WHEN s % 8 = 3 AND r = 2 THEN s - 1 ELSE s + 8 END, CAST(0 AS BIGINT)) AS walk
+    FROM steps GROUP BY conv_id))
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(chars) AS BIGINT) AS formatted_chars
-FROM sized GROUP BY conv_id
+  CAST(sum(chars) AS BIGINT) AS formatted_chars, any_value(violations) AS violations, any_value(state) = 3 AND any_value(violations) = 0 AS valid
+FROM sized JOIN machine USING (conv_id) GROUP BY conv_id
 """
 
 
