@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType
 
-from promptweir.llm.common import remainder
+from promptweir.llm.common import remainder, small_batches
 
 #: Documents the network learns from, at most, in order of a hash of their id, and words of each,
 #: at even distances over the whole text.
@@ -196,6 +196,7 @@ def train(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text
           rows: int = TRAINING_DOCS) -> Model | None:
     """Learns from at most `rows` documents with a language for which `learn` holds. Only sampled
     words reach the driver, at most TRAINING_WORDS of SEGMENT bytes a document."""
+    small_batches(docs.sparkSession)
     known = docs.where(learn & F.col(lang).isNotNull()).select(
         F.col(key).alias("doc_key"), F.col(text).cast("string").alias("doc_text"), F.col(lang).cast("string").alias("name"))
     picked = known.select(F.col("doc_key").alias("picked")).orderBy(F.xxhash64("picked"), "picked").limit(rows).distinct()
@@ -268,7 +269,8 @@ def identify(docs: DataFrame, held_out: int = 0, folds: int = 5, key: str = "doc
     """All columns of `docs` with lang_held_out and the struct `language` (lang_pred, score).
 
     Documents whose crc32(key) modulo `folds` is `held_out` are never learnt from, nor are those
-    with a NULL key; these are not held out. Repeated rows get equal predictions.
+    with a NULL key; these are not held out. Repeated rows get equal predictions. A column of `docs`
+    that has one of the two names gives way.
     """
     fold = remainder(F.col(key), folds)
     model = train(docs, fold != held_out, key, text, lang)

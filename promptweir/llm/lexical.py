@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from promptweir.llm.common import parts
+from promptweir.llm.common import parts, small_batches
 
 #: Byte table: A-Z lower-cased; ASCII other than letters and digits is a blank, all else stands.
 TERMS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -167,6 +167,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 50, query_key: str = "i
     see `weights` and `_block`.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     named = queries.select(F.col(query_key).cast("long").alias("id"), F.col(query_text).cast("string").cast("binary").alias("body"))
     blocks = parts(named.select(F.count_distinct(F.coalesce("id", F.lit(LAST_ID)))).first()[0], BLOCK)
     found = []

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from promptweir.llm.common import parts
+from promptweir.llm.common import parts, small_batches
 from promptweir.llm.shingles import mix
 from promptweir.session import shared_dir, written
 
@@ -202,6 +202,7 @@ def without_common_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_
     are one document when counted; those without id are one as well, smaller than any other.
     Other columns of `docs` are left behind.
     """
+    small_batches(docs.sparkSession)
     path, n = index(counts(docs, least_chars, key, text), least_docs)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from promptweir.llm.common import remainder
+from promptweir.llm.common import remainder, small_batches
 
 #: Labelled documents the model learns from, at most; taken in order of a hash of their id.
 TRAINING_ROWS = 20_000
@@ -191,6 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id"
           label: str = "quality", rows: int = TRAINING_ROWS) -> Model:
     """Fits the model on at most `rows` labelled documents for which `learn` (a condition on the
     key) holds. Only their feature rows reach the driver."""
+    small_batches(docs.sparkSession)
     picked = labels.where(learn & F.col(label).isin(0, 1)).select(
         F.col(key).alias("picked"), F.col(label).cast("double").alias("label")).orderBy(
         F.xxhash64("picked"), "picked", "label").limit(rows)
@@ -217,7 +218,8 @@ def classify(docs: DataFrame, labels: DataFrame, held_out: int = 2, folds: int =
 
     Documents whose crc32(key) modulo `folds` is `held_out` are never learnt from. NULL and empty
     texts get the score of a text without bytes; a NULL key is not learnt from and not held out;
-    repeated rows get equal scores; without labels every text gets the prior.
+    repeated rows get equal scores; without labels every text gets the prior. A column of `docs` that
+    has one of the three names gives way.
     """
     fold = remainder(F.col(key), folds)
     model = train(docs, labels, fold != held_out, key, text)

@@ -270,9 +270,22 @@ def test_pipeline_of_awkward_documents(spark):
         assert out.columns == docs.columns and out.count() <= 2 * len(rows)
         assert stage(spark, docs.limit(0), SF).count() == 0
     assert corpus_pipeline.without_near_copies(spark, docs, SF).where("doc_id = 1").count() == 1
+    copies = spark.createDataFrame([(None, "one text of several plain words", 1), (None, "one text of several plain words", 2),
+                                    (None, "One text of several  plain words", 3), (5, "one text of several plain words", 4),
+                                    (None, "a group without any id at all", 5), (None, "a group without any id at all", 6)],
+                                   "doc_id long, text string, n_chars long")
+    left = sorted((r.doc_id is None, r.text) for r in corpus_pipeline.without_near_copies(spark, copies, SF).collect())
+    assert left == [(False, "one text of several plain words"), (True, "a group without any id at all")]
     assert corpus_pipeline.packed(spark, docs, SF).count() == len(rows)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "language", "near_copies", "mixing", "packing"]
 
 
 def test_pipeline_runs(spark):
     assert queries.queries() and corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_vectors_of_one_id_keep_their_own_links(spark):
+    rows = [(1, [1.0, 0.0, 0.0], 0), (1, [0.0, 1.0, 0.0], 0), (2, [1.0, 0.01, 0.0], 0), (3, [0.01, 1.0, 0.0], 0), (4, [0.0, 0.0, 1.0], 0)]
+    frame = spark.createDataFrame([(*r, 1, 2) for r in rows], VECTORS)
+    got = sorted(map(tuple, embed_dedup.link(frame).collect()))
+    assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 0, 4, True)]
