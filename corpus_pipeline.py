@@ -16,6 +16,8 @@ from promptweir.session import written
 
 #: A document stays if its likeliest language has at least this mean probability.
 LANGUAGE_SCORE = 0.4
+#: Ranks from here on belong to documents without an id.
+NO_ID = 1 << 62
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,12 +38,13 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five words, similarity 0.8), that with the
-    smallest id; of repeated rows one.
-    A document without an id has no rank in its group and stays; so do the texts of an id of which
-    one is the smallest of its group."""
-    marks = written(ngram_join.join(docs).where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__k_id")).agg(
+    smallest id; of repeated rows one. Documents without an id rank behind all others, by a hash of
+    their text. The texts of an id stay together: all of them, if one is the smallest of its group."""
+    ranked = docs.withColumn("__k_rank", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseAND(
+        F.lit(NO_ID - 1)).bitwiseOR(F.lit(NO_ID))))
+    marks = written(ngram_join.join(ranked, key="__k_rank").groupBy(F.col("doc_id").alias("__k_id")).agg(
         F.max("kept").alias("__k_keep"), F.count(F.lit(1)).alias("__k_n")).where("NOT __k_keep OR __k_n > 1"), "marks")
-    both = docs.join(marks, F.col("doc_id") == F.col("__k_id"), "left")
+    both = ranked.join(marks, F.col("__k_rank") == F.col("__k_id"), "left")
     once = both.where("__k_n IS NULL").select(*docs.columns)
     again = both.where("__k_keep").select(*docs.columns).dropDuplicates(["doc_id", "text"])
     return once.unionByName(again)
@@ -63,8 +66,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in sequences."""
-    cut = packing.pieces(docs, ranks_path())
-    return packing.pack(cut.withColumn("ids_crc32", packing.ids_crc32("ids")).drop("ids")).select(
+    return packing.pack(packing.pieces(docs, ranks_path(), with_ids=False)).select(
         "doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
 
 
