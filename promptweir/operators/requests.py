@@ -97,6 +97,11 @@ REFERENCE_TAIL = """
 ### Format:
 <think>Your internal reasoning...</think>
 Answer: Your final answer here."""
+FULL_JUDGE_HEAD, FULL_JUDGE_MIDDLE, FULL_JUDGE_TAIL = "### User Question:\n", "\n\n### LLM Answer:\n", "\n"
+# Temperature and most tokens of each kind of request.
+SETTINGS: dict[str, tuple[float, int | None]] = {
+    "classify": (0.0, 100), "answer": (0.7, 1000), "light_judge": (0.3, None), "full_judge": (0.0, 250), "reference": (0.0, 200),
+}
 
 
 def system_text(category: Column, level: Column) -> Column:
@@ -106,8 +111,8 @@ def system_text(category: Column, level: Column) -> Column:
         lookup(level, COMPLEXITY_INSTRUCTIONS, None))
 
 
-def _request(kind: str, key: Column, model: Column, system: Column, user: Column,
-             temperature: float, max_tokens: int | None) -> Column:
+def _request(kind: str, key: Column, model: Column, system: Column, user: Column) -> Column:
+    temperature, max_tokens = SETTINGS[kind]
     return F.struct(
         F.concat_ws(":", F.lit(kind), key.cast("string"), model).alias("request_id"),
         F.lit(kind).alias("kind"), model.alias("model"),
@@ -121,17 +126,17 @@ def _rows(df: DataFrame, requests: list[Column]) -> DataFrame:
 
 def classification_requests(prompts: DataFrame, key: str = "prompt_id", text: str = "text", model: str = DEFAULT_MODEL) -> DataFrame:
     user = F.concat(F.lit(CLASSIFY_HEAD), F.col(text), F.lit(CLASSIFY_TAIL))
-    return _rows(prompts, [_request("classify", F.col(key), F.lit(model), F.lit(CLASSIFY_SYSTEM), user, 0.0, 100)])
+    return _rows(prompts, [_request("classify", F.col(key), F.lit(model), F.lit(CLASSIFY_SYSTEM), user)])
 
 
 def answer_requests(routed: DataFrame, key: str = "prompt_id", text: str = "text") -> DataFrame:
     system = system_text(F.col("category"), F.col("complexity_level"))
-    return _rows(routed, [_request("answer", F.col(key), F.col("model"), system, F.col(text), 0.7, 1000)])
+    return _rows(routed, [_request("answer", F.col(key), F.col("model"), system, F.col(text))])
 
 
 def _reference_requests(key: str, question: str, models: tuple[str, ...]) -> list[Column]:
     text = F.concat(F.lit(REFERENCE_HEAD), F.col(question), F.lit(REFERENCE_TAIL))
-    return [_request("reference", F.col(key), F.lit(m), F.lit(REFERENCE_SYSTEM), text, 0.0, 200) for m in models]
+    return [_request("reference", F.col(key), F.lit(m), F.lit(REFERENCE_SYSTEM), text) for m in models]
 
 
 def reference_requests(pairs: DataFrame, key: str, question: str, models: tuple[str, ...] = REFERENCE_MODELS) -> DataFrame:
@@ -165,9 +170,9 @@ def evaluation_requests(
     """Light judge, full judge and one reference answer per reference model."""
     q, a, judge = F.col(question), F.col(answer), F.lit(judge_model)
     light = F.concat(F.lit(LIGHT_JUDGE_HEAD), q, F.lit(LIGHT_JUDGE_MIDDLE), a, F.lit(LIGHT_JUDGE_TAIL))
-    full = F.concat(F.lit("### User Question:\n"), q, F.lit("\n\n### LLM Answer:\n"), a, F.lit("\n"))
+    full = F.concat(F.lit(FULL_JUDGE_HEAD), q, F.lit(FULL_JUDGE_MIDDLE), a, F.lit(FULL_JUDGE_TAIL))
     return _rows(pairs, [
-        _request("light_judge", F.col(key), judge, F.lit(None).cast("string"), light, 0.3, None),
-        _request("full_judge", F.col(key), judge, F.lit(FULL_JUDGE_SYSTEM), full, 0.0, 250),
+        _request("light_judge", F.col(key), judge, F.lit(None).cast("string"), light),
+        _request("full_judge", F.col(key), judge, F.lit(FULL_JUDGE_SYSTEM), full),
         *_reference_requests(key, question, reference_models),
     ])

@@ -13,9 +13,18 @@ from promptweir.sources.lexicons import (
     CATEGORIES, LEGAL_WORDS, RESCUE_FRAGMENTS, UNKNOWN_VERDICT_CATEGORY,
 )
 
+# --- fixed values: required keys, defaults, fallback texts, patterns of damaged JSON ----
 JUDGE_KEYS = ("score", "accuracy", "completeness", "clarity", "is_correct", "justification")
 DEFAULT_SCORE = 3.0
 QUOTED_RAW = 200  # characters of the raw text quoted in a fallback justification
+RESCUED_SCORE = "Manually extracted from response: "
+JUDGE_ERROR = ("Error in judging: '", "' object has no attribute 'get'")
+UNREADABLE = "Could not parse judge response. Raw response: "
+LEGACY_UNREADABLE = "Could not parse judge response"
+THINK_BLOCK = r"(?s)<think>.*?</think>"
+CATEGORY_IN_TEXT = rf'(?iU)"category":{tx.SPACE}*"([^"]+)"'
+CONFIDENCE_IN_TEXT = rf'(?U)"confidence":{tx.SPACE}*([0-9.]+)'
+SCORE_IN_TEXT = rf'(?U)"score":{tx.SPACE}*(\p{{Nd}}+)'
 
 
 def clean_answer(raw: Column) -> Column:
@@ -24,7 +33,7 @@ def clean_answer(raw: Column) -> Column:
     Removes the first thinking block and its exact copies; without a full block, drops
     stray opening tags; without tags, keeps what follows the first answer mark.
     """
-    block = F.regexp_extract(raw, r"(?s)<think>.*?</think>", 0)
+    block = F.regexp_extract(raw, THINK_BLOCK, 0)
     mark = F.locate("Answer:", raw)
     return tx.strip(
         F.when(block != "", F.replace(raw, block, F.lit("")))
@@ -81,8 +90,8 @@ def classifier_verdicts(responses: DataFrame, raw: str = "raw", query: str = "qu
         .withColumn("_conf", F.when(F.col("_fkind").isNull(), F.lit(0.7))
                     .when(F.col("_fkind") == "BOOLEAN", sj.get(v, "confidence", "boolean").cast("double"))
                     .otherwise(_number(tx.strip(sj.get(v, "confidence", "string")))))
-        .withColumn("_rname", F.upper(F.regexp_extract("_text", rf'(?iU)"category":{tx.SPACE}*"([^"]+)"', 1)))
-        .withColumn("_rtext", F.regexp_extract("_text", rf'(?U)"confidence":{tx.SPACE}*([0-9.]+)', 1))
+        .withColumn("_rname", F.upper(F.regexp_extract("_text", CATEGORY_IN_TEXT, 1)))
+        .withColumn("_rtext", F.regexp_extract("_text", CONFIDENCE_IN_TEXT, 1))
     )
     # A wrong type is not a parse failure: it skips the rescue and ends without a verdict.
     bad_type = (
@@ -118,7 +127,7 @@ def classifier_verdicts(responses: DataFrame, raw: str = "raw", query: str = "qu
 
 def judge_verdicts(responses: DataFrame, raw: str = "raw") -> DataFrame:
     """Strict judge verdicts: six required fields, each failure with its own status."""
-    cleaned = tx.strip(F.regexp_replace(tx.strip(F.col(raw)), r"(?s)<think>.*?</think>", ""))
+    cleaned = tx.strip(F.regexp_replace(tx.strip(F.col(raw)), THINK_BLOCK, ""))
     df = responses.withColumn("_json", tx.between(cleaned, "{", "}")).withColumn("_v", sj.parse(F.col("_json")))
     v = F.col("_v")
     df = df.withColumn("parse_status",
@@ -145,7 +154,7 @@ def light_verdicts(responses: DataFrame, raw: str = "raw") -> DataFrame:
         responses.withColumn("_json", F.coalesce(tx.between(stripped, "{", "}"), stripped))
         .withColumn("_v", sj.parse(F.col("_json")))
         .withColumn("_kind", sj.kind(F.col("_v")))
-        .withColumn("_digits", F.regexp_extract(raw, rf'(?U)"score":{tx.SPACE}*(\p{{Nd}}+)', 1))
+        .withColumn("_digits", F.regexp_extract(raw, SCORE_IN_TEXT, 1))
     )
     v = F.col("_v")
     usable = (F.col("_kind") == "OBJECT") & sj.has_keys(v, ("score", "justification"))
@@ -167,10 +176,10 @@ def light_verdicts(responses: DataFrame, raw: str = "raw") -> DataFrame:
                     F.when(is_status("ok"), sj.get(v, "is_correct", "boolean")).otherwise(F.lit(True)))
         .withColumn("justification",
                     F.when(is_status("ok"), sj.get(v, "justification", "string"))
-                    .when(is_status("score_rescued"), F.concat(F.lit("Manually extracted from response: "), quoted))
+                    .when(is_status("score_rescued"), F.concat(F.lit(RESCUED_SCORE), quoted))
                     .when(is_status("error"), F.concat(
-                        F.lit("Error in judging: '"), type_name, F.lit("' object has no attribute 'get'")))
-                    .otherwise(F.concat(F.lit("Could not parse judge response. Raw response: "), quoted)))
+                        F.lit(JUDGE_ERROR[0]), type_name, F.lit(JUDGE_ERROR[1])))
+                    .otherwise(F.concat(F.lit(UNREADABLE), quoted)))
         .drop("_json", "_v", "_kind", "_digits")
     )
 
@@ -185,7 +194,7 @@ def legacy_verdicts(responses: DataFrame, raw: str = "raw") -> DataFrame:
         .withColumn("score", F.when(ok, sj.get(v, "score", "double")).otherwise(F.lit(DEFAULT_SCORE)))
         .withColumn("is_correct", F.when(ok, sj.get(v, "is_correct", "boolean")).otherwise(F.lit(True)))
         .withColumn("justification",
-                    F.when(ok, sj.get(v, "justification", "string")).otherwise("Could not parse judge response"))
+                    F.when(ok, sj.get(v, "justification", "string")).otherwise(LEGACY_UNREADABLE))
         .drop("_v")
     )
 

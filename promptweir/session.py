@@ -18,6 +18,7 @@ def local_session(cpus: int = 8, partitions: int = 8) -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
+        .config("spark.checkpoint.dir", f"{tempfile.gettempdir()}/promptweir-shared")  # one machine: any folder is shared
         .config("spark.promptweir.spread", str(cpus))  # small test tables are one partition
         .getOrCreate()
     )
