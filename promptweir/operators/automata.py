@@ -126,6 +126,33 @@ def term_finder(rows: list[dict]) -> Finder:
     return find
 
 
+EXPANSION = T.StructType([T.StructField("i", T.IntegerType()), T.StructField("chars", T.IntegerType()),
+                          T.StructField("expansion", T.StringType())])
+
+
+def expansion_finder(rows: list[dict]) -> Finder:
+    """(place, length of the cleaned token, expansion) of the tokens whose cleaned form is a term of the block.
+    Rows: term, expansion."""
+    expansions = {r["term"]: r["expansion"] for r in rows}
+    known: dict[str, tuple | None] = {}
+
+    def look_up(token: str) -> tuple | None:
+        clean = _NOT_WORD.sub("", token)
+        return (len(clean), expansions[clean]) if clean in expansions else None
+
+    def find(text: str) -> list:
+        if len(known) > REMEMBERED:
+            known.clear()
+        tokens = text.split(" ")
+        distinct = set(tokens)
+        for token in distinct.difference(known):
+            known[token] = look_up(token)
+        if not any(map(known.__getitem__, distinct)):
+            return []
+        return [{"i": i, "chars": hit[0], "expansion": hit[1]} for i, token in enumerate(tokens) if (hit := known[token])]
+    return find
+
+
 # --- rules --------------------------------------------------------------------------------------
 
 SCORE = T.StructType([T.StructField("cat_ord", T.IntegerType()), T.StructField("category", T.StringType()),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptweir.functions import text as tx
@@ -63,22 +63,23 @@ def top_terms(lexicon: DataFrame, k: int) -> DataFrame:
 
 
 def expand_by_join(prompts: DataFrame, abbreviations: DataFrame, key: str = "prompt_id", text: str = "text") -> DataFrame:
-    """Token expansion against an abbreviation table of any size.
+    """Token expansion against an abbreviation table of any size, one row per prompt.
 
-    Same result as ``features.normalize`` with the table as literals. No broadcast is
-    forced: Spark broadcasts the table when it is small and otherwise joins by term,
-    splitting a hot token's rows at run time.
+    Same result as ``features.normalize`` with the table as literals; a NULL text becomes empty. Texts stay
+    where they are and meet the table block by block, see ``automata``.
     """
-    placed = prompts.select(key, F.posexplode_outer(tx.tokens(F.lower(tx.strip(F.col(text))))).alias("i", "t"))
-    cleaned = placed.withColumn("clean", tx.clean_token(F.col("t")))
-    table = abbreviations.select(F.col("term").alias("clean"), "expansion")
-    tail = F.substring("t", F.char_length("clean") + 1, F.char_length("t"))
-    joined = cleaned.join(table, "clean", "left").withColumn(
-        "out", F.coalesce(F.concat("expansion", tail), F.col("t")))
-    return joined.groupBy(key).agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.when(F.col("t").isNotNull(), F.struct("i", "out")))),
-                        lambda s: s["out"]), " ").alias("normalized_query"))
+    path, blocks = automata.write_blocks(abbreviations.select("term", "expansion"), "abbreviations", ["term"])
+    spaced = prompts.select(F.col(key), F.coalesce(tx.spaced(F.lower(F.col(text))), F.lit("")).alias("_spaced"))
+    found = automata.with_found(spaced, "_spaced", "_found", automata.EXPANSION, path, blocks, automata.expansion_finder)
+
+    def expanded(token: Column, i: Column) -> Column:
+        own = F.element_at("_at", i)
+        return F.when(own.isNull(), token).otherwise(
+            F.concat(own["expansion"], F.substring(token, own["chars"] + 1, F.char_length(token))))
+
+    at = F.map_from_entries(F.transform("_found", lambda f: F.struct(f["i"], f)))
+    return found.withColumn("_at", at).select(key, F.when(F.size("_found") == 0, F.col("_spaced")).otherwise(
+        F.array_join(F.transform(F.split("_spaced", " "), expanded), " ")).alias("normalized_query"))
 
 
 def terms_by_join(normalized: DataFrame, lexicon: DataFrame, key: str = "prompt_id", text: str = "normalized_query") -> DataFrame:
