@@ -14,6 +14,8 @@ from promptweir.sources.lexicons import (
 )
 
 # --- fixed values: required keys, defaults, fallback texts, patterns of damaged JSON ----
+CLASSIFIER_KEYS = ("category", "confidence")
+LIGHT_KEYS = ("score", "is_correct", "justification")
 JUDGE_KEYS = ("score", "accuracy", "completeness", "clarity", "is_correct", "justification")
 DEFAULT_SCORE = 3.0
 QUOTED_RAW = 200  # characters of the raw text quoted in a fallback justification
@@ -80,7 +82,7 @@ def classifier_verdicts(responses: DataFrame, raw: str = "raw", query: str = "qu
     df = (
         responses.withColumn("_text", text)
         .withColumn("_json", F.when(flat != "", flat).otherwise(after))
-        .withColumn("_v", sj.parse(F.col("_json")))
+        .withColumn("_v", sj.parse(F.col("_json"), CLASSIFIER_KEYS))
     )
     v = F.col("_v")
     df = (
@@ -128,7 +130,8 @@ def classifier_verdicts(responses: DataFrame, raw: str = "raw", query: str = "qu
 def judge_verdicts(responses: DataFrame, raw: str = "raw") -> DataFrame:
     """Strict judge verdicts: six required fields, each failure with its own status."""
     cleaned = tx.strip(F.regexp_replace(tx.strip(F.col(raw)), THINK_BLOCK, ""))
-    df = responses.withColumn("_json", tx.between(cleaned, "{", "}")).withColumn("_v", sj.parse(F.col("_json")))
+    df = responses.withColumn("_json", tx.between(cleaned, "{", "}")).withColumn(
+        "_v", sj.parse(F.col("_json"), JUDGE_KEYS))
     v = F.col("_v")
     df = df.withColumn("parse_status",
                        F.when(F.col("_json").isNull(), "no_json").when(v.isNull(), "bad_json")
@@ -152,7 +155,7 @@ def light_verdicts(responses: DataFrame, raw: str = "raw") -> DataFrame:
     stripped = tx.strip(F.col(raw))
     df = (
         responses.withColumn("_json", F.coalesce(tx.between(stripped, "{", "}"), stripped))
-        .withColumn("_v", sj.parse(F.col("_json")))
+        .withColumn("_v", sj.parse(F.col("_json"), LIGHT_KEYS))
         .withColumn("_kind", sj.kind(F.col("_v")))
         .withColumn("_digits", F.regexp_extract(raw, SCORE_IN_TEXT, 1))
     )
@@ -186,7 +189,7 @@ def light_verdicts(responses: DataFrame, raw: str = "raw") -> DataFrame:
 
 def legacy_verdicts(responses: DataFrame, raw: str = "raw") -> DataFrame:
     """Oldest judge form: the whole text is one JSON value, or the default applies."""
-    df = responses.withColumn("_v", sj.parse(F.col(raw)))
+    df = responses.withColumn("_v", sj.parse(F.col(raw), LIGHT_KEYS))
     v = F.col("_v")
     ok = v.isNotNull()
     return (

@@ -156,6 +156,11 @@ VERDICT_FORMS: tuple[str, ...] = (
     '{"category": "C", "confidence": "high", "reasoning": "T"}',
     '{"category": "Science MATHEMATICAL", "confidence": true}',
     '<think>no end {"category": "C", "confidence": F, "reasoning": "T"}',
+    '{"category": "COOKING", "confidence": F, "category": "C", "reasoning": "T", "confidence": 0.55}',
+    '{"category": "C", "confidence": NaN, "reasoning": "T"}',
+    '{"category": ["C"], "category": "C", "confidence": -Infinity, "reasoning": "NaN T"}',
+    '{"category": "C", "confidence": F, "confidence": null, "reasoning": "T"}',
+    '{"category": "C", "category": "C", "confidence": F, "reasoning": "T",}',
 )
 
 # Parts: S score, B boolean, T and R as above.
@@ -174,6 +179,11 @@ JUDGE_FORMS: tuple[str, ...] = (
     '{"is_correct": B, "justification": "T"}',
     '<think>a</think><think>R</think> {"score": S, "accuracy": 1, "completeness": 2, "clarity": 3, "is_correct": B, "justification": null}',
     '{"score": S, "accuracy": 1, "completeness": 2, "clarity": 3, "is_correct": B, "justification": "T"} }',
+    '{"score": 1, "accuracy": S, "completeness": 4, "clarity": 2.5, "is_correct": B, "justification": "R", "score": S, "weight": NaN, "justification": "T"}',
+    '{"score": S, "score": 3, "is_correct": B, "is_correct": false, "justification": "T"}',
+    '{"score": S, "justification": "T", "weights": [NaN, -Infinity]}',
+    '[NaN, S]',
+    'Infinity',
 )
 
 ANSWER_FORMS: tuple[str, ...] = (

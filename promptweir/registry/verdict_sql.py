@@ -21,6 +21,16 @@ def strict(json: str) -> str:
     return f"(json_valid({json}) AND NOT regexp_matches({json}, ',\\s*[\\]}}]\\s*$'))"
 
 
+def last(json: str, key: str) -> str:
+    """Value of a key of an object, the last one where the object repeats the key."""
+    keys = f"json_keys({json})"
+    return f"json_extract({json}, '$.*')[len({keys}) + 1 - list_position(list_reverse({keys}), '{key}')]"
+
+
+def last_text(json: str, key: str) -> str:
+    return f"json_extract_string({last(json, key)}, '$')"
+
+
 def greedy(text: str) -> str:
     return f"nullif(regexp_extract({text}, '(?s)\\{{.*\\}}'), '')"
 
@@ -40,14 +50,14 @@ v3 AS (SELECT *, coalesce(nullif(regexp_extract(rest, '\\{{[^}}]*\\}}'), ''), re
 v4 AS (SELECT * REPLACE (CASE WHEN {strict('j')} THEN j END AS j), {strict('j')} AS valid FROM v3),
 v5 AS (
   SELECT *, CASE WHEN valid THEN json_type(j) END AS kind,
-    CASE WHEN valid AND json_type(j) = 'OBJECT' THEN json_type(j, '$.category') END AS ckind,
-    CASE WHEN valid AND json_type(j) = 'OBJECT' THEN json_type(j, '$.confidence') END AS fkind,
+    CASE WHEN valid AND json_type(j) = 'OBJECT' THEN json_type({last('j', 'category')}) END AS ckind,
+    CASE WHEN valid AND json_type(j) = 'OBJECT' THEN json_type({last('j', 'confidence')}) END AS fkind,
     upper(regexp_extract(t, '(?i)"category":\\s*"([^"]+)"', 1)) AS rname,
     regexp_extract(t, '"confidence":\\s*([0-9.]+)', 1) AS rtext FROM v4),
 v6 AS (
-  SELECT *, upper(coalesce(CASE WHEN ckind = 'VARCHAR' THEN json_extract_string(j, '$.category') END, '')) AS cat,
-    CASE WHEN fkind IS NULL THEN 0.7 WHEN fkind = 'BOOLEAN' THEN CAST(json_extract_string(j, '$.confidence') = 'true' AS INT)
-      ELSE TRY_CAST(json_extract_string(j, '$.confidence') AS DOUBLE) END AS conf,
+  SELECT *, upper(coalesce(CASE WHEN ckind = 'VARCHAR' THEN {last_text('j', 'category')} END, '')) AS cat,
+    CASE WHEN fkind IS NULL THEN 0.7 WHEN fkind = 'BOOLEAN' THEN CAST({last_text('j', 'confidence')} = 'true' AS INT)
+      ELSE TRY_CAST({last_text('j', 'confidence')} AS DOUBLE) END AS conf,
     CASE WHEN rtext = '' THEN 0.7 ELSE TRY_CAST(rtext AS DOUBLE) END AS rconf FROM v5),
 v7 AS (
   SELECT *, CASE
@@ -79,10 +89,10 @@ l3 AS (
     WHEN kind <> 'OBJECT' THEN 'error' WHEN digits <> '' THEN 'score_rescued' ELSE 'default' END AS parse_status FROM l2),
 light_result AS (
   SELECT request_id, parse_status,
-    CASE parse_status WHEN 'ok' THEN TRY_CAST(json_extract_string(j, '$.score') AS DOUBLE)
+    CASE parse_status WHEN 'ok' THEN TRY_CAST({last_text('j', 'score')} AS DOUBLE)
       WHEN 'score_rescued' THEN CAST(digits AS DOUBLE) ELSE 3.0 END AS score,
-    CASE WHEN parse_status = 'ok' THEN TRY_CAST(json_extract_string(j, '$.is_correct') AS BOOLEAN) ELSE true END AS is_correct,
-    CASE parse_status WHEN 'ok' THEN json_extract_string(j, '$.justification')
+    CASE WHEN parse_status = 'ok' THEN TRY_CAST({last_text('j', 'is_correct')} AS BOOLEAN) ELSE true END AS is_correct,
+    CASE parse_status WHEN 'ok' THEN {last_text('j', 'justification')}
       WHEN 'score_rescued' THEN 'Manually extracted from response: ' || left(raw, 200)
       WHEN 'error' THEN 'Error in judging: ''' || CASE kind WHEN 'ARRAY' THEN 'list' WHEN 'VARCHAR' THEN 'str'
         WHEN 'UBIGINT' THEN 'int' WHEN 'BIGINT' THEN 'int' WHEN 'BOOLEAN' THEN 'bool' WHEN 'NULL' THEN 'NoneType'
@@ -94,7 +104,7 @@ light_result AS (
 def strict_judge_sql(source: str) -> str:
     keys = ("score", "accuracy", "completeness", "clarity", "is_correct", "justification")
     present = " AND ".join(f"json_exists(j, '$.{k}')" for k in keys)
-    number = lambda k: f"CASE WHEN parse_status = 'ok' THEN TRY_CAST(json_extract_string(j, '$.{k}') AS DOUBLE) END AS {k}"
+    number = lambda k: f"CASE WHEN parse_status = 'ok' THEN TRY_CAST({last_text('j', k)} AS DOUBLE) END AS {k}"
     cleaned = strip("regexp_replace(" + strip("raw") + ", '(?s)<think>.*?</think>', '', 'g')")
     return f"""
 s1 AS (SELECT request_id, model_id, {greedy(cleaned)} AS j FROM {source}),
@@ -103,8 +113,8 @@ s2 AS (
     WHEN NOT ({present}) THEN 'missing_keys' ELSE 'ok' END AS parse_status FROM s1),
 judge_result AS (
   SELECT request_id, model_id, parse_status, {', '.join(map(number, keys[:4]))},
-    CASE WHEN parse_status = 'ok' THEN TRY_CAST(json_extract_string(j, '$.is_correct') AS BOOLEAN) END AS is_correct,
-    CASE WHEN parse_status = 'ok' THEN json_extract_string(j, '$.justification') END AS justification FROM s2)"""
+    CASE WHEN parse_status = 'ok' THEN TRY_CAST({last_text('j', 'is_correct')} AS BOOLEAN) END AS is_correct,
+    CASE WHEN parse_status = 'ok' THEN {last_text('j', 'justification')} END AS justification FROM s2)"""
 
 
 def legacy_judge_sql(source: str) -> str:
@@ -113,9 +123,9 @@ g1 AS (SELECT request_id, raw, {strict('raw')} AS valid FROM {source}),
 g2 AS (SELECT *, CASE WHEN valid AND json_type(raw) = 'OBJECT' THEN raw ELSE '{{}}' END AS j FROM g1),
 legacy_result AS (
   SELECT request_id, CASE WHEN valid THEN 'ok' ELSE 'default' END AS parse_status,
-    CASE WHEN valid THEN TRY_CAST(json_extract_string(j, '$.score') AS DOUBLE) ELSE 3.0 END AS score,
-    CASE WHEN valid THEN TRY_CAST(json_extract_string(j, '$.is_correct') AS BOOLEAN) ELSE true END AS is_correct,
-    CASE WHEN valid THEN json_extract_string(j, '$.justification')
+    CASE WHEN valid THEN TRY_CAST({last_text('j', 'score')} AS DOUBLE) ELSE 3.0 END AS score,
+    CASE WHEN valid THEN TRY_CAST({last_text('j', 'is_correct')} AS BOOLEAN) ELSE true END AS is_correct,
+    CASE WHEN valid THEN {last_text('j', 'justification')}
       ELSE 'Could not parse judge response' END AS justification FROM g2)"""
 
 

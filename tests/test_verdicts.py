@@ -21,6 +21,23 @@ CLASSIFIER = [
     ("no json", "hello", "no_verdict", None, None),
     ("[1]", "lawsuit", "no_verdict", None, None),
     (None, "lawsuit", "no_verdict", None, None),
+    # repeated keys and numbers that are none
+    ('{"category": "x", "confidence": 1, "category": "CREATIVE_ARTISTIC", "confidence": 0.9}', "q", "ok", "CREATIVE_ARTISTIC", 0.9),
+    ('{"category": "CODE_TECHNICAL", "confidence": NaN}', "q", "ok", "CODE_TECHNICAL", 1.0),
+    ('{"category": "CODE_TECHNICAL", "confidence": -Infinity, "note": "NaN"}', "q", "ok", "CODE_TECHNICAL", 0.0),
+    ('{"category": "CODE_TECHNICAL", "confidence": Infinity}', "q", "ok", "CODE_TECHNICAL", 1.0),
+    ('{"category": "CODE_TECHNICAL", "category": null}', "q", "no_verdict", None, None),
+    ('{"category": "CODE_TECHNICAL", "category": ["x"]}', "q", "no_verdict", None, None),
+    ('{"category": "code", "category": "code", "confidence": +Infinity}', "q", "rescued", "CODE_TECHNICAL", 0.7),
+    ('{"category": "code", "category": "code", "confidence": -INF}', "q", "rescued", "CODE_TECHNICAL", 0.7),
+    ('{"category": "code", "category": "code", "confidence": -NaN}', "q", "rescued", "CODE_TECHNICAL", 0.7),
+    ('{"category": "code", "category": "code", "confidence": 1NaN}', "q", "rescued", "CODE_TECHNICAL", 1.0),
+    ('{"category": "code", "category": \'x\', "confidence": 0.5}', "q", "rescued", "CODE_TECHNICAL", 0.5),
+    ('{"category": "code", "category": "a\nb", "confidence": 0.5}', "q", "rescued", "CODE_TECHNICAL", 0.5),
+    ('{"category": "code", "category": "\\q", "confidence": 0.5}', "q", "rescued", "CODE_TECHNICAL", 0.5),
+    ('{"category": "code", "category": "x",, "confidence": 0.5}', "q", "rescued", "CODE_TECHNICAL", 0.5),
+    ("[NaN]", "lawsuit", "no_verdict", None, None),
+    (" -Infinity ", "lawsuit", "no_verdict", None, None),
 ]
 
 
@@ -41,7 +58,8 @@ def test_strict_verdicts(frame):
     full = '{"score": 4.0, "accuracy": "4", "completeness": 3, "clarity": 5, "is_correct": true, "justification": "j"}'
     cases = [(full, "ok"), (f"<think>a</think>x <think>b</think>{full} tail", "ok"), (full[:-1], "no_json"),
              (full + " }", "bad_json"), (full.replace('"j"', "'j'"), "bad_json"), ('{"score": 4}', "missing_keys"),
-             ("", "no_json"), ("} {", "no_json")]
+             ("", "no_json"), ("} {", "no_json"), (full[:-1] + ', "score": 4, "more": NaN}', "ok"),
+             (full.replace("4.0", '9, "score": 4.0'), "ok"), (full + ', {"score": 1, "score": 2}', "bad_json")]
     for r in verdicts.judge_verdicts(frame([c for c, _ in cases])).collect():
         assert r.parse_status == cases[r.i][1], r.raw
         assert r.parse_status != "ok" or (r.score, r.accuracy, r.is_correct) == (4.0, 4.0, True)
@@ -51,11 +69,14 @@ def test_light_and_legacy_verdicts(frame):
     cases = [
         ('ok {"score": 2, "justification": "x"}', "ok", 2.0, None), ('{"score": 2}', "score_rescued", 2.0, True),
         ("[1]", "error", 3.0, True), ("7", "error", 3.0, True), ("prose", "default", 3.0, True),
-        ('{"score":  5, ', "score_rescued", 5.0, True), ("null", "error", 3.0, True)]
+        ('{"score":  5, ', "score_rescued", 5.0, True), ("null", "error", 3.0, True),
+        ('{"score": 1, "score": 2, "justification": "x", "is_correct": false}', "ok", 2.0, False), ("[NaN, 1]", "error", 3.0, True),
+        ("Infinity", "error", 3.0, True), ("Infinity 1", "default", 3.0, True), ('{"score": 1, "score": 2}', "score_rescued", 1.0, True)]
     rows = verdicts.light_verdicts(frame([c[0] for c in cases])).collect()
     for r in rows:
         assert (r.parse_status, r.score, r.is_correct) == cases[r.i][1:], r.raw
     assert rows[2].justification == "Error in judging: 'list' object has no attribute 'get'"
+    assert rows[9].justification == "Error in judging: 'float' object has no attribute 'get'"
     legacy = verdicts.legacy_verdicts(frame(['{"score": 1}', 'x {"score": 1}'])).orderBy("i").collect()
     assert [(r.parse_status, r.score) for r in legacy] == [("ok", 1.0), ("default", 3.0)]
 
