@@ -5,6 +5,11 @@ the vectors that name it. Two vectors of one label become candidates when they s
 and are verified by their cosine in double precision. A pair is handled in the list of the smallest
 pivot it shares, so it is counted once.
 
+Every label has pivots of its own, a share of its vectors taken by hash that grows with the root of
+their number. Vectors are described by their directions from the mean of these, so a direction that
+all have in common does not count. How many pivots a vector names and how many two must share is
+tried out on pivots and points made at the wanted cosine from them (``fitted``).
+
 Equal vectors are one class with a count. A list with many members is cut into blocks that meet
 pairwise, so no task holds more than two blocks whatever the label or pivot. A block returns sums
 per vector and a spanning set of links, never its pairs.
@@ -12,6 +17,8 @@ per vector and a spanning set of links, never its pairs.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -22,11 +29,18 @@ from promptweir.llm.components import components
 from promptweir.session import written
 
 COSINE = 0.93
-#: Pivots a vector names, and how many two vectors must share.
+#: Pivots a vector names, and how many two vectors must share, where that finds enough.
 NAMED, SHARED = 12, 3
-#: Pivots are vectors taken by hash: one per so many classes, within bounds.
-CLASSES_PER_PIVOT, LEAST_PIVOTS, MOST_PIVOTS = 100, 32, 2_048
-APART = 0.8
+#: Share of the points tried out that has to be found.
+FOUND, TRIED = 0.99, 256
+#: Twice the pivots are named while more than this share of all pairs are candidates, if they cut it so far.
+FEW, WORTH = 0.1, 0.7
+#: Pivots of a label with n vectors: the larger of both numbers, the second times the root of n.
+LEAST_PIVOTS, PIVOTS_PER_ROOT = 32, 4
+#: A pivot closer than this to another is left out; the first bound that leaves half of them.
+APART = (0.8, 0.9, 0.95, 0.99)
+#: Vectors described by one call.
+PART = 8_192
 BLOCK = 1_500
 
 
@@ -44,33 +58,76 @@ def nearest_pivots(vectors: np.ndarray, pivots: np.ndarray, named: int = NAMED)
     return np.take_along_axis(some, np.argsort(-np.take_along_axis(close, some, 1), axis=1, kind="stable"), 1)
 
 
-def apart(points: np.ndarray, closest: float = APART) -> np.ndarray:
+def apart(points: np.ndarray, closest: float) -> np.ndarray:
     """Points in order, without those close to an earlier one: a large group of near copies would
     else take many pivots and its members would name different ones."""
-    kept = np.zeros(len(points), bool)
-    for i, row in enumerate(points @ points.T):
-        kept[i] = not (row[kept] > closest).any()
-    return points[kept]
-
-
-def _naming(pivots: dict[int, np.ndarray], named: int):
-    def name(batches):
-        for batch in batches:
-            lists: list = [None] * len(batch)
-            sizes = batch["vector"].map(len).to_numpy()
-            for size in np.unique(sizes):
-                rows = np.flatnonzero(sizes == size)
-                if size in pivots:
-                    found = nearest_pivots(_unit(np.stack(batch["vector"].iloc[rows].to_numpy())), pivots[size], named)
-                else:  # no reference point of this length: one list for all
-                    found = np.zeros((len(rows), 1), int)
-                for row, one in zip(rows, found):
-                    lists[row] = one.astype(np.int32)
-            yield batch.assign(pivots=lists)
-    return name
-
-
-def _compare(cosine: float, shared: int):
+    kept = np.empty_like(points)
+    n = 0
+    for row in points:
+        if not (kept[:n] @ row > closest).any():
+            kept[n] = row
+            n += 1
+    return kept[:n]
+
+
+@dataclass(frozen=True)
+class Index:
+    mean: np.ndarray
+    pivots: np.ndarray
+    named: int
+    shared: int
+
+    def describe(self, unit: np.ndarray, named: int | None = None) -> np.ndarray:
+        away = unit - self.mean
+        length = np.linalg.norm(away, axis=1, keepdims=True)
+        return nearest_pivots(away / np.where(length > 0, length, 1), self.pivots, named or self.named)
+
+
+def fitted(unit: np.ndarray, cosine: float = COSINE, named: int = NAMED, shared: int = SHARED) -> Index:
+    """The index for a sample of unit vectors: from `named` pivots and at most `shared` ones in common
+    on, a setting that finds enough of the points that lie at `cosine` to a vector of the sample, in the
+    direction of another one. Where none does, every vector names every pivot and nothing is left out."""
+    mean = unit.mean(0) if len(unit) > 1 else np.zeros(unit.shape[1])
+    away = unit - mean
+    length = np.linalg.norm(away, axis=1, keepdims=True)
+    away = away[length[:, 0] > 1e-9] / length[length[:, 0] > 1e-9]
+    if not len(away):  # all alike: one pivot, named by all
+        mean, away = np.zeros_like(mean), unit[:1]
+    for closest in APART:
+        pivots = apart(away, closest)
+        if 2 * len(pivots) >= len(away):
+            break
+    own, other = unit[:TRIED], np.roll(unit, -1, axis=0)[:TRIED]
+    along = (own * other).sum(1, keepdims=True)
+    across = other - along * own
+    size = np.linalg.norm(across, axis=1, keepdims=True)
+    made = cosine * own + np.sqrt(1 - cosine * cosine) * across / np.where(size > 0, size, 1)
+    made = np.where((along >= cosine) | (size < 1e-9), other, made)
+    every = Index(mean, pivots, len(pivots), 1)
+    best, fewest = every, 1.0
+    while 2 * named <= len(pivots) and fewest > FEW:
+        mine, theirs = (_incidence(every.describe(x, named), len(pivots)) for x in (own, made))
+        least = min(shared, int(np.quantile((mine * theirs).sum(1), 1 - FOUND, method="lower")))
+        met = (mine @ mine.T >= least)[np.triu_indices(len(mine), 1)].mean()
+        if least and met < fewest * (1 if best is every else WORTH):
+            best, fewest = Index(mean, pivots, named, least), met
+        named, shared = 2 * named, named  # of more pivots up to half may have to be shared
+    return best
+
+
+def _describe(cosine: float, named: int, shared: int):
+    def describe(rows: pd.DataFrame, sample: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty:
+            return rows.assign(pivots=[], shared=[])
+        if sample.empty:  # a label no vector of which was taken: one list for all
+            return rows.assign(pivots=[np.zeros(1, np.int32)] * len(rows), shared=1)
+        index = fitted(_unit(np.stack(sample.sort_values("s_node")["s_vector"].to_numpy())), cosine, named, shared)
+        found = index.describe(_unit(np.stack(rows["vector"].to_numpy()))).astype(np.int32)
+        return rows.assign(pivots=list(found), shared=index.shared)
+    return describe
+
+
+def _compare(cosine: float):
     def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         _, _, pivot, one, two = key
         left, right = rows[rows["block"] == one].reset_index(drop=True), rows[rows["block"] == two].reset_index(drop=True)
@@ -78,7 +135,7 @@ def _compare(cosine: float, shared: int):
         count = int(max(np.max(x) for x in rows["pivots"])) + 1
         names = lambda frame: _incidence(frame["pivots"].to_numpy(), count)
         a, b = names(left), names(right)
-        need = min(shared, int(min(a.sum(1).min(initial=shared), b.sum(1).min(initial=shared))))
+        need = int(rows["shared"].iloc[0])
         va, vb = _unit(np.stack(left["vector"].to_numpy())) if len(left) else np.zeros((0, 1)), \
             _unit(np.stack(right["vector"].to_numpy())) if len(right) else np.zeros((0, 1))
         links_a, links_b = np.zeros(len(left), np.int64), np.zeros(len(right), np.int64)
@@ -137,26 +194,32 @@ def link(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", lab
     rows = rows.withColumn("vector", F.when(fit, F.col("vector")))
     classes = written(rows.where("vector IS NOT NULL").groupBy("label", "vector").agg(
         F.xxhash64("label", "vector").alias("node"), F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies")), "classes")
-    n = classes.count()
-    wanted = min(MOST_PIVOTS, max(LEAST_PIVOTS, n // CLASSES_PER_PIVOT))
-    sample = classes.orderBy("node").limit(wanted).select("vector").toPandas()["vector"]  # at most MOST_PIVOTS rows
-    pivots: dict[int, np.ndarray] = {}
-    for size in {len(v) for v in sample}:
-        pivots[size] = apart(_unit(np.stack([v for v in sample if len(v) == size])))
-    named_classes = classes.drop("least")
-    described = written(named_classes.mapInPandas(
-        _naming(pivots, named), named_classes.select("label", "vector", "node", "copies", F.lit(None).cast("array<int>").alias("pivots")).schema),
-        "described").withColumn("dims", F.size("vector"))
-    lists = described.select("label", "dims", F.explode("pivots").alias("pivot"), "node", "copies", "vector", "pivots")
+    label_size = ["label", "dims"]
+    named_classes = classes.select("label", F.size("vector").alias("dims"), "node", "copies", "vector")
+    sizes = named_classes.groupBy(*label_size).agg(F.count(F.lit(1)).alias("n")).select(
+        *label_size, "n", F.ceil(F.col("n") / PART).cast("int").alias("parts"),
+        F.greatest(F.lit(LEAST_PIVOTS), F.ceil(PIVOTS_PER_ROOT * F.sqrt("n"))).alias("wanted"))
+    sized = named_classes.join(sizes, label_size)
+    own_part = F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts")).cast("int").alias("part")
+    sample = sized.where(F.pmod(F.xxhash64("node", F.lit("pivot")), F.col("n")) < F.col("wanted")).select(
+        *[F.col(c).alias(f"s_{c}") for c in label_size], F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("s_part"),
+        F.col("node").alias("s_node"), F.col("vector").alias("s_vector"))
+    part = [*label_size, "part"]
+    schema = "label {0}, dims int, node long, copies long, vector {1}, part int, pivots array<int>, shared int".format(
+        *[classes.schema[c].dataType.simpleString() for c in ("label", "vector")])
+    described = written(
+        dealt(sized.select(*label_size, "node", "copies", "vector", own_part), *part).groupBy(*part).cogroup(
+            dealt(sample, *[f"s_{c}" for c in part]).groupBy(*[f"s_{c}" for c in part])).applyInPandas(_describe(cosine, named, shared), schema), "described")
+    lists = described.select("label", "dims", F.explode("pivots").alias("pivot"), "node", "copies", "vector", "pivots", "shared")
     sizes = lists.groupBy("label", "dims", "pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     replicas = lists.join(sizes, ["label", "dims", "pivot"]).withColumn("block", own).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = replicas.select("label", "dims", "pivot", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"),
-                       "block", "node", "copies", "vector", "pivots")
+                       "block", "node", "copies", "vector", "pivots", "shared")
     block = ["label", "dims", "pivot", "one", "two"]
     found = written(dealt(met, *block).groupBy(*block).applyInPandas(
-        _compare(cosine, shared), "node long, links long, root long"), "links")
+        _compare(cosine), "node long, links long, root long"), "links")
     counts = found.groupBy(F.col("node").alias("c_node")).agg(F.sum("links").alias("links"))
     labels = components(found, "node", "root").select(F.col("node").alias("l_node"), "component")
     rooted = classes.join(counts, F.col("node") == F.col("c_node"), "left").join(

@@ -221,6 +221,25 @@ def test_embedding_blocks_give_the_same(spark, monkeypatch):
     assert sorted(map(tuple, embed_dedup.link(frame).collect())) == whole
 
 
+@pytest.mark.parametrize("mean_cosine, most_candidates", [(0.0, 0.1), (0.5, 0.1), (0.8, 0.2), (0.9, 0.95)])
+def test_pivots_find_links_around_any_mean(mean_cosine, most_candidates):
+    rng = np.random.default_rng(8)
+    n, d = 3_000, 64
+    free = rng.normal(size=(n, d)) / np.sqrt(d)
+    free[n // 2:] = free[:n // 2] * 0.95 + 0.31 * free[n // 2:]  # half of the vectors are near copies
+    mean = np.zeros(d)
+    mean[0] = np.sqrt(mean_cosine / (1 - mean_cosine))
+    unit = embed_dedup._unit(free + mean)
+    index = embed_dedup.fitted(unit[rng.permutation(n)[:int(embed_dedup.PIVOTS_PER_ROOT * n ** 0.5)]])
+    named = embed_dedup._incidence(index.describe(unit), len(index.pivots))
+    candidate = named @ named.T >= index.shared
+    above = np.triu(np.ones((n, n), bool), 1)
+    linked = (unit @ unit.T >= 0.93) & above
+    assert linked.sum() > 500
+    assert (candidate & linked).sum() >= 0.93 * linked.sum()
+    assert (candidate & above).sum() <= most_candidates * above.sum()
+
+
 def test_top_k_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(topk, "QUERY_BLOCK", 2)
     monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 60)
