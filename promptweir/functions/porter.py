@@ -1,7 +1,8 @@
 """Porter stemming (with the usual published extensions) as column expressions.
 
 A word ``_w`` travels with its spelling ``_cv`` in ``c`` and ``v`` for consonant and vowel. No rule changes the class of a letter it keeps, so ``cv`` is computed once
-and cut or extended together with the word. Meant for dictionaries of distinct words.
+and cut or extended together with the word. Meant for dictionaries of distinct words;
+``functions.word_stems`` has the same rules for the words of a text inside its row.
 
 The rule tables are fixed values of the algorithm; the longest suffix that fits
 decides, whether or not its condition holds.

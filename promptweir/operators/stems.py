@@ -1,78 +1,29 @@
-"""Stemming token lists through a dictionary of distinct words."""
+"""Words of token lists, and the synonym sets of their stems."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from promptweir.functions import porter
-from promptweir.session import written
 
 SALTS = 16
 
 
-def stem_dictionary(words: DataFrame) -> DataFrame:
-    """``(word, stem)`` of the distinct values of a one-column frame ``word``.
-
-    Written once to the shared folder: several joins read it, its size is then
-    known to the planner, and a lost executor costs nothing. No filter may look at the
-    stem before that: pushed down, it would repeat every step's expression inside the next.
-    """
-    # Few bytes, much work per byte: the planner would gather the words into a task or two.
-    dealt = words.distinct().repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return written(porter.with_stem(dealt, "word").select("word", "stem"), "stems")
-
-
 def token_words(texts: DataFrame, tokens: str, least: int) -> DataFrame:
     """The words of a token list that are stemmed."""
     # explode_outer: see pairs.flatten_turns.
-    return texts.select(F.explode_outer(F.array_distinct(_longer(tokens, least))).alias("word")).where("word IS NOT NULL")
+    longer = F.filter(tokens, lambda w: F.char_length(w) >= least)
+    return texts.select(F.explode_outer(F.array_distinct(longer)).alias("word")).where("word IS NOT NULL")
 
 
-def changed_words(texts: DataFrame, key: str, lists: list[tuple[Column, int]], synonyms: DataFrame | None = None,
-                  salts: int = SALTS) -> DataFrame:
-    """``key``, and of the text with that key the words that stem to something else: ``words`` and ``stems``, in
-    one order; with ``synonyms`` (word, set_id) also ``sets``, array<struct<stem, sets>>.
+def synonym_sets(texts: DataFrame, key: str, stems: Column, synonyms: DataFrame, salts: int = SALTS) -> DataFrame:
+    """``key``, and of the text with that key ``sets``: array<struct<stem, sets>> of the stems that are in a
+    synonym set. Texts without any have no row.
 
-    ``lists`` are token lists of a text, with the least length from which their tokens are stemmed. Only the
-    distinct words of a text that are long enough travel, once each. A frequent word occurs in many texts: they
-    are spread over ``salts`` copies of its dictionary entry, so no task receives them all.
+    synonyms: word, set_id. Only the distinct stems of a text travel, once each. A frequent one occurs in many
+    texts: they are spread over ``salts`` copies of its entry, so no task receives them all.
     """
-    words = texts.select(key, F.explode_outer(F.array_distinct(F.concat(*[_longer(c, least) for c, least in lists]))).alias("word"))
-    words = words.where("word IS NOT NULL")
-    other = stem_dictionary(words.select("word")).where("stem <> word")
-    salt = F.pmod(F.xxhash64(key), F.lit(salts)).alias("salt")
-    entries = lambda frame: frame.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    found = words.select(key, "word", salt).join(entries(other), ["word", "salt"], "inner" if synonyms is None else "left")
-    pair = F.when(F.col("stem").isNotNull(), F.struct("word", "stem"))
-    columns = [F.collect_list(pair).alias("_pairs")]
-    if synonyms is not None:
-        sets = synonyms.groupBy(F.col("word").alias("form")).agg(F.collect_set("set_id").alias("sets"))
-        found = found.withColumn("form", F.coalesce("stem", "word")).join(entries(sets), ["form", "salt"], "left").where(
-            "stem IS NOT NULL OR sets IS NOT NULL")
-        columns.append(F.collect_set(F.when(F.col("sets").isNotNull(), F.struct(F.col("form").alias("stem"), "sets"))).alias("sets"))
-    return found.groupBy(key).agg(*columns).select(
-        key, F.col("_pairs.word").alias("words"), F.col("_pairs.stem").alias("stems"), *(["sets"] if synonyms is not None else []))
-
-
-def _looked_up(least: int):
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def look_up(tokens: pd.Series, words: pd.Series, stems: pd.Series) -> pd.Series:
-        def one(texts, known, to):
-            if known is None:
-                return texts
-            stem = dict(zip(known, to))
-            return [stem.get(w, w) if len(w) >= least else w for w in texts]
-        return pd.Series([one(*row) for row in zip(tokens, words, stems)])
-    return look_up
-
-
-def stemmed(tokens: Column | str, words: str, stems: str, least: int) -> Column:
-    """The tokens with their stems in place of the changed words that are long enough."""
-    return _looked_up(least)(tokens, words, stems)
-
-
-def _longer(tokens: Column | str, least: int) -> Column:
-    return F.filter(tokens, lambda w: F.char_length(w) >= least)
+    forms = texts.select(key, F.explode_outer(F.array_distinct(stems)).alias("form")).where("form IS NOT NULL")
+    salted = forms.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(salts)))
+    sets = synonyms.groupBy(F.col("word").alias("form")).agg(F.collect_set("set_id").alias("sets"))
+    found = salted.join(sets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["form", "salt"])
+    return found.groupBy(key).agg(F.collect_list(F.struct(F.col("form").alias("stem"), "sets")).alias("sets"))

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptweir.functions import vectors as vec
+from promptweir.functions import word_stems
 from promptweir.operators import bleu, edit, meteor, pairs as pairing, requests, rouge, sampling, stems, token_match, verdicts
-from promptweir.session import written
+from promptweir.session import small_batches, written
 from promptweir.sources.chats import join_responses, latest_responses
 from promptweir.sources.lexicons import REFERENCE_MODELS
 
@@ -116,19 +117,22 @@ def _texts(candidates: DataFrame, references: DataFrame) -> DataFrame:
 def scored_pairs(candidates: DataFrame, references: DataFrame, metrics: Iterable[str | Metric], **options) -> DataFrame:
     """KEYS, text ids and the chosen metrics, one row per pair of a candidate and a reference of its question.
 
-    Texts are written once and meet once, by question; every text metric is a column of the pair's row.
+    Texts are written once and meet once, by question; every text metric is a column of the pair's row. Tokens
+    are stemmed there too; only synonym sets, a table, make the distinct stems of a text travel.
     """
     chosen = _chosen(metrics)
+    small_batches(candidates.sparkSession)
     synonyms = options.get("synonyms")
     lists = {name: cut for m in chosen for name, cut in m.lists.items()}
     stemmed = {name: cut for name, cut in lists.items() if cut[1] is not None}
     texts = _texts(candidates, references)
     extra = []
-    if stemmed:
-        changed = stems.changed_words(texts, "_row", [(cut(F.col("_text")), least) for cut, least in stemmed.values()], synonyms)
-        changed = changed.withColumnsRenamed({"words": "from", "stems": "to"})
-        extra = [c for c in changed.columns if c != "_row"]
-        texts = texts.join(changed, "_row", "left")
+    if synonyms is not None and "words" in lists:
+        cut, least = lists["words"]
+        words = cut(F.col("_text"))
+        sets = stems.synonym_sets(texts, "_row", words if least is None else word_stems.stemmed(words, least), synonyms)
+        extra = ["sets"]
+        texts = texts.join(sets, "_row", "left")
 
     # The bytes are few and the work on each is much: by size the planner would gather the pairs into a task or two.
     tasks = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -141,7 +145,7 @@ def scored_pairs(candidates: DataFrame, references: DataFrame, metrics: Iterable
         side("r", "ref_text", "ref_text_id", ["question_id", "model_id"]), "question_id")
     both = (("c", "candidate"), ("r", "ref_text"))
     pairs = pairs.select("*", *[cut(F.col(text)).alias(f"{mark}_{name}") for name, (cut, _) in lists.items() for mark, text in both])
-    pairs = pairs.select("*", *[stems.stemmed(f"{mark}_{name}", f"{mark}_from", f"{mark}_to", least).alias(f"{mark}_{name}_stems")
+    pairs = pairs.select("*", *[word_stems.stemmed(f"{mark}_{name}", least).alias(f"{mark}_{name}_stems")
                                 for name, (_, least) in stemmed.items() for mark, _ in both])
     value = lambda m: m.with_synonyms() if synonyms is not None and m.with_synonyms else m.value()
     scored = pairs.select(*KEYS, "candidate_text_id", "ref_text_id", *[value(m).alias(m.name) for m in chosen if m.value])

@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from promptweir.functions import porter
+from promptweir.functions import porter, word_stems
 from promptweir.operators import bleu, edit, meteor, requests, rouge, sampling, stems, token_match, verdicts
 from promptweir.plans import evaluation as plan
 
@@ -116,15 +116,28 @@ def test_score_table_bounds_and_goldens(spark):
     assert means[9].bleu == 0.0 and means[1].rouge == pytest.approx(0.5)
 
 
-def test_salted_and_plain_stem_joins_agree(spark):
-    texts = spark.createDataFrame([(i, ["hot"] * 50 + ["running", "cats", "x"]) for i in range(20)], "k int, t array<string>")
-    rows = {}
-    for salts in (1, 7):
-        changed = stems.changed_words(texts, "k", [(F.col("t"), 1)], salts=salts)
-        done = texts.join(changed, "k", "left").select("k", stems.stemmed("t", "words", "stems", 1).alias("s"),
-                                                       stems.stemmed("t", "words", "stems", 5).alias("long"))
-        rows[salts] = done.orderBy("k").collect()
-    assert rows[1] == rows[7] and rows[1][0].s[-3:] == ["run", "cat", "x"] and rows[1][0].long[-3:] == ["run", "cats", "x"] and len(rows[1]) == 20
+def test_stems_in_the_row_equal_those_of_columns(spark):
+    rng = random.Random(6)
+    endings = [*porter.PLURAL_RULES, *porter.STEP2_RULES, *porter.STEP3_RULES, *porter.STEP4_SUFFIXES, "", "ed", "ing", "eed", "ied", "y", "e", "ll"]
+    words = {"".join(rng.choice("aeiouybctlszwxé9") for _ in range(rng.randint(0, 6))) + rng.choice(endings) + rng.choice(endings + [""] * 20)
+             for _ in range(20_000)} | set(porter.IRREGULAR) | {"", "y", "yyyy", "a" * 50 + "ing", "b" * 50 + "s"}
+    rows = porter.with_stem(spark.createDataFrame([(w,) for w in words], "word string"), "word").collect()
+    assert [(r.word, r.stem, word_stems.stem(r.word)) for r in rows if r.stem != word_stems.stem(r.word)] == []
+
+
+def test_stems_of_token_lists(spark):
+    texts = spark.createDataFrame([(0, ["running", None, "cats", "x"]), (1, []), (2, None)], "k int, t array<string>").select(
+        "k", F.filter("t", lambda w: w.isNotNull()).alias("t"))
+    rows = texts.select("k", word_stems.stemmed("t", 1).alias("s"), word_stems.stemmed("t", 5).alias("long")).orderBy("k").collect()
+    assert [tuple(r) for r in rows] == [(0, ["run", "cat", "x"], ["run", "cats", "x"]), (1, [], []), (2, None, None)]
+
+
+def test_salted_and_plain_synonym_joins_agree(spark):
+    texts = spark.createDataFrame([(i, ["hot"] * 50 + ["run", "x"]) for i in range(20)] + [(20, ["x"]), (21, [])], "k int, t array<string>")
+    table = spark.createDataFrame([("hot", 1), ("hot", 2), ("run", 2), ("cold", 1)], "word string, set_id int")
+    rows = {salts: {r.k: {e.stem: sorted(e.sets) for e in r.sets} for r in stems.synonym_sets(
+        texts, "k", F.col("t"), table, salts).collect()} for salts in (1, 7)}
+    assert rows[1] == rows[7] == {i: {"hot": [1, 2], "run": [2]} for i in range(20)}
 
 
 def test_token_match_blocks_agree(spark):
