@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from promptweir.session import small_batches  # noqa: F401 - for the operators
+
 #: A word is a longest run of anything but space, tab, line feed, vertical tab, form feed and
 #: carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -27,19 +29,6 @@ def finite_vector(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & (F.size(vector) > 0) & ~bad, F.lit(False))
 
 
-#: Bytes of an Arrow batch on its way to a Python worker, unless the session says otherwise.
-BATCH_BYTES = 4 << 20
-_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Bounds what a worker and its executor hold of long texts at a time. Spark's own bound counts
-    rows, or 64 MB; a session that sets another bound keeps it. Holds for the session, as results
-    are evaluated after the operator has returned."""
-    if spark.conf.get(_BATCH) in ("67108864b", "64m", "64MB"):
-        spark.conf.set(_BATCH, str(BATCH_BYTES))
-
-
 def parts(rows: int, per_part: int) -> int:
     return max(1, math.ceil(rows / per_part))
 

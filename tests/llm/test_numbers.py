@@ -3,12 +3,14 @@
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 
 import corpus_pipeline
 from promptweir.llm import embed_dedup, mixing, ngram_join, queries, shingles, topk
 from promptweir.llm.components import components
+from tests.oracle import compare
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -214,6 +216,19 @@ def test_embedding_links_equal_brute_force(spark):
     assert embed_dedup.link(frame.limit(0)).count() == 0
 
 
+def test_embedding_links_equal_sql_where_there_are_some(spark, tmp_path):
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(150, 32)) + 1  # a direction that all have in common
+    base = np.concatenate([base, base[:60] + rng.normal(size=(60, 32)) * 0.1, base[:9], base[:9]])
+    rows = [(i, v.astype(np.float32).tolist(), i % 3 if i < 150 else (i - 150) % 60 % 3) for i, v in enumerate(base)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    done = compare(spark, db, str(tmp_path), queries.queries()["op6_embed_dedup"], queries.oracle_sql()["op6_embed_dedup"])
+    assert done["match"], done
+    assert queries.op6_embed_dedup(spark, str(tmp_path)).where("NOT kept").count() > 60
+
+
 def test_embedding_blocks_give_the_same(spark, monkeypatch):
     frame = spark.createDataFrame([(*r, 1, 2) for r in awkward_vectors()], VECTORS)
     whole = sorted(map(tuple, embed_dedup.link(frame).collect()))

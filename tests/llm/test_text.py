@@ -312,7 +312,7 @@ def test_names_of_the_classifiers_give_way(spark):
 
 
 def test_batches_of_text_are_bounded(spark):
-    from promptweir.llm.common import _BATCH, small_batches
+    from promptweir.session import _BATCH, small_batches
 
     before = spark.conf.get(_BATCH)
     spark.conf.set(_BATCH, "1000000b")
