@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections import Counter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from promptweir.functions import text as tx
+from promptweir.functions import token_lists
 
 MAX_ORDER = 4
 
@@ -37,24 +38,45 @@ def tokens_13a(text: Column) -> Column:
     return tx.tokens(line)
 
 
-def _counts(own, other) -> tuple[int, ...]:
-    """Clipped matches by order, candidate n-grams by order, tokens of the reference."""
-    own, other = list(own), list(other)
-    matched, total = [], []
+def _runs(tokens: list, known: set) -> list[list]:
+    """The longest runs of tokens that are all known."""
+    runs, run = [], []
+    for token in tokens:
+        if token in known:
+            run.append(token)
+        elif run:
+            runs.append(run)
+            run = []
+    return [*runs, run] if run else runs
+
+
+def _counts(own: list, other: list) -> tuple[int, ...]:
+    """Clipped matches by order, candidate n-grams by order, tokens of the reference.
+
+    Only n-grams of tokens that both texts hold can match.
+    """
+    known = set(own).intersection(other)
+    sides = [_runs(own, known), _runs(other, known)]
+    matched = []
     for n in range(1, MAX_ORDER + 1):
-        grams = lambda t: Counter(zip(*[t[i:] for i in range(n)]))
-        matched.append((grams(own) & grams(other)).total())
-        total.append(max(0, len(own) - n + 1))
-    return (*matched, *total, len(other))
+        sides = [[r for r in runs if len(r) >= n] for runs in sides]
+        if not all(sides):
+            matched.append(0)
+            continue
+        grams = [Counter(g for r in runs for g in (zip(*[r[i:] for i in range(n)]) if n > 1 else r)) for runs in sides]
+        less, more = sorted(grams, key=len)
+        matched.append(sum(min(count, more[g]) for g, count in less.items() if g in more))
+    return (*matched, *[max(0, len(own) - n + 1) for n in range(1, MAX_ORDER + 1)], len(other))
 
 
 COUNTS = [f"{x}{n}" for x in "mt" for n in range(1, MAX_ORDER + 1)] + ["ref_len"]
 
 
-@F.pandas_udf(T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))
-def ngram_matches(candidate: pd.Series, reference: pd.Series) -> pd.DataFrame:
+@F.arrow_udf(T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))
+def ngram_matches(candidate: pa.Array, reference: pa.Array) -> pa.Array:
     """The counts of a pair of token arrays; pairs stay rows and n-grams never leave one."""
-    return pd.DataFrame([_counts(a, b) for a, b in zip(candidate, reference)], columns=COUNTS)
+    rows = [_counts(a, b) for a, b in token_lists.Numbered(candidate, reference).pairs()]
+    return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(len(COUNTS))], COUNTS)
 
 
 def ngram_counts(pairs: DataFrame, keys: list[str], candidate: str, reference: str) -> DataFrame:

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import json
 from collections import defaultdict
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from promptweir.functions import text as tx
+from promptweir.functions import token_lists, word_stems
 
 # --- fixed values: metric parameters ---------------------------------------------------
 ALPHA, BETA, GAMMA = 0.9, 3.0, 0.5
 
+STEM_FROM_LENGTH = 1
+
 _FOUND = T.StructType([T.StructField("matched", T.IntegerType()), T.StructField("chunks", T.IntegerType())])
 
 
@@ -22,7 +26,7 @@ def tokens(text: Column) -> Column:
     return F.transform(tx.tokens(text), F.lower)
 
 
-def _stage(own: dict[int, str], other: dict[int, str], found: dict[int, int]) -> None:
+def _stage(own: dict, other: dict, found: dict[int, int]) -> None:
     """Pairs equal forms from the end of both texts: the last free place of a form on one side with the
     last on the other. ``own`` and ``other`` hold the free places, in order."""
     places = defaultdict(list)
@@ -38,7 +42,7 @@ def _stage(own: dict[int, str], other: dict[int, str], found: dict[int, int]) ->
         other.pop(at, None)
 
 
-def _synonyms(own: dict[int, str], other: dict[int, str], sets: dict[str, set], found: dict[int, int]) -> None:
+def _synonyms(own: dict, other: dict, sets: dict, found: dict[int, int]) -> None:
     """From the end, each free form takes the last free form of the other text that shares a set with it."""
     places = defaultdict(list)
     for at, form in other.items():
@@ -58,7 +62,7 @@ def _synonyms(own: dict[int, str], other: dict[int, str], sets: dict[str, set],
             found[at] = best
 
 
-def alignment(words, stems, other_words, other_stems, sets: dict[str, set] | None = None) -> tuple[int, int]:
+def alignment(words, stems, other_words, other_stems, sets: dict | None = None) -> tuple[int, int]:
     """Matched tokens of two texts and the chunks they form."""
     found: dict[int, int] = {}
     own, other = dict(enumerate(words)), dict(enumerate(other_words))
@@ -71,24 +75,29 @@ def alignment(words, stems, other_words, other_stems, sets: dict[str, set] | Non
     return len(order), sum(i == 0 or at != order[i - 1] + 1 or found[at] != found[order[i - 1]] + 1 for i, at in enumerate(order))
 
 
-@F.pandas_udf(_FOUND)
-def _aligned(words: pd.Series, stems: pd.Series, other_words: pd.Series, other_stems: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([alignment(*texts) for texts in zip(words, stems, other_words, other_stems)], columns=["matched", "chunks"])
+def _alignments(left: pa.Array, right: pa.Array, sets: list | None = None) -> pa.Array:
+    tokens = token_lists.Numbered(left, right)
+    numbers, stems = tokens.numbers_of(lambda w: word_stems.stem_from(w, STEM_FROM_LENGTH))
+    place = {stem: i for i, stem in enumerate(stems)} if sets else {}
+    rows = []
+    for i, (words, forms) in enumerate(zip(tokens.pairs(), tokens.pairs(numbers))):
+        known = {place[e["stem"]]: set(e["sets"]) for text in sets[i] if text is not None for e in json.loads(text)} if sets else None
+        rows.append(alignment(words[0], forms[0], words[1], forms[1], known))
+    return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], pa.int32()) for i in (0, 1)], ["matched", "chunks"])
 
 
-@F.pandas_udf(_FOUND)
-def _aligned_with_sets(words: pd.Series, stems: pd.Series, other_words: pd.Series, other_stems: pd.Series,
-                       sets: pd.Series, other_sets: pd.Series) -> pd.DataFrame:
-    rows = []
-    for *texts, one, two in zip(words, stems, other_words, other_stems, sets, other_sets):
-        known = {e["stem"]: set(e["sets"]) for e in (*([] if one is None else one), *([] if two is None else two))}
-        rows.append(alignment(*texts, known))
-    return pd.DataFrame(rows, columns=["matched", "chunks"])
+@F.arrow_udf(_FOUND)
+def _aligned(left: pa.Array, right: pa.Array) -> pa.Array:
+    return _alignments(left, right)
+
+
+@F.arrow_udf(_FOUND)
+def _aligned_with_sets(left: pa.Array, right: pa.Array, sets: pa.Array, other_sets: pa.Array) -> pa.Array:
+    return _alignments(left, right, list(zip(sets.to_pylist(), other_sets.to_pylist())))
 
 
-def meteor(candidate: str, candidate_stems: str, reference: str, reference_stems: str,
-           sets: tuple[str, str] | None = None) -> Column:
-    """METEOR of two token arrays and their stems.
+def meteor(candidate: str, reference: str, sets: tuple[str, str] | None = None) -> Column:
+    """METEOR of two token arrays, stemmed inside the row.
 
     A stage pairs equal forms from the end of both texts: the k-th last occurrence on one
     side with the k-th last on the other. The stem stage sees what the exact stage left.
@@ -97,8 +106,8 @@ def meteor(candidate: str, candidate_stems: str, reference: str, reference_stems
     without them there is no synonym stage. As in the reference, it looks up the stems that the stem
     stage left: from the end, each takes the last free stem of the other text that shares a set with it.
     """
-    lists = [candidate, candidate_stems, reference, reference_stems]
-    found = _aligned_with_sets(*lists, *sets) if sets else _aligned(*lists)
+    # As JSON, so that only the row at work is held as objects.
+    found = _aligned_with_sets(candidate, reference, *[F.to_json(s) for s in sets]) if sets else _aligned(candidate, reference)
     m, chunks = found["matched"], found["chunks"]
     precision, recall = m / F.size(candidate), m / F.size(reference)
     mean = precision * recall / (ALPHA * precision + (1 - ALPHA) * recall)

@@ -57,14 +57,14 @@ def _token_f1(pairs: DataFrame, options: dict) -> DataFrame:
     return pairs.join(f1.select(*ids, F.col("f1").alias("bertscore")), ids, "left")
 
 
-_METEOR = ("c_words", "c_words_stems", "r_words", "r_words_stems")
+_METEOR = ("c_words", "r_words")
 BUILT_IN = {m.name: m for m in (
     Metric("bleu", lambda: bleu.bleu_of("c_pieces", "r_pieces"), {"pieces": (bleu.tokens_13a, None)}),
     Metric("sbert", attach=_sentence_cosine),
-    Metric("rouge", lambda: rouge.rouge_of("c_terms_stems", "r_terms_stems"), {"terms": (rouge.tokens, rouge.STEM_FROM_LENGTH)}),
+    Metric("rouge", lambda: rouge.rouge_of("c_terms", "r_terms"), {"terms": (rouge.tokens, rouge.STEM_FROM_LENGTH)}),
     Metric("bertscore", attach=_token_f1),
     Metric("edit_sim", lambda: edit.edit_similarity(F.col("candidate"), F.col("ref_text"))),
-    Metric("meteor", lambda: meteor.meteor(*_METEOR), {"words": (meteor.tokens, 1)},
+    Metric("meteor", lambda: meteor.meteor(*_METEOR), {"words": (meteor.tokens, meteor.STEM_FROM_LENGTH)},
            with_synonyms=lambda: meteor.meteor(*_METEOR, sets=("c_sets", "r_sets"))),
 )}
 METRICS = tuple(BUILT_IN)

@@ -310,3 +310,26 @@ def test_distances_of_long_texts(spark):
     row = spark.createDataFrame([(long, other), ("", ""), ("ab", "b"), (None, "b")], "a string, b string").select(
         edit.edit_similarity(F.col("a"), F.col("b")).alias("s")).collect()
     assert row[0].s == pytest.approx(1 - 203 / len(long), abs=1e-4) and [r.s for r in row[1:]] == [0.0, 0.5, None]
+
+
+def test_text_metrics_are_one_python_step(spark):
+    """A worker per task for all of them: stems do not go back and forth between two."""
+    candidates = spark.createDataFrame([(1, 1, "cats run"), (2, 2, None)], "candidate_id int, question_id int, candidate string")
+    references = spark.createDataFrame([(1, "m", "the cat runs"), (2, "m", "x")], "question_id int, model_id string, ref_text string")
+    table = plan.score_table(candidates, references, metrics=("bleu", "rouge", "edit_sim", "meteor"))
+    steps = table._jdf.queryExecution().executedPlan().toString()
+    assert steps.count("ArrowEvalPython") == 1
+    rows = {r.candidate_id: r for r in table.collect()}
+    assert rows[1].rouge == pytest.approx(0.8) and rows[1].meteor > 0
+    assert (rows[2].bleu, rows[2].rouge, rows[2].edit_sim, rows[2].meteor) == (0.0, 0.0, None, 0.0)
+
+
+def test_distances_of_many_pairs_at_a_time():
+    rng = random.Random(9)
+    letters = ("ab", "abé漢 ", "etaoin shrdlu😀")
+    text = lambda n: "".join(rng.choice(rng.choice(letters)) for _ in range(n))
+    left = [text(rng.choice([0, 1, 63, 64, 65, 128, 129, rng.randrange(400)])) for _ in range(200)]
+    right = [text(rng.randrange(400)) if rng.random() < 0.6 else x[:len(x) // 2] + "q" + x[len(x) // 2 + 3:] for x in left]
+    left += ["x" + "a" * k + "y" for k in range(1, 700, 7)] + [None, "a"]  # carries over many words
+    right += ["b" + "a" * (k + 3) + "c" for k in range(1, 700, 7)] + ["a", None]
+    assert edit.distances(left, right) == [None if a is None or b is None else edit.distance(a, b) for a, b in zip(left, right)]
