@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from promptweir.session import shared_dir
+from promptweir.session import shared_dir, small_batches
 
 #: Patterns of a block, on average.
 BLOCK = 100_000
@@ -66,16 +66,17 @@ def with_found(frame: DataFrame, text: str, out: str, kind: T.DataType, path: st
                build: Callable[[list[dict]], Finder]) -> DataFrame:
     """All rows and columns with the array ``out`` of what the finder of every block finds in ``text``.
 
-    A NULL text holds nothing; a column that is named like ``out`` gives way.
+    A NULL text holds nothing; a column that is named like ``out`` gives way. A worker holds a small batch at a time,
+    and of its texts the one at work.
     """
+    small_batches(frame.sparkSession)
     frame = frame.drop(out)
     schema = T.StructType([*frame.schema.fields, T.StructField(out, T.ArrayType(kind))])
     for block in range(blocks):
         def scan(batches: Iterator[pa.RecordBatch], block: int = block) -> Iterator[pa.RecordBatch]:
             find = build(read_block(path, block))
             for batch in batches:
-                texts = batch.column(text).to_pylist()
-                found = [find(x) if x is not None else [] for x in texts]
+                found = [find(x.as_py()) if x.is_valid else [] for x in batch.column(text)]
                 if out in batch.schema.names:
                     found = [a + b for a, b in zip(batch.column(out).to_pylist(), found)]
                     batch = batch.select([c for c in batch.schema.names if c != out])

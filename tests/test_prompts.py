@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from promptweir.operators import automata, ensemble, features, lexicon, rules
+from promptweir.session import BATCH_BYTES
 from promptweir.sources import lexicons
 from promptweir.sources.lexicons import Lexicon
 
@@ -170,3 +171,13 @@ def test_a_hundred_thousand_terms_of_several_words(spark, monkeypatch):
         monkeypatch.setattr(automata.write_blocks, "__defaults__", (block,))
         got = {r.prompt_id: r.key_terms for r in lexicon.terms_by_join(frame, terms).collect()}
         assert got == {0: ["x", "solo", "deep 7 net", "deep 99999 net"], 1: [], 2: [], 3: ["x", "solo"]}
+
+
+def test_blocks_of_patterns_hold_small_batches(spark):
+    """A worker gets texts by bytes, not up to 64 MB of them."""
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    path, blocks = automata.write_blocks(spark.createDataFrame([("cat", 1)], "term string, n_words int"), "few", ["term"])
+    texts = spark.createDataFrame([(1, "a cat"), (2, None)], "k int, x string")
+    found = automata.with_found(texts, "x", "hits", automata.HIT, path, blocks, automata.term_finder)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == BATCH_BYTES
+    assert {r.k: len(r.hits) for r in found.collect()} == {1: 1, 2: 0}
