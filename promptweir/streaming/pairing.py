@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterable, Iterator
+from datetime import datetime, timedelta, timezone
+from itertools import batched
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -33,8 +36,13 @@ PAIRED, ANSWER, UNASKED, TIMED_OUT, LATE = "paired", "answer", "unasked", "timed
 NO_TIME, NO_ROLE = "no time", "other role"
 
 
-def _time(ms: int) -> pd.Timestamp:
-    return pd.Timestamp(ms, unit="ms", tz="UTC")
+#: Rows of a key that are taken at a time.
+TAKEN = 10_000
+_EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
+
+
+def _time(ms: int | None) -> datetime | None:
+    return None if ms is None else _EPOCH + timedelta(milliseconds=ms)
 
 
 class InTimeOrder(StatefulProcessor):
@@ -48,6 +56,8 @@ class InTimeOrder(StatefulProcessor):
 
     #: Name and type of the columns kept; the first is the time in ms, and rows are ordered by all in turn.
     columns: tuple[tuple[str, str], ...]
+    #: Of the rows handed out.
+    out: Row
 
     def __init__(self, bucket_ms: int = 600_000):
         self.bucket_ms = bucket_ms
@@ -61,39 +71,40 @@ class InTimeOrder(StatefulProcessor):
         raise NotImplementedError
 
     def settle(self, key, rows: list[tuple]) -> list[tuple]:
-        """Output for rows in order."""
+        """Output for rows in order; `after` follows before another key is worked on."""
         raise NotImplementedError
 
     def after(self, key, now: int) -> tuple[list[tuple], int | None]:
         """Output once all rows up to `now` are settled, and when to come back if no row does."""
         return [], None
 
-    def frame(self, rows: list[tuple]) -> pd.DataFrame:
-        raise NotImplementedError
+    def rows(self, rows: Iterable[tuple]) -> Iterator[Row]:
+        return (self.out(*r) for r in rows)
 
     def handleInputRows(self, key, rows, timerValues):
         now = timerValues.getCurrentWatermarkInMs()
-        wakes, done = self.clock.get() if self.clock.exists() else (None, None)
-        first = wakes
-        for batch in rows:
-            # Through objects, as missing numbers would turn a column of whole ones into fractions.
-            arrived = list(zip(*[[None if pd.isna(x) else int(x) if t == "bigint" else x for x in batch[c]]
-                                 for c, t in self.columns]))
+        clock = self.clock.get()
+        wakes, done = (None, None) if clock is None else clock
+        first, fresh, filled = wakes, clock is None, set()  # a key without a clock holds nothing yet
+        names = [c for c, _ in self.columns]
+        for taken in batched(rows, TAKEN):
+            arrived = [tuple(r[c] for c in names) for r in taken]
             behind = [r for r in arrived if done is not None and r[0] <= done]
             if behind:
-                yield self.frame(self.late(key, behind, max(now, done) + 1))  # output must lie ahead of the watermark
+                yield from self.rows(self.late(key, behind, max(now, done) + 1))  # output must lie ahead of the watermark
             buckets: dict[int, list[tuple]] = {}
             for r in arrived:
                 if done is None or r[0] > done:
                     buckets.setdefault(r[0] // self.bucket_ms, []).append(r)
             for bucket, own in buckets.items():
-                self._hold(bucket, self._held(bucket) + own)
+                self._hold(bucket, own if fresh and bucket not in filled else self._held(bucket) + own)
+                filled.add(bucket)
                 least = min(r[0] for r in own)
                 first = least if first is None else min(first, least)
         self._wake(wakes, first, done)
 
-    def _held(self, bucket: int) -> list[tuple]:
-        return list(zip(*self.held.getValue((bucket,)))) if self.held.containsKey((bucket,)) else []
+    def _held(self, bucket: int, sure: bool = False) -> list[tuple]:
+        return list(zip(*self.held.getValue((bucket,)))) if sure or self.held.containsKey((bucket,)) else []
 
     def _hold(self, bucket: int, rows: list[tuple]) -> None:
         self.held.updateValue((bucket,), tuple(map(list, zip(*rows))))
@@ -111,20 +122,18 @@ class InTimeOrder(StatefulProcessor):
         following = None
         for bucket in sorted(k[0] for k in self.held.keys()):
             if bucket * self.bucket_ms > now:
-                following = min(r[0] for r in self._held(bucket))
+                following = min(r[0] for r in self._held(bucket, True))
                 break
-            rows = sorted(self._held(bucket), key=lambda r: tuple((x is not None, x) for x in r))
+            rows = sorted(self._held(bucket, True), key=lambda r: tuple((x is not None, x) for x in r))
             due = [r for r in rows if r[0] <= now]
-            if out := self.settle(key, due):
-                yield self.frame(out)
+            yield from self.rows(self.settle(key, due))
             if len(due) < len(rows):
                 self._hold(bucket, rows[len(due):])
                 following = rows[len(due)][0]
                 break
             self.held.removeKey((bucket,))
         out, back = self.after(key, now)
-        if out:
-            yield self.frame(out)
+        yield from self.rows(out)
         times = [t for t in (following, back) if t is not None]
         self._wake(None, min(times, default=None), now)
 
@@ -137,6 +146,7 @@ class PairTurns(InTimeOrder):
     answer, if that comes within ``timeout_ms``. Each turn leaves once, with what became of it."""
 
     columns = (("ts_ms", "bigint"), ("pos", "bigint"), ("role", "string"), ("content", "string"), ("user_id", "string"))
+    out = Row(*FATE_NAMES)
 
     def __init__(self, timeout_ms: int, bucket_ms: int = 600_000):
         super().__init__(bucket_ms)
@@ -145,9 +155,7 @@ class PairTurns(InTimeOrder):
     def init(self, handle) -> None:
         super().init(handle)
         self.waiting = handle.getListState("waiting", "ts_ms bigint, pos bigint, content string, user_id string")
-
-    def frame(self, rows):
-        return pd.DataFrame(rows, columns=FATE_NAMES)
+        self.left: list[tuple] | None = None
 
     @staticmethod
     def _asked(key, status, settled, turn, answer=(None, None, None)):
@@ -165,7 +173,10 @@ class PairTurns(InTimeOrder):
                 for r in rows]
 
     def settle(self, key, rows):
-        waiting, out = [tuple(w) for w in self.waiting.get()] if rows else [], []
+        if not rows:
+            return []
+        waiting, out = self._before(), []
+        stored = bool(waiting)
         for row in rows:
             ts, pos, role, content, user = row
             if role == "user":
@@ -175,12 +186,25 @@ class PairTurns(InTimeOrder):
             out += [self._asked(key, TIMED_OUT, ts, w) for w in waiting if ts - w[0] > self.timeout_ms]
             out += [*pairs, self._said(key, ANSWER if pairs else UNASKED, ts, row)]
             waiting = []
-        if rows:
-            self.waiting.put(waiting) if waiting else self.waiting.clear()
+        self._wait(waiting, stored)
         return out
 
+    def _before(self) -> list[tuple]:
+        """The questions that wait; once read, those of the key at work are at hand."""
+        if self.left is None:
+            self.left = [tuple(w) for w in self.waiting.get()]
+        return list(self.left)
+
+    def _wait(self, waiting: list[tuple], stored: bool) -> None:
+        if waiting:
+            self.waiting.put(waiting)
+        elif stored:
+            self.waiting.clear()
+        self.left = waiting
+
     def after(self, key, now):
-        waiting = [tuple(w) for w in self.waiting.get()]
+        waiting = self._before()
+        self.left = None
         gone = [w for w in waiting if w[0] + self.timeout_ms <= now]
         left = waiting[len(gone):]
         if gone:
@@ -194,41 +218,45 @@ class NumberPairs(InTimeOrder):
 
     columns = (("answer_ms", "bigint"), ("conv_id", "string"), ("pos", "bigint"), ("user_query", "string"),
                ("user_ms", "bigint"), ("llm_answer", "string"), ("answer_pos", "bigint"))
+    out = Row("query_number", *FATE_NAMES)
 
     def init(self, handle) -> None:
         super().init(handle)
         self.count = handle.getValueState("count", "n bigint")
 
-    def frame(self, rows):
-        return pd.DataFrame(rows, columns=["query_number", *FATE_NAMES])
-
     def handleInputRows(self, key, rows, timerValues):
-        passing: list[pd.DataFrame] = []
+        passing: list[tuple] = []
 
         def pairs():
-            for batch in rows:
-                paired = batch["status"] == PAIRED
-                if not paired.all():
-                    passing.append(batch.loc[~paired, FATE_NAMES].assign(query_number=None))
-                if paired.any():
-                    yield batch[paired]
-
-        for out in super().handleInputRows(key, pairs(), timerValues):
-            while passing:
-                yield passing.pop()
-            yield out
-        yield from passing
+            for r in rows:
+                if r["status"] == PAIRED:
+                    yield r
+                else:
+                    times = {"settled": "settled_ms", "user_ts": "user_ms", "answer_ts": "answer_ms"}
+                    passing.append((None, *[_time(r[times[c]]) if c in times else r[c] for c in FATE_NAMES]))
+                    if len(passing) == TAKEN:
+                        return
+
+        rows = iter(rows)
+        more = True
+        while more:
+            yield from super().handleInputRows(key, pairs(), timerValues)
+            yield from self.rows(passing)
+            more = len(passing) == TAKEN
+            passing.clear()
 
     def late(self, key, rows, now):
         return self.settle(key, rows)  # no pair comes after the watermark that its answer waited for
 
     def settle(self, key, rows):
-        n, out = self.count.get()[0] if self.count.exists() else 0, []
+        if not rows:
+            return []
+        count = self.count.get()
+        n, out = 0 if count is None else count[0], []
         for ms, conv, pos, query, asked_ms, answer, answer_pos in rows:
             n += 1
             out.append((n, PAIRED, _time(ms), conv, pos, key[0], query, _time(asked_ms), answer, answer_pos, _time(ms)))
-        if rows:
-            self.count.update((n,))
+        self.count.update((n,))
         return out
 
 
@@ -296,7 +324,7 @@ def fates(turns: DataFrame, lateness: str, timeout_ms: int, bucket_ms: int = 600
                 content_text(F.col("content")).alias("content"), F.col("user_id").cast("string").alias("user_id"),
                 F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"))
     )
-    return kept.groupBy("conv_id").transformWithStateInPandas(
+    return kept.groupBy("conv_id").transformWithState(
         statefulProcessor=PairTurns(timeout_ms, bucket_ms), outputStructType=FATE_SCHEMA, outputMode="Append",
         timeMode="EventTime", eventTimeColumnName="settled")
 
@@ -305,8 +333,8 @@ def numbered_fates(turns: DataFrame, lateness: str, timeout_ms: int, bucket_ms:
     """``fates`` with ``query_number``, the place of a pair among its user's in order of answers, counted on
     from trigger to trigger by a second stateful operator that follows the first."""
     settled = fates(turns, lateness, timeout_ms, bucket_ms).withColumns(
-        {"user_ms": F.unix_millis("user_ts"), "answer_ms": F.unix_millis("answer_ts")})
-    return settled.groupBy("user_id").transformWithStateInPandas(
+        {"settled_ms": F.unix_millis("settled"), "user_ms": F.unix_millis("user_ts"), "answer_ms": F.unix_millis("answer_ts")})
+    return settled.groupBy("user_id").transformWithState(
         statefulProcessor=NumberPairs(bucket_ms), outputStructType=NUMBERED_FATES, outputMode="Append", timeMode="EventTime")
 
 
