@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from promptweir.session import written
+
 Place = tuple[str, int]  # file and first byte of a range
 Part = tuple[int, bool, bool, bytes]  # record number, begins here, ends here, text
 FLUSH_BYTES = 1 << 22
@@ -175,8 +177,8 @@ def records(spark: SparkSession, path: str, machine: Machine) -> DataFrame:
     """(file, record, body) of the files of a path: the number of a file in order of names, the number of a
     record in its file, and its text.
 
-    Two passes over files of several ranges, one over the others. Of a range only its summary, a few
-    numbers, reaches the driver, which plans the ranges anyway.
+    Two passes over files of several ranges, one over the others, however often the records are used: what is cut
+    is written. Of a range only its summary, a few numbers, reaches the driver, which plans the ranges anyway.
     """
     pieces = _pieces(spark, path, machine.separator)
     numbers = {f: i for i, f in enumerate(sorted(map(_named, pieces.inputFiles())))}
@@ -206,8 +208,8 @@ def records(spark: SparkSession, path: str, machine: Machine) -> DataFrame:
             if rows:
                 yield _batch(rows)
 
-    found = pieces.select("file", "block", "piece").mapInArrow(
-        parts, "file long, record long, block long, whole boolean, body string")
+    found = written(pieces.select("file", "block", "piece").mapInArrow(
+        parts, "file long, record long, block long, whole boolean, body string"), "records")
     broken = found.where("NOT whole").groupBy("file", "record").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("block", "body"))), lambda p: p["body"]), "").alias("body"))
     return found.where("whole").select("file", "record", "body").unionByName(broken)

@@ -109,3 +109,11 @@ def test_machines_follow_any_cut():
                 for record, _, _, body in machine.parts(own, start):
                     found[record] = found.get(record, b"") + body
             assert [found[k] for k in sorted(found)] == want
+
+
+def test_records_are_cut_once(spark, tmp_path):
+    """What is done with the records does not read the files again."""
+    (tmp_path / "a.json").write_text('[{"x": "}"}, {"x": [1, {}]}]')
+    found = ranges.records(spark, str(tmp_path), ranges.ObjectsOfArray())
+    assert "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [r.body for r in found.union(found).distinct().orderBy("record").collect()] == ['{"x": "}"}', '{"x": [1, {}]}']
