@@ -32,6 +32,13 @@ class Numbered:
         self.words: list[str] = coded.dictionary.to_pylist()
         self._numbers = coded.indices.to_numpy(zero_copy_only=False)
 
+    def own(self) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the left column one row after the other, and how many each row has."""
+        return self._numbers[:self._own[-1]], np.diff(self._own)
+
+    def other(self) -> tuple[np.ndarray, np.ndarray]:
+        return self._numbers[self._own[-1]:], np.diff(self._other)
+
     def pairs(self, numbers: np.ndarray | None = None) -> Iterator[tuple[list[int], list[int]]]:
         """Both lists of every row; ``numbers``: what stands for each of ``words``, else their places."""
         all_of = self._numbers if numbers is None else numbers[self._numbers]

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,45 +37,39 @@ def tokens_13a(text: Column) -> Column:
     return tx.tokens(line)
 
 
-def _runs(tokens: list, known: set) -> list[list]:
-    """The longest runs of tokens that are all known."""
-    runs, run = [], []
-    for token in tokens:
-        if token in known:
-            run.append(token)
-        elif run:
-            runs.append(run)
-            run = []
-    return [*runs, run] if run else runs
+COUNTS = [f"{x}{n}" for x in "mt" for n in range(1, MAX_ORDER + 1)] + ["ref_len"]
 
 
-def _counts(own: list, other: list) -> tuple[int, ...]:
-    """Clipped matches by order, candidate n-grams by order, tokens of the reference.
+def _counts(own: np.ndarray, sizes: np.ndarray, other: np.ndarray, other_sizes: np.ndarray, words: int) -> list[np.ndarray]:
+    """``COUNTS`` of many pairs: clipped matches by order, candidate n-grams by order, tokens of the reference.
 
-    Only n-grams of tokens that both texts hold can match.
+    An n-gram of a row is numbered by its first n - 1 tokens, which are numbered before, and its last one. Only those
+    that both sides of the row hold go on to the next order, as others are no part of a match.
     """
-    known = set(own).intersection(other)
-    sides = [_runs(own, known), _runs(other, known)]
-    matched = []
+    rows = len(sizes)
+    row = np.concatenate([np.repeat(np.arange(rows), sizes), np.repeat(np.arange(rows), other_sizes)])
+    tokens = np.concatenate([own, other]).astype(np.int64)
+    ends = np.concatenate([np.cumsum(sizes), len(own) + np.cumsum(other_sizes)])
+    ends = np.concatenate([np.repeat(ends[:rows], sizes), np.repeat(ends[rows:], other_sizes)])
+    at, before, matched = np.arange(len(tokens)), row, []
     for n in range(1, MAX_ORDER + 1):
-        sides = [[r for r in runs if len(r) >= n] for runs in sides]
-        if not all(sides):
-            matched.append(0)
-            continue
-        grams = [Counter(g for r in runs for g in (zip(*[r[i:] for i in range(n)]) if n > 1 else r)) for runs in sides]
-        less, more = sorted(grams, key=len)
-        matched.append(sum(min(count, more[g]) for g, count in less.items() if g in more))
-    return (*matched, *[max(0, len(own) - n + 1) for n in range(1, MAX_ORDER + 1)], len(other))
-
-
-COUNTS = [f"{x}{n}" for x in "mt" for n in range(1, MAX_ORDER + 1)] + ["ref_len"]
+        keys, grams = np.unique(before * max(words, 1) + tokens[at + n - 1], return_inverse=True)
+        mine = at < len(own)
+        both = np.minimum(np.bincount(grams[mine], minlength=len(keys)), np.bincount(grams[~mine], minlength=len(keys)))
+        where = np.zeros(len(keys), np.int64)
+        where[grams] = row[at]
+        matched.append(np.bincount(where, weights=both, minlength=rows).astype(np.int64))
+        on = (both[grams] > 0) & (at + n < ends[at])
+        at, before = at[on], grams[on]
+    return [*matched, *[np.maximum(sizes - n, 0) for n in range(MAX_ORDER)], other_sizes]
 
 
 @F.arrow_udf(T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))
 def ngram_matches(candidate: pa.Array, reference: pa.Array) -> pa.Array:
     """The counts of a pair of token arrays; pairs stay rows and n-grams never leave one."""
-    rows = [_counts(a, b) for a, b in token_lists.Numbered(candidate, reference).pairs()]
-    return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(len(COUNTS))], COUNTS)
+    tokens = token_lists.Numbered(candidate, reference)
+    columns = _counts(*tokens.own(), *tokens.other(), len(tokens.words))
+    return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], COUNTS)
 
 
 def ngram_counts(pairs: DataFrame, keys: list[str], candidate: str, reference: str) -> DataFrame:
