@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
@@ -14,8 +16,8 @@ PAIRS, WORDS, CELLS = 1024, 1 << 13, 1 << 21
 FEW = 16
 
 
-def _differing(a: str, b: str) -> tuple[str, str]:
-    """What is left of two texts without their common beginning and end, the shorter first."""
+def differing(a: Sequence, b: Sequence) -> tuple[Sequence, Sequence]:
+    """What is left of two texts or lists without their common beginning and end, the shorter first."""
     if len(a) > len(b):
         a, b = b, a
     start = 0
@@ -30,7 +32,7 @@ def _differing(a: str, b: str) -> tuple[str, str]:
 def distance(a: str, b: str) -> int:
     """Edit distance in code points, by bit vectors: one row of the table is two long integers that say
     where it steps up and where down, and a character of the longer text costs a few operations on them."""
-    a, b = _differing(a, b)
+    a, b = differing(a, b)
     if not a:
         return len(b)
     places: dict[str, int] = {}
@@ -118,7 +120,7 @@ def distances(left: list[str | None], right: list[str | None]) -> list[int | Non
     open_pairs = []
     for i, (a, b) in enumerate(zip(left, right)):
         if a is not None and b is not None:
-            a, b = _differing(a, b)
+            a, b = differing(a, b)
             found[i] = len(b)
             if a:
                 open_pairs.append((i, a, b))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from promptweir.functions import token_lists, word_stems
+from promptweir.operators.edit import differing
 
 STEM_FROM_LENGTH = 4  # shorter tokens are compared as they are
 
@@ -17,7 +18,10 @@ def tokens(text: Column) -> Column:
 
 
 def _lcs(a, b) -> int:
-    """Longest common subsequence length, one machine-word operation per 64 cells."""
+    """Longest common subsequence length, one machine-word operation per 64 cells of what differs."""
+    common = min(len(a), len(b))
+    a, b = differing(a, b)
+    common -= len(a)
     bits: dict = {}
     for i, token in enumerate(a):
         bits[token] = bits.get(token, 0) | (1 << i)
@@ -25,8 +29,9 @@ def _lcs(a, b) -> int:
     row = full
     for token in b:
         hit = row & bits.get(token, 0)
-        row = ((row + hit) | (row - hit)) & full
-    return len(a) - row.bit_count()
+        if hit:
+            row = ((row + hit) | (row - hit)) & full
+    return common + len(a) - row.bit_count()
 
 
 @F.arrow_udf(T.IntegerType())
